@@ -26,6 +26,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.langid import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(5)))
+    return predict(docs, model).withColumn("held_out", held_out(5))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.packing import pack_documents
 
@@ -35,6 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op8_langid": op8_langid,
     "op9_packing": op9_packing,
 }
 
