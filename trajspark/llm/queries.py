@@ -26,6 +26,15 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.langid import held_out
+    from trajspark.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score(docs, fit(docs, labels.where(~held_out(5)))).withColumn("held_out", held_out(5))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.langid import fit, held_out, predict
 
@@ -43,6 +52,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
 }
