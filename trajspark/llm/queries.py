@@ -20,6 +20,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TokenCountCache(spark).count(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.simhash_dedup import near_duplicates
 
@@ -51,6 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
