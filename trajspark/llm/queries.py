@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -32,6 +33,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.pii import KINDS, pseudonymize
+
+    found = pseudonymize(table(spark, sf_dir, "documents"), b"key of the registered query")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", "text", "n_found", *counts, "spans")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.langid import held_out
     from trajspark.llm.toxicity import fit, score
@@ -59,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
