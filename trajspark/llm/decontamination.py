@@ -33,19 +33,12 @@ SIMILARITY, RECALL = 0.8, 0.97
 SLICE_WORDS = 2_000_000
 #: Samples of each walk, symbols of a sample, and at most so many walks.
 SAMPLES, SYMBOLS, WALKS = 16, 3, 24
-_MARK = np.zeros(256, bool)
-_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and the bounds of the texts in them. Words of marks alone are words too."""
     words = Words(data, offsets)
-    start, stop = words.start.copy(), words.stop.copy()
-    if len(start):
-        for _ in range(4):
-            start += (start < stop - 1) & _MARK[words.data[start]]
-            stop -= (start < stop - 1) & _MARK[words.data[stop - 1]]
-    return words.span(start, stop) | np.uint64(1), words.bounds
+    return words.span(*words.bare()) | np.uint64(1), words.bounds
 
 
 def edits(words: int, similarity: float) -> int:
@@ -81,6 +74,7 @@ class Group:
     keys: np.ndarray
     owner: np.ndarray
     filter: np.ndarray
+    known: np.ndarray  # whether each word of the index is one of this group's items'
 
 
 class Benchmark:
@@ -114,7 +108,7 @@ class Benchmark:
 
     def _group(self, own: list[int], length: int, recall: float, rng: np.random.Generator) -> None:
         most = edits(len(self.items[own[-1]]), self.similarity)
-        group = Group(own, length, max(1, length - most), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << 20, bool))
+        group = Group(own, length, max(1, length - most), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << 20, bool), np.isin(self.known, np.concatenate([self.items[i] for i in own])))
         flat, start, stop = self._flat([self.items[i] for i in own])
         # edited copies, on which the number of walks is set
         picked = [own[int(k)] for k in rng.integers(0, len(own), 60)]
@@ -122,13 +116,14 @@ class Benchmark:
         test = self._flat(copies)
         found, keys, owner = np.zeros(len(copies), bool), [], []
         while group.walks < WALKS and (group.walks < 2 or found.mean() < recall):
-            k = self.walk(flat, start, stop, length, group.walks)
-            # a copy is met at any of its first few words
-            shifts = [self.walk(test[0], np.minimum(test[1] + d, test[2]), test[2], length, group.walks) for d in range(2)]
+            k, full = self.walk(flat, start, stop, length, group.walks)
+            # a copy is met at its first words
+            shifts = [self.walk(test[0], np.minimum(test[1] + d, test[2]), test[2], length, group.walks)[0] for d in range(2)]
             for c, i in enumerate(picked):
-                found[c] |= any((k[own.index(i)] == s[c]).any() for s in shifts)
-            keys.append(k.reshape(-1))
-            owner.append(np.repeat(own, SAMPLES))
+                found[c] |= any(((k[own.index(i)] == s[c]) & full[own.index(i)]).any() for s in shifts)
+            # samples with blanks beyond the item say little and are left out of the index
+            keys.append(k[full])
+            owner.append(np.repeat(own, SAMPLES).reshape(k.shape)[full])
             group.walks += 1
         all_keys, all_owner = np.concatenate(keys), np.concatenate(owner)
         order = np.argsort(all_keys, kind="stable")
@@ -149,15 +144,16 @@ class Benchmark:
             words[at : at + (kind != 1)] = [] if kind == 2 and len(words) > 1 else [fresh]
         return np.array(words, np.uint64)
 
-    def walk(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int, number: int) -> np.ndarray:
-        """Keys (rows x SAMPLES) of one walk over the windows that begin at ``start``; a window ends after ``length``
-        words or at ``stop``, and blanks follow."""
+    def walk(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (rows x SAMPLES) of one walk over the windows that begin at ``start``, and whether all symbols of each
+        key are words; a window ends after ``length`` words or at ``stop``, and blanks follow."""
         rng = np.random.default_rng([length, number])
         spots = np.sort(rng.integers(0, 2 * length, (SAMPLES, SYMBOLS)), axis=1)
         odd = rng.integers(1, 1 << 63, 2 * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         end = np.minimum(start + length, stop)
         at = start.copy()
         keys = np.full((len(start), SAMPLES), np.uint64(number * 1000003 + length), np.uint64)
+        full = np.ones(keys.shape, bool)
         last = len(flat) - 1
         with np.errstate(over="ignore"):
             for t in range(int(spots.max()) + 1):
@@ -167,8 +163,9 @@ class Benchmark:
                     if times:
                         keys[:, j] = (keys[:, j] ^ s) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(t)
                         keys[:, j] ^= keys[:, j] >> np.uint64(29)
+                        full[:, j] &= s != 0
                 at += (s * odd[t] >> np.uint64(63)).astype(np.int64)
-            return mix(keys + np.arange(SAMPLES, dtype=np.uint64))
+            return mix(keys + np.arange(SAMPLES, dtype=np.uint64)), full
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(row, item number, similarity) of each item found in a run of texts."""
@@ -180,45 +177,59 @@ class Benchmark:
         maybe = np.flatnonzero(known)
         i = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
         known[maybe] = self.known[i] == h[maybe]
-        total = np.concatenate([[0], np.cumsum(known)])
+        # number of each word in the index; the last entry of a group's table stands for all other words
+        number = np.full(n, len(self.known), np.int32)
+        number[maybe] = np.where(known[maybe], i, len(self.known))
         stop = np.repeat(bounds[1:], np.diff(bounds))
         flat = np.concatenate([h, np.zeros(1, np.uint64)])
-        done: dict[tuple[int, int], float] = {}
-        here = np.arange(n)
+        done: list[tuple[int, int, float]] = []
+        total, here = np.zeros(n + 1, np.int32), np.arange(n)
         for g in self.groups:
+            np.cumsum(np.append(g.known, False)[number], out=total[1:])
             start = np.flatnonzero(total[np.minimum(here + g.length, stop)] - total[:-1] >= g.least)
-            for part in np.split(start, range(20_000, len(start), 20_000)):
-                end = stop[part]
-                pairs = []
-                for number in range(g.walks if len(part) else 0):
-                    keys = self.walk(flat, part, end, g.length, number)
-                    row, col = np.nonzero(g.filter[(keys >> np.uint64(44)).astype(np.int64)])
-                    k = keys[row, col]
-                    left, right = np.searchsorted(g.keys, k, "left"), np.searchsorted(g.keys, k, "right")
-                    size = right - left
-                    hit = size > 0
-                    row, left, size = row[hit], left[hit], size[hit]
-                    rows = np.repeat(row, size)
-                    at = np.repeat(left - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    pairs.append(rows * len(self.items) + g.owner[at])
-                pairs_ = np.unique(np.concatenate(pairs)) if pairs else []
-                for code in pairs_:
-                    row, item = divmod(int(code), len(self.items))
-                    p = int(part[row])
-                    doc = int(np.searchsorted(bounds, p, "right")) - 1
-                    if (doc, item) in done:
-                        continue
-                    size = len(self.items[item])
-                    most = edits(size, self.similarity)
-                    around = h[max(bounds[doc], p - most - 2) : min(int(stop[p]), p + size + most + 2)].tolist()
-                    pattern = self.patterns[item]
-                    if sum(s in pattern for s in around) < size - most:
-                        continue
-                    d = closest(pattern, size, around)
-                    if d <= most:
-                        done[doc, item] = 1 - d / size
-        for (doc, item), likeness in sorted(done.items()):
-            yield doc, item, likeness
+            met = [self._candidates(g, flat, part, stop[part]) for part in np.split(start, range(20_000, len(start), 20_000)) if len(part)]
+            if not met:
+                continue
+            at, item = (np.concatenate([m[k] for m in met]) for k in (0, 1))
+            doc = np.searchsorted(bounds, at, "right") - 1
+            order = np.lexsort((at, item, doc))
+            at, item, doc = at[order], item[order], doc[order]
+            runs = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
+            for places in np.split(np.arange(len(at)), runs):
+                if len(places):
+                    d, k = int(doc[places[0]]), int(item[places[0]])
+                    likeness = self._best(k, at[places], h[bounds[d] : bounds[d + 1]], int(bounds[d]))
+                    if likeness is not None:
+                        done.append((d, k, likeness))
+        yield from sorted(done)
+
+    def _candidates(self, g: Group, flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window start, item) of all that share a key."""
+        places, items = [], []
+        for number in range(g.walks):
+            keys, _ = self.walk(flat, start, stop, g.length, number)
+            row, col = np.nonzero(g.filter[(keys >> np.uint64(44)).astype(np.int64)])
+            k = keys[row, col]
+            left = np.searchsorted(g.keys, k, "left")
+            size = np.searchsorted(g.keys, k, "right") - left
+            owner = np.repeat(left - np.cumsum(size) + size, size) + np.arange(size.sum())
+            places.append(start[np.repeat(row, size)])
+            items.append(g.owner[owner])
+        codes = np.unique(np.concatenate(places) * len(self.items) + np.concatenate(items))
+        return np.divmod(codes, len(self.items))
+
+    def _best(self, item: int, at: np.ndarray, text: np.ndarray, base: int) -> float | None:
+        """Similarity of the item to the closest passage around the given places, or None if below the limit."""
+        size, pattern = len(self.items[item]), self.patterns[item]
+        most = edits(size, self.similarity)
+        left, right = np.maximum(at - base - most - 2, 0), np.minimum(at - base + size + most + 2, len(text))
+        cut = np.flatnonzero(left[1:] > right[:-1]) + 1
+        best = most + 1
+        for a, b in zip(left[np.concatenate([[0], cut])].tolist(), right[np.concatenate([cut - 1, [len(at) - 1]])].tolist()):
+            around = text[a:b].tolist()
+            if sum(map(pattern.__contains__, around)) >= size - most:
+                best = min(best, closest(pattern, size, around))
+        return 1 - best / size if best <= most else None
 
 
 def slices(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str | None]]]:

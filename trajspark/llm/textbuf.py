@@ -16,6 +16,8 @@ CHUNK = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64)
@@ -122,6 +124,14 @@ class Words:
             h += (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return mix(h) if mixed else h
 
+    def bare(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and stops without up to four ASCII marks on either side; at least one byte of a word stays."""
+        start, stop = self.start.copy(), self.stop.copy()
+        for _ in range(4 if len(start) else 0):
+            start += (start < stop - 1) & _MARK[self.data[start]]
+            stop -= (start < stop - 1) & _MARK[self.data[stop - 1]]
+        return start, stop
+
     def hash(self) -> np.ndarray:
         return self.span(self.start, self.stop)
 

@@ -32,8 +32,6 @@ PREFIXES = (4, 6)
 #: Letters that mark a language group, as the second byte after 0xC3 in UTF-8. Fixed values.
 MARKS = {"german": "äöüßÄÖÜ", "french": "èêëçàâîïôùûœÈÊÇÀ", "spanish": "ñóíúáÑÓÍÚÁ"}
 GROUPS = 1 + len(MARKS)
-_MARK = np.zeros(256, bool)
-_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _GROUP = np.zeros(256, np.uint8)
 for _k, _letters in enumerate(MARKS.values(), 1):
     for _c in _letters:
@@ -43,10 +41,7 @@ for _k, _letters in enumerate(MARKS.values(), 1):
 
 def word_features(words: Words) -> np.ndarray:
     """Bucket numbers of each word: whole, and by prefix; 0 is kept for the zero vector."""
-    start, stop = words.start.copy(), words.stop.copy()
-    for _ in range(4):  # marks around a word don't make it another word
-        start += (start < stop - 1) & _MARK[words.data[start]] if len(start) else 0
-        stop -= (start < stop - 1) & _MARK[words.data[stop - 1]] if len(start) else 0
+    start, stop = words.bare()
     spans = [words.span(start, stop)] + [words.span(start, np.minimum(start + n, stop)) ^ np.uint64(n) for n in PREFIXES]
     return np.stack([(h % np.uint64(BUCKETS - 1)).astype(np.int32) + 1 for h in spans], 1)
 
