@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TokenCountCache(spark).count(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.linededup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.fingerprints import fingerprint_documents
 
@@ -72,6 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_pii": op6_pii,
