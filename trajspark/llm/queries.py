@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.langid import held_out
+    from trajspark.llm.lm import score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(7, 2))
+    return score_documents(docs, public_tokenizers.path(WORD_TOKENIZER))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.token_counts import TokenCountCache
 
@@ -77,6 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
