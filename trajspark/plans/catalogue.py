@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from trajspark.plans import q_alignment, q_edits, q_images, q_layouts, q_motion, q_quality, q_stats
 
-ORACLE: dict[str, str] = {}
+MODULES = (q_stats, q_motion, q_alignment, q_edits, q_quality, q_images, q_layouts)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE.items()}
