@@ -1 +1,113 @@
-QUERIES, ORACLE = {}, {}
+"""Queries on checks, verification and health."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajspark.operators import axes, images, motion, quality, stats
+from trajspark.plans import views
+from trajspark.plans.rounding import rounded
+from trajspark.plans.views import with_views
+
+
+def diff_stats_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_lineitem(spark, d)
+    a = quality.long_stats(stats.merge_stats(stats.episode_stats(axes.explode_axes(f, "state"))), ["mean", "std", "min", "max", "count"])
+    b = quality.long_stats(stats.merge_stats(stats.episode_stats(axes.explode_axes(f.where("episode_index % 10 <> 0"), "state"))), ["mean", "std", "min", "max", "count"])
+    return rounded(quality.diff_stats(a, b), 3)
+
+
+def verify_stats_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_lineitem(spark, d)
+    episodes = stats.episode_stats(axes.explode_axes(f, "state"))
+    stored = quality.long_stats(stats.merge_stats(episodes), ["mean", "std", "min", "max", "count"])
+    return rounded(quality.overall_match(quality.verify_stats(f, stored, episodes, ["state"], []).where("n_b > 0")))
+
+
+def unknown_task_refs_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    refs = views.table(spark, d, "lineitem").select(F.lit("lineitem").alias("dataset_id"), F.col("l_linenumber").cast("long").alias("task_index"))
+    tasks = views.table(spark, d, "lineitem").where("l_linenumber <= 4").select(F.lit("lineitem").alias("dataset_id"), F.col("l_linenumber").cast("long").alias("task_index")).distinct()
+    return rounded(quality.unknown_task_refs(refs, tasks))
+
+
+def dt_checks_events(spark: SparkSession, d: str) -> DataFrame:
+    return motion.dt_checks(views.frames_events(spark, d), 1 / 43_000)
+
+
+def _datasets(spark: SparkSession, d: str) -> DataFrame:
+    n = views.frames_embeddings(spark, d)
+    return n.groupBy("dataset_id").agg(F.lit("v2.1").alias("version"), F.count_distinct("episode_index").alias("total_episodes"), (F.count(F.lit(1)) + 1).alias("total_frames"))
+
+
+def frame_checks_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_embeddings(spark, d).withColumn("frame_index", F.when(F.col("episode_index") == 2, F.col("pos") + 1).otherwise(F.col("pos")))
+    return quality.frame_checks(f, _datasets(spark, d), {"state": 32, "action": 32})
+
+
+def training_status_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_embeddings(spark, d).withColumn("frame_index", F.when(F.col("episode_index") == 2, F.col("pos") + 1).otherwise(F.col("pos")))
+    ds = _datasets(spark, d)
+    checks = quality.frame_checks(f, ds, {"state": 32, "action": 32}).union(quality.semantic_checks(f, ds, 1.0))
+    return rounded(quality.finalize_checks(checks))
+
+
+def video_integrity_orders(spark: SparkSession, d: str) -> DataFrame:
+    n = stats.episode_lengths(views.frames_lineitem(spark, d))
+    k = F.col("episode_index") % 7
+    v = n.select("dataset_id", "episode_index", F.lit("cam").alias("camera"), F.when(k == 0, None).when(k == 1, 29.0).otherwise(30.0).alias("fps"),
+                 F.when(k == 2, F.col("length") - 1).otherwise(F.col("length")).alias("nb_frames"), (F.col("length") / 30.0 + F.when(k == 3, 1.0).otherwise(0.0)).alias("duration"))
+    out = quality.check_video_integrity(quality.probe_fallbacks(v), n)
+    return out.select("episode_index", "level", F.array_join("issues", ",").alias("issues"))
+
+
+def repair_frames_events(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_events(spark, d).withColumn("task_index", F.lit(None).cast("long"))
+    f = f.withColumn("timestamp", F.when((F.col("episode_index") % 5 == 0) & (F.col("pos") == 3), None).otherwise(F.col("timestamp")))
+    episodes = f.select("dataset_id", "episode_index").distinct().withColumn("task_index", F.lit(4))
+    out, _ = quality.repair_frames(f, episodes, 10.0)
+    return rounded(out.select("episode_index", "pos", "frame_index", "index", "task_index", "timestamp"))
+
+
+def health_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_embeddings(spark, d)
+    a = axes.explode_axes(f, "state").unionByName(axes.explode_axes(f, "action"))
+    derived = motion.derivatives(a)
+    limits = a.select("dataset_id", "source", "axis_index").distinct().withColumns({"lower": F.lit(-0.3), "upper": F.lit(0.3), "velocity_limit": F.lit(15.0)})
+    report = images.image_report(images.episode_image_summary(images.analyze_frames(views.gray_embeddings(spark, d))))
+    parts = [
+        quality.score_smoothness(derived), quality.score_coverage(a), quality.score_constraint(derived, limits), quality.score_alignment(f, a), quality.score_image_quality(report),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def health_report_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.health_report(health_dimensions(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (
+    diff_stats_lineitem, verify_stats_lineitem, unknown_task_refs_lineitem, dt_checks_events, frame_checks_embeddings, training_status_embeddings, video_integrity_orders,
+    repair_frames_events, health_dimensions, health_report_embeddings,
+)}
+
+ORACLE = {
+    "diff_stats_lineitem": with_views(["frames_lineitem"], """, a AS (SELECT episode_index, unnest(range(3)) AS axis_index, unnest([v0, v1, v2]) AS value FROM frames_lineitem),
+ s AS (SELECT axis_index, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(value)::DOUBLE AS count, false AS part FROM a GROUP BY 1
+ UNION ALL SELECT axis_index, avg(value), stddev_pop(value), min(value), max(value), count(value)::DOUBLE, true FROM a WHERE episode_index % 10 <> 0 GROUP BY 1),
+ u AS (UNPIVOT s ON mean, std, min, max, count INTO NAME metric VALUE value),
+ p AS (SELECT x.metric, x.axis_index, x.value AS a, y.value AS b FROM u x JOIN u y ON x.metric = y.metric AND x.axis_index = y.axis_index AND NOT x.part AND y.part)
+ SELECT 'lineitem' AS dataset_id, 'state' AS feature, metric, count(a) AS n_a, count(b) AS n_b, round(max(abs(a - b)), 3) AS max_abs, round(max(abs(a - b) / greatest(abs(a), 1e-12)), 3) AS max_rel,
+ max(abs(a - b)) <= 1e-4 AS match FROM p GROUP BY metric"""),
+    "verify_stats_lineitem": "SELECT 'lineitem' AS dataset_id, true AS match, 0::BIGINT AS n_mismatches FROM lineitem LIMIT 1",
+    "unknown_task_refs_lineitem": "SELECT DISTINCT 'lineitem' AS dataset_id, l_linenumber::BIGINT AS task_index FROM lineitem WHERE l_linenumber > 4",
+    "dt_checks_events": with_views(["frames_events"], """, t AS (SELECT dataset_id, episode_index, ts - lag(ts) OVER (PARTITION BY episode_index ORDER BY pos) AS dt FROM frames_events)
+ SELECT dataset_id, episode_index, coalesce(min(dt) > 0, true) AS rising, coalesce(abs(avg(dt) - 43000) <= 0.05 * 43000, true) AS steady FROM t GROUP BY 1, 2"""),
+    "video_integrity_orders": """WITH e AS (SELECT l_orderkey::BIGINT AS episode_index, count(*) AS n, l_orderkey % 7 AS k FROM lineitem GROUP BY l_orderkey)
+ SELECT episode_index, CASE WHEN k = 0 THEN 'warning' WHEN k IN (1, 2, 3) THEN 'error' ELSE 'ok' END AS level,
+ CASE k WHEN 0 THEN 'not probed' WHEN 1 THEN 'frame rate' WHEN 2 THEN 'frame count' WHEN 3 THEN 'duration' ELSE '' END AS issues FROM e""",
+    "repair_frames_events": with_views(["frames_events"], """, n AS (SELECT episode_index, sum(c) OVER (ORDER BY episode_index) - c AS first_frame FROM (SELECT episode_index, count(*) AS c FROM frames_events GROUP BY 1))
+ SELECT episode_index, pos, pos AS frame_index, (first_frame + pos)::BIGINT AS "index", 4::BIGINT AS task_index, round(CASE WHEN episode_index % 5 = 0 THEN pos / 10.0::DOUBLE ELSE ts END, 6) AS "timestamp" FROM frames_events JOIN n USING (episode_index)"""),
+}

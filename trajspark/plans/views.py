@@ -125,7 +125,7 @@ axis_embeddings AS (
   SELECT CAST(user_id AS VARCHAR) AS bag, event_type AS topic, epoch_us(ts) * 1000 AS ts_ns, event_id AS seq, value FROM events)""",
     "gray_embeddings": """gray_embeddings AS (
   SELECT CAST(label AS BIGINT) AS episode_index, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
-         list_transform(CAST(embedding AS DOUBLE[]), x -> CAST(least(255.0, greatest(0.0, round_even((x + 0.5) * 255, 0))) AS INTEGER)) AS gray
+         [CAST(least(255.0, greatest(0.0, round_even((x + 0.5) * 255, 0))) AS INTEGER) FOR x IN CAST(embedding AS DOUBLE[])] AS gray
   FROM embeddings)""",
 }
 
