@@ -1 +1,58 @@
-QUERIES, ORACLE = {}, {}
+"""Queries on packing and layout conversion."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajspark.operators import axes, layouts
+from trajspark.operators.stats import episode_lengths
+from trajspark.plans import views
+from trajspark.plans.rounding import rounded
+from trajspark.plans.views import with_views
+
+
+def pack_files_part(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(layouts.pack_files(views.files_part(spark, d), 10_000, 50), 2)
+
+
+def video_offsets_part(spark: SparkSession, d: str) -> DataFrame:
+    v = views.files_part(spark, d).withColumn("camera", F.lit("cam")).withColumn("duration", F.col("bytes") / 100)
+    return rounded(layouts.video_offsets(v, 20_000, 50), 1)
+
+
+def layout_round_trip_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames_lineitem(spark, d).withColumn("dataset_id", F.concat(F.lit("part"), F.col("episode_index") % 50))
+    sizes = episode_lengths(f).withColumn("bytes", F.col("length") * 100)
+    shared = layouts.to_shared_layout(f, sizes, 5000)
+    back = layouts.from_shared_layout(shared, layouts.pack_files(sizes, 5000))
+    return rounded(back.select("dataset_id", "episode_index", "pos", F.get("state", F.lit(1)).alias("price")))
+
+
+def episode_paths_orders(spark: SparkSession, d: str) -> DataFrame:
+    return views.tasks_orders(spark, d).select("episode_index", layouts.episode_path(F.col("episode_index")).alias("path"))
+
+
+def group_axes_part(spark: SparkSession, d: str) -> DataFrame:
+    name = F.replace(F.lower(F.concat_ws("_", F.when(F.col("p_partkey") % 3 == 0, "left").when(F.col("p_partkey") % 3 == 1, "right"), F.when(F.col("p_partkey") % 2 == 0, "elbow").otherwise("neck"), F.col("p_partkey").cast("string"))), F.lit(" "), F.lit("_"))
+    p = views.table(spark, d, "part").select("p_partkey", name.alias("name"))
+    return rounded(p.select(F.col("p_partkey").alias("part"), axes.axis_group(F.col("name")).alias("grp"), axes.group_label(axes.axis_group(F.col("name"))).alias("label"), axes.normalize_joint_name(F.concat("name", F.lit("_joint"))).alias("norm")))
+
+
+QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, episode_paths_orders, group_axes_part)}
+
+_PACK = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey::BIGINT AS episode_index, p_retailprice::DOUBLE AS bytes FROM part),
+ r AS (SELECT i, episode_index, bytes, 0::BIGINT AS f, bytes AS used, 0::BIGINT AS lo FROM s WHERE i = 1
+ UNION ALL SELECT s.i, s.episode_index, s.bytes, CASE WHEN used + s.bytes >= {limit} THEN f + 1 ELSE f END, CASE WHEN used + s.bytes >= {limit} THEN s.bytes ELSE used + s.bytes END,
+ CASE WHEN used + s.bytes >= {limit} THEN 0 ELSE lo + 1 END FROM r JOIN s ON s.i = r.i + 1)"""
+
+ORACLE = {
+    "pack_files_part": _PACK.replace("{limit}", "10000") + """ SELECT 'part' AS dataset_id, episode_index, f // 50 AS chunk, f % 50 AS file, round(bytes, 2) AS bytes, lo AS from_index, lo + 1 AS to_index FROM r""",
+    "video_offsets_part": _PACK.replace("{limit}", "20000") + """ SELECT 'part' AS dataset_id, 'cam' AS camera, episode_index, f // 50 AS chunk, f % 50 AS file,
+ round(sum(bytes / 100) OVER (PARTITION BY f ORDER BY episode_index) - bytes / 100, 1) AS from_timestamp, round(sum(bytes / 100) OVER (PARTITION BY f ORDER BY episode_index), 1) AS to_timestamp FROM r""",
+    "layout_round_trip_lineitem": with_views(["frames_lineitem"], " SELECT 'part' || (episode_index % 50) AS dataset_id, episode_index, pos, round(v1, 6) AS price FROM frames_lineitem"),
+    "episode_paths_orders": "SELECT o_orderkey::BIGINT AS episode_index, format('data/chunk-{:03d}/episode_{:06d}.parquet', o_orderkey // 1000, o_orderkey) AS path FROM orders",
+    "group_axes_part": """WITH n AS (SELECT p_partkey::BIGINT AS part, CASE p_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, CASE WHEN p_partkey % 2 = 0 THEN 'elbow' ELSE 'neck' END AS joint FROM part),
+ g AS (SELECT *, concat_ws('_', side, CASE joint WHEN 'elbow' THEN 'arm' ELSE 'head' END) AS grp FROM n)
+ SELECT part, grp, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(grp, '_')], ' ') AS label, coalesce(side, '') || joint || part AS norm FROM g""",
+}
