@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             c = c.cast("long")
         out.append(c.alias(name))
     return df.select(*out)
+
+
+def plain_zero(sql: str) -> str:
+    """``sql`` with + 0.0 after every rounded result column: DuckDB rounds small negative numbers to -0.0, Spark to 0.0."""
+    inner = r"(?:[^()]|\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))*"
+    return re.sub(rf"\bround\(({inner}), (\d)\) AS (\w+|\"\w+\")", r"(round(\1, \2) + 0.0) AS \3", sql)
