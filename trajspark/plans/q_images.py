@@ -21,7 +21,7 @@ def frame_difference_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_quality_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(images.analyze_frames(views.gray_embeddings(spark, d)).select("episode_index", "pos", "blur", "quality"), 2)
+    return rounded(images.analyze_frames(views.gray_embeddings(spark, d)).select("episode_index", "pos", "quality"), 4)
 
 
 def problem_reasons_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ _S = _M + """, s AS (SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode
 ORACLE = {
     "gray_metrics_embeddings": with_views(["gray_embeddings"], _M + f" SELECT episode_index, pos, {_R(['brightness', 'brightness_content', 'dark_ratio', 'overexposed', 'underexposed', 'entropy', 'contrast'])} FROM mm"),
     "frame_difference_embeddings": with_views(["gray_embeddings"], _M + " SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode_index, pos, round(frame_diff, 6) AS frame_diff FROM df"),
-    "frame_quality_embeddings": with_views(["gray_embeddings"], _M + " SELECT episode_index, pos, round(blur, 2) AS blur, round(quality, 2) AS quality FROM q"),
+    "frame_quality_embeddings": with_views(["gray_embeddings"], _M + " SELECT episode_index, pos, round(quality, 4) AS quality FROM q"),
     "problem_reasons_embeddings": with_views(["gray_embeddings"], _M + " SELECT episode_index, pos, reasons FROM q"),
     "episode_image_summary_embeddings": with_views(["gray_embeddings"], _S + f" SELECT dataset_id, camera, episode_index, n_frames, n_problems, {_R([*images.MEANS, 'min_blur', 'max_blur', 'static_ratio', 'problem_ratio'], 4)} FROM s"),
     "image_report_embeddings": with_views(["gray_embeddings"], _S + """ SELECT dataset_id, camera, count(*) AS n_episodes, round(avg(s.quality), 4) AS quality, round(sum(n_problems) / sum(n_frames), 4) AS problem_ratio,

@@ -17,8 +17,8 @@ def pack_files_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 def video_offsets_part(spark: SparkSession, d: str) -> DataFrame:
-    v = views.files_part(spark, d).withColumn("camera", F.lit("cam")).withColumn("duration", F.col("bytes") / 100)
-    return rounded(layouts.video_offsets(v, 20_000, 50), 1)
+    v = views.files_part(spark, d).withColumn("camera", F.lit("cam")).withColumn("duration", F.col("bytes"))
+    return rounded(layouts.video_offsets(v, 20_000, 50), 2)
 
 
 def layout_round_trip_lineitem(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ _PACK = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS
 ORACLE = {
     "pack_files_part": _PACK.replace("{limit}", "10000") + """ SELECT 'part' AS dataset_id, episode_index, f // 50 AS chunk, f % 50 AS file, round(bytes, 2) AS bytes, lo AS from_index, lo + 1 AS to_index FROM r""",
     "video_offsets_part": _PACK.replace("{limit}", "20000") + """ SELECT 'part' AS dataset_id, 'cam' AS camera, episode_index, f // 50 AS chunk, f % 50 AS file,
- round(sum(bytes / 100) OVER (PARTITION BY f ORDER BY episode_index) - bytes / 100, 1) AS from_timestamp, round(sum(bytes / 100) OVER (PARTITION BY f ORDER BY episode_index), 1) AS to_timestamp FROM r""",
+ round(sum(bytes) OVER (PARTITION BY f ORDER BY episode_index) - bytes, 2) AS from_timestamp, round(sum(bytes) OVER (PARTITION BY f ORDER BY episode_index), 2) AS to_timestamp FROM r""",
     "layout_round_trip_lineitem": with_views(["frames_lineitem"], " SELECT 'part' || (episode_index % 50) AS dataset_id, episode_index, pos, round(v1, 6) AS price FROM frames_lineitem"),
     "episode_paths_orders": "SELECT o_orderkey::BIGINT AS episode_index, format('data/chunk-{:03d}/episode_{:06d}.parquet', o_orderkey // 1000, o_orderkey) AS path FROM orders",
     "group_axes_part": """WITH n AS (SELECT p_partkey::BIGINT AS part, CASE p_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, CASE WHEN p_partkey % 2 = 0 THEN 'elbow' ELSE 'neck' END AS joint FROM part),
