@@ -79,8 +79,9 @@ def word_points(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tupl
     text = " " + " ".join([raw[a:b].decode("utf-8", "replace").replace(" ", "") for a, b in zip(starts.tolist(), stops.tolist())]) + " "
     lower = text.lower()
     points = np.frombuffer(lower.encode("utf-32-le", "replace"), np.uint32)
-    word = np.cumsum(points == 32) - 1
-    return letters_only(points), np.minimum(word, len(starts) - 1)
+    # a blank ends the word before it
+    word = np.cumsum(points == 32) - 1 - (points == 32)
+    return letters_only(points), np.clip(word, 0, len(starts) - 1)
 
 
 def scored(points: np.ndarray) -> np.ndarray:
