@@ -17,7 +17,7 @@ from trajspark.llm.textbuf import Words
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
@@ -67,6 +67,8 @@ class WordIds:
     def _letters(self, word: str) -> list[int]:
         ids = self.letters.get(word)
         if ids is None:
+            if len(self.letters) > WORDS_KEPT // 3:
+                self.letters.clear()
             spelled = word if word.isascii() else "".join(self.chars[b] for b in word.encode())
             ids = self.letters[word] = [t.id for t in self.model.tokenize(spelled)]
         return ids
@@ -87,11 +89,12 @@ class WordIds:
                 out[i] = e.ids
         return out
 
-    def lookup(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(slot of each distinct word, position of each word among the distinct ones)."""
+    def lookup(self, words: Words, parts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of each distinct word, position of each word among the distinct ones). ``parts``: numpy's unique of the
+        words' hashes with first places and inverse, where the caller has it already."""
         if len(self.at) > WORDS_KEPT:
             self.reset()
-        distinct, first, inverse = np.unique(words.hash(), return_index=True, return_inverse=True)
+        distinct, first, inverse = parts or np.unique(words.hash(), return_index=True, return_inverse=True)
         get = self.at.get
         slots = [get(h, -1) for h in distinct.tolist()]
         missing = [i for i, s in enumerate(slots) if s < 0]
@@ -118,12 +121,14 @@ class WordIds:
         n = np.concatenate([[0], np.cumsum(self.length[slots][inverse] if len(words) else [])]).astype(np.int64)
         return n[words.bounds[1:]] - n[words.bounds[:-1]]
 
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a run of texts, and the n+1 offsets of the texts in them."""
-        words = Words(data, offsets, lower=not _special(data))
+    def ids(self, data: np.ndarray, offsets: np.ndarray, words: Words | None = None, parts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts, and the n+1 offsets of the texts in them. ``words``: the run's lower-cased words,
+        with ``parts`` as in ``lookup``, where the caller has them."""
+        if words is None or _special(data):
+            words, parts = Words(data, offsets, lower=not _special(data)), None
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        slots, inverse = self.lookup(words)
+        slots, inverse = self.lookup(words, parts)
         length = self.length[slots][inverse].astype(np.int64)
         ends = np.cumsum(length)
         shift = np.repeat(self.begin[slots][inverse] - (ends - length), length)
