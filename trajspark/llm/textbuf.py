@@ -24,11 +24,19 @@ _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than usual for this session: texts are long, and a batch is held several times over
+    between the JVM and the Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of BASE and of its inverse modulo 2**64."""
     global _powers, _inverse
     if len(_powers) < n:
-        n = max(n, CHUNK + (1 << 20))
+        n = max(n, CHUNK + (1 << 16))
         with np.errstate(over="ignore"):
             one = np.full(n, BASE, np.uint64)
             one[0] = 1
@@ -127,9 +135,13 @@ class Words:
     def bare(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and stops without up to four ASCII marks on either side; at least one byte of a word stays."""
         start, stop = self.start.copy(), self.stop.copy()
-        for _ in range(4 if len(start) else 0):
-            start += (start < stop - 1) & _MARK[self.data[start]]
-            stop -= (start < stop - 1) & _MARK[self.data[stop - 1]]
+        for end in (start, stop):
+            step = 1 if end is start else -1
+            at = np.flatnonzero(_MARK[self.data[start if step > 0 else stop - 1]]) if len(start) else start
+            for _ in range(4):
+                at = at[start[at] < stop[at] - 1]
+                end[at] += step
+                at = at[_MARK[self.data[start[at] if step > 0 else stop[at] - 1]]]
         return start, stop
 
     def hash(self) -> np.ndarray:
