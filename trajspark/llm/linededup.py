@@ -6,9 +6,11 @@ not matter. Lines of fewer than ``min_tokens`` distinct words stay always.
 
 Equal sets are one class, judged at its first line. The words of a class are ordered from rare to frequent by a table of
 counts over all lines. Of two similar sets all but few words are common, so within a bounded prefix of this order some
-two neighbours of the one are neighbours in the other as well: these neighbour pairs are the keys of the join. A pair of
-words is far rarer than a word, so that hardly any but similar lines meet. Pairs of classes that meet pass the length
-and the positional filter, then their whole sets are compared. Where very many classes meet in one key, each is first
+three neighbours (two in small sets) of the one are neighbours in the other as well: these are the keys of the join. A triple is far
+rarer than a word, so that hardly any but similar lines meet, however many lines there are. Most keys occur once: a first pass writes two
+bytes per key, from which a table of bounded size tells the keys that may be shared, and only these are shuffled whole.
+Pairs of classes that meet pass the length
+and the positional filter and one by a bit per word, then their whole sets, read again from the documents, are compared. Where very many classes meet in one key, each is first
 compared with the earliest few, and only what is still unmatched with further ones, round by round, to the last.
 
 Null texts have no lines and stay null. Rows of equal doc_id share line numbers, so none is later than the other; rows
@@ -32,6 +34,8 @@ from trajspark.session import materialize
 SIMILARITY, MIN_TOKENS = 0.8, 4
 CELLS = 1 << 16
 LIVE_BITS = 1 << 23
+#: Bits of the table of keys that may be shared: 32 MB, whatever the input.
+LIVE_KEYS = 1 << 28
 _LAST = (1 << 63) - 1
 _LOW = np.uint64((1 << 42) - 1)
 
@@ -41,16 +45,31 @@ def needed(s: int, t: int, similarity: float) -> int:
     return int(np.ceil(similarity / (1 + similarity) * (s + t) - 1e-9))
 
 
-@lru_cache(1 << 16)
-def prefix(s: int, similarity: float) -> int:
-    """Neighbour pairs 0..prefix of a set of s words meet one of every similar set: with u words of this set and v of
-    the other unmatched, at most u + v gaps between matched words are broken and u words come in between."""
-    most = 0
-    for t in {*range(int(np.ceil(similarity * s - 1e-9)), min(int(s / similarity + 1e-9), int(np.ceil(similarity * s)) + 400) + 1), int(s / similarity + 1e-9)}:
+def partners(s: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(u, v, o) of a set of s words and each size of a similar one: words unmatched on this and on the other side, and
+    common words, at the least similarity."""
+    out = []
+    for t in range(int(np.ceil(similarity * s - 1e-9)), int(s / similarity + 1e-9) + 1):
         o = needed(s, t, similarity)
         if o <= min(s, t):
-            most = max(most, 2 * (s - o) + t - o)
-    return most
+            out.append((s - o, t - o, o))
+    return out
+
+
+@lru_cache(1 << 16)
+def prefix(s: int, similarity: float) -> tuple[int, int]:
+    """How many triples and how many pairs of neighbours a set of s words needs as keys to meet every similar set.
+
+    u + v unmatched words cut the common ones into u + v + 1 runs at most. If there are more than two words for each, one
+    run has three: the first such begins after u + v runs of two and u unmatched words at most. Small sets may have too
+    few; then some run has two, the first beginning after u + v single words and u unmatched ones."""
+    triples = pairs = 0
+    for u, v, o in partners(s, similarity):
+        if o > 2 * (u + v + 1):
+            triples = max(triples, 2 * (u + v) + u + 1)
+        else:
+            pairs = max(pairs, u + v + u + 1)
+    return triples, pairs
 
 
 class Lines:
@@ -61,7 +80,8 @@ class Lines:
         starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)])
         words = Words(data, offsets)
         self.hash = words.span(*words.bare())
-        self.of = np.searchsorted(starts, words.start, "right") - 1
+        per_line = np.diff(np.append(np.searchsorted(words.start, starts), len(words)))
+        self.of = np.repeat(np.arange(len(starts)), per_line)
         self.doc = np.searchsorted(offsets, starts, "right") - 1
         # a break at the very end of a text opens a line of no words, which needs no number
         first = np.searchsorted(starts, offsets[:-1])
@@ -104,48 +124,167 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return (np.log2(counts + 1) * 63 / max(1.0, np.log2(counts.max() + 1))).astype(np.uint8)
 
 
-def _classes(batches: Iterator[pa.RecordBatch], rare, least: int) -> Iterator[pa.RecordBatch]:
+class Seen:
+    """Leading 32 bits of all keys of a task, in runs by their first byte as gaps in two bytes each."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.count = 0
+
+    def add(self, key: np.ndarray, cls: np.ndarray) -> None:
+        self.parts.append((key & ~np.uint64(0xFFFFFFFF)) | (cls >> np.uint64(32)))
+        self.count += len(key)
+
+    def rows(self) -> tuple[list[int], list[bool], list[bytes]]:
+        """(first byte, whether met by two classes within the task, gaps)."""
+        pairs = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.uint64)
+        self.parts, self.count = [], 0
+        spots, n = np.unique(pairs >> np.uint64(32), return_counts=True)
+        out: tuple[list, list, list] = ([], [], [])
+        for twice in (False, True):
+            own = spots[(n > 1) == twice].astype(np.int64)
+            cut = np.searchsorted(own, np.arange(257) << 24)
+            for k in np.flatnonzero(np.diff(cut)):
+                out[0].append(int(k))
+                out[1].append(twice)
+                out[2].append(gaps(own[cut[k] : cut[k + 1]] - (int(k) << 24)))
+        return out
+
+
+def gaps(spots: np.ndarray) -> bytes:
+    """Sorted numbers below 2**24 as steps of two bytes; 65535 steps on without a number."""
+    step = np.diff(spots, prepend=0)
+    over = step // 65535
+    out = np.full(len(step) + over.sum(), 65535, np.uint16)
+    out[np.cumsum(over + 1) - 1] = step % 65535
+    return out.tobytes()
+
+
+def spots_of(raw: bytes) -> np.ndarray:
+    step = np.frombuffer(raw, np.uint16).astype(np.int64)
+    return np.cumsum(step)[step != 65535]
+
+
+_FIRST = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("byte", pa.int32()), ("twice", pa.bool_()), ("gaps", pa.binary())])
+
+
+def _keys(x: Lines, least: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """(key, class, position, size, bits) of the neighbour triples of a run's lines, each class once. ``bits`` has one of 64
+    bits per word: sets differ by at least as many words as their bits do."""
+    own = np.flatnonzero(x.size >= least)
+    own = own[np.unique(x.cls[own], return_index=True)[1]]
+    kinds, inverse = np.unique(x.size[own], return_inverse=True)
+    reach = np.array([prefix(int(s), similarity) for s in kinds], np.int64).reshape(-1, 2)[inverse]
+    odd, keys, places, counts = np.uint64(0x9E3779B97F4A7C15), [], [], []
+    for width, n in ((3, reach[:, 0]), (2, reach[:, 1])):
+        n = np.maximum(np.minimum(n, x.size[own] - width + 1), 0)
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(x.begin[own], n) + pos
+        key = np.full(len(at), np.uint64(width))
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                key = key * odd + x.token[at + k]
+        keys.append(mix(key))
+        places.append(pos)
+        counts.append(n)
+    line = np.concatenate([np.repeat(own, n) for n in counts])
+    key, pos = np.concatenate(keys), np.concatenate(places)
+    word_bits = np.uint64(1) << (x.token & np.uint64(63))
+    bits = np.bitwise_or.reduceat(word_bits, x.begin[x.size > 0]) if len(word_bits) else word_bits
+    of_line = np.zeros(x.count, np.uint64)
+    of_line[x.size > 0] = bits
+    return key, x.cls[line], pos, x.size[line], of_line[line]
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch], rare, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Lines with their classes, and what keys there are."""
+    seen = Seen()
+
+    def keys() -> pa.RecordBatch:
+        byte, twice, raw = seen.rows()
+        none = [None] * len(byte)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, byte, twice, raw), _FIRST)], schema=_FIRST)
+
     for b in batches:
         docs = b.column(0).to_numpy(zero_copy_only=False)
-        for first, last, data, offsets in chunks(b.column(1)):
+        for first, _, data, offsets in chunks(b.column(1)):
             x = Lines(data, offsets, rare.value)
             own = np.flatnonzero(x.size >= least)
+            none = pa.nulls(len(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[first + x.doc[own]]), pa.array(x.number[own].astype(np.int32)), pa.array(x.cls[own].view(np.int64))],
-                ["doc", "line", "cls"],
+                [pa.array(docs[first + x.doc[own]]), pa.array(x.number[own].astype(np.int32)), pa.array(x.cls[own].view(np.int64)), *[none.cast(f.type) for f in list(_FIRST)[3:]]],
+                schema=_FIRST,
             )
+            key, cls, *_ = _keys(x, least, similarity)
+            seen.add(key, cls)
+            if seen.count > 2_000_000:
+                yield keys()
+    yield keys()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each first byte, the bits of keys that several tasks or classes have, among LIVE_KEYS bits."""
+    held: dict[int, list[np.ndarray]] = {}
 
+    def batch(byte: int) -> pa.RecordBatch:
+        spots, n = np.unique(np.concatenate(held.pop(byte)), return_counts=True)
+        table = np.zeros(LIVE_KEYS >> 8, bool)
+        table[spots[n > 1] >> 4] = True
+        return pa.RecordBatch.from_arrays([pa.array([byte], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["byte", "bits"])
 
-def _postings(batches: Iterator[pa.RecordBatch], rare, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for byte, twice, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for done in [k for k in held if k != byte]:
+                yield batch(done)
+            spots = spots_of(raw)
+            held.setdefault(byte, []).extend([spots, spots] if twice else [spots])
+            if len(held[byte]) > 64:  # what has been met twice needs no third time
+                spots, n = np.unique(np.concatenate(held[byte]), return_counts=True)
+                held[byte] = [spots, spots[n > 1]]
+    for byte in [*held]:
+        yield batch(byte)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], rare, live, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, data, offsets in chunks(b.column(1)):
-            x = Lines(data, offsets, rare.value)
-            own = np.flatnonzero(x.size >= least)
-            own = own[np.unique(x.cls[own], return_index=True)[1]]  # each class once
-            kinds, inverse = np.unique(x.size[own], return_inverse=True)
-            reach = np.array([prefix(int(s), similarity) + 1 for s in kinds], np.int64)[inverse] if len(own) else np.zeros(0, np.int64)
-            n = np.minimum(reach, x.size[own] - 1)
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(x.begin[own], n) + pos
-            with np.errstate(over="ignore"):
-                key = mix(x.token[at] * np.uint64(0x9E3779B97F4A7C15) + x.token[at + 1]) if len(at) else np.zeros(0, np.uint64)
+            key, cls, pos, size, bits = _keys(Lines(data, offsets, rare.value), least, similarity)
+            spot = (key >> np.uint64(36)).astype(np.int64)
+            on = np.flatnonzero(live.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)),
-                    pa.array(np.repeat(x.cls[own], n).view(np.int64)),
-                    pa.array(pos.astype(np.int32)),
-                    pa.array(np.repeat(x.size[own], n).astype(np.int32)),
-                ],
-                ["key", "cls", "pos", "size"],
+                [pa.array(key[on].view(np.int64)), pa.array(cls[on].view(np.int64)), pa.array(pos[on] << 32 | size[on]), pa.array(bits[on].view(np.int64))],
+                ["key", "cls", "place", "bits"],
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], rare, live, least: int) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by key and class, of keys that two classes or more have; each class once."""
+    last: np.ndarray | None = None  # the last row, and whether its key has been given out already
+    given = False
     for b in batches:
+        rows = np.column_stack([c.to_numpy() for c in b.columns])
+        if not len(rows):
+            continue
+        if last is not None:
+            rows = np.concatenate([last[None], rows])
+        fresh = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
+        rows = rows[fresh]
+        same = np.concatenate([rows[1:, 0] == rows[:-1, 0], [False]])  # the next row has this one's key
+        out = same.copy()
+        out[1:] |= same[:-1]
+        if given and last is not None:
+            out[0] = False
+        last, given = rows[-1], bool(out[-1] or (len(rows) == 1 and given and last is not None and (last == rows[0]).all()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[out, k])) for k in range(4)], ["key", "cls", "place", "bits"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], rare, documents, wanted, least: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        b = b.filter(pa.array(_on(documents.value, b.column(0).to_numpy(zero_copy_only=False))))
         for _, _, data, offsets in chunks(b.column(1)):
             x = Lines(data, offsets, rare.value)
             own = np.flatnonzero(x.size >= least)
-            own = own[live.value[(x.cls[own] >> np.uint64(41)).astype(np.int64)]]
+            own = own[_on(wanted.value, x.cls[own].view(np.int64))]
             own = own[np.unique(x.cls[own], return_index=True)[1]]
             token = x.token.view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -154,14 +293,28 @@ def _sets(batches: Iterator[pa.RecordBatch], rare, live, least: int) -> Iterator
             )
 
 
-def _live_table(classes: DataFrame) -> np.ndarray:
-    """Bits of the leading bits of the given classes: one megabyte, whatever the input. A bit that is set for another
-    class only sends a set that the join then drops."""
-    spot = F.shiftrightunsigned("cls", 41)
-    words = classes.groupBy(F.shiftright(spot, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(cls, 41) & 63 as int))")).alias("bits")
-    )
-    rows = words.toArrow()
+def _spot(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
+
+
+def _on(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return table[_spot(x)] if len(x) else np.zeros(0, bool)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(LIVE_BITS, bool)
+    for b in batches:
+        table[_spot(b.column(0).to_numpy())] = True
+    words = np.packbits(table, bitorder="little").view(np.int64)
+    some = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["word", "bits"])
+
+
+def _bit_table(values: DataFrame) -> np.ndarray:
+    """Bits of hashed longs: one megabyte, whatever the input. A bit that is set for another value only sends a row that
+    a later join drops."""
+    rows = values.mapInArrow(_marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(LIVE_BITS // 64, np.int64)
     bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
@@ -172,48 +325,71 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     rare = context.broadcast(rarity(docs))
-    lines = docs.mapInArrow(lambda b: _classes(b, rare, min_tokens), "doc long, line int, cls long")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = materialize(
+        docs.mapInArrow(lambda b: _first_pass(b, rare, min_tokens, similarity), "doc long, line int, cls long, byte int, twice boolean, gaps binary"), "lines"
+    )
+    lines = first.where("byte is null").select("doc", "line", "cls")
     # doc and line of the first occurrence; classes of one line need no second look as copies
     classes = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    postings = docs.mapInArrow(lambda b: _postings(b, rare, min_tokens, similarity), "key long, cls long, pos int, size int")
-    met = postings.withColumn("least", F.min("cls").over(Window.partitionBy("key"))).withColumn("most", F.max("cls").over(Window.partitionBy("key")))
-    live = materialize(met.where("least <> most").select("key", "cls", "pos", "size").distinct(), "live-keys")
-    live_classes = live.select("cls").distinct()
-    bits = context.broadcast(_live_table(live_classes))
-    classes = materialize(classes.join(live_classes.withColumn("live", F.lit(True)), "cls", "left").where("live or n > 1"), "classes")
-    sets = docs.mapInArrow(lambda b: _sets(b, rare, bits, min_tokens), "cls long, tokens array<long>")
-    sets = materialize(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")).join(live_classes, "cls", "left_semi"), "sets")
+    seen = first.where("byte is not null").select("byte", "twice", "gaps").repartition(partitions, "byte").sortWithinPartitions("byte")
+    table = np.zeros(LIVE_KEYS >> 3, np.uint8)
+    for byte, bits in zip(*(c.to_pylist() for c in seen.mapInArrow(_met, "byte int, bits binary").toArrow().columns)):
+        table[byte * (LIVE_KEYS >> 11) : (byte + 1) * (LIVE_KEYS >> 11)] |= np.frombuffer(bits, np.uint8)
+    keys = context.broadcast(table)
+    postings = docs.mapInArrow(lambda b: _postings(b, rare, keys, min_tokens, similarity), "key long, cls long, place long, bits long")
+    shared = postings.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(_shared, "key long, cls long, place long, bits long")
+    live = shared.select("key", "cls", F.shiftright("place", 32).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("size"), "bits")
+    live = materialize(live, "live-keys")
+    classes = materialize(classes.join(live.select("cls").distinct().withColumn("live", F.lit(True)), "cls", "left").where("live or n > 1"), "classes")
     ranked = live.join(classes.where("live").select("cls", "first"), "cls")
     ranked = materialize(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("first"))), "ranked")
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        """(cls, tokens) of all classes in the pairs, from the documents of their first lines."""
+        wanted = pairs.select(F.explode(F.array("one", "two")).alias("cls")).distinct()
+        places = classes.join(wanted, "cls", "left_semi")
+        by_class = context.broadcast(_bit_table(wanted))
+        by_doc = context.broadcast(_bit_table(places.select(F.col("first.doc").alias("doc"))))
+        found = docs.mapInArrow(lambda b: _sets(b, rare, by_doc, by_class, min_tokens), "cls long, tokens array<long>")
+        return materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+
     gone = _later_matches(ranked, sets, similarity)
     affected = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = lines.join(affected, "cls").where("gone or struct(doc, line) > first")
     return out.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def _later_matches(ranked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _later_matches(ranked: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Classes similar to one of earlier first line."""
     most = ranked.agg(F.max("rank")).first()[0] or 0
     gone = ranked.select("cls").limit(0)
-    low, width = 0, 8
+    # most lines that go are like the very first line of some key of theirs
+    low, width = 0, 1
     share = similarity / (1 + similarity)
     while low < most:
         y = ranked.where(F.col("rank") > low + 1).join(gone, "cls", "left_anti")
         x = ranked.where((F.col("rank") > low) & (F.col("rank") <= low + width))
         a, b = x.alias("a"), y.alias("b")
-        need = F.ceil(F.lit(share) * (F.col("a.size") + F.col("b.size")) - 1e-9)
+        both = F.col("a.size") + F.col("b.size")
+        need = F.ceil(F.lit(share) * both - 1e-9)
         # common words: those before the met pair at most, the pair, and what is left in the shorter rest
         reach = F.least("a.pos", "b.pos") + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+        differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+        fit = (need <= F.least("a.size", "b.size")) & (reach >= need) & (differ <= both - 2 * need)
         pairs = (
-            a.join(b, F.col("a.key") == F.col("b.key"))
-            .where((F.col("a.rank") < F.col("b.rank")) & (need <= F.least("a.size", "b.size")) & (reach >= need))
+            a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") < F.col("b.rank")) & fit)
             .select(F.col("a.cls").alias("one"), F.col("b.cls").alias("two"), need.alias("need"))
             .distinct()
         )
-        one, two = sets.select(F.col("cls").alias("one"), F.col("tokens").alias("t1")), sets.select(F.col("cls").alias("two"), F.col("tokens").alias("t2"))
+        pairs = materialize(pairs, "pairs")
+        low, width = low + width, width * 32
+        if pairs.isEmpty():
+            continue
+        tokens = sets(pairs)
+        one, two = tokens.select(F.col("cls").alias("one"), F.col("tokens").alias("t1")), tokens.select(F.col("cls").alias("two"), F.col("tokens").alias("t2"))
         found = pairs.join(one, "one").join(two, "two").where(F.size(F.array_intersect("t1", "t2")) >= F.col("need"))
         gone = materialize(gone.union(found.select(F.col("two").alias("cls"))).distinct(), "gone")
-        low, width = low + width, width * 4
     return gone
 
 
