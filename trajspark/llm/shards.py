@@ -49,7 +49,9 @@ def meeting_groups(fingerprints: DataFrame, radius: int, limit: int = LIMIT) ->
     )
     spread = member.select("block", "key", "fp", F.explode(meet).alias("m")).select("block", "key", "m.one", "m.two", "m.side", "fp")
     group = ["block", "key", "one", "two"]
-    return spread.repartition(*group).sortWithinPartitions(*group, "side", "fp")
+    # a set number: these rows are few bytes but much work, so they must not be put together by size
+    partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(partitions, *group).sortWithinPartitions(*group, "side", "fp")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
