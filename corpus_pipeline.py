@@ -30,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier one; n_chars follows the text."""
-    out = linededup.deduplicate(docs)
+    out = linededup.deduplicate(docs, min_tokens=linededup.WORDS)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)

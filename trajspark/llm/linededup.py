@@ -32,6 +32,8 @@ from trajspark.llm.textbuf import Words, chunks, mix
 from trajspark.session import materialize
 
 SIMILARITY, MIN_TOKENS = 0.8, 4
+#: ``min_tokens`` of the whole job: every line with a word takes part.
+WORDS = 1
 CELLS = 1 << 16
 LIVE_BITS = 1 << 23
 #: Bits of the table of keys that may be shared: 32 MB, whatever the input.
@@ -105,6 +107,9 @@ class Lines:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.token), dtype=np.uint64)])
         with np.errstate(over="ignore"):
             self.cls = mix(total[self.begin + self.size] - total[self.begin] + self.size.astype(np.uint64))
+            # many lines are one long word each (scripts without blanks): told apart by its whole hash, not by the token
+            one = np.flatnonzero(self.size == 1)
+            self.cls[one] = mix(self.hash[(np.cumsum(per_line) - per_line)[one]] + np.uint64(1))
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +176,11 @@ _FIRST = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("cls", pa.int64(
 def _keys(x: Lines, least: int, similarity: float) -> tuple[np.ndarray, ...]:
     """(key, class, position, size, bits) of the neighbour triples of a run's lines, each class once. ``bits`` has one of 64
     bits per word: sets differ by at least as many words as their bits do."""
-    own = np.flatnonzero(x.size >= least)
+    own = np.flatnonzero(x.size >= max(least, 1))
     own = own[np.unique(x.cls[own], return_index=True)[1]]
     kinds, inverse = np.unique(x.size[own], return_inverse=True)
-    reach = np.array([prefix(int(s), similarity) for s in kinds], np.int64).reshape(-1, 2)[inverse]
+    alone = [all(u == v == 0 for u, v, _ in partners(int(s), similarity)) for s in kinds]
+    reach = np.array([(0, 0) if a else prefix(int(s), similarity) for s, a in zip(kinds, alone)], np.int64).reshape(-1, 2)[inverse]
     odd, keys, places, counts = np.uint64(0x9E3779B97F4A7C15), [], [], []
     for width, n in ((3, reach[:, 0]), (2, reach[:, 1])):
         n = np.maximum(np.minimum(n, x.size[own] - width + 1), 0)
@@ -209,7 +215,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], rare, least: int, similarity:
         docs = b.column(0).to_numpy(zero_copy_only=False)
         for first, _, data, offsets in chunks(b.column(1)):
             x = Lines(data, offsets, rare.value)
-            own = np.flatnonzero(x.size >= least)
+            own = np.flatnonzero(x.size >= max(least, 1))
             none = pa.nulls(len(own))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs[first + x.doc[own]]), pa.array(x.number[own].astype(np.int32)), pa.array(x.cls[own].view(np.int64)), *[none.cast(f.type) for f in list(_FIRST)[3:]]],
@@ -283,7 +289,7 @@ def _sets(batches: Iterator[pa.RecordBatch], rare, documents, wanted, least: int
         b = b.filter(pa.array(_on(documents.value, b.column(0).to_numpy(zero_copy_only=False))))
         for _, _, data, offsets in chunks(b.column(1)):
             x = Lines(data, offsets, rare.value)
-            own = np.flatnonzero(x.size >= least)
+            own = np.flatnonzero(x.size >= max(least, 1))
             own = own[_on(wanted.value, x.cls[own].view(np.int64))]
             own = own[np.unique(x.cls[own], return_index=True)[1]]
             token = x.token.view(np.int64)

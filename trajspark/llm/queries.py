@@ -33,9 +33,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trajspark.llm.linededup import deduplicate
+    from trajspark.llm.linededup import WORDS, deduplicate
 
-    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=WORDS, removed="n_removed")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
