@@ -1,12 +1,15 @@
 """Cases that earlier versions left out of the job."""
 
+import random
+import zlib
+
 import pytest
 
 pytest.importorskip("trajspark.llm.queries")
 
-from test_llm import docs_of, removed_by_force  # noqa: E402
+from test_llm import TOKENIZER, docs_of, removed_by_force  # noqa: E402
 
-from trajspark.llm import linededup, queries  # noqa: E402
+from trajspark.llm import langid, linededup, lm, queries  # noqa: E402
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------------
@@ -25,3 +28,31 @@ def test_short_lines_take_part(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert {r.doc_id: r.text for r in pipeline.line_dedup_stage(spark, docs, "").collect()} == want
     assert linededup.deduplicate(docs_of(spark, ["", None]), min_tokens=linededup.WORDS).count() == 2
+
+
+# --- 1 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_model_learns_from_all_rows_and_words(spark, monkeypatch):
+    """More documents than the warm start takes, and a vocabulary beyond the broadcast words."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(500)]
+    docs = docs_of(spark, texts).select("doc_id", "text").withColumn("held_out", langid.held_out(7, 2))
+    models, fit = [], lm.fit
+
+    def kept(*a):
+        out = fit(*a)
+        models.append(out[0])
+        return out
+
+    monkeypatch.setattr(lm, "fit", kept)
+    whole = {r.doc_id: r.score for r in lm.score_documents(docs, TOKENIZER).collect()}
+    store = lm.marked_ids(TOKENIZER)
+    own = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert models[0].trained == sum(1 + sum(map(len, store.encode(texts[i].split()))) for i in own) and len(own) > lm.WARM
+    # the memory is the same however few of its words are broadcast
+    monkeypatch.setattr(lm, "HOT", 3)
+    few = {r.doc_id: r.score for r in lm.score_documents(docs, TOKENIZER).collect()}
+    assert len(models[1].memory) == 4
+    assert max(abs(few[k] - whole[k]) for k in whole) < 0.02 * -min(whole.values())
