@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import decontamination, linededup, packing, simhash_dedup, toxicity
+from trajspark.llm import decontamination, linededup, packing, shingles, toxicity
 from trajspark.llm.langid import held_out
 from trajspark.llm.textbuf import small_batches
 from trajspark.session import materialize
@@ -37,8 +37,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
-    return simhash_dedup.keep_first(docs)
+    """Documents without one of smaller doc_id that shares its five-word shingles to a similarity of 0.8 or more."""
+    return shingles.keep_first_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

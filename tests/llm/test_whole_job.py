@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("trajspark.llm.queries")
 
-from test_llm import TOKENIZER, docs_of, removed_by_force  # noqa: E402
+from test_llm import TOKENIZER, docs_of, removed_by_force, words_of  # noqa: E402
 
 from trajspark.llm import langid, linededup, lm, queries  # noqa: E402
 
@@ -56,3 +56,30 @@ def test_model_learns_from_all_rows_and_words(spark, monkeypatch):
     few = {r.doc_id: r.score for r in lm.score_documents(docs, TOKENIZER).collect()}
     assert len(models[1].memory) == 4
     assert max(abs(few[k] - whole[k]) for k in whole) < 0.02 * -min(whole.values())
+
+
+# --- the stage of near copies --------------------------------------------------------------------------------------------
+
+
+def test_stage_takes_edited_copies_out(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(30)]
+    for i in range(90):
+        w = texts[i % 30].split()
+        for _ in range(i % 7):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    texts += [None, "", " ", "one two", "One  two", "two one"]
+
+    def sets(t):
+        w = words_of(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
+
+    s = [sets(t) for t in texts]
+    want = {j for j in range(len(s)) if not any(s[i] == s[j] or len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) > 0 for i in range(j))}
+    docs = docs_of(spark, texts)
+    out = pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want
+    assert len(want) < 70
