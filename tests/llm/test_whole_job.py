@@ -83,3 +83,17 @@ def test_stage_takes_edited_copies_out(spark):
     out = pipeline.near_dedup_stage(spark, docs, "")
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want
     assert len(want) < 70
+
+
+# --- 8 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_rare_language_leaves_others_calibrated(spark):
+    rng = random.Random(9)
+    words = {"aa": ["lorem", "dolor", "amet", "sit"], "bb": ["quick", "brown", "fox", "the"]}
+    rows = [(i, x, " ".join(rng.choices(words[x], k=12))) for i, x in enumerate(["aa", "bb"] * 200)]
+    schema = "doc_id long, lang string, text string"
+    usual = langid.fit(spark.createDataFrame(rows, schema))
+    model = langid.fit(spark.createDataFrame([*rows, (1000, "zz", "zebra zoo")], schema))
+    assert model.languages == ["aa", "bb", "zz"] and model.temperature == usual.temperature != 1.0
+    assert (model.limit[:2] < float("inf")).all() and model.limit[2] == float("inf")

@@ -233,7 +233,8 @@ def _measure(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 
 
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id") -> Model:
-    """Model from (key, lang, text) rows. A fifth of the sample is kept out of the counts for temperature and limits."""
+    """Model from (key, lang, text) rows. A fifth of the sample is kept out of the counts for temperature and
+    limits, but none of a language of fewer than ten rows."""
     rows = rows.where(F.col("lang").isNotNull()).select(F.col(key).alias("key"), F.col("lang").cast("string"), F.col("text").cast("string"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -244,8 +245,10 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id")
     for x, n in sizes.items():
         share = F.when(F.col("lang") == x, int(1_000_000 * min(1.0, per_language / n))).otherwise(share)
     sample = rows.where(spread < share).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "key"), F.lit(5)) == 0)
-    if min(sizes.values()) < 10:
-        sample = sample.withColumn("held", F.lit(False))
+    # languages with hardly any rows stay wholly in the counts; the others are held out in part as ever
+    few = [x for x, n in sizes.items() if n < 10]
+    if few:
+        sample = sample.withColumn("held", F.col("held") & ~F.col("lang").isin(few))
     counted = (
         sample.where("not held").select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
