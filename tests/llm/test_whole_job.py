@@ -3,13 +3,14 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("trajspark.llm.queries")
 
 from test_llm import TOKENIZER, docs_of, removed_by_force, words_of  # noqa: E402
 
-from trajspark.llm import langid, linededup, lm, queries  # noqa: E402
+from trajspark.llm import decontamination, fingerprints, langid, linededup, lm, queries, textbuf  # noqa: E402
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------------
@@ -97,3 +98,26 @@ def test_rare_language_leaves_others_calibrated(spark):
     model = langid.fit(spark.createDataFrame([*rows, (1000, "zz", "zebra zoo")], schema))
     assert model.languages == ["aa", "bb", "zz"] and model.temperature == usual.temperature != 1.0
     assert (model.limit[:2] < float("inf")).all() and model.limit[2] == float("inf")
+
+
+# --- 4 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_neighbours_of_all_documents(spark):
+    rng = random.Random(21)
+    base = " ".join(f"t{rng.randrange(4000)}" for _ in range(1500))
+    texts = [base + f" x{k}" for k in range(12)] + [" ".join(f"t{rng.randrange(4000)}" for _ in range(40)) for _ in range(20)] + [None, base + " x0"]
+    rows = fingerprints.fingerprint_documents(docs_of(spark, texts)).collect()
+    kinds = {int(r.fingerprint, 16) for r in rows}
+    assert {r.doc_id: r.n_near for r in rows} == {r.doc_id: sum(0 < (int(r.fingerprint, 16) ^ x).bit_count() <= 3 for x in kinds) for r in rows}
+    prints = set()
+    for _ in range(25):
+        x = rng.getrandbits(128)
+        for _ in range(rng.choice([1, 2, 40])):
+            prints.add(x)
+            x ^= 1 << rng.randrange(128)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    frame = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in prints], "hi long, lo long")
+    got = {(r.hi, r.lo): r.n_near for r in fingerprints.count_wide_neighbours(frame, limit=16).collect()}
+    want = {(signed(x >> 64), signed(x & (1 << 64) - 1)): sum(0 < (x ^ y).bit_count() <= 3 for y in prints) for x in prints}
+    assert got == {k: n for k, n in want.items() if n}

@@ -7,7 +7,8 @@ those without it. Likeness is the share of equal bits.
 Documents are laid out in descending doc_id over blocks of ids, one shuffle of the texts in all; a block's first
 document also goes to the block before it, which needs its beginning.
 
-Permuted block tables find neighbours: with radius r, two fingerprints agree on one of r + 1 blocks, so each block's
+Permuted block tables find neighbours over all documents (``n_near``: other distinct fingerprints within
+``WIDE_RADIUS`` bits): with radius r, two fingerprints agree on one of r + 1 blocks, so each block's
 bits are moved to the front and documents meet those of equal front (see ``shards``); chunks of a crowded front meet
 pairwise in separate tasks.
 
@@ -26,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.shards import LIMIT, first_block, meeting_groups, popcount, runs
+from trajspark.llm.shards import LIMIT, WIDE_RADIUS, first_block, meeting_groups, popcount, runs, wide_groups
 from trajspark.llm.textbuf import Words, chunks, mix
+from trajspark.session import materialize
 
 BITS = 128
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,8 +85,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(hexed[1]),
                 pa.array(likeness(own, other)),
                 pa.array(likeness(own, after)),
+                *[pa.array(np.ascontiguousarray(own[:, k : k + 8]).view(">i8").reshape(-1).astype(np.int64)) for k in (0, 8)],
             ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "hi", "lo"],
         )
 
     size = 0
@@ -131,12 +134,15 @@ def successors(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of every row."""
     blocks = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return successors(docs, blocks).mapInArrow(
+    rows = successors(docs, blocks).mapInArrow(
         _rows,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hi long, lo long",
     )
+    rows = materialize(rows, "fingerprint-rows")
+    near = count_wide_neighbours(rows.select("hi", "lo").distinct())
+    return rows.join(near, ["hi", "lo"], "left").drop("hi", "lo").withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -162,3 +168,29 @@ def count_neighbours(distinct: DataFrame, radius: int, limit: int = LIMIT) -> Da
         meeting_groups(distinct, radius, limit).mapInArrow(lambda b: _neighbours(b, radius), "fp long, n long")
         .groupBy("fp").agg(F.sum("n").alias("n_near"))
     )
+
+
+def _wide_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, one, two in runs(batches):
+        same = np.array_equal(one, two)
+        n_one, n_two = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
+        for at in range(0, len(one), 256):
+            apart = one[at : at + 256, None] ^ two[None]
+            distance = np.bitwise_count(apart).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero((distance <= WIDE_RADIUS) & (distance > 0))
+            apart = apart[i, j]
+            halves = np.stack([apart[:, 0] >> np.uint64(32), apart[:, 0] & _HALF, apart[:, 1] >> np.uint64(32), apart[:, 1] & _HALF], 1)
+            first = (halves == 0).argmax(1) == block  # a pair counts only in the first block on which it agrees
+            n_one += np.bincount(i[first] + at, minlength=len(one))
+            n_two += np.bincount(j[first], minlength=len(two))
+        values, n = (one, n_one) if same else (np.concatenate([one, two]), np.concatenate([n_one, n_two]))
+        some = n > 0
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(values[some, k]).view(np.int64)) for k in (0, 1)], pa.array(n[some])], ["hi", "lo", "n"])
+
+
+_HALF = np.uint64(0xFFFFFFFF)
+
+
+def count_wide_neighbours(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(hi, lo, n_near), as ``count_neighbours``, for distinct fingerprints of 128 bits within ``WIDE_RADIUS``."""
+    return wide_groups(distinct, limit).mapInArrow(_wide_neighbours, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n_near"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Fingerprints in a chunk of a group.
 LIMIT = 2048
+#: Radius at which fingerprints of 128 bits agree on one of four blocks.
+WIDE_RADIUS = 3
 
 
 def block_bounds(radius: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -34,11 +36,23 @@ def meeting_groups(fingerprints: DataFrame, radius: int, limit: int = LIMIT) ->
             for k, (a, n) in enumerate(block_bounds(radius))
         ]
     )
-    member = fingerprints.select("fp", F.explode(keys).alias("k")).select("k.block", "k.key", "fp")
+    return meet_by(fingerprints.select("fp", F.explode(keys).alias("k")).select("k.block", "k.key", "fp"), ["fp"], limit)
+
+
+def wide_groups(fingerprints: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """As ``meeting_groups``, for distinct fingerprints of 128 bits in the long columns ``hi`` and ``lo``, at the radius
+    ``WIDE_RADIUS``: each half of each long is a block."""
+    halves = [F.shiftrightunsigned(c, 32) if k == 0 else F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("hi", "lo") for k in (0, 1)]
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), h.alias("key")) for k, h in enumerate(halves)])
+    return meet_by(fingerprints.select("hi", "lo", F.explode(keys).alias("k")).select("k.block", "k.key", "hi", "lo"), ["hi", "lo"], limit)
+
+
+def meet_by(member: DataFrame, values: list[str], limit: int) -> DataFrame:
+    """Chunks of the groups (block, key) of ``member``, each two of a group together."""
     size = member.groupBy("block", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = member.join(size, ["block", "key"])
     chunks = F.ceil(F.col("size") / limit).cast("int")
-    member = member.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
+    member = member.withColumn("chunk", F.pmod(F.xxhash64(*values), chunks).cast("int"))
     meet = F.transform(
         F.sequence(F.lit(0), chunks - 1),
         lambda c: F.struct(
@@ -47,19 +61,21 @@ def meeting_groups(fingerprints: DataFrame, radius: int, limit: int = LIMIT) ->
             F.when(c < F.col("chunk"), 1).otherwise(0).alias("side"),
         ),
     )
-    spread = member.select("block", "key", "fp", F.explode(meet).alias("m")).select("block", "key", "m.one", "m.two", "m.side", "fp")
+    spread = member.select("block", "key", *values, F.explode(meet).alias("m")).select("block", "key", "m.one", "m.two", "m.side", *values)
     group = ["block", "key", "one", "two"]
     # a set number: these rows are few bytes but much work, so they must not be put together by size
-    partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(partitions, *group).sortWithinPartitions(*group, "side", "fp")
+    partitions = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(partitions, *group).sortWithinPartitions(*group, "side", *values)
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(block, chunk one, chunk two) of each group of a partition; chunk two is chunk one where a group meets itself."""
+    """(block, chunk one, chunk two) of each group of a partition; chunk two is chunk one where a group meets itself. Wide
+    fingerprints are rows of two numbers."""
     held: list[np.ndarray] = []
 
     def give(part: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        left, right = part[part[:, 4] == 0, 5], part[part[:, 4] == 1, 5]
+        value = 5 if part.shape[1] == 6 else slice(5, None)
+        left, right = (np.ascontiguousarray(part[part[:, 4] == k, value]) for k in (0, 1))
         same = part[0, 2] == part[0, 3]
         return int(part[0, 0]), left.view(np.uint64), (left if same else right).view(np.uint64)
 
