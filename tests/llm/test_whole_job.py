@@ -121,3 +121,22 @@ def test_neighbours_of_all_documents(spark):
     got = {(r.hi, r.lo): r.n_near for r in fingerprints.count_wide_neighbours(frame, limit=16).collect()}
     want = {(signed(x >> 64), signed(x & (1 << 64) - 1)): sum(0 < (x ^ y).bit_count() <= 3 for y in prints) for x in prints}
     assert got == {k: n for k, n in want.items() if n}
+
+
+# --- 10 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_long_items_are_all_found():
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [rng.choices(vocabulary, k=1000) for _ in range(3)]
+    index = decontamination.Benchmark([0, 1, 2], [" ".join(x) for x in items])
+    texts = []
+    for i in range(40):
+        w = list(items[i % 3])
+        for at in rng.sample(range(1000), 200):
+            w[at] = f"q{rng.randrange(10**6)}"
+        texts.append(" ".join(rng.choices(vocabulary, k=50) + w + rng.choices(vocabulary, k=30)))
+    texts += [" ".join(rng.choices(vocabulary, k=1500)) for _ in range(5)]
+    found = [{(first + row, item) for row, item, _ in index.matches(data, offsets)} for first, _, data, offsets in textbuf.chunks(pa.array(texts))]
+    assert set().union(*found) == {(i, i % 3) for i in range(40)}

@@ -8,7 +8,8 @@ too few words of any benchmark item cannot match (each edit spoils one word at m
 by CGK random walks: a walk copies the current symbol and moves on by a bit that depends on step and symbol, so that few
 edits leave most steps equal. Bit sampling over the walk gives LSH keys; keys that a window shares with an item make a
 candidate, and the exact edit distance of the item to the text around decides. Walks are added until sampled edited
-copies of the items are found at the target recall.
+copies of the items are found at the target recall. A group of long items that ``WALKS`` walks don't bring there is
+searched without walks: every place with enough of an item's words around goes to the exact edit distance.
 
 The benchmark goes to all tasks in slices of at most ``SLICE_WORDS`` words, each slice by a pass of its own.
 
@@ -31,7 +32,7 @@ from trajspark.llm.textbuf import Words, chunks, mix
 
 SIMILARITY, RECALL = 0.8, 0.97
 SLICE_WORDS = 2_000_000
-#: Samples of each walk, symbols of a sample, and at most so many walks.
+#: Samples of each walk, symbols of a sample, and how many walks at most before the exact search takes their place.
 SAMPLES, SYMBOLS, WALKS = 16, 3, 24
 
 
@@ -75,6 +76,7 @@ class Group:
     owner: np.ndarray
     filter: np.ndarray
     known: np.ndarray  # whether each word of the index is one of this group's items'
+    exact: bool = False  # walks miss too much: every place with enough of an item's words is a candidate
 
 
 class Benchmark:
@@ -125,6 +127,10 @@ class Benchmark:
             keys.append(k[full])
             owner.append(np.repeat(own, SAMPLES).reshape(k.shape)[full])
             group.walks += 1
+        if found.mean() < recall:
+            group.exact, group.walks = True, 0
+            self.groups.append(group)
+            return
         all_keys, all_owner = np.concatenate(keys), np.concatenate(owner)
         order = np.argsort(all_keys, kind="stable")
         group.keys, group.owner = all_keys[order], all_owner[order]
@@ -187,7 +193,7 @@ class Benchmark:
         for g in self.groups:
             np.cumsum(np.append(g.known, False)[number], out=total[1:])
             start = np.flatnonzero(total[np.minimum(here + g.length, stop)] - total[:-1] >= g.least)
-            met = [self._candidates(g, flat, part, stop[part]) for part in np.split(start, range(20_000, len(start), 20_000)) if len(part)]
+            met = [self._worded(g, number, start, stop)] if g.exact and len(start) else [self._candidates(g, flat, part, stop[part]) for part in np.split(start, range(20_000, len(start), 20_000)) if len(part)]
             if not met:
                 continue
             at, item = (np.concatenate([m[k] for m in met]) for k in (0, 1))
@@ -218,6 +224,19 @@ class Benchmark:
         codes = np.unique(np.concatenate(places) * len(self.items) + np.concatenate(items))
         return np.divmod(codes, len(self.items))
 
+    def _worded(self, g: Group, number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window start, item) of all with so many of the item's words that a passage from there may match."""
+        places, items, total = [], [], np.zeros(len(number) + 1, np.int32)
+        for k in g.items:
+            size, most = len(self.items[k]), edits(len(self.items[k]), self.similarity)
+            own = np.zeros(len(self.known) + 1, bool)
+            own[np.searchsorted(self.known, self.items[k])] = True
+            np.cumsum(own[number], out=total[1:])
+            at = start[total[np.minimum(start + size + most, stop[start])] - total[start] >= size - most]
+            places.append(at)
+            items.append(np.full(len(at), k, np.int64))
+        return np.concatenate(places), np.concatenate(items)
+
     def _best(self, item: int, at: np.ndarray, text: np.ndarray, base: int) -> float | None:
         """Similarity of the item to the closest passage around the given places, or None if below the limit."""
         size, pattern = len(self.items[item]), self.patterns[item]
