@@ -146,7 +146,7 @@ def bare(w):
     return w
 
 
-def removed_by_force(docs, least=4):
+def removed_by_force(docs, least=1):
     lines = [(d, k, frozenset(bare(w) for w in words_of(line))) for d, t in docs for k, line in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if len(x[2]) >= least]
     first = {}
@@ -198,17 +198,54 @@ def test_line_keys_meet():
 
 def test_gaps_round_trip():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 5, 3000):
-        spots = np.unique(rng.integers(0, 1 << 24, n))
+    for n, most in ((0, 9), (1, 9), (5, 1 << 33), (3000, 1 << 24), (40, 1 << 32)):
+        spots = np.unique(rng.integers(0, most, n))
         assert linededup.spots_of(linededup.gaps(spots)).tolist() == spots.tolist()
 
 
-def test_shared_keys_over_batches():
-    rows = sorted([(rng_key, cls) for rng_key in range(50) for cls in range(rng_key % 4)] + [(7, 1)] * 5)
-    table = np.array([(k, c, 0, 0) for k, c in rows], np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k])) for k in range(4)], ["key", "cls", "place", "bits"]) for part in np.array_split(table, 17)]
-    got = [(k, c) for b in linededup._shared(iter(batches)) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert got == sorted({(k, c) for k, c in rows if k % 4 >= 2})
+@pytest.mark.parametrize("limit", [3, 1024])
+def test_crowded_lines(spark, monkeypatch, limit):
+    """Many near copies of one line, in chunks and in small batches, agree with brute force."""
+    from trajspark.llm import matches
+
+    monkeypatch.setattr(linededup, "removed_lines", lambda *a, f=linededup.removed_lines, **k: f(*a, **k, limit=limit))
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(20)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(20)] = rng.choice([f"u{i}", f"s{rng.randrange(6)}"])
+        texts.append(" ".join(w) + f"\nline {i} of all others {rng.randrange(30)}")
+    gone = removed_by_force(list(enumerate(texts)))
+    out = {r.doc_id: r.text for r in linededup.deduplicate(docs_of(spark, texts)).collect()}
+    assert out == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
+    # the same groups in one worker, with few rows and pairs at a time
+    rows = [(k, 0, 1, c, c, 0, 9, 0, 0, 0) for k in range(7) for c in range(k)]
+    def run(work, rows, names, size):
+        table = pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)})
+        return [tuple(x.values()) for b in work(iter(table.to_batches(size)), matches.word_finder(0.8)) for x in b.to_pylist()]
+    names = [x.split()[0] for x in matches.MEMBERS.split(", ")]
+    whole = run(matches._best, rows, names, 1000)
+    asked = sorted([(*r, a) for r in rows for a in (0, 1)], key=lambda r: (r[0], r[1], r[-1], r[3]))
+    pairs = run(matches._rest, asked, [*names, "asks"], 1000)
+    assert len(whole) == 15 and set(pairs) == {(y, x) for y in range(6) for x in range(y)}
+    with monkeypatch.context() as m:
+        m.setattr(matches, "ROWS", 4)
+        m.setattr(matches, "PAIRS", 3)
+        assert sorted(run(matches._best, rows, names, 2)) == sorted(whole)
+        assert set(run(matches._rest, asked, [*names, "asks"], 2)) == set(pairs)
+
+
+def test_line_dedup_rows(spark):
+    """Repeated doc_ids, rows without doc_id, repeated rows and columns of clashing names."""
+    rows = [(1, "copied line of five words\nown line one"), (5, "own line two\ncopied line of five words"), (5, "own line three\ncopied line of five words"), (None, "own line four\ncopied line of five words"), (None, "own line five"), (7, "twice the same row"), (7, "twice the same row")]
+    docs = spark.createDataFrame([(*r, 1, [2], "x") for r in rows], "doc_id long, text string, __doc long, __lines array<int>, _doc0 string")
+    out = linededup.deduplicate(docs)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id if r.doc_id is not None else 99, r.text) for r in out.collect())
+    want = [(1, rows[0][1]), (5, "own line two"), (5, "own line three"), (99, "own line four"), (99, "own line five"), (7, "twice the same row"), (7, "twice the same row")]
+    assert got == sorted(want)
 
 
 # --- 4 and 5 -----------------------------------------------------------------------------------------------------------
@@ -287,8 +324,6 @@ def test_near_duplicates(spark, corpus):
     f = np.array([brute_simhash(t) for t in texts], np.uint64)
     root = simhash_dedup.spanning(len(f), *np.nonzero(np.bitwise_count(f[:, None] ^ f[None]) <= 2))
     assert {k: (r.fingerprint, r.component_id) for k, r in rows.items()} == {i: (f"{int(x):016x}", int(root[i])) for i, x in enumerate(f)}
-    kept = simhash_dedup.keep_first(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {int(x) for x in root}
 
 
 def test_meeting_groups_bounds():

@@ -28,7 +28,7 @@ def test_short_lines_take_part(spark, tmp_path):
     assert sum(r.n_removed for r in found) == len(gone)
     pipeline = pytest.importorskip("corpus_pipeline")
     assert {r.doc_id: r.text for r in pipeline.line_dedup_stage(spark, docs, "").collect()} == want
-    assert linededup.deduplicate(docs_of(spark, ["", None]), min_tokens=linededup.WORDS).count() == 2
+    assert linededup.deduplicate(docs_of(spark, ["", None])).count() == 2
 
 
 # --- 1 -----------------------------------------------------------------------------------------------------------------
@@ -86,6 +86,16 @@ def test_stage_takes_edited_copies_out(spark):
     assert len(want) < 70
 
 
+def test_stage_tells_rows_apart(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, "a text of its own", 1), (5, same, 2), (1, same, 3), (7, "twice the same row", 4), (7, "twice the same row", 4), (None, "a text of nobody", 5), (None, same + " more", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc0 int")
+    out = pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r._doc0 for r in out.collect()) == [1, 3, 4, 5]
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 
 

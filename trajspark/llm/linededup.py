@@ -2,42 +2,48 @@
 
 A line is the set of its words (lower case, without marks around them). A line goes if an earlier line, by (doc_id, line
 number), has the same set or one of Jaccard similarity ``similarity`` or more; whether that earlier line goes too does
-not matter. Lines of fewer than ``min_tokens`` distinct words stay always.
+not matter. Lines of fewer than ``min_tokens`` distinct words stay always, as do lines without words.
 
 Equal sets are one class, judged at its first line. The words of a class are ordered from rare to frequent by a table of
 counts over all lines. Of two similar sets all but few words are common, so within a bounded prefix of this order some
-three neighbours (two in small sets) of the one are neighbours in the other as well: these are the keys of the join. A triple is far
-rarer than a word, so that hardly any but similar lines meet, however many lines there are. Most keys occur once: a first pass writes two
-bytes per key, from which a table of bounded size tells the keys that may be shared, and only these are shuffled whole.
-Pairs of classes that meet pass the length
-and the positional filter and one by a bit per word, then their whole sets, read again from the documents, are compared. Where very many classes meet in one key, each is first
-compared with the earliest few, and only what is still unmatched with further ones, round by round, to the last.
-
-Null texts have no lines and stay null. Rows of equal doc_id share line numbers, so none is later than the other; rows
-without doc_id come last and count as one document. Empty tables give no rows. ``deduplicate`` keeps all columns and
-rows; a text whose lines all go becomes empty.
+three neighbours (two in small sets) of the one are neighbours in the other as well: these are the keys of the join. A
+triple is far rarer than a word, so that hardly any but similar lines meet, however many lines there are. Most keys occur
+once: a first pass reports three bytes per key, from which a table, sized by the data up to KEY_BITS, tells the keys that
+may be shared, and only these are shuffled whole. Sets that meet pass length, positional and parity filters; then their
+words, read again from the documents, are compared (see ``matches``).
+
+Words are told apart by 64 bits of hash, which words of up to eight bytes never share; lines by 128.
+
+Null texts have no lines and stay null. Rows of equal doc_id are documents of their own, in the order of a hash of their
+texts where line numbers are equal; rows equal in doc_id and text keep a row each, are none later than the other and
+lose the same lines. Rows without doc_id come last. Empty tables give no rows. ``deduplicate`` keeps all columns and
+rows, whatever the columns' names; a text whose lines all go becomes empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.llm.matches import LIMIT, MEMBERS, later_matches, word_finder
 from trajspark.llm.textbuf import Words, chunks, mix
-from trajspark.session import materialize
+from trajspark.session import discard, materialize
 
-SIMILARITY, MIN_TOKENS = 0.8, 4
-#: ``min_tokens`` of the whole job: every line with a word takes part.
-WORDS = 1
+SIMILARITY, MIN_TOKENS = 0.8, 1
 CELLS = 1 << 16
-LIVE_BITS = 1 << 23
-#: Bits of the table of keys that may be shared: 32 MB, whatever the input.
-LIVE_KEYS = 1 << 28
+#: Bits at most of the table of keys that may be shared (128 MB), and of the table of wanted lines. Both are sized by the
+#: data below that; fuller tables only let more rows through, which later steps drop.
+KEY_BITS, LINE_BITS = 1 << 30, 1 << 27
+#: Keys that a task gathers before it reports them, and leading bits of a key by which they are put together.
+GATHERED, RANGE_BITS = 2_000_000, 8
+#: Crowded keys at most that are dealt into chunks.
+CROWDED = 1 << 18
 _LAST = (1 << 63) - 1
 _LOW = np.uint64((1 << 42) - 1)
 
@@ -75,7 +81,7 @@ def prefix(s: int, similarity: float) -> tuple[int, int]:
 
 
 class Lines:
-    """Distinct words of each line of a run of texts: ``token`` in order of rarity within ``line``."""
+    """Distinct words of each line of a run of texts: ``token``, their hashes, in order of rarity within ``line``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None):
         breaks = np.flatnonzero(data == 10) + 1
@@ -91,31 +97,46 @@ class Lines:
         self.count = len(starts)
         if rarity is None:
             return
-        token = (rarity[(self.hash >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(42)) | (self.hash & _LOW)
+        rank = (rarity[(self.hash >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(42)) | (self.hash & _LOW)
         parts = []
         bounds = np.searchsorted(self.of, np.arange(0, self.count + 60_000, 60_000))
         for a, b, base in zip(bounds[:-1], bounds[1:], range(0, self.count, 60_000)):
-            line = (self.of[a:b] - base).astype(np.uint64)
-            packed = np.sort((line << np.uint64(48)) | token[a:b])
-            if len(packed):
-                packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-            parts.append(((packed >> np.uint64(48)).astype(np.int64) + base, packed & np.uint64((1 << 48) - 1)))
+            order = np.argsort(((self.of[a:b] - base).astype(np.uint64) << np.uint64(48)) | rank[a:b])
+            line, token = self.of[a:b][order], self.hash[a:b][order]
+            fresh = np.ones(len(line), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+            parts.append((line[fresh], token[fresh]))
         self.line = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         self.token = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
         self.size = np.bincount(self.line, minlength=self.count)
         self.begin = np.cumsum(self.size) - self.size
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.token), dtype=np.uint64)])
         with np.errstate(over="ignore"):
-            self.cls = mix(total[self.begin + self.size] - total[self.begin] + self.size.astype(np.uint64))
-            # many lines are one long word each (scripts without blanks): told apart by its whole hash, not by the token
-            one = np.flatnonzero(self.size == 1)
-            self.cls[one] = mix(self.hash[(np.cumsum(per_line) - per_line)[one]] + np.uint64(1))
+            self.cls, self.check = (mix(self._sums(x) + self.size.astype(np.uint64)) for x in (mix(self.token), mix(self.token ^ _ODD)))
+
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of ``values`` over each line."""
+        total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+        return total[self.begin + self.size] - total[self.begin]
+
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line, 128 bits in two numbers; each word flips one."""
+        bit, half = np.uint64(1) << (self.token & np.uint64(63)), (self.token >> np.uint64(6) & np.uint64(1)).astype(bool)
+        some, out = np.flatnonzero(self.size), []
+        for own in (half, ~half):
+            x = np.zeros(self.count, np.uint64)
+            if len(some):
+                x[some] = np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), self.begin[some])
+            out.append(x)
+        return out[0], out[1]
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     for b in batches:
-        for _, _, data, offsets in chunks(b.column(1)):
+        for _, _, data, offsets in chunks(b.column(2)):
             total += np.bincount((Lines(data, offsets, None).hash >> np.uint64(48)).astype(np.int64), minlength=CELLS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["cell", "n"])
@@ -130,58 +151,66 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 class Seen:
-    """Leading 32 bits of all keys of a task, in runs by their first byte as gaps in two bytes each."""
+    """Leading 40 bits of all keys of a task, each with the number of classes that have it there."""
 
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
         self.count = 0
 
-    def add(self, key: np.ndarray, cls: np.ndarray) -> None:
-        self.parts.append((key & ~np.uint64(0xFFFFFFFF)) | (cls >> np.uint64(32)))
+    def add(self, key: np.ndarray) -> None:
+        self.parts.append(key >> np.uint64(24))
         self.count += len(key)
 
-    def rows(self) -> tuple[list[int], list[bool], list[bytes]]:
-        """(first byte, whether met by two classes within the task, gaps)."""
-        pairs = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.uint64)
+    def rows(self, range_bits: int) -> tuple[list[int], list[bytes], list[bytes]]:
+        """(range, gaps between its keys, counts of those keys that several classes have)."""
+        spots, n = np.unique(np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint64), return_counts=True)
         self.parts, self.count = [], 0
-        spots, n = np.unique(pairs >> np.uint64(32), return_counts=True)
+        rest = 40 - range_bits
+        cut = np.searchsorted(spots, np.arange((1 << range_bits) + 1).astype(np.uint64) << np.uint64(rest))
         out: tuple[list, list, list] = ([], [], [])
-        for twice in (False, True):
-            own = spots[(n > 1) == twice].astype(np.int64)
-            cut = np.searchsorted(own, np.arange(257) << 24)
-            for k in np.flatnonzero(np.diff(cut)):
-                out[0].append(int(k))
-                out[1].append(twice)
-                out[2].append(gaps(own[cut[k] : cut[k + 1]] - (int(k) << 24)))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            own, times = (spots[cut[k] : cut[k + 1]] - np.uint64(k << rest)).astype(np.int64), n[cut[k] : cut[k + 1]]
+            at = np.flatnonzero(times > 1)
+            out[0].append(k)
+            out[1].append(gaps(own))
+            out[2].append(np.column_stack([at, times[at]]).astype(np.uint32).tobytes())
         return out
 
 
 def gaps(spots: np.ndarray) -> bytes:
-    """Sorted numbers below 2**24 as steps of two bytes; 65535 steps on without a number."""
-    step = np.diff(spots, prepend=0)
-    over = step // 65535
-    out = np.full(len(step) + over.sum(), 65535, np.uint16)
-    out[np.cumsum(over + 1) - 1] = step % 65535
-    return out.tobytes()
+    """Sorted distinct numbers as steps of three bytes; the largest steps on without a number."""
+    most = (1 << 24) - 1
+    step = np.diff(spots, prepend=-1) - 1
+    over = step // most
+    out = np.full(len(step) + over.sum(), most, "<u4")
+    out[np.cumsum(over + 1) - 1] = step % most
+    return out.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def spots_of(raw: bytes) -> np.ndarray:
-    step = np.frombuffer(raw, np.uint16).astype(np.int64)
-    return np.cumsum(step)[step != 65535]
+    most = (1 << 24) - 1
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    step = wide.view("<u4")[:, 0].astype(np.int64)
+    full = step == most
+    return np.cumsum(np.where(full, most, step + 1))[~full] - 1
 
 
-_FIRST = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("byte", pa.int32()), ("twice", pa.bool_()), ("gaps", pa.binary())])
+_FIRST = pa.schema(
+    [("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("check", pa.int64()), ("part", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())]
+)
 
 
-def _keys(x: Lines, least: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """(key, class, position, size, bits) of the neighbour triples of a run's lines, each class once. ``bits`` has one of 64
-    bits per word: sets differ by at least as many words as their bits do."""
+def _keys(x: Lines, docs: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, position) of the neighbour triples of a run's lines, each class at its first line."""
     own = np.flatnonzero(x.size >= max(least, 1))
+    if (docs[1:] == docs[:-1]).any():
+        own = own[np.lexsort((x.number[own], docs[x.doc[own]]))]
     own = own[np.unique(x.cls[own], return_index=True)[1]]
     kinds, inverse = np.unique(x.size[own], return_inverse=True)
     alone = [all(u == v == 0 for u, v, _ in partners(int(s), similarity)) for s in kinds]
     reach = np.array([(0, 0) if a else prefix(int(s), similarity) for s, a in zip(kinds, alone)], np.int64).reshape(-1, 2)[inverse]
-    odd, keys, places, counts = np.uint64(0x9E3779B97F4A7C15), [], [], []
+    keys, places, lines = [], [], []
     for width, n in ((3, reach[:, 0]), (2, reach[:, 1])):
         n = np.maximum(np.minimum(n, x.size[own] - width + 1), 0)
         pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -189,223 +218,235 @@ def _keys(x: Lines, least: int, similarity: float) -> tuple[np.ndarray, ...]:
         key = np.full(len(at), np.uint64(width))
         with np.errstate(over="ignore"):
             for k in range(width):
-                key = key * odd + x.token[at + k]
+                key = key * _ODD + x.token[at + k]
         keys.append(mix(key))
         places.append(pos)
-        counts.append(n)
-    line = np.concatenate([np.repeat(own, n) for n in counts])
-    key, pos = np.concatenate(keys), np.concatenate(places)
-    word_bits = np.uint64(1) << (x.token & np.uint64(63))
-    bits = np.bitwise_or.reduceat(word_bits, x.begin[x.size > 0]) if len(word_bits) else word_bits
-    of_line = np.zeros(x.count, np.uint64)
-    of_line[x.size > 0] = bits
-    return key, x.cls[line], pos, x.size[line], of_line[line]
+        lines.append(np.repeat(own, n))
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(places)
+
 
+def _runs(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, tie, bytes, offsets) of runs of a batch whose rows are in order of (doc, tie)."""
+    order = np.lexsort((b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)))
+    b = b.take(pa.array(order))
+    docs, ties = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    for first, last, data, offsets in chunks(b.column(at)):
+        yield docs[first:last], ties[first:last], data, offsets
 
-def _first_pass(batches: Iterator[pa.RecordBatch], rare, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+
+def _first_pass(batches: Iterator[pa.RecordBatch], rare, least: int, similarity: float, range_bits: int) -> Iterator[pa.RecordBatch]:
     """Lines with their classes, and what keys there are."""
     seen = Seen()
 
     def keys() -> pa.RecordBatch:
-        byte, twice, raw = seen.rows()
-        none = [None] * len(byte)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, byte, twice, raw), _FIRST)], schema=_FIRST)
+        part, raw, counts = seen.rows(range_bits)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(part), f.type) for f in list(_FIRST)[:5]], pa.array(part, pa.int32()), pa.array(raw, pa.binary()), pa.array(counts, pa.binary())], schema=_FIRST)
 
     for b in batches:
-        docs = b.column(0).to_numpy(zero_copy_only=False)
-        for first, _, data, offsets in chunks(b.column(1)):
+        for docs, ties, data, offsets in _runs(b, 2):
             x = Lines(data, offsets, rare.value)
             own = np.flatnonzero(x.size >= max(least, 1))
-            none = pa.nulls(len(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[first + x.doc[own]]), pa.array(x.number[own].astype(np.int32)), pa.array(x.cls[own].view(np.int64)), *[none.cast(f.type) for f in list(_FIRST)[3:]]],
+                [
+                    pa.array(docs[x.doc[own]]),
+                    pa.array(ties[x.doc[own]]),
+                    pa.array(x.number[own].astype(np.int32)),
+                    pa.array(x.cls[own].view(np.int64)),
+                    pa.array(x.check[own].view(np.int64)),
+                    *[pa.nulls(len(own), f.type) for f in list(_FIRST)[5:]],
+                ],
                 schema=_FIRST,
             )
-            key, cls, *_ = _keys(x, least, similarity)
-            seen.add(key, cls)
-            if seen.count > 2_000_000:
+            seen.add(_keys(x, docs, least, similarity)[0])
+            if seen.count > GATHERED:
                 yield keys()
     yield keys()
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each first byte, the bits of keys that several tasks or classes have, among LIVE_KEYS bits."""
-    held: dict[int, list[np.ndarray]] = {}
+def _met(batches: Iterator[pa.RecordBatch], bits: int, range_bits: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Of each range: the bits, among ``bits``, of keys that several classes have, and the crowded keys with their counts."""
+    rest, width = 40 - range_bits, bits >> range_bits
 
-    def batch(byte: int) -> pa.RecordBatch:
-        spots, n = np.unique(np.concatenate(held.pop(byte)), return_counts=True)
-        table = np.zeros(LIVE_KEYS >> 8, bool)
-        table[spots[n > 1] >> 4] = True
-        return pa.RecordBatch.from_arrays([pa.array([byte], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["byte", "bits"])
+    def batch(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        spots, inverse = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([c for _, c in held]), len(spots)).astype(np.int64)
+        table = np.zeros(width, bool)
+        table[spots[n > 1] * width >> rest] = True
+        many = np.flatnonzero(n > limit)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary()), pa.array([(spots[many] + (part << rest)).astype("<i8").tobytes()], pa.binary()), pa.array([n[many].astype("<i8").tobytes()], pa.binary())],
+            ["part", "bits", "crowded", "counts"],
+        )
 
+    last, held = None, []
     for b in batches:
-        for byte, twice, raw in zip(*(c.to_pylist() for c in b.columns)):
-            for done in [k for k in held if k != byte]:
-                yield batch(done)
+        for part, raw, counts in zip(*(c.to_pylist() for c in b.columns)):
+            if held and part != last:
+                yield batch(last, held)
+                held = []
             spots = spots_of(raw)
-            held.setdefault(byte, []).extend([spots, spots] if twice else [spots])
-            if len(held[byte]) > 64:  # what has been met twice needs no third time
-                spots, n = np.unique(np.concatenate(held[byte]), return_counts=True)
-                held[byte] = [spots, spots[n > 1]]
-    for byte in [*held]:
-        yield batch(byte)
+            n = np.ones(len(spots), np.int64)
+            several = np.frombuffer(counts, np.uint32).reshape(-1, 2)
+            n[several[:, 0]] = several[:, 1]
+            last = part
+            held.append((spots, n))
+            if len(held) > 64:
+                spots, inverse = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+                held = [(spots, np.bincount(inverse, np.concatenate([c for _, c in held]), len(spots)).astype(np.int64))]
+    if held:
+        yield batch(last, held)
+
+
+@dataclass
+class Keys:
+    """What is known of the keys: a bit for each that several classes may have, and the crowded ones' numbers of chunks."""
+
+    table: np.ndarray
+    crowded: np.ndarray
+    chunks: np.ndarray
+
+    def shared(self, key: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - (len(self.table) * 8 - 1).bit_length())
+        spot = (key >> shift).astype(np.int64)
+        return np.flatnonzero(self.table[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+
+    def dealt(self, key: np.ndarray) -> np.ndarray:
+        """Number of chunks of each key."""
+        out, spot = np.ones(len(key), np.int64), (key >> np.uint64(24)).astype(np.int64)
+        if len(self.crowded):
+            at = np.minimum(np.searchsorted(self.crowded, spot), len(self.crowded) - 1)
+            out = np.where(self.crowded[at] == spot, self.chunks[at], out)
+        return out
 
 
-def _postings(batches: Iterator[pa.RecordBatch], rare, live, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int) -> Keys:
+    """``reports``: part, gaps, counts. The table has about eight bits for each three bytes of gaps, KEY_BITS at most."""
+    total = (reports.agg(F.sum(F.length("gaps"))).first()[0] or 0) // 3
+    bits = min(KEY_BITS, max(1 << 20, 1 << total.bit_length()))
+    dealt = reports.repartition(partitions, "part").sortWithinPartitions("part")
+    table, crowded, counts = np.zeros(bits >> 3, np.uint8), [], []
+    for row in dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary").toLocalIterator():
+        width = bits >> 3 + range_bits
+        table[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
+        crowded.append(np.frombuffer(row.crowded, "<i8"))
+        counts.append(np.frombuffer(row.counts, "<i8"))
+    spots, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (crowded, counts))
+    keep = np.sort(np.argsort(-n, kind="stable")[:CROWDED])  # the least crowded beyond that stay whole
+    spots, n = spots[keep], n[keep]
+    order = np.argsort(spots)
+    return Keys(table, spots[order], -(-n[order] // limit))
+
+
+def _postings(batches: Iterator[pa.RecordBatch], rare, known, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in MEMBERS.split(", ")]
     for b in batches:
-        for _, _, data, offsets in chunks(b.column(1)):
-            key, cls, pos, size, bits = _keys(Lines(data, offsets, rare.value), least, similarity)
-            spot = (key >> np.uint64(36)).astype(np.int64)
-            on = np.flatnonzero(live.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[on].view(np.int64)), pa.array(cls[on].view(np.int64)), pa.array(pos[on] << 32 | size[on]), pa.array(bits[on].view(np.int64))],
-                ["key", "cls", "place", "bits"],
-            )
+        for docs, _, data, offsets in _runs(b, 2):
+            x = Lines(data, offsets, rare.value)
+            key, line, pos = _keys(x, docs, least, similarity)
+            on = known.value.shared(key)
+            key, line, pos = key[on], line[on], pos[on]
+            chunks_ = known.value.dealt(key)
+            cls, (one, two) = x.cls[line], x.parity()
+            chunk = (mix(cls) % chunks_.astype(np.uint64)).astype(np.int32)
+            values = [key.view(np.int64), chunk, chunks_.astype(np.int32), cls.view(np.int64), docs[x.doc[line]], x.number[line].astype(np.int32), x.size[line].astype(np.int32), pos.astype(np.int32), one[line].view(np.int64), two[line].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key and class, of keys that two classes or more have; each class once."""
-    last: np.ndarray | None = None  # the last row, and whether its key has been given out already
-    given = False
-    for b in batches:
-        rows = np.column_stack([c.to_numpy() for c in b.columns])
-        if not len(rows):
-            continue
-        if last is not None:
-            rows = np.concatenate([last[None], rows])
-        fresh = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
-        rows = rows[fresh]
-        same = np.concatenate([rows[1:, 0] == rows[:-1, 0], [False]])  # the next row has this one's key
-        out = same.copy()
-        out[1:] |= same[:-1]
-        if given and last is not None:
-            out[0] = False
-        last, given = rows[-1], bool(out[-1] or (len(rows) == 1 and given and last is not None and (last == rows[0]).all()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[out, k])) for k in range(4)], ["key", "cls", "place", "bits"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], rare, documents, wanted, least: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], rare, wanted, least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        b = b.filter(pa.array(_on(documents.value, b.column(0).to_numpy(zero_copy_only=False))))
-        for _, _, data, offsets in chunks(b.column(1)):
+        for _, _, data, offsets in _runs(b, 2):
             x = Lines(data, offsets, rare.value)
             own = np.flatnonzero(x.size >= max(least, 1))
             own = own[_on(wanted.value, x.cls[own].view(np.int64))]
             own = own[np.unique(x.cls[own], return_index=True)[1]]
-            token = x.token.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.cls[own].view(np.int64)), pa.array([token[x.begin[i] : x.begin[i] + x.size[i]] for i in own], pa.list_(pa.int64()))],
-                ["cls", "tokens"],
-            )
+            size = x.size[own]
+            at = np.repeat(x.begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            bounds = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x.cls[own].view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(x.token[at].view(np.int64)))], ["cls", "tokens"])
 
 
-def _spot(x: np.ndarray) -> np.ndarray:
+def _spot(x: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
+        return (mix(x.astype(np.int64).view(np.uint64)) >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
 
 
 def _on(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return table[_spot(x)] if len(x) else np.zeros(0, bool)
+    spot = _spot(x, len(table) * 8)
+    return table[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 > 0
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(LIVE_BITS, bool)
+def _marked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(bits, bool)
     for b in batches:
-        table[_spot(b.column(0).to_numpy())] = True
+        table[_spot(b.column(0).to_numpy(), bits)] = True
     words = np.packbits(table, bitorder="little").view(np.int64)
     some = np.flatnonzero(words)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["word", "bits"])
 
 
-def _bit_table(values: DataFrame) -> np.ndarray:
-    """Bits of hashed longs: one megabyte, whatever the input. A bit that is set for another value only sends a row that
-    a later join drops."""
-    rows = values.mapInArrow(_marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(LIVE_BITS // 64, np.int64)
-    bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+def bit_table(values: DataFrame) -> np.ndarray:
+    """Bits of hashed longs, eight or more for each, LINE_BITS at most. A bit that is set for another value only sends a
+    row that a later join drops."""
+    bits = min(LINE_BITS, max(1 << 16, 1 << (8 * values.count()).bit_length()))
+    rows = values.mapInArrow(lambda b: _marked(b, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return table.view(np.uint8)
+
 
+def _addressed(docs: DataFrame) -> DataFrame:
+    """(doc, tie, text): rows of equal doc_id are told apart by their texts; without doc_id they come last."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc, lines): numbers from 0 of the lines that go, for each doc_id with any; a null doc_id is the largest long."""
-    context = docs.sparkSession.sparkContext
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
+
+def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, limit: int = LIMIT) -> DataFrame:
+    """(doc, tie, lines): numbers from 0 of the lines that go, for each document with any, as ``_addressed`` names them."""
+    spark = docs.sparkSession
+    context, partitions = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    range_bits = max(RANGE_BITS, (4 * partitions).bit_length())
+    docs = _addressed(docs)
     rare = context.broadcast(rarity(docs))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = materialize(
-        docs.mapInArrow(lambda b: _first_pass(b, rare, min_tokens, similarity), "doc long, line int, cls long, byte int, twice boolean, gaps binary"), "lines"
+        docs.mapInArrow(lambda b: _first_pass(b, rare, min_tokens, similarity, range_bits), "doc long, tie long, line int, cls long, check long, part int, gaps binary, counts binary"), "lines"
     )
-    lines = first.where("byte is null").select("doc", "line", "cls")
-    # doc and line of the first occurrence; classes of one line need no second look as copies
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    seen = first.where("byte is not null").select("byte", "twice", "gaps").repartition(partitions, "byte").sortWithinPartitions("byte")
-    table = np.zeros(LIVE_KEYS >> 3, np.uint8)
-    for byte, bits in zip(*(c.to_pylist() for c in seen.mapInArrow(_met, "byte int, bits binary").toArrow().columns)):
-        table[byte * (LIVE_KEYS >> 11) : (byte + 1) * (LIVE_KEYS >> 11)] |= np.frombuffer(bits, np.uint8)
-    keys = context.broadcast(table)
-    postings = docs.mapInArrow(lambda b: _postings(b, rare, keys, min_tokens, similarity), "key long, cls long, place long, bits long")
-    shared = postings.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(_shared, "key long, cls long, place long, bits long")
-    live = shared.select("key", "cls", F.shiftright("place", 32).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("size"), "bits")
-    live = materialize(live, "live-keys")
-    classes = materialize(classes.join(live.select("cls").distinct().withColumn("live", F.lit(True)), "cls", "left").where("live or n > 1"), "classes")
-    ranked = live.join(classes.where("live").select("cls", "first"), "cls")
-    ranked = materialize(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("first"))), "ranked")
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        """(cls, tokens) of all classes in the pairs, from the documents of their first lines."""
-        wanted = pairs.select(F.explode(F.array("one", "two")).alias("cls")).distinct()
-        places = classes.join(wanted, "cls", "left_semi")
-        by_class = context.broadcast(_bit_table(wanted))
-        by_doc = context.broadcast(_bit_table(places.select(F.col("first.doc").alias("doc"))))
-        found = docs.mapInArrow(lambda b: _sets(b, rare, by_doc, by_class, min_tokens), "cls long, tokens array<long>")
-        return materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
-
-    gone = _later_matches(ranked, sets, similarity)
+    lines = first.where("part is null").select("doc", "tie", "line", "cls", "check")
+    known = context.broadcast(shared_keys(first.where("part is not null").select("part", "gaps", "counts"), partitions, range_bits, limit))
+    live = materialize(docs.mapInArrow(lambda b: _postings(b, rare, known, min_tokens, similarity), MEMBERS), "live-keys")
+    known.unpersist()
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted, "wanted")
+        marked = context.broadcast(bit_table(wanted))
+        found = docs.mapInArrow(lambda b: _sets(b, rare, marked, min_tokens), "cls long, tokens array<long>")
+        out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+        discard(wanted)
+        return out
+
+    gone = later_matches(live, sets, similarity, word_finder(similarity))
+    discard(live)
+    # the first line of each class, and which classes have lines that go
+    place = F.struct("doc", "line", "tie", "check")
+    classes = lines.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     affected = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = lines.join(affected, "cls").where("gone or struct(doc, line) > first")
-    return out.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-
-
-def _later_matches(ranked: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Classes similar to one of earlier first line."""
-    most = ranked.agg(F.max("rank")).first()[0] or 0
-    gone = ranked.select("cls").limit(0)
-    # most lines that go are like the very first line of some key of theirs
-    low, width = 0, 1
-    share = similarity / (1 + similarity)
-    while low < most:
-        y = ranked.where(F.col("rank") > low + 1).join(gone, "cls", "left_anti")
-        x = ranked.where((F.col("rank") > low) & (F.col("rank") <= low + width))
-        a, b = x.alias("a"), y.alias("b")
-        both = F.col("a.size") + F.col("b.size")
-        need = F.ceil(F.lit(share) * both - 1e-9)
-        # common words: those before the met pair at most, the pair, and what is left in the shorter rest
-        reach = F.least("a.pos", "b.pos") + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-        differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-        fit = (need <= F.least("a.size", "b.size")) & (reach >= need) & (differ <= both - 2 * need)
-        pairs = (
-            a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") < F.col("b.rank")) & fit)
-            .select(F.col("a.cls").alias("one"), F.col("b.cls").alias("two"), need.alias("need"))
-            .distinct()
-        )
-        pairs = materialize(pairs, "pairs")
-        low, width = low + width, width * 32
-        if pairs.isEmpty():
-            continue
-        tokens = sets(pairs)
-        one, two = tokens.select(F.col("cls").alias("one"), F.col("tokens").alias("t1")), tokens.select(F.col("cls").alias("two"), F.col("tokens").alias("t2"))
-        found = pairs.join(one, "one").join(two, "two").where(F.size(F.array_intersect("t1", "t2")) >= F.col("need"))
-        gone = materialize(gone.union(found.select(F.col("two").alias("cls"))).distinct(), "gone")
-    return gone
+    # a line whose second hash is not that of its class's first line is no copy of it
+    later = "gone or check = first.check and (doc <> first.doc or line <> first.line or tie <> first.tie)"
+    out = materialize(lines.join(affected, "cls").where(later).groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
+    discard(first, gone)
+    return out
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, removed: str | None = None) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``. ``removed`` names a column to add: how many went."""
     out = removed_lines(docs, similarity, min_tokens)
-    key, lines = "__doc", "__lines"
-    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(out.select(F.col("doc").alias(key), F.col("lines").alias(lines)), key, "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    keep = F.array_join(F.filter(parts, lambda s, i: ~F.array_contains(F.col(lines), i)), "\n")
-    joined = joined.withColumn("text", F.when(F.col(lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(keep))
-    extra: list[Callable] = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed)] if removed else []
+    taken = {c.lower() for c in docs.columns}
+    doc, tie, lines = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("doc", "tie", "lines"))
+    text = F.col("text").cast("string")
+    joined = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(tie, F.xxhash64(text))
+    joined = joined.join(out.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("lines").alias(lines)), [doc, tie], "left")
+    parts = F.split(text, "\n", -1)
+    left_over = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines))
+    left = F.array_join(F.transform(left_over, lambda i: F.get(parts, i)), "\n")
+    joined = joined.withColumn("text", F.when(F.col(lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
+    extra: list[Column] = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed)] if removed else []
     return joined.select(*docs.columns, *extra)

@@ -1,13 +1,16 @@
 """Near copies of documents by five-word shingles: those similar to an earlier document go.
 
-A document is the set of its shingles of ``size`` words (lower case); one of fewer words is one shingle. It goes if a
-document of smaller doc_id has the same set or one of Jaccard similarity ``similarity`` or more; whether that one goes
-too does not matter. Candidates share one of ``BANDS`` bands of ``ROWS`` minimal hashes, which at a similarity of 0.8
-misses 4 pairs in 10,000, fewer above; their whole sets are compared. Crowded bands are met in rounds (see
-``linededup``).
-
-Null texts and texts without words all have the empty set. Rows without doc_id stay and make no other go; rows of equal
-doc_id don't make each other go.
+A document is the set of its shingles of ``size`` words (lower case); one of fewer words is one shingle. It goes if an
+earlier document, by doc_id, has the same set or one of Jaccard similarity ``similarity`` or more; whether that one goes
+too does not matter. So the first of each group of near copies stays.
+
+SimHash fingerprints of the shingles are searched by BK-trees, one for each shard. At a similarity of 0.8 fingerprints
+differ by 10 of 64 bits on average, which no block of bits survives, so shards are bands of minimal hashes: similar
+documents share one of ``BANDS`` bands of ``ROWS`` but for 4 pairs in 10,000 at 0.8, fewer above; and of those within
+``RADIUS`` bits but for 2. What a tree finds is compared by whole sets (see ``matches``, also for crowded shards).
+
+Null texts and texts without words all have the empty set. Rows without doc_id come last. Rows of equal doc_id are in
+the order of a hash of their texts; of rows equal in both, one stays. Columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.linededup import _later_matches
+from trajspark.llm.linededup import _LAST, _addressed, _on, bit_table
+from trajspark.llm.matches import LIMIT, later_matches, tree_finder
 from trajspark.llm.textbuf import Words, chunks, mix
-from trajspark.session import materialize
+from trajspark.session import discard, materialize
 
-SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+SIZE, SIMILARITY, BANDS, ROWS, RADIUS = 5, 0.8, 20, 5, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,14 +36,19 @@ def shingle_sets(column, size: int) -> Iterator[np.ndarray]:
     for first, last, data, offsets in chunks(column):
         words = Words(data, offsets)
         h = words.hash()
-        for i in range(last - first):
-            own = h[words.bounds[i] : words.bounds[i + 1]]
-            width = min(size, len(own))
-            key = np.full(len(own) - width + 1 if width else 0, np.uint64(width))
-            with np.errstate(over="ignore"):
-                for k in range(width):
-                    key = mix(key * _ODD + own[k : k + len(key)])
-            yield np.unique(key)
+        with np.errstate(over="ignore"):
+            key = np.full(max(0, len(h) - size + 1), np.uint64(size))
+            for k in range(size):
+                key = mix(key * _ODD + h[k : k + len(key)])
+        for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
+            if b - a >= size:
+                yield np.unique(key[a : b - size + 1])
+            else:
+                one = np.full(min(1, b - a), np.uint64(b - a))
+                with np.errstate(over="ignore"):
+                    for k in range(a, b):
+                        one = mix(one * _ODD + h[k])
+                yield one
 
 
 def _class(own: np.ndarray) -> np.uint64:
@@ -47,56 +56,95 @@ def _class(own: np.ndarray) -> np.uint64:
         return mix(np.array([mix(own).sum(dtype=np.uint64) + np.uint64(len(own))]))[0]
 
 
+_DRAW = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_TURN, _TIMES = _DRAW[0], _DRAW[1] * np.uint64(2) + np.uint64(1)
+
+
 def bands(own: np.ndarray) -> np.ndarray:
-    rng = np.random.default_rng(17)
-    odd = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    """Keys of the bands of minimal hashes of a set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(own), 4096):
-            least = np.minimum(least, mix(own[at : at + 4096, None] * odd).min(0))
+        for at in range(0, len(own), 512):
+            least = np.minimum(least, ((own[at : at + 512, None] ^ _TURN) * _TIMES).min(0))
         key = np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
             key = mix(key * _ODD + least.reshape(BANDS, ROWS)[:, r])
     return key
 
 
-def _signed(b: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    sets = list(shingle_sets(b.column(1), size))
-    cls = np.array([_class(x) for x in sets], np.uint64).view(np.int64)
-    bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (x & np.uint64(63)), initial=np.uint64(0)) for x in sets], np.uint64).view(np.int64)
-    keys = pa.array([bands(x).view(np.int64) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(cls), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits), keys], ["doc", "cls", "size", "bits", "keys"])
-
-
-def _tokens(b: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    sets = list(shingle_sets(b.column(0), size))
-    cls = np.array([_class(x) for x in sets], np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(cls), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["cls", "tokens"])
-
-
-def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id of the documents that go."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    signed = materialize(docs.mapInArrow(lambda bs: (_signed(b, size) for b in bs), "doc long, cls long, size int, bits long, keys array<long>"), "shingles")
-    classes = signed.groupBy("cls").agg(F.min("doc").alias("first"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    members = classes.select("cls", "first", "size", "bits", F.lit(0).alias("pos"), F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    # of equal first documents (repeated doc_ids) neither is later
-    rank = F.rank().over(Window.partitionBy("key").orderBy("first"))
-    ranked = materialize(members.join(shared, "key", "left_semi").withColumn("rank", rank), "ranked-shingles")
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("one", "two")).alias("cls")).distinct()
-        texts = docs.join(signed.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc").alias("doc")).select("doc").distinct(), "doc", "left_semi").select("text")
-        found = texts.mapInArrow(lambda bs: (_tokens(b, size) for b in bs), "cls long, tokens array<long>")
-        return materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "shingle-sets")
-
-    gone = _later_matches(ranked, sets, similarity).withColumn("gone", F.lit(True))
-    joined = signed.select("doc", "cls").join(classes.select("cls", "first"), "cls").join(gone, "cls", "left")
-    return joined.where("gone or doc > first").select(F.col("doc").alias("doc_id")).distinct()
+def fingerprint(own: np.ndarray) -> np.uint64:
+    """SimHash of a set: each bit by the majority of the shingles' hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(own), 100_000):
+        total += np.unpackbits(own[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(own), bitorder="little").view("<u8")[0]
+
+
+_SIGNED = "doc long, tie long, cls long, size int, print long, keys array<long>"
+
+
+def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cls, sizes, prints, keys = [], [], [], []
+        for own in shingle_sets(b.column(2), size):
+            cls.append(_class(own))
+            sizes.append(len(own))
+            prints.append(fingerprint(own))
+            keys.append(bands(own).view(np.int64) if len(own) else [])
+        wide = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, prints)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), wide[0], pa.array(sizes, pa.int32()), wide[1], pa.array(keys, pa.list_(pa.int64()))], ["doc", "tie", "cls", "size", "print", "keys"]
+        )
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        b = b.filter(pa.array(_on(wanted.value, b.column(1).to_numpy(zero_copy_only=False))))
+        sets = list(shingle_sets(b.column(0), size))
+        cls = np.array([_class(x) for x in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["cls", "tokens"])
+
+
+def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """(doc, tie) of the documents that go, as ``linededup._addressed`` names them."""
+    context, docs = docs.sparkSession.sparkContext, _addressed(docs)
+    signed = materialize(docs.mapInArrow(lambda b: _signed(b, size), _SIGNED), "shingles")
+    firsts = signed.groupBy("cls").agg(F.min(F.struct("doc", "tie")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "print", "keys")])
+    classes = materialize(firsts, "shingle-classes")
+    members = classes.select("cls", F.col("first.doc").alias("doc"), "size", "print", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
+    live = members.join(shared, "key").select(
+        "key", F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("chunk"), "chunks", "cls", "doc", F.lit(0).alias("line"), "size", F.lit(0).alias("pos"), F.col("print").alias("p1"), F.lit(0).cast("long").alias("p2")
+    )
+    live = materialize(live, "shard-members")
+    place = F.xxhash64("doc", "tie")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted, "wanted")
+        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select(F.xxhash64("first.doc", "first.tie").alias("place"))))
+        found = docs.select("text", place.alias("place")).mapInArrow(lambda b: _tokens(b, size, marked), "cls long, tokens array<long>")
+        out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "shingle-sets")
+        discard(wanted)
+        return out
+
+    gone = later_matches(live, sets, similarity, tree_finder(RADIUS))
+    discard(live)
+    affected = classes.select("cls", "first", "n").join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1")
+    joined = signed.select("doc", "tie", "cls").join(affected, "cls")
+    out = materialize(joined.where("gone or doc <> first.doc or tie <> first.tie").select("doc", "tie").distinct(), "near-copies")
+    repeats = signed.groupBy("doc", "tie").count().where("count > 1").isEmpty()
+    discard(signed, classes, gone)
+    out.repeats = not repeats
+    return out
 
 
 def keep_first_similar(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without those similar to an earlier one."""
-    gone = materialize(later_copies(docs, size, similarity), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti").select(docs.columns)
+    gone = later_copies(docs, size, similarity)
+    taken = {c.lower() for c in docs.columns}
+    doc, tie, nth = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("doc", "tie", "nth"))
+    joined = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(tie, F.xxhash64(F.col("text").cast("string")))
+    joined = joined.join(gone.select(F.col("doc").alias(doc), F.col("tie").alias(tie)), [doc, tie], "left_anti")
+    if gone.repeats:
+        joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(doc, tie).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return joined.select(docs.columns)

@@ -62,17 +62,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class BKTree:
-    """Children of a node by their distance to it. Built and searched level by level for many values at once."""
+    """Children of a node by their distance to it. Built and searched level by level for many values at once. With
+    ``root``, the place of the first of each value's group, it is a forest of a tree for each group."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, root: np.ndarray | None = None):
         self.values = values
         n = len(values)
         self.child = np.full((n, 65), -1, np.int32)
-        waiting, node = np.arange(1, n), np.zeros(max(n - 1, 0), np.int64)
+        node = np.zeros(n, np.int64) if root is None else root.astype(np.int64)
+        waiting = np.flatnonzero(node != np.arange(n))
+        node = node[waiting]
+        flat = self.child.reshape(-1)
         while len(waiting):
             distance = popcount(values[waiting] ^ values[node]).astype(np.int64)
             slot = node * 65 + distance
-            flat = self.child.reshape(-1)
             # the first to come takes a free edge, the others go down it
             free = flat[slot] < 0
             taken, first = np.unique(slot[free], return_index=True)
@@ -81,10 +84,10 @@ class BKTree:
             stay = down != waiting
             waiting, node = waiting[stay], down[stay].astype(np.int64)
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position of the query, position of the value) of all pairs within ``radius``."""
+    def within(self, queries: np.ndarray, radius: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the query, position of the value) of all pairs within ``radius``. ``start``: each query's root."""
         found = []
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64) if start is None else start.astype(np.int64)
         if not len(self.values):
             return q[:0], node[:0]
         while len(q):
@@ -100,7 +103,7 @@ class BKTree:
                 next_q.append(q[ok][there])
                 next_node.append(down[there].astype(np.int64))
             q, node = np.concatenate(next_q), np.concatenate(next_node)
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        return np.concatenate([x for x, _ in found] or [q]), np.concatenate([x for _, x in found] or [node])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,10 +172,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -
     return prints.join(component, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; rows without doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id"), "copies").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -5,6 +5,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Null texts count
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,11 @@ import pyarrow as pa
 CHUNK = 2 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed in steps of eight.
+LONG = 256
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,28 +89,29 @@ class Words:
     in the list of words). ``hash()`` gives 64 bits per word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        self.data = _LOWER[data] if lower else data
         n = len(data)
-        inside = ~_SPACE[self.data]
-        before = np.empty(n, bool)
-        if n:
-            before[0] = False
-            before[1:] = inside[:-1]
-            heads = offsets[:-1][offsets[:-1] < n]
-            before[heads] = False
-        first = inside & ~before
-        self.start = np.flatnonzero(first)
-        # a word ends where the next byte is white space or the next text begins
-        after = np.empty(n, bool)
-        if n:
-            after[-1] = False
-            after[:-1] = inside[1:]
-            tails = offsets[1:-1]
-            after[tails[(tails > 0)] - 1] = False
-        self.stop = np.flatnonzero(inside & ~after) + 1
+        # room for reading eight bytes from any place on
+        padded = np.zeros((n + 23) // 8 * 8, np.uint8)
+        self.lanes = padded.view("<u8")
+        self.data = padded[:n]
+        if lower:
+            np.take(_LOWER, data, out=self.data)
+        else:
+            self.data[:] = data
+        inside = np.empty(n + 1, bool)
+        np.take(_WORD, data, out=inside[1:])
+        inside[0] = False
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        if n and inside[-1]:
+            turns = np.append(turns, n)
+        self.start, self.stop = turns[0::2], turns[1::2]
+        # words that touch at the bounds of two texts
+        cut = np.unique(offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)])
+        cut = cut[inside[cut] & inside[cut + 1]]
+        if len(cut):
+            self.start, self.stop = (np.insert(x, np.searchsorted(x, cut), cut) for x in (self.start, self.stop))
         self.bounds = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.bounds)
-        self.prefix: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -115,22 +120,30 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def sums(self) -> np.ndarray:
-        """Prefix sums of byte times power: differences give the hash of any span."""
-        if self.prefix is None:
-            up, _ = powers(len(self.data) + 1)
-            self.prefix = np.zeros(len(self.data) + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=self.prefix[1:])
-        return self.prefix
-
-    def span(self, start: np.ndarray, stop: np.ndarray, mixed: bool = True) -> np.ndarray:
-        """Hash of the bytes start..stop, for arrays of spans."""
-        p, (_, down) = self.sums(), powers(len(self.data) + 1)
+    def _lane(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from each place on as a number."""
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        lane = self.lanes[word] >> shift
+        lane |= self.lanes[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        # the byte that no UTF-8 text has fills what is missing
+        return lane | ~_MASK[np.minimum(size, 8)]
+
+    def span(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hash of the bytes start..stop, for arrays of spans, eight bytes at a time; no two words of up to eight bytes
+        share one. What is left of a word after LONG bytes is digested at once."""
+        size = stop - start
         with np.errstate(over="ignore"):
-            h = (p[stop] - p[start]) * down[start]
-            h += (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mix(h) if mixed else h
+            h = mix(self._lane(start, size) + BASE)
+            done, at = 8, np.flatnonzero(size > 8)
+            while len(at):
+                if done >= LONG:
+                    rest = [hashlib.blake2b(self.data[start[i] + done : stop[i]].tobytes(), digest_size=8).digest() for i in at.tolist()]
+                    h[at] = mix(h[at] * BASE + np.frombuffer(b"".join(rest), "<u8"))
+                    break
+                h[at] = mix(h[at] * BASE + self._lane(start[at] + done, size[at] - done))
+                done += 8
+                at = at[size[at] > done]
+        return h
 
     def bare(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and stops without up to four ASCII marks on either side; at least one byte of a word stays."""
