@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,7 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``materialize`` made, once their last reader is done."""
+    """Delete the files of tables that ``materialize`` made, once their last reader is done, and let the driver collect
+    its garbage: shuffle files of plans that nobody holds any more go with it."""
+    context = tables[0].sparkSession.sparkContext
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
