@@ -37,9 +37,9 @@ from trajspark.session import discard, materialize
 
 SIMILARITY, MIN_TOKENS = 0.8, 1
 CELLS = 1 << 16
-#: Bits at most of the table of keys that may be shared (128 MB), and of the table of wanted lines. Both are sized by the
-#: data below that; fuller tables only let more rows through, which later steps drop.
-KEY_BITS, LINE_BITS = 1 << 30, 1 << 27
+#: Bits at most of the table of keys that may be shared, and of a table of lines or classes (128 MB each). Both are sized by
+#: the data below that; fuller tables only let more rows through, which later steps drop.
+KEY_BITS, LINE_BITS = 1 << 30, 1 << 30
 #: Keys that a task gathers before it reports them, and leading bits of a key by which they are put together.
 GATHERED, RANGE_BITS = 2_000_000, 8
 #: Crowded keys at most that are dealt into chunks.
@@ -133,18 +133,35 @@ class Lines:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
+_SURVEY = pa.schema(
+    [("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("place", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("cell", pa.int64()), ("n", pa.int64())]
+)
+
+
+def addresses(docs: np.ndarray, ties: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Hash of each line's address."""
+    with np.errstate(over="ignore"):
+        return mix((mix(docs.view(np.uint64) * _ODD + ties.view(np.uint64)) + lines.astype(np.uint64)) * _ODD)
+
+
+def _survey(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Lines with their classes, and counts of the cells of word hashes."""
+    total, none = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.uint8)
     for b in batches:
-        for _, _, data, offsets in chunks(b.column(2)):
-            total += np.bincount((Lines(data, offsets, None).hash >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+        for docs, ties, data, offsets in _runs(b, 2):
+            x = Lines(data, offsets, none)
+            total += np.bincount((x.hash >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+            own = np.flatnonzero(x.size >= max(least, 1))
+            doc, tie, line = docs[x.doc[own]], ties[x.doc[own]], x.number[own]
+            columns = [doc, tie, line.astype(np.int32), addresses(doc, tie, line).view(np.int64), x.cls[own].view(np.int64), x.check[own].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *[pa.nulls(len(own), pa.int64())] * 2], schema=_SURVEY)
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["cell", "n"])
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), f.type) for f in list(_SURVEY)[:6]], pa.array(some), pa.array(total[some])], schema=_SURVEY)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
+def rarity(cells: DataFrame) -> np.ndarray:
     """Logarithm of the count of each cell of word hashes over all lines: CELLS numbers, whatever the input."""
-    rows = docs.mapInArrow(_rare, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return (np.log2(counts + 1) * 63 / max(1.0, np.log2(counts.max() + 1))).astype(np.uint8)
@@ -196,17 +213,11 @@ def spots_of(raw: bytes) -> np.ndarray:
     return np.cumsum(np.where(full, most, step + 1))[~full] - 1
 
 
-_FIRST = pa.schema(
-    [("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("check", pa.int64()), ("part", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())]
-)
-
-
-def _keys(x: Lines, docs: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, position) of the neighbour triples of a run's lines, each class at its first line."""
+def _keys(x: Lines, docs: np.ndarray, ties: np.ndarray, firsts: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, position) of the neighbour triples of a run's lines that are the first of their class; the table
+    ``firsts`` may let some others through."""
     own = np.flatnonzero(x.size >= max(least, 1))
-    if (docs[1:] == docs[:-1]).any():
-        own = own[np.lexsort((x.number[own], docs[x.doc[own]]))]
-    own = own[np.unique(x.cls[own], return_index=True)[1]]
+    own = own[_on(firsts, addresses(docs[x.doc[own]], ties[x.doc[own]], x.number[own]).view(np.int64))]
     kinds, inverse = np.unique(x.size[own], return_inverse=True)
     alone = [all(u == v == 0 for u, v, _ in partners(int(s), similarity)) for s in kinds]
     reach = np.array([(0, 0) if a else prefix(int(s), similarity) for s, a in zip(kinds, alone)], np.int64).reshape(-1, 2)[inverse]
@@ -234,30 +245,17 @@ def _runs(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield docs[first:last], ties[first:last], data, offsets
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch], rare, least: int, similarity: float, range_bits: int) -> Iterator[pa.RecordBatch]:
-    """Lines with their classes, and what keys there are."""
+def _reports(batches: Iterator[pa.RecordBatch], rare, firsts, least: int, similarity: float, range_bits: int) -> Iterator[pa.RecordBatch]:
+    """What keys there are."""
     seen = Seen()
 
     def keys() -> pa.RecordBatch:
         part, raw, counts = seen.rows(range_bits)
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(part), f.type) for f in list(_FIRST)[:5]], pa.array(part, pa.int32()), pa.array(raw, pa.binary()), pa.array(counts, pa.binary())], schema=_FIRST)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(raw, pa.binary()), pa.array(counts, pa.binary())], ["part", "gaps", "counts"])
 
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            x = Lines(data, offsets, rare.value)
-            own = np.flatnonzero(x.size >= max(least, 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs[x.doc[own]]),
-                    pa.array(ties[x.doc[own]]),
-                    pa.array(x.number[own].astype(np.int32)),
-                    pa.array(x.cls[own].view(np.int64)),
-                    pa.array(x.check[own].view(np.int64)),
-                    *[pa.nulls(len(own), f.type) for f in list(_FIRST)[5:]],
-                ],
-                schema=_FIRST,
-            )
-            seen.add(_keys(x, docs, least, similarity)[0])
+            seen.add(_keys(Lines(data, offsets, rare.value), docs, ties, firsts.value, least, similarity)[0])
             if seen.count > GATHERED:
                 yield keys()
     yield keys()
@@ -320,9 +318,9 @@ class Keys:
 
 
 def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int) -> Keys:
-    """``reports``: part, gaps, counts. The table has about eight bits for each three bytes of gaps, KEY_BITS at most."""
+    """``reports``: part, gaps, counts. The table has four to eight bits for each reported key, KEY_BITS at most."""
     total = (reports.agg(F.sum(F.length("gaps"))).first()[0] or 0) // 3
-    bits = min(KEY_BITS, max(1 << 20, 1 << total.bit_length()))
+    bits = min(KEY_BITS, max(1 << 20, 1 << (4 * total).bit_length()))
     dealt = reports.repartition(partitions, "part").sortWithinPartitions("part")
     table, crowded, counts = np.zeros(bits >> 3, np.uint8), [], []
     for row in dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary").toLocalIterator():
@@ -337,18 +335,17 @@ def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int
     return Keys(table, spots[order], -(-n[order] // limit))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], rare, known, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], rare, firsts, known, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in MEMBERS.split(", ")]
     for b in batches:
-        for docs, _, data, offsets in _runs(b, 2):
+        for docs, ties, data, offsets in _runs(b, 2):
             x = Lines(data, offsets, rare.value)
-            key, line, pos = _keys(x, docs, least, similarity)
+            key, line, pos = _keys(x, docs, ties, firsts.value, least, similarity)
             on = known.value.shared(key)
             key, line, pos = key[on], line[on], pos[on]
-            chunks_ = known.value.dealt(key)
-            cls, (one, two) = x.cls[line], x.parity()
-            chunk = (mix(cls) % chunks_.astype(np.uint64)).astype(np.int32)
-            values = [key.view(np.int64), chunk, chunks_.astype(np.int32), cls.view(np.int64), docs[x.doc[line]], x.number[line].astype(np.int32), x.size[line].astype(np.int32), pos.astype(np.int32), one[line].view(np.int64), two[line].view(np.int64)]
+            dealt, cls, (one, two) = known.value.dealt(key), x.cls[line], x.parity()
+            chunk = (mix(cls) % dealt.astype(np.uint64)).astype(np.int32)
+            values = [key.view(np.int64), chunk, dealt.astype(np.int32), cls.view(np.int64), docs[x.doc[line]], x.number[line].astype(np.int32), x.size[line].astype(np.int32), pos.astype(np.int32), one[line].view(np.int64), two[line].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names)
 
 
@@ -375,23 +372,48 @@ def _on(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 > 0
 
 
-def _marked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(bits, bool)
+def _marked(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Places of hashed values in a table of ``bits``, by the part of the table that they lie in."""
+    held, width = [], bits // parts
+
+    def rows() -> pa.RecordBatch:
+        spots = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+        held.clear()
+        cut = np.searchsorted(spots, np.arange(parts + 1) * width)
+        some = np.flatnonzero(np.diff(cut))
+        raw = [(spots[cut[k] : cut[k + 1]] - k * width).astype(np.uint32).tobytes() for k in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw, pa.binary())], ["part", "spots"])
+
     for b in batches:
-        table[_spot(b.column(0).to_numpy(), bits)] = True
-    words = np.packbits(table, bitorder="little").view(np.int64)
-    some = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["word", "bits"])
+        held.append(_spot(b.column(0).to_numpy(), bits))
+        if sum(map(len, held)) > 500_000:
+            yield rows()
+    yield rows()
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    last, table = None, np.zeros(width, bool)
+    for b in batches:
+        for part, raw in zip(*(c.to_pylist() for c in b.columns)):
+            if last is not None and part != last:
+                yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+                table[:] = False
+            last = part
+            table[np.frombuffer(raw, np.uint32)] = True
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
 
 def bit_table(values: DataFrame) -> np.ndarray:
-    """Bits of hashed longs, eight or more for each, LINE_BITS at most. A bit that is set for another value only sends a
+    """Bits of hashed longs, six to twelve for each, LINE_BITS at most. A bit that is set for another value only sends a
     row that a later join drops."""
-    bits = min(LINE_BITS, max(1 << 16, 1 << (8 * values.count()).bit_length()))
-    rows = values.mapInArrow(lambda b: _marked(b, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return table.view(np.uint8)
+    bits = min(LINE_BITS, max(1 << 16, 1 << (6 * values.count()).bit_length()))
+    parts, partitions = 256, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = values.mapInArrow(lambda b: _marked(b, bits, parts), "part int, spots binary").repartition(partitions, "part").sortWithinPartitions("part")
+    table, width = np.zeros(bits >> 3, np.uint8), bits // parts >> 3
+    for row in marked.mapInArrow(lambda b: _set_bits(b, bits // parts), "part int, bits binary").toLocalIterator():
+        table[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    return table
 
 
 def _addressed(docs: DataFrame) -> DataFrame:
@@ -406,14 +428,19 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     context, partitions = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
     range_bits = max(RANGE_BITS, (4 * partitions).bit_length())
     docs = _addressed(docs)
-    rare = context.broadcast(rarity(docs))
-    first = materialize(
-        docs.mapInArrow(lambda b: _first_pass(b, rare, min_tokens, similarity, range_bits), "doc long, tie long, line int, cls long, check long, part int, gaps binary, counts binary"), "lines"
-    )
-    lines = first.where("part is null").select("doc", "tie", "line", "cls", "check")
-    known = context.broadcast(shared_keys(first.where("part is not null").select("part", "gaps", "counts"), partitions, range_bits, limit))
-    live = materialize(docs.mapInArrow(lambda b: _postings(b, rare, known, min_tokens, similarity), MEMBERS), "live-keys")
+    survey = materialize(docs.mapInArrow(lambda b: _survey(b, min_tokens), "doc long, tie long, line int, place long, cls long, check long, cell long, n long"), "lines")
+    lines = survey.where("cell is null").select("doc", "tie", "line", "cls", "check")
+    rare = context.broadcast(rarity(survey.where("cell is not null").select("cell", "n")))
+    # the first line of each class
+    first = F.min(F.struct("doc", "line", "tie", "check", "place")).alias("first")
+    classes = materialize(survey.where("cell is null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("n")), "classes")
+    firsts = context.broadcast(bit_table(classes.select("first.place")))
+    reports = materialize(docs.mapInArrow(lambda b: _reports(b, rare, firsts, min_tokens, similarity, range_bits), "part int, gaps binary, counts binary"), "reports")
+    known = context.broadcast(shared_keys(reports, partitions, range_bits, limit))
+    discard(reports)
+    live = materialize(docs.mapInArrow(lambda b: _postings(b, rare, firsts, known, min_tokens, similarity), MEMBERS), "live-keys")
     known.unpersist()
+    firsts.unpersist()
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted")
@@ -425,14 +452,12 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
 
     gone = later_matches(live, sets, similarity, word_finder(similarity))
     discard(live)
-    # the first line of each class, and which classes have lines that go
-    place = F.struct("doc", "line", "tie", "check")
-    classes = lines.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    affected = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    repeated = classes.where("n > 1").select("cls", "first")
+    affected = repeated.join(gone.withColumn("gone", F.lit(True)), "cls", "full")
     # a line whose second hash is not that of its class's first line is no copy of it
     later = "gone or check = first.check and (doc <> first.doc or line <> first.line or tie <> first.tie)"
     out = materialize(lines.join(affected, "cls").where(later).groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
-    discard(first, gone)
+    discard(survey, classes, gone)
     return out
 
 
