@@ -160,7 +160,7 @@ def removed_by_force(docs, least=1):
 def test_line_dedup(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
-    base = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 25))) for _ in range(40)]
+    base = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 25))) for _ in range(60)]
     texts = []
     for i in range(120):
         lines = []
@@ -206,8 +206,6 @@ def test_gaps_round_trip():
 @pytest.mark.parametrize("limit", [3, 1024])
 def test_crowded_lines(spark, monkeypatch, limit):
     """Many near copies of one line, in chunks and in small batches, agree with brute force."""
-    from trajspark.llm import matches
-
     monkeypatch.setattr(linededup, "removed_lines", lambda *a, f=linededup.removed_lines, **k: f(*a, **k, limit=limit))
     rng = random.Random(8)
     base = [f"v{i}" for i in range(20)]
@@ -220,21 +218,43 @@ def test_crowded_lines(spark, monkeypatch, limit):
     gone = removed_by_force(list(enumerate(texts)))
     out = {r.doc_id: r.text for r in linededup.deduplicate(docs_of(spark, texts)).collect()}
     assert out == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
-    # the same groups in one worker, with few rows and pairs at a time
-    rows = [(k, 0, 1, c, c, 0, 9, 0, 0, 0) for k in range(7) for c in range(k)]
-    def run(work, rows, names, size):
-        table = pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)})
-        return [tuple(x.values()) for b in work(iter(table.to_batches(size)), matches.word_finder(0.8)) for x in b.to_pylist()]
-    names = [x.split()[0] for x in matches.MEMBERS.split(", ")]
-    whole = run(matches._best, rows, names, 1000)
-    asked = sorted([(*r, a) for r in rows for a in (0, 1)], key=lambda r: (r[0], r[1], r[-1], r[3]))
-    pairs = run(matches._rest, asked, [*names, "asks"], 1000)
-    assert len(whole) == 15 and set(pairs) == {(y, x) for y in range(6) for x in range(y)}
-    with monkeypatch.context() as m:
-        m.setattr(matches, "ROWS", 4)
-        m.setattr(matches, "PAIRS", 3)
-        assert sorted(run(matches._best, rows, names, 2)) == sorted(whole)
-        assert set(run(matches._rest, asked, [*names, "asks"], 2)) == set(pairs)
+
+
+def test_members_in_one_worker():
+    """Blobs of several parts and flushes; all keys of chunks meet."""
+    from trajspark.llm import matches
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(12, 10)).astype(np.uint64) for _ in range(60)]
+    sets = [sets[i] for i in range(60) if not any(np.array_equal(sets[i], sets[j]) for j in range(i))]
+    n = len(sets)
+    key = np.repeat(np.arange(3, dtype=np.uint64), n)
+    row = np.tile(np.arange(n), 3)
+    size = np.array([len(x) for x in sets])
+    for chunks in (1, 4):
+        m = {"key": key, "cls": row.astype(np.uint64) + np.uint64(7), "doc": row, "p1": np.array([np.bitwise_xor.reduce(np.uint64(1) << x) for x in sets])[row], "p2": np.zeros(3 * n, np.uint64), "line": 0 * row, "size": size[row], "pos": 0 * row, "chunk": (row % chunks), "chunks": 0 * row + chunks}
+        like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+        want = {i + 7 for i in range(n) if any(like(i, j) for j in range(i))}
+        assert 4 < len(want) < n
+
+        def sorted_parts(dealer, rows):
+            batches = [b for b in rows] + [*dealer.rows()]
+            t = pa.Table.from_batches(batches)
+            return iter(t.sort_by("part").to_batches(max_chunksize=2))
+
+        class Sent:
+            value = np.full(8, 255, np.uint8)
+
+        dealer = matches.Dealer(6)
+        tokens, begin = np.concatenate(sets), (np.cumsum(size) - size)[row]
+        rows = [b for half in (slice(0, n), slice(n, None)) for b in matches.whole_members(dealer, {k: v[half] for k, v in m.items()}, begin[half], tokens, np.ones(3 * n, bool)[half])]
+        got = {y for b in matches._rest(sorted_parts(dealer, rows), matches.word_finder(0.8), Sent, 0.8) for y in b.column(0).to_pylist()}
+        assert got == want
+        dealer = matches.Dealer(6)
+        rows = [r for b in matches._best(sorted_parts(dealer, dealer.add(m)), matches.word_finder(0.8)) for r in b.to_pylist()]
+        best = {r["y"]: r for r in rows if r["y"] is not None and r["margin"] >= 0}
+        assert want <= set(best) or chunks > 1
+        assert all(r["x"] < r["y"] for r in best.values())
 
 
 def test_line_dedup_rows(spark):

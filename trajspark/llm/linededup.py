@@ -31,15 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.matches import LIMIT, MEMBERS, later_matches, word_finder
+from trajspark.llm.bits import at as bit_at
+from trajspark.llm.bits import bit_table, gathered, on, size_for
+from trajspark.llm.matches import BLOBS, LIMIT, Dealer, later_matches, part_bits, spread, whole_members, word_finder
 from trajspark.llm.textbuf import Words, chunks, mix
 from trajspark.session import discard, materialize
 
 SIMILARITY, MIN_TOKENS = 0.8, 1
 CELLS = 1 << 16
-#: Bits at most of the table of keys that may be shared, and of a table of lines or classes (128 MB each). Both are sized by
-#: the data below that; fuller tables only let more rows through, which later steps drop.
-KEY_BITS, LINE_BITS = 1 << 30, 1 << 30
 #: Keys that a task gathers before it reports them, and leading bits of a key by which they are put together.
 GATHERED, RANGE_BITS = 2_000_000, 8
 #: Crowded keys at most that are dealt into chunks.
@@ -80,20 +79,24 @@ def prefix(s: int, similarity: float) -> tuple[int, int]:
     return triples, pairs
 
 
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, text and number of each line of a run of texts. A break at the very end of a text opens a line of no
+    words, which needs no number."""
+    breaks = np.flatnonzero(data == 10) + 1
+    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)])
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    return starts, doc, np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[doc]
+
+
 class Lines:
     """Distinct words of each line of a run of texts: ``token``, their hashes, in order of rarity within ``line``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None):
-        breaks = np.flatnonzero(data == 10) + 1
-        starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)])
+        starts, self.doc, self.number = line_starts(data, offsets)
         words = Words(data, offsets)
         self.hash = words.span(*words.bare())
         per_line = np.diff(np.append(np.searchsorted(words.start, starts), len(words)))
         self.of = np.repeat(np.arange(len(starts)), per_line)
-        self.doc = np.searchsorted(offsets, starts, "right") - 1
-        # a break at the very end of a text opens a line of no words, which needs no number
-        first = np.searchsorted(starts, offsets[:-1])
-        self.number = np.arange(len(starts)) - first[self.doc]
         self.count = len(starts)
         if rarity is None:
             return
@@ -217,7 +220,7 @@ def _keys(x: Lines, docs: np.ndarray, ties: np.ndarray, firsts: np.ndarray, leas
     """(key, line, position) of the neighbour triples of a run's lines that are the first of their class; the table
     ``firsts`` may let some others through."""
     own = np.flatnonzero(x.size >= max(least, 1))
-    own = own[_on(firsts, addresses(docs[x.doc[own]], ties[x.doc[own]], x.number[own]).view(np.int64))]
+    own = own[on(firsts, addresses(docs[x.doc[own]], ties[x.doc[own]], x.number[own]))]
     kinds, inverse = np.unique(x.size[own], return_inverse=True)
     alone = [all(u == v == 0 for u, v, _ in partners(int(s), similarity)) for s in kinds]
     reach = np.array([(0, 0) if a else prefix(int(s), similarity) for s, a in zip(kinds, alone)], np.int64).reshape(-1, 2)[inverse]
@@ -305,8 +308,7 @@ class Keys:
 
     def shared(self, key: np.ndarray) -> np.ndarray:
         shift = np.uint64(64 - (len(self.table) * 8 - 1).bit_length())
-        spot = (key >> shift).astype(np.int64)
-        return np.flatnonzero(self.table[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+        return np.flatnonzero(bit_at(self.table, (key >> shift).astype(np.int64)))
 
     def dealt(self, key: np.ndarray) -> np.ndarray:
         """Number of chunks of each key."""
@@ -318,102 +320,61 @@ class Keys:
 
 
 def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int) -> Keys:
-    """``reports``: part, gaps, counts. The table has four to eight bits for each reported key, KEY_BITS at most."""
-    total = (reports.agg(F.sum(F.length("gaps"))).first()[0] or 0) // 3
-    bits = min(KEY_BITS, max(1 << 20, 1 << (4 * total).bit_length()))
+    """``reports``: part, gaps, counts. The table has six to twelve bits for each reported key, within the bound of bit
+    tables."""
+    bits = max(1 << 20, size_for((reports.agg(F.sum(F.length("gaps"))).first()[0] or 0) // 3, 6))
     dealt = reports.repartition(partitions, "part").sortWithinPartitions("part")
-    table, crowded, counts = np.zeros(bits >> 3, np.uint8), [], []
-    for row in dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary").toLocalIterator():
-        width = bits >> 3 + range_bits
-        table[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
-        crowded.append(np.frombuffer(row.crowded, "<i8"))
-        counts.append(np.frombuffer(row.counts, "<i8"))
-    spots, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (crowded, counts))
-    keep = np.sort(np.argsort(-n, kind="stable")[:CROWDED])  # the least crowded beyond that stay whole
-    spots, n = spots[keep], n[keep]
-    order = np.argsort(spots)
-    return Keys(table, spots[order], -(-n[order] // limit))
-
-
-def _postings(batches: Iterator[pa.RecordBatch], rare, firsts, known, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in MEMBERS.split(", ")]
+    met = materialize(dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary"), "met-keys")
+    table, rows = gathered(met, bits), met.where(F.length("crowded") > 0).select("crowded", "counts").toArrow()
+    discard(met)
+    spots, n = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in rows.column(k).to_pylist()]]) for k in (0, 1))
+    keep = np.argsort(-n, kind="stable")[:CROWDED]  # the least crowded beyond that stay whole
+    keep = keep[np.argsort(spots[keep])]
+    return Keys(table, spots[keep], -(-n[keep] // limit))
+
+
+def _members(x: Lines, docs: np.ndarray, ties: np.ndarray, firsts: np.ndarray, known: Keys, least: int, similarity: float) -> tuple[dict, np.ndarray]:
+    """Members of a run's lines under keys that may be shared, and their lines."""
+    key, line, pos = _keys(x, docs, ties, firsts, least, similarity)
+    shared = known.shared(key)
+    key, line, pos = key[shared], line[shared], pos[shared]
+    dealt, cls, (one, two) = known.dealt(key), x.cls[line], x.parity()
+    chunk = (mix(cls) % dealt.astype(np.uint64)).astype(np.int32)
+    return {"key": key, "cls": cls, "doc": docs[x.doc[line]], "p1": one[line], "p2": two[line], "line": x.number[line], "size": x.size[line], "pos": pos, "chunk": chunk, "chunks": dealt}, line
+
+
+def _postings(batches: Iterator[pa.RecordBatch], rare, firsts, known, least: int, similarity: float, bits: int) -> Iterator[pa.RecordBatch]:
+    dealer = Dealer(bits)
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            x = Lines(data, offsets, rare.value)
-            key, line, pos = _keys(x, docs, ties, firsts.value, least, similarity)
-            on = known.value.shared(key)
-            key, line, pos = key[on], line[on], pos[on]
-            dealt, cls, (one, two) = known.value.dealt(key), x.cls[line], x.parity()
-            chunk = (mix(cls) % dealt.astype(np.uint64)).astype(np.int32)
-            values = [key.view(np.int64), chunk, dealt.astype(np.int32), cls.view(np.int64), docs[x.doc[line]], x.number[line].astype(np.int32), x.size[line].astype(np.int32), pos.astype(np.int32), one[line].view(np.int64), two[line].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names)
+            yield from dealer.add(_members(Lines(data, offsets, rare.value), docs, ties, firsts.value, known.value, least, similarity)[0])
+    yield from dealer.rows()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], rare, wanted, least: int) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], rare, firsts, known, keys, asks, least: int, similarity: float, bits: int) -> Iterator[pa.RecordBatch]:
+    """Members under the keys of a table, with their words."""
+    dealer = Dealer(bits)
     for b in batches:
-        for _, _, data, offsets in _runs(b, 2):
+        for docs, ties, data, offsets in _runs(b, 2):
             x = Lines(data, offsets, rare.value)
-            own = np.flatnonzero(x.size >= max(least, 1))
-            own = own[_on(wanted.value, x.cls[own].view(np.int64))]
-            own = own[np.unique(x.cls[own], return_index=True)[1]]
-            size = x.size[own]
-            at = np.repeat(x.begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            bounds = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x.cls[own].view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(x.token[at].view(np.int64)))], ["cls", "tokens"])
-
-
-def _spot(x: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(x.astype(np.int64).view(np.uint64)) >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
-
-
-def _on(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    spot = _spot(x, len(table) * 8)
-    return table[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 > 0
+            m, line = _members(x, docs, ties, firsts.value, known.value, least, similarity)
+            some = on(keys.value, m["key"])
+            m = {n: v[some] for n, v in m.items()}
+            yield from whole_members(dealer, m, x.begin[line[some]], x.token, on(asks.value, m["cls"]))
+    yield from dealer.rows()
 
 
-def _marked(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Places of hashed values in a table of ``bits``, by the part of the table that they lie in."""
-    held, width = [], bits // parts
-
-    def rows() -> pa.RecordBatch:
-        spots = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
-        held.clear()
-        cut = np.searchsorted(spots, np.arange(parts + 1) * width)
-        some = np.flatnonzero(np.diff(cut))
-        raw = [(spots[cut[k] : cut[k + 1]] - k * width).astype(np.uint32).tobytes() for k in some]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw, pa.binary())], ["part", "spots"])
-
-    for b in batches:
-        held.append(_spot(b.column(0).to_numpy(), bits))
-        if sum(map(len, held)) > 500_000:
-            yield rows()
-    yield rows()
-
-
-def _set_bits(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    last, table = None, np.zeros(width, bool)
+def _sets(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Classes and words of the lines whose addresses a table may have."""
+    none = np.zeros(CELLS, np.uint8)
     for b in batches:
-        for part, raw in zip(*(c.to_pylist() for c in b.columns)):
-            if last is not None and part != last:
-                yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-                table[:] = False
-            last = part
-            table[np.frombuffer(raw, np.uint32)] = True
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-
-def bit_table(values: DataFrame) -> np.ndarray:
-    """Bits of hashed longs, six to twelve for each, LINE_BITS at most. A bit that is set for another value only sends a
-    row that a later join drops."""
-    bits = min(LINE_BITS, max(1 << 16, 1 << (6 * values.count()).bit_length()))
-    parts, partitions = 256, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = values.mapInArrow(lambda b: _marked(b, bits, parts), "part int, spots binary").repartition(partitions, "part").sortWithinPartitions("part")
-    table, width = np.zeros(bits >> 3, np.uint8), bits // parts >> 3
-    for row in marked.mapInArrow(lambda b: _set_bits(b, bits // parts), "part int, bits binary").toLocalIterator():
-        table[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
-    return table
+        for docs, ties, data, offsets in _runs(b, 2):
+            starts, doc, number = line_starts(data, offsets)
+            own = np.flatnonzero(on(wanted.value, addresses(docs[doc], ties[doc], number)))
+            size = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])[own] - starts[own]
+            x = Lines(data[spread(starts[own], size)], np.concatenate([[0], np.cumsum(size)]), none)
+            bounds = pa.array(np.append(x.begin, len(x.token)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x.cls.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(x.token.view(np.int64)))], ["cls", "tokens"])
 
 
 def _addressed(docs: DataFrame) -> DataFrame:
@@ -438,20 +399,21 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     reports = materialize(docs.mapInArrow(lambda b: _reports(b, rare, firsts, min_tokens, similarity, range_bits), "part int, gaps binary, counts binary"), "reports")
     known = context.broadcast(shared_keys(reports, partitions, range_bits, limit))
     discard(reports)
-    live = materialize(docs.mapInArrow(lambda b: _postings(b, rare, firsts, known, min_tokens, similarity), MEMBERS), "live-keys")
-    known.unpersist()
-    firsts.unpersist()
+    bits = part_bits(partitions)
+
+    def whole(keys, asks) -> DataFrame:
+        return docs.mapInArrow(lambda b: _whole(b, rare, firsts, known, keys, asks, min_tokens, similarity, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted")
-        marked = context.broadcast(bit_table(wanted))
-        found = docs.mapInArrow(lambda b: _sets(b, rare, marked, min_tokens), "cls long, tokens array<long>")
+        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place")))
+        found = docs.mapInArrow(lambda b: _sets(b, marked), "cls long, tokens array<long>")
         out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
         discard(wanted)
         return out
 
-    gone = later_matches(live, sets, similarity, word_finder(similarity))
-    discard(live)
+    members = docs.mapInArrow(lambda b: _postings(b, rare, firsts, known, min_tokens, similarity, bits), BLOBS)
+    gone = later_matches(members, whole, sets, similarity, word_finder(similarity))
     repeated = classes.where("n > 1").select("cls", "first")
     affected = repeated.join(gone.withColumn("gone", F.lit(True)), "cls", "full")
     # a line whose second hash is not that of its class's first line is no copy of it

@@ -1,12 +1,14 @@
 """Which sets are similar to an earlier one: candidates that share a key, screened by a sketch, then compared whole.
 
-``members`` has a row per set and key: (key, chunk, chunks, cls, doc, line, size, pos, p1, p2). Sets come in order of (doc,
-line, cls). A key that very many sets have is dealt into ``chunks`` chunks, so that no task takes a key whole.
+A member is a set under one of its keys: key, cls (the set), doc and line (its place), size, pos (of the key in the set), p1
+and p2 (its sketch), chunk and chunks. Sets come in order of (doc, line, cls). Members travel as blobs of many, dealt by a
+hash of key and chunk; a key that very many sets have is cut into ``chunks`` chunks, so that no task takes a key whole.
 
 First, each set meets the earlier ones of each of its keys (in its own chunk, where there are several) and keeps the
-likeliest, as told by a ``Finder``. Nearly all sets that go are settled by that one comparison, so the pairs grow with the sets, not with the
-squares of the groups. Sets that it does not settle, and that may have others to meet, then meet all of them: the
-earlier sets of the same key, chunk by chunk.
+likeliest, as told by a ``Finder``. Nearly all sets that go are settled by that one comparison, so the pairs grow with the
+sets, not with the squares of the groups. Sets that it does not settle, and that have others to meet, then meet all of
+them with their words at hand: the keys of these sets are dealt once more, chunk against chunk, and only the sets that go
+come out.
 """
 
 from __future__ import annotations
@@ -18,25 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.llm.bits import bit_table, on
+from trajspark.llm.textbuf import mix
 from trajspark.session import discard, materialize
 
 #: Sets of one chunk of a key, about.
 LIMIT = 1024
-#: Rows that are worked on at once, and pairs.
-ROWS, PAIRS = 100_000, 2_000_000
-MEMBERS = "key long, chunk int, chunks int, cls long, doc long, line int, size int, pos int, p1 long, p2 long"
-_COLUMNS = [x.split()[0] for x in MEMBERS.split(", ")]
-
-#: (rows, refs, root, asks, begin, count): for each of the rows ``asks``, the candidates among ``refs[begin : begin + count]``,
-#: a group of refs beginning at its ``root``. Yields (asks, refs, margin), all pairs of a row in one run, rows in order.
+#: Members that a task gathers before it deals them, and pairs that are worked on at once.
+GATHERED, PAIRS = 500_000, 2_000_000
+FIELDS = {"key": np.uint64, "cls": np.uint64, "doc": np.int64, "p1": np.uint64, "p2": np.uint64, "line": np.int32, "size": np.int32, "pos": np.int32, "chunk": np.int32, "chunks": np.int32}
+_WIDTH = sum(np.dtype(t).itemsize for t in FIELDS.values())
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+BLOBS = "part int, members binary, side binary, tokens binary"
+
+#: (members, refs, root, asks, begin, count): for each of the rows ``asks``, the candidates among ``refs[begin : begin +
+#: count]``, a group of refs beginning at its ``root``. Yields (asks, refs, margin), all pairs of a row in one run, rows in order.
 Finder = Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
+def needed(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Least number of common words of sets of a and b words at the similarity."""
+    return np.ceil(similarity / (1 + similarity) * (a.astype(np.int64) + b) - 1e-9).astype(np.int64)
+
+
 def word_finder(similarity: float) -> Finder:
     """Pairs screened by size, by place of the shared key in the order of words (positional filter) and by parity: each
     word flips one of 128 bits, so two sets differ by as many words at least as bits. The margin is how far below the
     allowed difference a pair lies."""
-    share = similarity / (1 + similarity)
 
     def find(m: dict, refs: np.ndarray, root: np.ndarray, asks: np.ndarray, begin: np.ndarray, count: np.ndarray):
         for at in np.split(np.arange(len(asks)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1):
@@ -44,11 +54,10 @@ def word_finder(similarity: float) -> Finder:
             i = np.repeat(asks[at], c)
             j = refs[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[at], c)]
             a, b = m["size"][i], m["size"][j]
-            both = a + b
-            need = np.ceil(share * both - 1e-9).astype(np.int64)
+            need = needed(a, b, similarity)
             p, q = m["pos"][i], m["pos"][j]
             fit = (need <= np.minimum(a, b)) & (np.minimum(p, q) + np.minimum(a - p, b - q) >= need)
-            i, j, margin = i[fit], j[fit], (both - 2 * need)[fit]
+            i, j, margin = i[fit], j[fit], (a + b - 2 * need)[fit]
             margin = margin - np.bitwise_count(m["p1"][i] ^ m["p1"][j]) - np.bitwise_count(m["p2"][i] ^ m["p2"][j])
             fit = margin >= 0
             yield i[fit], j[fit], margin[fit]
@@ -62,7 +71,7 @@ def tree_finder(radius: int) -> Finder:
     from trajspark.llm.simhash_dedup import BKTree, popcount
 
     def find(m: dict, refs: np.ndarray, root: np.ndarray, asks: np.ndarray, begin: np.ndarray, count: np.ndarray):
-        prints = m["p1"].view(np.uint64)
+        prints = m["p1"]
         tree = BKTree(prints[refs], root)
         some = np.flatnonzero(count)
         for at in np.split(some, range(4096, len(some), 4096)):
@@ -77,146 +86,239 @@ def tree_finder(radius: int) -> Finder:
     return find
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Whole groups of (key, chunk), many at once, as arrays."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def table() -> dict:
-        t = pa.Table.from_batches(held)
-        return {n: t.column(n).to_numpy() for n in _COLUMNS}
-
+# --- blobs ------------------------------------------------------------------------------------------------------------
+
+
+def part_bits(partitions: int) -> int:
+    return max(6, (2 * partitions).bit_length())
+
+
+class Dealer:
+    """Gathers members, with sides and tokens if they have any, and gives them out as a blob for each part."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.count = bits, 0
+        self.held: list[tuple[dict, np.ndarray | None, np.ndarray | None]] = []
+
+    def add(self, m: dict, side: np.ndarray | None = None, tokens: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``side``: chunk that a member meets and how; ``tokens``: all members' words in turn."""
+        if len(m["key"]):
+            self.held.append((m, side, tokens))
+            self.count += len(m["key"]) if tokens is None else len(tokens) // 8
+        if self.count > GATHERED:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        m = {n: np.concatenate([h[0][n] for h in self.held]) for n in FIELDS}
+        side = None if self.held[0][1] is None else np.concatenate([h[1] for h in self.held])
+        tokens = None if self.held[0][2] is None else np.concatenate([h[2] for h in self.held])
+        self.held, self.count = [], 0
+        with np.errstate(over="ignore"):
+            group = m["key"] + m["chunk"].astype(np.uint64) * _ODD
+            if side is not None:
+                group += (side >> 2).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        part = (mix(group) >> np.uint64(64 - self.bits)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        begin = np.cumsum(m["size"], dtype=np.int64) - m["size"]
+        columns: list[list] = [[], [], [], []]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = order[a:b]
+            columns[0].append(int(part[own[0]]))
+            columns[1].append(b"".join(m[n][own].astype(t).tobytes() for n, t in FIELDS.items()))
+            columns[2].append(None if side is None else side[own].astype(np.int64).tobytes())
+            columns[3].append(None if tokens is None else tokens[spread(begin[own], m["size"][own])].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], [x.split()[0] for x in BLOBS.split(", ")])
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of ``size`` from each ``begin`` on."""
+    size = size.astype(np.int64)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, np.ndarray | None, np.ndarray | None]]:
+    """Members of each part, their sides and tokens."""
+
+    def whole() -> tuple:
+        out: dict[str, list] = {n: [] for n in FIELDS}
+        for raw, _, _ in held:
+            n, at = len(raw) // _WIDTH, 0
+            for name, kind in FIELDS.items():
+                out[name].append(np.frombuffer(raw, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+        side, tokens = (None if held[0][k] is None else np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in ((1, np.int64), (2, np.uint64)))
+        return last, {n: np.concatenate(x) for n, x in out.items()}, side, tokens
+
+    last, held = None, []
     for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        rows += b.num_rows
-        if rows >= ROWS:
-            m = table()
-            key, chunk = m["key"], m["chunk"]
-            # the last group may go on
-            change = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))
-            if len(change):
-                cut = int(change[-1]) + 1
-                yield {n: x[:cut] for n, x in m.items()}
-                rest = pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()
-                held, rows = rest, sum(x.num_rows for x in rest)
+        for part, *raw in zip(*(c.to_pylist() for c in b.columns)):
+            if held and part != last:
+                yield whole()
+                held = []
+            last = part
+            held.append(raw)
     if held:
-        yield table()
+        yield whole()
+
+
+def _groups(m: dict, extra: np.ndarray | None = None) -> np.ndarray:
+    """Number of the group of each member: key, chunk and, with ``extra``, the chunk to meet."""
+    with np.errstate(over="ignore"):
+        return np.unique(mix(m["key"] + m["chunk"].astype(np.uint64) * _ODD + (0 if extra is None else mix(extra.astype(np.uint64)))), return_inverse=True)[1]
+
+
+def _earlier(m: dict, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+    d, e = m["doc"][j], m["doc"][i]
+    k, n = m["line"][j], m["line"][i]
+    return (d < e) | (d == e) & ((k < n) | (k == n) & (m["cls"][j] < m["cls"][i]))
 
 
-def _ordered(m: dict) -> tuple[dict, np.ndarray]:
-    """Each set of a group once, at its first place, in order within the group; and the groups' bounds."""
-    gid = np.concatenate([[0], np.cumsum((m["key"][1:] != m["key"][:-1]) | (m["chunk"][1:] != m["chunk"][:-1]))])
-    order = np.lexsort((m["line"], m["doc"], m["cls"], gid))
-    g, c = gid[order], m["cls"][order]
-    first = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-    order = order[first]
-    order = order[np.lexsort((m["cls"][order], m["line"][order], m["doc"][order], gid[order]))]
-    m, g = {n: x[order] for n, x in m.items()}, gid[order]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    return m, np.append(begin, len(g))
+_BEST = "y long, x long, margin int, several boolean, keys binary"
 
 
 def _best(batches: Iterator[pa.RecordBatch], find: Finder) -> Iterator[pa.RecordBatch]:
-    """Of each set of a group: the likeliest earlier one, and whether there are others to meet."""
-    for m in _groups(batches):
-        m, bounds = _ordered(m)
-        n = len(m["key"])
-        head, rows = np.repeat(bounds[:-1], np.diff(bounds)), np.arange(n)
+    """Of each set of a group: the likeliest earlier one, and whether there are others to meet; and, packed, the keys under
+    which sets have any."""
+    for _, m, _, _ in _parts(batches):
+        gid = _groups(m)
+        order = np.lexsort((m["line"], m["doc"], m["cls"], gid))
+        g, c = gid[order], m["cls"][order]
+        order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])]  # each set once, at its first place
+        order = order[np.lexsort((m["cls"][order], m["line"][order], m["doc"][order], gid[order]))]
+        m, g = {n: x[order] for n, x in m.items()}, gid[order]
+        bounds = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g))
+        head, rows = np.repeat(bounds[:-1], np.diff(bounds)), np.arange(len(g))
         # sets of other chunks are still to be met
         apart = np.flatnonzero(m["chunks"] > 1)
-        out = [[m["cls"][apart]], [np.zeros(len(apart), np.int64)], [np.full(len(apart), -1)], [np.ones(len(apart), bool)]]
+        out = [[apart], [np.zeros(len(apart), np.uint64)], [np.full(len(apart), -1)], [np.ones(len(apart), bool)]]
         for i, j, margin in find(m, rows, head, rows, head, rows - head):
-            if not len(i):
-                continue
-            # the widest margin, then the earliest
-            lead = np.flatnonzero(np.diff(i, prepend=-1))
-            top = np.maximum.reduceat((margin.astype(np.int64) << 32) | (np.int64(0xFFFFFFFF) - j), lead)
-            y, x = i[lead], np.int64(0xFFFFFFFF) - (top & np.int64(0xFFFFFFFF))
-            for k, v in enumerate((m["cls"][y], m["cls"][x], top >> 32, np.diff(np.append(lead, len(i))) > 1)):
-                out[k].append(v)
+            if len(i):
+                # the widest margin, then the earliest
+                lead = np.flatnonzero(np.diff(i, prepend=-1))
+                top = np.maximum.reduceat((margin.astype(np.int64) << 32) | (np.int64(0xFFFFFFFF) - j), lead)
+                for k, v in enumerate((i[lead], m["cls"][np.int64(0xFFFFFFFF) - (top & np.int64(0xFFFFFFFF))], top >> 32, np.diff(np.append(lead, len(i))) > 1)):
+                    out[k].append(v)
         y, x, margin, several = (np.concatenate(v) for v in out)
-        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x), pa.array(margin.astype(np.int32)), pa.array(several)], ["y", "x", "margin", "several"])
-
-
-def _rest(batches: Iterator[pa.RecordBatch], find: Finder) -> Iterator[pa.RecordBatch]:
-    """All pairs (y, x) of a query and an earlier set of a group that pass the screen. Rows come by key, chunk, references
-    before queries, class and place; a group's references are held, its queries pass by."""
-    held: list[pa.RecordBatch] = []
-    rows, last = 0, None
-
-    def work(t: pa.Table) -> tuple[list[pa.RecordBatch], pa.Table, tuple]:
-        m = {n: t.column(n).to_numpy() for n in (*_COLUMNS, "asks")}
-        change = (m["key"][1:] != m["key"][:-1]) | (m["chunk"][1:] != m["chunk"][:-1])
-        gid = np.concatenate([[0], np.cumsum(change)])
-        refs, asks = np.flatnonzero(m["asks"] == 0), np.flatnonzero(m["asks"] == 1)
-        # each query once, at its first place
-        name = np.column_stack([m["key"][asks], m["chunk"][asks], m["cls"][asks]])
-        fresh = np.ones(len(asks), bool)
-        if len(asks):
-            fresh[1:] = (name[1:] != name[:-1]).any(1)
-            fresh[0] = last is None or tuple(name[0]) != last
-        now = tuple(name[-1]) if len(asks) else last
-        count = np.bincount(gid[refs], minlength=gid[-1] + 1)
-        begin = np.cumsum(count) - count
-        out, asks = [], asks[fresh]
-        found = find(m, refs, begin[gid[refs]], asks, begin[gid[asks]], count[gid[asks]]) if len(refs) and len(asks) else ()
-        for i, j, _ in found:
-            before = (m["doc"][j] < m["doc"][i]) | (m["doc"][j] == m["doc"][i]) & ((m["line"][j] < m["line"][i]) | (m["line"][j] == m["line"][i]) & (m["cls"][j] < m["cls"][i]))
-            fit = before & (m["cls"][i] != m["cls"][j])
-            pairs = np.unique(np.column_stack([m["cls"][i[fit]], m["cls"][j[fit]]]), axis=0)
-            if len(pairs):
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["y", "x"]))
-        open_refs = refs[gid[refs] == gid[-1]]
-        return out, t.take(pa.array(open_refs)), now
-
+        asked = np.unique(y)
+        keys = np.column_stack([m["cls"][asked], m["key"][asked]]).tobytes()
+        # once for each pair
+        y = m["cls"][y]
+        order = np.lexsort((several, margin, x, y))
+        last = order[np.concatenate([(y[order][1:] != y[order][:-1]) | (x[order][1:] != x[order][:-1]), [True]])] if len(order) else order
+        columns = [pa.array(y[last].view(np.int64)), pa.array(x[last].view(np.int64)), pa.array(margin[last].astype(np.int32)), pa.array(several[last]), pa.nulls(len(last), pa.binary())]
+        names = [n.split()[0] for n in _BEST.split(", ")]
+        yield pa.RecordBatch.from_arrays(columns, names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns[:4]], pa.array([keys], pa.binary())], names)
+
+
+def _open_keys(batches: Iterator[pa.RecordBatch], asks) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-        if rows >= ROWS:
-            out, rest, last = work(pa.Table.from_batches(held))
-            yield from out
-            held, rows = rest.combine_chunks().to_batches(), 0
-    if held:
-        yield from work(pa.Table.from_batches(held))[0]
+        for raw in b.column(0).to_pylist():
+            pairs = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(pairs[on(asks.value, pairs[:, 0]), 1]).view(np.int64))], ["key"])
+
+
+def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Deal members with their words (from ``begin`` on in ``tokens``) for ``_rest``. One of a key of several chunks meets
+    every chunk, as one to be met (side 0) and, if ``asks``, as one that asks (1); else it is both (2)."""
+    one = np.flatnonzero(m["chunks"] == 1)
+    sides = [(one, m["chunk"][one], np.full(len(one), 2), np.zeros(len(one), np.int64))]
+    many = np.flatnonzero(m["chunks"] > 1)
+    if len(many):
+        n = m["chunks"][many].astype(np.int64)
+        row, other = np.repeat(many, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        sides.append((row, m["chunk"][row], np.zeros(len(row), np.int64), other))
+        asking = asks[row]
+        sides.append((row[asking], other[asking], np.ones(asking.sum(), np.int64), m["chunk"][row[asking]]))
+    for row, chunk, kind, meets in sides:
+        for at in range(0, len(row), 20_000):
+            own = row[at : at + 20_000]
+            part = {k: v[own] for k, v in m.items()} | {"chunk": chunk[at : at + 20_000].astype(np.int32)}
+            yield from dealer.add(part, (meets[at : at + 20_000].astype(np.int64) << 2) | kind[at : at + 20_000], tokens[spread(begin[own], m["size"][own])])
+
+
+def common(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of common words of each pair of sets."""
+    out = np.zeros(len(i), np.int64)
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(size[i].astype(np.int64) + size[j]) // PAIRS)) + 1):
+        pair, word = [], []
+        for side in (i[part], j[part]):
+            pair.append(np.repeat(part, size[side]))
+            word.append(tokens[spread(begin[side], size[side])])
+        p, w = np.concatenate(pair), np.concatenate(word)
+        order = np.lexsort((w, p))
+        p, w = p[order], w[order]
+        out += np.bincount(p[1:][(p[1:] == p[:-1]) & (w[1:] == w[:-1])], minlength=len(i))
+    return out
+
+
+def _rest(batches: Iterator[pa.RecordBatch], find: Finder, asks, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Sets that ask and that are similar to an earlier one of a group."""
+    for _, m, side, tokens in _parts(batches):
+        gid = _groups(m, side >> 2)
+        begin = np.cumsum(m["size"], dtype=np.int64) - m["size"]
+        order = np.lexsort((m["line"], m["doc"], m["cls"], side & 3, gid))
+        g, c, k = gid[order], m["cls"][order], (side & 3)[order]
+        order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (k[1:] != k[:-1])])]
+        kind, g = (side & 3)[order], gid[order]
+        m, begin = {n: x[order] for n, x in m.items()}, begin[order]
+        refs = np.flatnonzero(kind != 1)
+        asking = np.flatnonzero((kind != 0) & on(asks.value, m["cls"]))
+        if not len(refs) or not len(asking):
+            continue
+        count = np.bincount(g[refs], minlength=g[-1] + 1)
+        first = np.cumsum(count) - count
+        gone: list[np.ndarray] = []
+        for i, j, _ in find(m, refs, first[g[refs]], asking, first[g[asking]], count[g[asking]]):
+            fit = _earlier(m, j, i) & (m["cls"][i] != m["cls"][j])
+            i, j = i[fit], j[fit]
+            if len(i):
+                same = common(tokens, begin, m["size"], i, j)
+                gone.append(np.unique(m["cls"][i[same >= needed(m["size"][i], m["size"][j], similarity)]]))
+        if gone:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(gone)).view(np.int64))], ["y"])
 
 
 def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(y) of the pairs (y, x) whose whole sets are similar. ``sets`` gives (cls, tokens) of the classes in its ``cls``."""
-    wanted = pairs.select(F.explode(F.array("y", "x")).alias("cls")).distinct()
-    tokens = sets(wanted)
+    tokens = sets(pairs.select(F.explode(F.array("y", "x")).alias("cls")).distinct())
     one, two = (tokens.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")) for c in ("y", "x"))
-    common = F.size(F.array_intersect("t_y", "t_x"))
+    both = F.size(F.array_intersect("t_y", "t_x"))
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.size("t_y") + F.size("t_x")) - 1e-9)
-    out = materialize(pairs.join(one, "y").join(two, "x").where(common >= need).select("y").distinct(), "verified")
+    out = materialize(pairs.join(one, "y").join(two, "x").where(both >= need).select("y").distinct(), "verified")
     discard(tokens)
     return out
 
 
-def later_matches(live: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, find: Finder) -> DataFrame:
-    """(cls) of the sets of the materialised table ``live`` that are similar to an earlier one."""
-    spark = live.sparkSession
+def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame], DataFrame], similarity: float, find: Finder) -> DataFrame:
+    """(cls) of the sets that are similar to an earlier one. ``members``: blobs of all members; ``whole(keys, asks)``: blobs
+    of the members under the keys of one broadcast bit table, with their words, of which those in the other ask."""
+    spark = members.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = live.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk")
-    best = dealt.mapInArrow(lambda b: _best(b, find), "y long, x long, margin int, several boolean")
-    more = F.max("several") | (F.min(F.when(F.col("margin") >= 0, F.col("x"))) != F.max(F.when(F.col("margin") >= 0, F.col("x"))))
-    first = materialize(best.groupBy("y").agg(F.max(F.struct("margin", "x")).alias("top"), F.coalesce(more, F.lit(True)).alias("more")), "first-pairs")
+
+    def dealt(blobs: DataFrame) -> DataFrame:
+        return blobs.repartition(partitions, "part").sortWithinPartitions("part")
+
+    best = materialize(dealt(members).mapInArrow(lambda b: _best(b, find), _BEST), "best")
+    found = best.where("keys is null")
+    fit = F.when(F.col("margin") >= 0, F.col("x"))
+    first = found.groupBy("y").agg(F.max(F.struct("margin", "x")).alias("top"), (F.max("several") | F.coalesce(F.min(fit) != F.max(fit), F.lit(False))).alias("more"))
+    first = materialize(first, "first-pairs")
     gone = verified(first.where("top.margin >= 0").select("y", F.col("top.x").alias("x")), sets, similarity)
-    open_ = materialize(first.where("more").select(F.col("y").alias("cls")).join(gone.select(F.col("y").alias("cls")), "cls", "left_anti"), "open")
-    discard(first)
-    out = [gone]
-    if not open_.isEmpty():
-        asks = live.join(open_, "cls", "left_semi").withColumn("asks", F.lit(1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        keys = asks.select("key", "chunk").distinct()
-        refs = live.join(keys, ["key", "chunk"], "left_semi").withColumn("asks", F.lit(0))
-        met = refs.select(*_COLUMNS, "asks").union(asks.select(*_COLUMNS, "asks"))
-        met = met.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk", "asks", "cls", "doc", "line")
-        pairs = materialize(met.mapInArrow(lambda b: _rest(b, find), "y long, x long").distinct(), "other-pairs")
-        out.append(verified(pairs, sets, similarity))
-        discard(pairs)
-    whole = out[0].union(out[1]) if len(out) > 1 else out[0]
-    whole = materialize(whole.select(F.col("y").alias("cls")), "gone")
-    discard(open_, *out)
-    return whole
+    asking = materialize(first.where("more").select("y").join(gone, "y", "left_anti"), "asking")
+    if asking.isEmpty():
+        discard(best, first, asking)
+        out = gone.withColumnRenamed("y", "cls")
+        out.scratch_path = gone.scratch_path
+        return out
+    context = spark.sparkContext
+    asks = context.broadcast(bit_table(asking))
+    keys = context.broadcast(bit_table(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long")))
+    discard(best, first)
+    more = dealt(whole(keys, asks)).mapInArrow(lambda b: _rest(b, find, asks, similarity), "y long")
+    out = materialize(gone.union(more).distinct().select(F.col("y").alias("cls")), "gone")
+    discard(gone, asking)
+    return out

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.linededup import _LAST, _addressed, _on, bit_table
-from trajspark.llm.matches import LIMIT, later_matches, tree_finder
+from trajspark.llm.bits import bit_table, on
+from trajspark.llm.linededup import _LAST, RANGE_BITS, Keys, Seen, _addressed, addresses, shared_keys
+from trajspark.llm.matches import BLOBS, LIMIT, Dealer, later_matches, part_bits, tree_finder, whole_members
 from trajspark.llm.textbuf import Words, chunks, mix
 from trajspark.session import discard, materialize
 
@@ -80,61 +81,121 @@ def fingerprint(own: np.ndarray) -> np.uint64:
     return np.packbits(2 * total > len(own), bitorder="little").view("<u8")[0]
 
 
-_SIGNED = "doc long, tie long, cls long, size int, print long, keys array<long>"
+_SIGNED = "doc long, tie long, place long, cls long, size int, print long, keys binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        docs, ties = (b.column(k).to_numpy() for k in (0, 1))
         cls, sizes, prints, keys = [], [], [], []
         for own in shingle_sets(b.column(2), size):
             cls.append(_class(own))
             sizes.append(len(own))
             prints.append(fingerprint(own))
-            keys.append(bands(own).view(np.int64) if len(own) else [])
+            keys.append(bands(own).tobytes() if len(own) else b"")
+        place = addresses(docs, ties, np.zeros(len(docs), np.int64)).view(np.int64)
         wide = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, prints)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), wide[0], pa.array(sizes, pa.int32()), wide[1], pa.array(keys, pa.list_(pa.int64()))], ["doc", "tie", "cls", "size", "print", "keys"]
-        )
+        columns = [b.column(0), b.column(1), pa.array(place), wide[0], pa.array(sizes, pa.int32()), wide[1], pa.array(keys, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SIGNED.split(", ")])
+
+
+def _of_firsts(b: pa.RecordBatch, firsts: np.ndarray) -> dict:
+    """Members under all keys, of the first document of each class (and some others, maybe)."""
+    b = b.filter(pa.array(on(firsts, b.column(2).to_numpy())))
+    raw = b.column(6).to_pylist()
+    n = np.array([len(x) >> 3 for x in raw], np.int64)
+    row = np.repeat(np.arange(len(raw)), n)
+    doc, cls, size, prints = (b.column(k).to_numpy()[row] for k in (0, 3, 4, 5))
+    zero = np.zeros(len(row), np.int64)
+    return {"key": np.frombuffer(b"".join(raw), np.uint64), "cls": cls.view(np.uint64), "doc": doc, "p1": prints.view(np.uint64), "p2": zero.view(np.uint64), "line": zero, "size": size, "pos": zero, "row": row}
+
+
+def _dealt(m: dict, known: Keys) -> dict:
+    own = known.shared(m["key"])
+    m = {n: v[own] for n, v in m.items()}
+    m["chunks"] = known.dealt(m["key"])
+    m["chunk"] = (mix(m["cls"]) % m["chunks"].astype(np.uint64)).astype(np.int32)
+    return m
+
+
+def _reports(batches: Iterator[pa.RecordBatch], firsts, range_bits: int) -> Iterator[pa.RecordBatch]:
+    seen = Seen()
+    for b in batches:
+        seen.add(_of_firsts(b, firsts.value)["key"])
+    part, raw, counts = seen.rows(range_bits)
+    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(raw, pa.binary()), pa.array(counts, pa.binary())], ["part", "gaps", "counts"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch], firsts, known, bits: int) -> Iterator[pa.RecordBatch]:
+    dealer = Dealer(bits)
+    for b in batches:
+        yield from dealer.add(_dealt(_of_firsts(b, firsts.value), known.value))
+    yield from dealer.rows()
+
+
+def _whole(batches: Iterator[pa.RecordBatch], size: int, places, known, keys, asks, bits: int) -> Iterator[pa.RecordBatch]:
+    """Members under the keys of a table, with their shingles, of the texts at ``places``."""
+    dealer = Dealer(bits)
+    for b in batches:
+        b = b.filter(pa.array(on(places.value, addresses(b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(b.num_rows, np.int64)))))
+        for signed in _signed(iter([b]), size):
+            sets = list(shingle_sets(b.column(2), size))
+            m = _dealt(_of_firsts(signed, np.full(1 << 13, 255, np.uint8)), known.value)
+            some = on(keys.value, m["key"])
+            m = {n: v[some] for n, v in m.items()}
+            lengths = np.array([len(x) for x in sets], np.int64)
+            begin = np.cumsum(lengths) - lengths
+            tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+            yield from whole_members(dealer, m, begin[m["row"]], tokens, on(asks.value, m["cls"]))
+    yield from dealer.rows()
+
+
+def _under(batches: Iterator[pa.RecordBatch], firsts, keys) -> Iterator[pa.RecordBatch]:
+    """Places of the documents that have a key of a table."""
+    for b in batches:
+        m = _of_firsts(b, firsts.value)
+        cls = np.unique(m["cls"][on(keys.value, m["key"])])
+        own = np.isin(b.column(3).to_numpy().view(np.uint64), cls)
+        yield pa.RecordBatch.from_arrays([b.column(2).filter(pa.array(own))], ["place"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        b = b.filter(pa.array(_on(wanted.value, b.column(1).to_numpy(zero_copy_only=False))))
-        sets = list(shingle_sets(b.column(0), size))
+        b = b.filter(pa.array(on(wanted.value, addresses(b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(b.num_rows, np.int64)))))
+        sets = list(shingle_sets(b.column(2), size))
         cls = np.array([_class(x) for x in sets], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["cls", "tokens"])
 
 
 def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
     """(doc, tie) of the documents that go, as ``linededup._addressed`` names them."""
-    context, docs = docs.sparkSession.sparkContext, _addressed(docs)
+    spark, docs = docs.sparkSession, _addressed(docs)
+    context, partitions = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    range_bits, bits = max(RANGE_BITS, (4 * partitions).bit_length()), part_bits(partitions)
     signed = materialize(docs.mapInArrow(lambda b: _signed(b, size), _SIGNED), "shingles")
-    firsts = signed.groupBy("cls").agg(F.min(F.struct("doc", "tie")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "print", "keys")])
-    classes = materialize(firsts, "shingle-classes")
-    members = classes.select("cls", F.col("first.doc").alias("doc"), "size", "print", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
-    live = members.join(shared, "key").select(
-        "key", F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("chunk"), "chunks", "cls", "doc", F.lit(0).alias("line"), "size", F.lit(0).alias("pos"), F.col("print").alias("p1"), F.lit(0).cast("long").alias("p2")
-    )
-    live = materialize(live, "shard-members")
-    place = F.xxhash64("doc", "tie")
+    classes = materialize(signed.groupBy("cls").agg(F.min(F.struct("doc", "tie", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "shingle-classes")
+    firsts = context.broadcast(bit_table(classes.select("first.place")))
+    known = context.broadcast(shared_keys(signed.mapInArrow(lambda b: _reports(b, firsts, range_bits), "part int, gaps binary, counts binary"), partitions, range_bits, limit))
+
+    def whole(keys, asks) -> DataFrame:
+        places = context.broadcast(bit_table(signed.mapInArrow(lambda b: _under(b, firsts, keys), "place long")))
+        return docs.mapInArrow(lambda b: _whole(b, size, places, known, keys, asks, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted")
-        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select(F.xxhash64("first.doc", "first.tie").alias("place"))))
-        found = docs.select("text", place.alias("place")).mapInArrow(lambda b: _tokens(b, size, marked), "cls long, tokens array<long>")
+        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place")))
+        found = docs.mapInArrow(lambda b: _tokens(b, size, marked), "cls long, tokens array<long>")
         out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "shingle-sets")
         discard(wanted)
         return out
 
-    gone = later_matches(live, sets, similarity, tree_finder(RADIUS))
-    discard(live)
-    affected = classes.select("cls", "first", "n").join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1")
+    members = signed.mapInArrow(lambda b: _postings(b, firsts, known, bits), BLOBS)
+    gone = later_matches(members, whole, sets, similarity, tree_finder(RADIUS))
+    affected = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1")
     joined = signed.select("doc", "tie", "cls").join(affected, "cls")
     out = materialize(joined.where("gone or doc <> first.doc or tie <> first.tie").select("doc", "tie").distinct(), "near-copies")
-    repeats = signed.groupBy("doc", "tie").count().where("count > 1").isEmpty()
+    out.repeats = not signed.groupBy("doc", "tie").count().where("count > 1").isEmpty()
     discard(signed, classes, gone)
-    out.repeats = not repeats
     return out
 
 
