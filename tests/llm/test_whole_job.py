@@ -43,11 +43,11 @@ def test_model_learns_from_all_rows_and_words(spark, monkeypatch):
     models, fit = [], lm.fit
 
     def kept(*a):
-        out = fit(*a)
-        models.append(out[0])
-        return out
+        models.append(fit(*a))
+        return models[-1]
 
     monkeypatch.setattr(lm, "fit", kept)
+    monkeypatch.setattr(lm, "SHARE", 1)
     whole = {r.doc_id: r.score for r in lm.score_documents(docs, TOKENIZER).collect()}
     store = lm.marked_ids(TOKENIZER)
     own = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]

@@ -430,7 +430,8 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: int
     doc, tie, lines = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("doc", "tie", "lines"))
     text = F.col("text").cast("string")
     joined = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(tie, F.xxhash64(text))
-    joined = joined.join(out.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("lines").alias(lines)), [doc, tie], "left")
+    # a hash table of line numbers instead of a sort of whole texts
+    joined = joined.join(out.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("lines").alias(lines)).hint("shuffle_hash"), [doc, tie], "left")
     parts = F.split(text, "\n", -1)
     left_over = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines))
     left = F.array_join(F.transform(left_over, lambda i: F.get(parts, i)), "\n")
