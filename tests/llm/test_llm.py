@@ -374,6 +374,22 @@ def test_pseudonyms_keep_format(kind, text):
     assert p.replace(spans[0][3])[1][0][0] == kind  # still valid
 
 
+@pytest.mark.parametrize("text", ["1.2.2020", "01.02.2020", "11.2.2020", "13/10/1952", "5/21/1953", "05/21/1953", "1952-10-13"])
+def test_dates_keep_their_format(text):
+    """Pseudonyms are read as they are written, and no two days of a format share one."""
+    f, mark = pii.Feistel(b"key"), re.search("[-./]", text)[0]
+    shape = lambda t: [len(x) for x in t.split(mark)]
+    kind, days = pii._date(text)[1], {}
+    for k in range(0, 9000):
+        day = pii.FIRST_DAY + pii.datetime.timedelta(18000 + k)
+        parts = dict(zip("ymd", (day.year, day.month, day.day)))
+        value = mark.join(f"{parts[c]:0{w}d}" for c, w in zip(kind, shape(text)))
+        if shape(value) == shape(text) and pii._date(value) == (day, kind):
+            days[value] = pii.pseudonym("date", value, f)
+    assert len(days) > 1900 and len(set(days.values())) == len(days)
+    assert all(shape(v) == shape(text) and pii._date(v)[1] == kind for v in days.values())
+
+
 def test_invalid_values_stay(spark):
     for t in ("4111 1111 1111 1112", "2023-02-30", "256.1.1.1", "version 2.0", "000-12-3456"):
         assert pii.Pseudonymizer(b"key").replace(t) == (t, [])
@@ -479,6 +495,20 @@ def test_decontamination(spark, corpus):
         assert got[k] == {i for i, a in all_items if edit_distance(a, words(t)) <= int(0.2 * len(a) + 1e-9)}
 
 
+def test_benchmark_in_slices(spark, monkeypatch):
+    """Rows stay the rows they are, however many slices the benchmark has."""
+    items = spark.createDataFrame([(k, " ".join(f"{c}{i}" for i in range(20))) for k, c in enumerate("abcdef")], "item_id long, text string")
+    rows = [(1, " ".join(f"a{i}" for i in range(20))), (1, "clean words"), (1, None), (2, " ".join(f"{c}{i}" for c in "bf" for i in range(20))), (None, "x")]
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, items string")
+    whole = [(r.doc_id, sorted(i.item_id for i in r["items"]), r.n_items) for r in decontamination.contamination(docs, items).collect()]
+    assert sorted(x[1] for x in whole) == [[], [], [], [0], [1, 5]]
+    monkeypatch.setattr(decontamination, "SLICE_WORDS", 30)
+    assert len(list(decontamination.slices(items))) > 1
+    parts = [(r.doc_id, sorted(i.item_id for i in r["items"]), r.n_items) for r in decontamination.contamination(docs, items).collect()]
+    assert sorted(map(str, parts)) == sorted(map(str, whole))
+    assert decontamination.keep_clean(docs, items).count() == 3
+
+
 # --- 1 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -274,27 +274,24 @@ def _found(batches: Iterator[pa.RecordBatch], index, at: int) -> Iterator[tuple[
 
 
 def _report(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+    """Rows with what this slice of the benchmark adds to their findings."""
     for b, rows in _found(batches, index, 1):
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([bool(r) for r in rows], pa.bool_()), pa.array(rows, pa.list_(_ITEM))], ["doc_id", "contaminated", "items"]
-        )
+        items = [[*old, *new] for old, new in zip(b.column(2).to_pylist(), rows)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(items, pa.list_(_ITEM))], ["doc_id", "text", "items"])
+
+
+_ROWS = "doc_id long, text string, items array<struct<item_id: long, similarity: double>>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, contaminated, n_items, items (item_id, similarity) of every row."""
-    docs, context = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), docs.sparkSession.sparkContext
-    parts = []
-    for ids, texts in slices(benchmark):
+    context = docs.sparkSession.sparkContext
+    none = F.expr("cast(array() as array<struct<item_id: bigint, similarity: double>>)")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), none.alias("items"))
+    for ids, texts in slices(benchmark):  # the rows pass by one slice after the other, and stay the rows they are
         index = context.broadcast(Benchmark(ids, texts, similarity, recall))
-        parts.append(docs.mapInArrow(lambda b, index=index: _report(b, index), "doc_id long, contaminated boolean, items array<struct<item_id: long, similarity: double>>"))
-    if not parts:
-        parts = [docs.select("doc_id", F.lit(False).alias("contaminated"), F.expr("cast(array() as array<struct<item_id: bigint, similarity: double>>)").alias("items"))]
-    out = parts[0]
-    if len(parts) > 1:  # repeated rows of one doc_id are told apart by nothing here, and share their findings
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.flatten(F.collect_list("items")).alias("items"))
-    return out.select("doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), "items")
+        out = out.mapInArrow(lambda b, index=index: _report(b, index), _ROWS)
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index, at: int) -> Iterator[pa.RecordBatch]:

@@ -170,9 +170,15 @@ def pseudonym(kind: str, text: str, f: Feistel) -> str | None:
     day, form = _date(text) or (None, "")
     if day is None or not 0 <= (at := (day - FIRST_DAY).days) < DAYS:
         return None
-    new_day = FIRST_DAY + datetime.timedelta(f.below(at, DAYS, "date"))
-    parts = {"y": f"{new_day.year:04d}", "m": f"{new_day.month:02d}", "d": f"{new_day.day:02d}"}
-    return re.search(r"[-./]", text)[0].join(parts[c] for c in form)
+    # the same permutation of days for all formats, walked on until the day can be written as the value was
+    mark = re.search(r"[-./]", text)[0]
+    width = dict(zip(form, map(len, text.split(mark))))
+    while True:
+        at = f.below(at, DAYS, "date")
+        new = FIRST_DAY + datetime.timedelta(at)
+        parts = {c: f"{v:0{width[c]}d}" for c, v in zip("ymd", (new.year, new.month, new.day))}
+        if all(len(parts[c]) == width[c] for c in form) and not (mark == "/" and form == "dmy" and new.day <= 12):
+            return mark.join(parts[c] for c in form)
 
 
 class Pseudonymizer:
