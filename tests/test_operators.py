@@ -93,6 +93,12 @@ def test_rename_report():
 
 def test_expression_division(spark):
     df = spark.createDataFrame([(1.0, [0.0, 2.0])], "a double, v array<double>")
+    four = df.select(F.lit(4.0).alias("q"))
+    for text, want in (("x / 2 + 1", 3.0), ("(x / 2) + (x / 4)", 3.0), ("-x * (1 - 3) / 2", 4.0), ("any_name - 1.5e0", 2.5)):
+        assert four.select(edits.assign_expression(four, "q", text).alias("r")).first().r == want
+    for text in ("java_method('java.lang.System','getProperty','user.name')", "x; 1", "x if x else 1", "'a'"):
+        with pytest.raises(ValueError):
+            edits.assign_expression(four, "q", text)
     assert df.select(edits.assign_expression(df, "v", "1 / x").alias("r")).first().r == [None, 0.5]
     assert df.select(edits.assign_expression(df, "v", "1 / x", True).alias("r")).first().r == [float("inf"), 0.5]
     assert df.select(edits.assign_expression(df, "a", "x * 2").alias("r")).first().r == 2.0

@@ -69,7 +69,7 @@ def build_anchors(messages: DataFrame, base: str, fps: float | None = None) -> D
 
 def align_nearest(messages: DataFrame, anchors: DataFrame, topics: list[str] | None = None) -> DataFrame:
     """(bag, anchor, anchor_ns, topic, seq, ts_ns, delta_ns): for each anchor the message of each topic nearest in time,
-    of two equally near the later; only topics with messages. One sort by bag and topic; payloads stay behind and are
+    of two equally near the later; only topics with messages. Sorted by bag and topic, forth and back; payloads stay behind and are
     joined by (bag, topic, seq) where needed. J1."""
     m = messages.select("bag", "topic", "ts_ns", "seq")
     m = m.where(F.col("topic").isin(*topics)) if topics else m
@@ -77,11 +77,13 @@ def align_nearest(messages: DataFrame, anchors: DataFrame, topics: list[str] | N
     wanted = anchors.join(present, "bag").select("bag", "topic", F.col("anchor_ns").alias("t"), F.lit(0).alias("kind"), "anchor", F.lit(None).cast("long").alias("seq"))
     there = m.select("bag", "topic", F.col("ts_ns").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("anchor"), "seq")
     both = wanted.withColumn("anchor", F.col("anchor").cast("int")).unionByName(there)
-    # anchors stand before messages of their own time: what precedes is strictly earlier, what follows at or after
-    order = Window.partitionBy("bag", "topic").orderBy("t", "kind", "seq")
+    # anchors stand before messages of their own time: what precedes is strictly earlier, what follows at or after. Both
+    # frames begin at a partition's end, so each is a running value and no frame is scanned anew for a row
+    group = Window.partitionBy("bag", "topic")
+    up, down = group.orderBy("t", "kind", "seq"), group.orderBy(F.desc("t"), F.desc("kind"), F.desc("seq"))
     message = F.when(F.col("kind") == 1, F.struct("t", "seq"))
-    before = F.last(message, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(message, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(message, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(message, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
     near = both.withColumn("b", before).withColumn("a", after).where("kind = 0")
     early = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("t") - F.col("b.t") < F.col("a.t") - F.col("t")))
     pick = F.when(early, F.col("b")).otherwise(F.col("a"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,8 +139,13 @@ def append_datasets(frames: DataFrame, order: DataFrame, into: str) -> DataFrame
     """All datasets of ``frames`` as one named ``into``, by dataset_order, then episode; episodes and the global index are
     numbered through. G1."""
     e = episode_lengths(frames).join(order, "dataset_id")
-    w = Window.partitionBy(F.lit(0)).orderBy("dataset_order", "episode_index")  # over episodes, not frames
-    e = e.select(*EPISODE, (F.row_number().over(w) - 1).cast("long").alias("__new"), (F.sum("length").over(w) - F.col("length")).alias("__first"))
+    # datasets, a row each, are summed in order; episodes only within their dataset
+    d = e.groupBy("dataset_id", "dataset_order").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("rows"))
+    through = Window.orderBy("dataset_order", "dataset_id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("dataset_id", F.coalesce(F.sum("n").over(through), F.lit(0)).alias("__n"), F.coalesce(F.sum("rows").over(through), F.lit(0)).alias("__rows"))
+    w = Window.partitionBy("dataset_id").orderBy("episode_index")
+    new = (F.col("__n") + F.row_number().over(w) - 1).cast("long").alias("__new")
+    e = e.join(d, "dataset_id").select(*EPISODE, new, (F.col("__rows") + F.sum("length").over(w) - F.col("length")).alias("__first"))
     f = renumber_frames(frames).join(e, EPISODE)
     f = f.withColumn("index", F.col("__first") + F.col("pos")).withColumn("orig_dataset_id", F.col("dataset_id")).withColumn("orig_episode_index", F.col("episode_index"))
     return f.withColumn("dataset_id", F.lit(into)).withColumn("episode_index", F.col("__new")).drop("__new", "__first")
@@ -210,16 +218,42 @@ def assign_field(df: DataFrame, target: str, value: Column, episodes: list[int]
     return df.withColumn(target, new if episodes is None else F.when(F.col("episode_index").isin(*episodes), new).otherwise(F.col(target)))
 
 
+_OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul}
+
+
+def _built(node: ast.expr, x: Column, ieee: bool) -> Column:
+    """Column of an arithmetic expression of numbers and the field; anything else is an error."""
+    match node:
+        case ast.Constant(value=bool()):
+            pass
+        case ast.Constant(value=int() | float() as number):
+            return F.lit(float(number))
+        case ast.Name():
+            return x
+        case ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=inner):
+            return -_built(inner, x, ieee) if isinstance(node.op, ast.USub) else _built(inner, x, ieee)
+        case ast.BinOp(left=left, op=ast.Div(), right=right):
+            a, b = _built(left, x, ieee), _built(right, x, ieee)
+            if not ieee:
+                return F.try_divide(a, b)
+            at_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+            return F.when(b != 0, F.try_divide(a, b)).when(b == 0, at_zero)
+        case ast.BinOp(left=left, op=op, right=right) if type(op) in _OPERATORS:
+            return _OPERATORS[type(op)](_built(left, x, ieee), _built(right, x, ieee))
+    raise ValueError(f"not arithmetic of numbers and the field: {ast.unparse(node)}")
+
+
 def assign_expression(df: DataFrame, source: str, expression: str, ieee: bool = False) -> Column:
-    """Value of an SQL expression over ``x``: the field, or each of its entries. Division by zero gives null, or with
-    ``ieee`` infinity or NaN. C5."""
-    vector = dict(df.dtypes)[source].startswith("array")
-    rule = "(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) WHEN ({a}) > 0 THEN double('Infinity') WHEN ({a}) < 0 THEN double('-Infinity') ELSE double('NaN') END)" if ieee else "try_divide({a}, {b})"
-    if "/" in expression:
-        a, _, b = expression.rpartition("/")
-        expression = rule.format(a=a.strip(), b=b.strip())
-    text = f"transform(`{source}`, x -> {expression})" if vector else expression
-    return F.expr(text if vector else f"transform(array(`{source}`), x -> {expression})[0]")
+    """Value of an arithmetic expression (+ - * / and brackets) over the field, which any name stands for, or over each of
+    its entries. Division by zero gives null, or with ``ieee`` infinity or NaN. C5."""
+    try:
+        tree = ast.parse(expression.strip(), mode="eval").body
+    except SyntaxError as e:
+        raise ValueError(f"cannot be read: {expression}") from e
+    value = lambda x: _built(tree, x.cast("double"), ieee)
+    if dict(df.dtypes)[source].startswith("array"):
+        return F.transform(F.col(f"`{source}`"), value)
+    return value(F.col(f"`{source}`"))
 
 
 def rename_axes(features: DataFrame, feature: str, names: list[str]) -> DataFrame:

@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trajspark.operators.axes import EPISODE
 
 CHUNK_SIZE, DATA_LIMIT, VIDEO_LIMIT = 1000, 100 * 1024 * 1024, 500 * 1024 * 1024
+#: Rows of a file whose episodes are looked up together.
+BLOCK = 256
+
+
+def _fold(batches: Iterator[pa.RecordBatch], n_keys: int, limit: float) -> Iterator[pa.RecordBatch]:
+    """Files of episodes that come by key and in order; only the open file's state is kept."""
+    last, file, used, rows, n = None, 0, 0.0, 0, 0
+    for b in batches:
+        keys = list(zip(*(b.column(k).to_pylist() for k in range(n_keys))))
+        files, low, high = [], [], []
+        for key, size, length in zip(keys, b.column(n_keys + 1).to_pylist(), b.column(n_keys + 2).to_pylist()):
+            if key != last:
+                last, file, used, rows, n = key, 0, 0.0, 0, 0
+            if n and used + size >= limit:
+                file, used, rows, n = file + 1, 0.0, 0, 0
+            files.append(file)
+            low.append(rows)
+            used, rows, n = used + size, rows + length, n + 1
+            high.append(rows)
+        yield pa.RecordBatch.from_arrays([*b.columns[: n_keys + 2], *[pa.array(x, pa.int64()) for x in (files, low, high)]], [*b.schema.names[: n_keys + 2], "file", "from_index", "to_index"])
 
 
 def pack_files(sizes: DataFrame, limit: float, chunk_size: int = CHUNK_SIZE, keys: tuple[str, ...] = ("dataset_id",), by: str = "bytes") -> DataFrame:
     """File of each episode in order: a new file begins where the size would reach the limit and the file has anything
     in it; file numbers start anew after ``chunk_size`` in the next chunk. Rows from and to in the file by ``length``.
-    The fold is over the sizes of one dataset's episodes, datasets side by side. W15."""
-    listed = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("episode_index", F.col(by).cast("double").alias("size"), F.col("length").cast("long").alias("length")))).alias("all"))
-    entry = "struct<episode_index: bigint, file: bigint, size: double, from_index: bigint, to_index: bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("file"), F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{entry}>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = (s["n"] > 0) & (s["used"] + x["size"] >= limit)
-        file, used = F.when(fresh, s["file"] + 1).otherwise(s["file"]), F.when(fresh, 0.0).otherwise(s["used"])
-        rows, n = F.when(fresh, 0).otherwise(s["rows"]), F.when(fresh, 0).otherwise(s["n"])
-        row = F.struct(x["episode_index"].cast("long").alias("episode_index"), file.alias("file"), x["size"].alias("size"), rows.cast("long").alias("from_index"), (rows + x["length"]).cast("long").alias("to_index"))
-        return F.struct(file.alias("file"), (used + x["size"]).alias("used"), (rows + x["length"]).cast("long").alias("rows"), (n + 1).cast("long").alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    packed = listed.select(*keys, F.explode(F.aggregate("all", start, step)["out"]).alias("p"))
-    chunk, file = F.floor(F.col("p.file") / chunk_size), F.col("p.file") % chunk_size
-    return packed.select(*keys, "p.episode_index", chunk.cast("long").alias("chunk"), file.cast("long").alias("file"), F.col("p.size").alias(by), "p.from_index", "p.to_index")
+    Each dataset's episodes, some numbers each, pass a fold in order; nothing is gathered. W15."""
+    s = sizes.select(*keys, F.col("episode_index").cast("long"), F.coalesce(F.col(by).cast("double"), F.lit(0.0)).alias(by), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("__length"))
+    s = s.repartition(*keys).sortWithinPartitions(*keys, "episode_index", by, "__length")
+    schema = StructType([*s.schema.fields[:-1], *[StructField(c, LongType()) for c in ("file", "from_index", "to_index")]])
+    packed = s.mapInArrow(lambda b: _fold(b, len(keys), limit), schema)
+    chunk, file = F.floor(F.col("file") / chunk_size), F.col("file") % chunk_size
+    return packed.select(*keys, "episode_index", chunk.cast("long").alias("chunk"), file.cast("long").alias("file"), by, "from_index", "to_index")
 
 
 def video_offsets(videos: DataFrame, limit: float = VIDEO_LIMIT, chunk_size: int = CHUNK_SIZE) -> DataFrame:
@@ -42,13 +58,14 @@ def video_offsets(videos: DataFrame, limit: float = VIDEO_LIMIT, chunk_size: int
 
 def slice_by_row_range(rows: DataFrame, episodes: DataFrame) -> DataFrame:
     """Rows of shared files with their episode: ``rows`` (dataset_id, chunk, file, row, ...), ``episodes`` (dataset_id,
-    episode_index, chunk, file, from_index, to_index); positions are relative to the least from_index of a file. The
-    file is the key of the join, the range a condition on it. J13."""
+    episode_index, chunk, file, from_index, to_index); positions are relative to the least from_index of a file. Ranges
+    are cut at every BLOCK rows, so a row meets the episodes of its own block only, not all of its file. J13."""
     base = F.min("from_index").over(Window.partitionBy("dataset_id", "chunk", "file"))
-    e = episodes.withColumn("__low", F.col("from_index") - base).withColumn("__high", F.col("to_index") - base)
-    e = e.select("dataset_id", "chunk", "file", "episode_index", "__low", "__high")
-    j = rows.join(e, ["dataset_id", "chunk", "file"]).where("row >= __low and row < __high")
-    return j.withColumn("pos", F.col("row") - F.col("__low")).drop("__low", "__high")
+    e = episodes.withColumn("__low", F.col("from_index") - base).withColumn("__high", F.col("to_index") - base).where("__low < __high")
+    blocks = F.sequence(F.floor(F.col("__low") / BLOCK), F.floor((F.col("__high") - 1) / BLOCK))
+    e = e.select("dataset_id", "chunk", "file", "episode_index", "__low", "__high", F.explode(blocks).alias("__block"))
+    j = rows.withColumn("__block", F.floor(F.col("row") / BLOCK)).join(e, ["dataset_id", "chunk", "file", "__block"]).where("row >= __low and row < __high")
+    return j.withColumn("pos", F.col("row") - F.col("__low")).drop("__low", "__high", "__block")
 
 
 def legacy_episode_rows(packed: DataFrame, episodes: DataFrame, tasks: DataFrame, flat_stats: DataFrame | None = None) -> DataFrame:

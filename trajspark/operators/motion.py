@@ -94,7 +94,8 @@ def smooth_jumps(derived: DataFrame, window: int = 5) -> DataFrame:
     d = d.withColumn("touched", near & ~edge)
     kept = F.when(~F.col("touched"), F.struct("pos", "value"))
     left = F.last(kept, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(kept, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*AXIS).orderBy(F.desc("pos"))  # a running value from the end, not a frame scanned for each row
+    right = F.last(kept, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("__l", left).withColumn("__r", right)
     share = (F.col("pos") - F.col("__l.pos")) / (F.col("__r.pos") - F.col("__l.pos"))
     line = F.col("__l.value") + share * (F.col("__r.value") - F.col("__l.value"))
