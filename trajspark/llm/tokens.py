@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,8 +17,8 @@ from trajspark.llm.textbuf import Words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 300_000
+#: Distinct words whose ids a worker keeps, some 40 bytes each; beyond it the store starts anew.
+WORDS_KEPT, LETTERS_KEPT = 1_500_000, 100_000
 
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
@@ -57,7 +58,7 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.letters: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 15, np.int64)
@@ -67,7 +68,7 @@ class WordIds:
     def _letters(self, word: str) -> list[int]:
         ids = self.letters.get(word)
         if ids is None:
-            if len(self.letters) > WORDS_KEPT // 3:
+            if len(self.letters) > LETTERS_KEPT:
                 self.letters.clear()
             spelled = word if word.isascii() else "".join(self.chars[b] for b in word.encode())
             ids = self.letters[word] = [t.id for t in self.model.tokenize(spelled)]
@@ -92,15 +93,15 @@ class WordIds:
     def lookup(self, words: Words, parts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(slot of each distinct word, position of each word among the distinct ones). ``parts``: numpy's unique of the
         words' hashes with first places and inverse, where the caller has it already."""
-        if len(self.at) > WORDS_KEPT:
-            self.reset()
         distinct, first, inverse = parts or np.unique(words.hash(), return_index=True, return_inverse=True)
-        get = self.at.get
-        slots = [get(h, -1) for h in distinct.tolist()]
-        missing = [i for i, s in enumerate(slots) if s < 0]
-        if missing:
-            base, keys, n = len(self.at), distinct.tolist(), len(missing)
-            found = self.encode([words.text(int(first[i])) for i in missing])
+        slots = self.slots_of(distinct)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing) and len(self.keys) + len(missing) > WORDS_KEPT:
+            self.reset()
+            slots[:], missing = -1, np.arange(len(distinct))
+        if len(missing):
+            base, n = len(self.keys), len(missing)
+            found = self.encode([words.text(i) for i in first[missing].tolist()])
             sizes = np.fromiter(map(len, found), np.int64, n)
             while base + n > len(self.begin):
                 self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
@@ -108,11 +109,20 @@ class WordIds:
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
             self.begin[base : base + n] = self.used + np.cumsum(sizes) - sizes
             self.length[base : base + n] = sizes
-            self.pool[self.used : self.used + sizes.sum()] = [x for ids in found for x in ids]
+            self.pool[self.used : self.used + sizes.sum()] = np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())
             self.used += int(sizes.sum())
-            for k, i in enumerate(missing):
-                self.at[keys[i]] = slots[i] = base + k
-        return np.asarray(slots, np.int64), inverse
+            slots[missing] = base + np.arange(n)
+            places = np.searchsorted(self.keys, distinct[missing])
+            self.keys = np.insert(self.keys, places, distinct[missing])
+            self.slots = np.insert(self.slots, places, slots[missing].astype(np.int32))
+        return slots, inverse
+
+    def slots_of(self, distinct: np.ndarray) -> np.ndarray:
+        """Slots of sorted word hashes, -1 for those not kept."""
+        if not len(self.keys):
+            return np.full(len(distinct), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.where(self.keys[at] == distinct, self.slots[at], -1).astype(np.int64)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Number of ids of each text of a run."""
