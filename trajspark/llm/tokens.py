@@ -18,7 +18,7 @@ from trajspark.llm.textbuf import Words
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words whose ids a worker keeps, some 40 bytes each; beyond it the store starts anew.
-WORDS_KEPT, LETTERS_KEPT = 1_500_000, 100_000
+WORDS_KEPT, LETTERS_KEPT = 800_000, 100_000
 
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
