@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.operators import alignment
-from trajspark.sources import readers
+from trajspark.sources import readers, writers
 from trajspark.streaming.ingest import incremental_ingest
 
 
@@ -47,3 +47,41 @@ def test_incremental_ingest(spark, tmp_path):
     incremental_ingest(spark, *args)
     assert sorted((r.episode_index, r.bag, r.n) for r in spark.read.parquet(args[1]).collect()) == [(0, "bag0", 3), (1, "bag1", 4)]
     assert alignment.IMAGE_TYPES
+
+
+def test_written_datasets_are_read_back(spark, tmp_path):
+    rows = [("d", e, p, p / 30, [float(e), float(p)], [float(p)], p % 2) for e in range(5) for p in range(3 + e)]
+    f = spark.createDataFrame(rows, "dataset_id string, episode_index long, pos long, timestamp double, state array<double>, action array<double>, task_index long")
+    tasks = spark.createDataFrame([("d", 0, "pick"), ("d", 1, "plätze")], "dataset_id string, task_index long, task string")
+    episodes = spark.createDataFrame([("d", e, ["pick"]) for e in range(5)], "dataset_id string, episode_index long, tasks array<string>")
+    want = sorted((r[1], r[2], r[4], r[5]) for r in rows)
+    read = lambda df: sorted((r.episode_index, r.pos, r.state, r.action) for r in df.collect())
+    root = str(tmp_path / "v21")
+    paths = {r.path for r in writers.write_dataset(f, episodes, tasks, root, fps=30.0, robot="arm", chunk_size=2).collect()}
+    assert {"d/data/chunk-002/episode_000004.parquet", "d/meta/info.json", "d/meta/episodes_stats.jsonl", "d/meta/stats.json"} <= paths and len(paths) == 10
+    assert read(readers.scan_frames(spark, [root])) == want
+    info = readers.read_info(spark, [root])
+    d = readers.datasets(info).first()
+    assert (d.version, d.robot_type, d.total_episodes, d.total_frames, d.chunks_size) == ("v2.1", "arm", 5, 25, 2)
+    assert {r.feature: r.shape for r in readers.features(info).collect()}["observation.state"] == [2]
+    assert [json.loads(x)["task"] for x in (tmp_path / "v21/d/meta/tasks.jsonl").read_text().splitlines()] == ["pick", "plätze"]
+    line = json.loads((tmp_path / "v21/d/meta/episodes_stats.jsonl").read_text().splitlines()[1])
+    assert line["episode_index"] == 1 and line["stats"]["observation.state"]["max"] == [1.0, 3.0] and line["stats"]["action"]["count"] == [4]
+    assert {r.feature for r in readers.stats_keys(spark, [root]).collect()} == {"action", "observation.state"}
+    assert [r.task_index for r in readers.list_episodes(readers.read_jsonl(spark, [root], "episodes.jsonl", readers.EPISODES)).collect()] == [0] * 5
+    assert [r.pos for r in readers.episode_frames(readers.scan_frames(spark, [root]), 2).collect()] == list(range(5))
+    (tmp_path / "v21/d/joint_config.json").write_text('{"names": ["outer"]}')
+    (tmp_path / "v21/d/meta/joint_config.json").write_text('{"groups": {"left_arm": ["a", "b"], "neck": ["c"]}}')
+    assert [(r.dataset_id, r.axis_index, r.axis_name) for r in readers.read_joint_config(spark, [root]).collect()] == [("d", 0, "a"), ("d", 1, "b"), ("d", 2, "c")]
+    columns, n, some = readers.table_preview(f, 3)
+    assert len(columns) == 7 and n == 25 and some.count() == 3
+    old = {r.path for r in writers.write_dataset(f, episodes, tasks, str(tmp_path / "v20"), "v2.0").collect()}
+    assert "d/meta/stats.json" in old and "d/meta/episodes_stats.jsonl" not in old
+    assert json.loads((tmp_path / "v20/d/meta/info.json").read_text())["codebase_version"] == "v2.0"
+    shared = str(tmp_path / "v30")
+    files = {r.path: r.n_rows for r in writers.write_shared_dataset(f, episodes, tasks, shared, limit=600).collect()}
+    assert sum("/data/" in p for p in files) > 1 and sum(n for p, n in files.items() if "/data/" in p) == 25
+    assert read(writers.read_shared_dataset(spark, [f"{shared}/d"])) == want
+    import pandas as pd
+
+    assert list(pd.read_parquet(f"{shared}/d/meta/tasks.parquet").index) == ["pick", "plätze"]

@@ -117,4 +117,6 @@ ORACLE = {
  SELECT new_index AS episode_index, j.ds AS orig_dataset_id, j.episode_index AS orig_episode_index, pos, (first_frame + pos)::BIGINT AS "index" FROM j JOIN n ON j.ds = n.ds AND j.episode_index = n.episode_index"""),
     "refresh_totals_orders": _TASKS + """ SELECT ta.dataset_id, count(DISTINCT l_orderkey) AS total_episodes, count(*) AS total_frames, (SELECT count(*) FROM tk WHERE tk.dataset_id = ta.dataset_id) AS total_tasks
  FROM ta JOIN lineitem ON l_orderkey = episode_index GROUP BY ta.dataset_id""",
+    "assign_expression_embeddings": with_views(["frames_embeddings"], """ SELECT episode_index, pos, round(CASE WHEN episode_index = 3 THEN state[1] * 100 - 3 ELSE state[1] END, 6) AS s0,
+ CASE WHEN episode_index NOT IN (1, 2) THEN round(action[1], 6) WHEN state[1] * 2 + 1 > 0 THEN 'inf'::DOUBLE WHEN state[1] * 2 + 1 < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS a0 FROM frames_embeddings"""),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from trajspark.operators.stats import episode_lengths
 from trajspark.plans import views
 from trajspark.plans.rounding import rounded
 from trajspark.plans.views import with_views
+from trajspark.session import shared_dir
+from trajspark.sources import readers, writers
 
 
 def pack_files_part(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +33,38 @@ def layout_round_trip_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return rounded(back.select("dataset_id", "episode_index", "pos", F.get("state", F.lit(1)).alias("price")))
 
 
+def _written(spark: SparkSession, d: str, write) -> tuple[str, DataFrame]:
+    """A new folder in the shared one with the frames, and the frames."""
+    f = views.frames_embeddings(spark, d)
+    tasks = spark.createDataFrame([("embeddings", 0, "hold")], "dataset_id string, task_index long, task string")
+    episodes = f.select("dataset_id", "episode_index").distinct().withColumn("tasks", F.array(F.lit("hold")))
+    root = f"{shared_dir(spark).rstrip('/')}/trajspark/dataset-{uuid.uuid4().hex}"
+    write(f, episodes, tasks, root).write.format("noop").mode("overwrite").save()
+    return root, f
+
+
+def _firsts(f: DataFrame) -> DataFrame:
+    return rounded(f.select("dataset_id", "episode_index", "pos", F.get("state", F.lit(0)).alias("s0"), F.get("action", F.lit(31)).alias("a31")))
+
+
+def dataset_round_trip_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    root, _ = _written(spark, d, writers.write_dataset)
+    return _firsts(readers.scan_frames(spark, [root]))
+
+
+def shared_round_trip_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    root, _ = _written(spark, d, lambda *a: writers.write_shared_dataset(*a, limit=300_000))
+    return _firsts(writers.read_shared_dataset(spark, [f"{root}/embeddings"]))
+
+
+def written_statistics_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Greatest value of each state axis, from the statistics file of the written dataset."""
+    root, _ = _written(spark, d, writers.write_dataset)
+    text = spark.read.text(f"{root}/embeddings/meta/stats.json", wholetext=True)
+    most = F.from_json(F.get_json_object("value", "$['observation.state'].max"), "array<double>")
+    return rounded(text.select(F.posexplode(most).alias("axis_index", "max")).select(F.col("axis_index").cast("long"), "max"))
+
+
 def episode_paths_orders(spark: SparkSession, d: str) -> DataFrame:
     return views.tasks_orders(spark, d).select("episode_index", layouts.episode_path(F.col("episode_index")).alias("path"))
 
@@ -39,18 +75,23 @@ def group_axes_part(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.select(F.col("p_partkey").alias("part"), axes.axis_group(F.col("name")).alias("grp"), axes.group_label(axes.axis_group(F.col("name"))).alias("label"), axes.normalize_joint_name(F.concat("name", F.lit("_joint"))).alias("norm")))
 
 
-QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, episode_paths_orders, group_axes_part)}
+QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, dataset_round_trip_embeddings, shared_round_trip_embeddings, written_statistics_embeddings, episode_paths_orders, group_axes_part)}
 
 _PACK = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey::BIGINT AS episode_index, p_retailprice::DOUBLE AS bytes FROM part),
  r AS (SELECT i, episode_index, bytes, 0::BIGINT AS f, bytes AS used, 0::BIGINT AS lo FROM s WHERE i = 1
  UNION ALL SELECT s.i, s.episode_index, s.bytes, CASE WHEN used + s.bytes >= {limit} THEN f + 1 ELSE f END, CASE WHEN used + s.bytes >= {limit} THEN s.bytes ELSE used + s.bytes END,
  CASE WHEN used + s.bytes >= {limit} THEN 0 ELSE lo + 1 END FROM r JOIN s ON s.i = r.i + 1)"""
 
+_FIRSTS = with_views(["frames_embeddings"], " SELECT dataset_id, episode_index, pos, round(state[1], 6) AS s0, round(action[32], 6) AS a31 FROM frames_embeddings")
+
 ORACLE = {
     "pack_files_part": _PACK.replace("{limit}", "10000") + """ SELECT 'part' AS dataset_id, episode_index, f // 50 AS chunk, f % 50 AS file, round(bytes, 2) AS bytes, lo AS from_index, lo + 1 AS to_index FROM r""",
     "video_offsets_part": _PACK.replace("{limit}", "20000") + """ SELECT 'part' AS dataset_id, 'cam' AS camera, episode_index, f // 50 AS chunk, f % 50 AS file,
  round(sum(bytes) OVER (PARTITION BY f ORDER BY episode_index) - bytes, 2) AS from_timestamp, round(sum(bytes) OVER (PARTITION BY f ORDER BY episode_index), 2) AS to_timestamp FROM r""",
     "layout_round_trip_lineitem": with_views(["frames_lineitem"], " SELECT 'part' || (episode_index % 50) AS dataset_id, episode_index, pos, round(v1, 6) AS price FROM frames_lineitem"),
+    "dataset_round_trip_embeddings": _FIRSTS,
+    "shared_round_trip_embeddings": _FIRSTS,
+    "written_statistics_embeddings": with_views(["frames_embeddings"], " SELECT axis_index, round(max(s), 6) AS max FROM axis_embeddings GROUP BY 1"),
     "episode_paths_orders": "SELECT o_orderkey::BIGINT AS episode_index, format('data/chunk-{:03d}/episode_{:06d}.parquet', o_orderkey // 1000, o_orderkey) AS path FROM orders",
     "group_axes_part": """WITH n AS (SELECT p_partkey::BIGINT AS part, CASE p_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, CASE WHEN p_partkey % 2 = 0 THEN 'elbow' ELSE 'neck' END AS joint FROM part),
  g AS (SELECT *, concat_ws('_', side, CASE joint WHEN 'elbow' THEN 'arm' ELSE 'head' END) AS grp FROM n)

@@ -64,6 +64,38 @@ def scan_frames(spark: SparkSession, roots: list[str]) -> DataFrame:
     return df
 
 
+def list_episodes(episodes: DataFrame) -> DataFrame:
+    """Episodes with their lengths and task numbers, 0 where there is none. P2."""
+    return episodes.select("dataset_id", "episode_index", "length", F.coalesce(F.try_to_number("task_index", F.lit("999999999")).cast("long"), F.lit(0)).alias("task_index"))
+
+
+def episode_frames(frames: DataFrame, episode: int) -> DataFrame:
+    """One episode's frames in order, missing times as 0. P3."""
+    return frames.where(F.col("episode_index") == episode).withColumn("timestamp", F.coalesce("timestamp", F.lit(0.0))).orderBy("dataset_id", "pos")
+
+
+def stats_keys(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(dataset_id, feature) of each root's stats.json. P24."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "stats.json").text(roots, wholetext=True)
+    return text.select(dataset_of(F.col("_metadata.file_path"), "meta").alias("dataset_id"), F.explode(F.json_object_keys("value")).alias("feature"))
+
+
+def read_joint_config(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(dataset_id, axis_index, axis_name) from joint_config.json, that of meta/ before that of the root. S8."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "joint_config.json").text(roots, wholetext=True)
+    path = F.col("_metadata.file_path")
+    c = text.select(F.regexp_extract(path, r"([^/]+)/(?:meta/)?joint_config\.json$", 1).alias("dataset_id"), F.contains(path, F.lit("/meta/")).alias("inner"), F.from_json("value", "names array<string>, groups map<string, array<string>>").alias("c"))
+    c = c.groupBy("dataset_id").agg(F.max_by("c", "inner").alias("c"))
+    # groups give names where there are none
+    names = F.coalesce("c.names", F.flatten(F.map_values("c.groups")))
+    return c.select("dataset_id", F.posexplode(names).alias("axis_index", "axis_name"))
+
+
+def table_preview(df: DataFrame, rows: int = 20) -> tuple[list[tuple[str, str]], int, DataFrame]:
+    """(columns and types, row count, first rows). S15."""
+    return df.dtypes, df.count(), df.limit(rows)
+
+
 def video_inventory(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Video files with camera and episode; contents are not read. S6."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(roots).select("path", F.col("length").alias("bytes"))
