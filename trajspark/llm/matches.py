@@ -26,8 +26,8 @@ from trajspark.session import discard, materialize
 
 #: Sets of one chunk of a key, about.
 LIMIT = 1024
-#: Members that a task gathers before it deals them, and pairs that are worked on at once.
-GATHERED, PAIRS = 500_000, 2_000_000
+#: Members, or eights of words, that a task gathers before it deals them; pairs, and words, that are worked on at once.
+GATHERED, PAIRS, WORDS = 250_000, 1_000_000, 1_000_000
 FIELDS = {"key": np.uint64, "cls": np.uint64, "doc": np.int64, "p1": np.uint64, "p2": np.uint64, "line": np.int32, "size": np.int32, "pos": np.int32, "chunk": np.int32, "chunks": np.int32}
 _WIDTH = sum(np.dtype(t).itemsize for t in FIELDS.values())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -234,10 +234,10 @@ def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray
         asking = asks[row]
         sides.append((row[asking], other[asking], np.ones(asking.sum(), np.int64), m["chunk"][row[asking]]))
     for row, chunk, kind, meets in sides:
-        for at in range(0, len(row), 20_000):
-            own = row[at : at + 20_000]
-            part = {k: v[own] for k, v in m.items()} | {"chunk": chunk[at : at + 20_000].astype(np.int32)}
-            yield from dealer.add(part, (meets[at : at + 20_000].astype(np.int64) << 2) | kind[at : at + 20_000], tokens[spread(begin[own], m["size"][own])])
+        for at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(m["size"][row], dtype=np.int64) // WORDS)) + 1):
+            own = row[at]
+            part = {k: v[own] for k, v in m.items()} | {"chunk": chunk[at].astype(np.int32)}
+            yield from dealer.add(part, (meets[at].astype(np.int64) << 2) | kind[at], tokens[spread(begin[own], m["size"][own])])
 
 
 def common(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
