@@ -26,6 +26,8 @@ from trajspark.session import discard, materialize
 
 #: Sets of one chunk of a key, about.
 LIMIT = 1024
+#: Chunks of a key that are one where sets meet all others: fewer copies of their words, for the same comparisons.
+MERGED = 4
 #: Members, or eights of words, that a task gathers before it deals them; pairs, and words, that are worked on at once.
 GATHERED, PAIRS, WORDS = 250_000, 1_000_000, 1_000_000
 FIELDS = {"key": np.uint64, "cls": np.uint64, "doc": np.int64, "p1": np.uint64, "p2": np.uint64, "line": np.int32, "size": np.int32, "pos": np.int32, "chunk": np.int32, "chunks": np.int32}
@@ -224,20 +226,20 @@ def _open_keys(batches: Iterator[pa.RecordBatch], asks) -> Iterator[pa.RecordBat
 def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Deal members with their words (from ``begin`` on in ``tokens``) for ``_rest``. One of a key of several chunks meets
     every chunk, as one to be met (side 0) and, if ``asks``, as one that asks (1); else it is both (2)."""
-    one = np.flatnonzero(m["chunks"] == 1)
-    sides = [(one, m["chunk"][one], np.full(len(one), 2), np.zeros(len(one), np.int64))]
-    many = np.flatnonzero(m["chunks"] > 1)
-    if len(many):
-        n = m["chunks"][many].astype(np.int64)
-        row, other = np.repeat(many, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        sides.append((row, m["chunk"][row], np.zeros(len(row), np.int64), other))
-        asking = asks[row]
-        sides.append((row[asking], other[asking], np.ones(asking.sum(), np.int64), m["chunk"][row[asking]]))
-    for row, chunk, kind, meets in sides:
-        for at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(m["size"][row], dtype=np.int64) // WORDS)) + 1):
-            own = row[at]
-            part = {k: v[own] for k, v in m.items()} | {"chunk": chunk[at].astype(np.int32)}
-            yield from dealer.add(part, (meets[at].astype(np.int64) << 2) | kind[at], tokens[spread(begin[own], m["size"][own])])
+    n = -(-m["chunks"].astype(np.int64) // MERGED)
+    m = m | {"chunk": (m["chunk"] % n).astype(np.int32)}
+    for at in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n * m["size"]) // WORDS)) + 1):
+        one, many = at[n[at] == 1], at[n[at] > 1]
+        row = np.repeat(many, n[many])
+        other = np.arange(len(row)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+        asking = np.flatnonzero(asks[row])
+        for own, chunk, kind, meets in (
+            (one, m["chunk"][one], 2, np.zeros(len(one), np.int64)),
+            (row, m["chunk"][row], 0, other),
+            (row[asking], other[asking], 1, m["chunk"][row[asking]].astype(np.int64)),
+        ):
+            part = {k: v[own] for k, v in m.items()} | {"chunk": chunk.astype(np.int32)}
+            yield from dealer.add(part, (meets << 2) | kind, tokens[spread(begin[own], m["size"][own])])
 
 
 def common(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
