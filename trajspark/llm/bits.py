@@ -14,6 +14,8 @@ from trajspark.llm.textbuf import mix
 #: Bits of a table at most: 128 MB.
 MOST = 1 << 30
 PARTS = 256
+#: Tasks that set the bits of a table, at most: a job for each brings them to the driver.
+TASKS = 32
 
 
 def size_for(n: int, each: int) -> int:
@@ -74,7 +76,7 @@ def _set(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 def bit_table(values: DataFrame, each: int = 6) -> np.ndarray:
     """Bits of the longs in the only column of ``values``, made part by part in tasks."""
     bits = size_for(values.count(), each)
-    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(TASKS, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = values.mapInArrow(lambda b: _marked(b, bits), "part int, spots binary").repartition(partitions, "part").sortWithinPartitions("part")
     return gathered(marked.mapInArrow(lambda b: _set(b, bits // PARTS), "part int, bits binary"), bits)
 
