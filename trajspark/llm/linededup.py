@@ -351,16 +351,31 @@ def _postings(batches: Iterator[pa.RecordBatch], rare, firsts, known, least: int
     yield from dealer.rows()
 
 
-def _whole(batches: Iterator[pa.RecordBatch], rare, firsts, known, keys, asks, least: int, similarity: float, bits: int) -> Iterator[pa.RecordBatch]:
-    """Members under the keys of a table, with their words."""
+def _lines_at(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.ndarray, wanted: np.ndarray) -> tuple:
+    """(own, doc, number, bytes, offsets): the lines ``own`` of a run whose addresses a table may have, doc and number of
+    each line of the run, and the lines ``own`` as a run of texts."""
+    starts, doc, number = line_starts(data, offsets)
+    own = np.flatnonzero(on(wanted, addresses(docs[doc], ties[doc], number)))
+    size = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])[own] - starts[own]
+    return own, doc, number, data[spread(starts[own], size)], np.concatenate([[0], np.cumsum(size)])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], rare, firsts, known, keys, asks, wanted, least: int, similarity: float, bits: int) -> Iterator[pa.RecordBatch]:
+    """Members under the keys of a table: with their words, of the lines whose addresses ``wanted`` may have, or, if it is
+    None, of all lines, without words."""
     dealer = Dealer(bits)
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            x = Lines(data, offsets, rare.value)
+            if wanted is None:
+                x = Lines(data, offsets, rare.value)
+            else:
+                own, doc, number, data, offsets = _lines_at(data, offsets, docs, ties, wanted.value)
+                x = Lines(data, offsets, rare.value)
+                x.doc, x.number = doc[own], number[own]
             m, line = _members(x, docs, ties, firsts.value, known.value, least, similarity)
             some = on(keys.value, m["key"])
             m = {n: v[some] for n, v in m.items()}
-            yield from whole_members(dealer, m, x.begin[line[some]], x.token, on(asks.value, m["cls"]))
+            yield from whole_members(dealer, m, x.begin[line[some]], None if wanted is None else x.token, on(asks.value, m["cls"]))
     yield from dealer.rows()
 
 
@@ -369,10 +384,7 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]
     none = np.zeros(CELLS, np.uint8)
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            starts, doc, number = line_starts(data, offsets)
-            own = np.flatnonzero(on(wanted.value, addresses(docs[doc], ties[doc], number)))
-            size = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])[own] - starts[own]
-            x = Lines(data[spread(starts[own], size)], np.concatenate([[0], np.cumsum(size)]), none)
+            x = Lines(*_lines_at(data, offsets, docs, ties, wanted.value)[3:], none)
             bounds = pa.array(np.append(x.begin, len(x.token)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(x.cls.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(x.token.view(np.int64)))], ["cls", "tokens"])
 
@@ -401,8 +413,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     discard(reports)
     bits = part_bits(partitions)
 
-    def whole(keys, asks) -> DataFrame:
-        return docs.mapInArrow(lambda b: _whole(b, rare, firsts, known, keys, asks, min_tokens, similarity, bits), BLOBS)
+    def whole(keys, asks, wanted: DataFrame | None) -> DataFrame:
+        marked = None if wanted is None else context.broadcast(bit_table(classes.join(wanted.withColumnRenamed("y", "cls"), "cls", "left_semi").select("first.place")))
+        return docs.mapInArrow(lambda b: _whole(b, rare, firsts, known, keys, asks, marked, min_tokens, similarity, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted")
@@ -413,7 +426,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
         return out
 
     members = docs.mapInArrow(lambda b: _postings(b, rare, firsts, known, min_tokens, similarity, bits), BLOBS)
-    gone = later_matches(members, whole, sets, similarity, word_finder(similarity))
+    gone = later_matches(members, whole, sets, similarity, word_finder(similarity), screen=True)
     repeated = classes.where("n > 1").select("cls", "first")
     affected = repeated.join(gone.withColumn("gone", F.lit(True)), "cls", "full")
     # a line whose second hash is not that of its class's first line is no copy of it

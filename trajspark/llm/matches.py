@@ -8,7 +8,7 @@ First, each set meets the earlier ones of each of its keys (in its own chunk, wh
 likeliest, as told by a ``Finder``. Nearly all sets that go are settled by that one comparison, so the pairs grow with the
 sets, not with the squares of the groups. Sets that it does not settle, and that have others to meet, then meet all of
 them with their words at hand: the keys of these sets are dealt once more, chunk against chunk, and only the sets that go
-come out.
+come out. Where few sets ask but many share their keys, a screening without words first tells whose words are needed.
 """
 
 from __future__ import annotations
@@ -223,8 +223,8 @@ def _open_keys(batches: Iterator[pa.RecordBatch], asks) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(pairs[on(asks.value, pairs[:, 0]), 1]).view(np.int64))], ["key"])
 
 
-def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Deal members with their words (from ``begin`` on in ``tokens``) for ``_rest``. One of a key of several chunks meets
+def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray | None, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Deal members with their words (from ``begin`` on in ``tokens``, if given) for ``_rest``. One of a key of several chunks meets
     every chunk, as one to be met (side 0) and, if ``asks``, as one that asks (1); else it is both (2)."""
     n = -(-m["chunks"].astype(np.int64) // MERGED)
     m = m | {"chunk": (m["chunk"] % n).astype(np.int32)}
@@ -239,7 +239,7 @@ def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray
             (row[asking], other[asking], 1, m["chunk"][row[asking]].astype(np.int64)),
         ):
             part = {k: v[own] for k, v in m.items()} | {"chunk": chunk.astype(np.int32)}
-            yield from dealer.add(part, (meets << 2) | kind, tokens[spread(begin[own], m["size"][own])])
+            yield from dealer.add(part, (meets << 2) | kind, None if tokens is None else tokens[spread(begin[own], m["size"][own])])
 
 
 def common(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -257,8 +257,8 @@ def common(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarra
     return out
 
 
-def _rest(batches: Iterator[pa.RecordBatch], find: Finder, asks, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Sets that ask and that are similar to an earlier one of a group."""
+def _meeting(batches: Iterator[pa.RecordBatch], find: Finder, asks) -> Iterator[tuple[dict, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
+    """(members, begin, tokens, i, j) of the groups of each part, j being an earlier candidate of i, which asks."""
     for _, m, side, tokens in _parts(batches):
         gid = _groups(m, side >> 2)
         begin = np.cumsum(m["size"], dtype=np.int64) - m["size"]
@@ -273,15 +273,27 @@ def _rest(batches: Iterator[pa.RecordBatch], find: Finder, asks, similarity: flo
             continue
         count = np.bincount(g[refs], minlength=g[-1] + 1)
         first = np.cumsum(count) - count
-        gone: list[np.ndarray] = []
         for i, j, _ in find(m, refs, first[g[refs]], asking, first[g[asking]], count[g[asking]]):
             fit = _earlier(m, j, i) & (m["cls"][i] != m["cls"][j])
-            i, j = i[fit], j[fit]
-            if len(i):
-                same = common(tokens, begin, m["size"], i, j)
-                gone.append(np.unique(m["cls"][i[same >= needed(m["size"][i], m["size"][j], similarity)]]))
-        if gone:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(gone)).view(np.int64))], ["y"])
+            if fit.any():
+                yield m, begin, tokens, i[fit], j[fit]
+
+
+def _classes(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["y"])
+
+
+def _screened(batches: Iterator[pa.RecordBatch], find: Finder, asks) -> Iterator[pa.RecordBatch]:
+    """Sets that ask and have an earlier candidate, and these candidates."""
+    for m, _, _, i, j in _meeting(batches, find, asks):
+        yield _classes(m["cls"][np.concatenate([i, j])])
+
+
+def _rest(batches: Iterator[pa.RecordBatch], find: Finder, asks, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Sets that ask and that are similar to an earlier one of a group."""
+    for m, begin, tokens, i, j in _meeting(batches, find, asks):
+        same = common(tokens, begin, m["size"], i, j)
+        yield _classes(m["cls"][i[same >= needed(m["size"][i], m["size"][j], similarity)]])
 
 
 def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -295,9 +307,11 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
     return out
 
 
-def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame], DataFrame], similarity: float, find: Finder) -> DataFrame:
+def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame], DataFrame], similarity: float, find: Finder, screen: bool = False) -> DataFrame:
     """(cls) of the sets that are similar to an earlier one. ``members``: blobs of all members; ``whole(keys, asks)``: blobs
-    of the members under the keys of one broadcast bit table, with their words, of which those in the other ask."""
+    of the members under the keys of one broadcast bit table, with their words, of which those in the other ask. With
+    ``screen`` these members are first dealt without words, ``whole(keys, asks, None)``, which tells the sets that are
+    a candidate or have one; only their words are read and dealt then, ``whole(keys, asks, classes)``."""
     spark = members.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -320,7 +334,10 @@ def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame
     asks = context.broadcast(bit_table(asking))
     keys = context.broadcast(bit_table(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long")))
     discard(best, first)
-    more = dealt(whole(keys, asks)).mapInArrow(lambda b: _rest(b, find, asks, similarity), "y long")
+    wanted = ()
+    if screen:
+        wanted = (materialize(dealt(whole(keys, asks, None)).mapInArrow(lambda b: _screened(b, find, asks), "y long").distinct(), "screened"),)
+    more = dealt(whole(keys, asks, *wanted)).mapInArrow(lambda b: _rest(b, find, asks, similarity), "y long")
     out = materialize(gone.union(more).distinct().select(F.col("y").alias("cls")), "gone")
-    discard(gone, asking)
+    discard(gone, asking, *wanted)
     return out
