@@ -332,8 +332,10 @@ def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame
         return out
     context = spark.sparkContext
     asks = context.broadcast(bit_table(asking))
-    keys = context.broadcast(bit_table(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long")))
-    discard(best, first)
+    # written, as two Python steps in one task would take two workers, which stay
+    open_keys = materialize(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long"), "open-keys")
+    keys = context.broadcast(bit_table(open_keys))
+    discard(best, first, open_keys)
     wanted = ()
     if screen:
         wanted = (materialize(dealt(whole(keys, asks, None)).mapInArrow(lambda b: _screened(b, find, asks), "y long").distinct(), "screened"),)
