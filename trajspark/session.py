@@ -40,12 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no recomputation of what lies before."""
+    executor costs no recomputation of what lies before. ``partition_by``: columns whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/trajspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
