@@ -35,3 +35,35 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
   (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM counted
 """
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), whole AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(v) // {parts}) AS p, (i - 1) % (len(v) // {parts}) AS j, v[i] AS c FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT p, k, j, c FROM whole JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept) USING (vec_id) WHERE k < {entries}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT vec_id, p, (m % {entries})::BIGINT AS k, (m // {entries})::BIGINT AS d FROM (
+    SELECT vec_id, p, min(d * {entries} + k) AS m FROM (
+      SELECT vec_id, w.p, k, sum((w.c - b.c) * (w.c - b.c)) AS d FROM whole w JOIN book{r} b ON w.p = b.p AND w.j = b.j GROUP BY vec_id, w.p, k
+    ) GROUP BY vec_id, p)
+)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.k, b.j, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, b.c) AS c FROM book{r} b
+  LEFT JOIN (SELECT w.p, a.k, w.j, sum(w.c)::HUGEINT AS s, count(*) AS n FROM whole w JOIN near{r} a USING (vec_id, p) GROUP BY w.p, a.k, w.j) t
+  ON b.p = t.p AND b.k = t.k AND b.j = t.j
+)""")
+    return ", ".join(steps) + f""", coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, k, j)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""

@@ -89,6 +89,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.filter_audit import audit
 
@@ -106,7 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_vector_codes": op12_vector_codes,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE: dict[str, str] = {"op13_filter_audit": oracle.FILTER_AUDIT}
+ORACLE: dict[str, str] = {"op12_vector_codes": oracle.vector_codes(), "op13_filter_audit": oracle.FILTER_AUDIT}
