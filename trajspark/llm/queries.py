@@ -89,6 +89,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajspark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajspark.llm.vector_codes import compress
 
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_vector_codes": op12_vector_codes,
     "op13_filter_audit": op13_filter_audit,
 }
