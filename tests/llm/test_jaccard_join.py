@@ -102,4 +102,15 @@ def test_bound_never_drops_a_link():
         bits = J.folded([J.parity_bits(one), J.parity_bits(two)])
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(one) + len(two) - 2 * both
         if 100 * both >= 80 * (len(one) + len(two) - both):
-            assert J.close(np.array([len(one), len(two)]), bits, np.array([0]), np.array([1]), 80)[0]
+            assert J.slack(np.array([len(one), len(two)]), bits, np.array([0]), np.array([1]), 80)[0] >= 0
+
+
+def test_forest_joins_what_the_pairs_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (9, 4), (30, 200), (80, 60)):
+        comp, a, b = rng.integers(0, n, n), rng.integers(0, n, m), rng.integers(0, n, m)
+        keep = J.forest(comp, a, b, rng.integers(0, 9, m))
+        names = np.unique(comp, return_inverse=True)[1]
+        size = int(names.max()) + 1
+        want, got = (J.spanning(size, names[x], names[y]) for x, y in ((a, b), (a[keep], b[keep])))
+        assert (want == got).all() and keep.sum() < 2 * n

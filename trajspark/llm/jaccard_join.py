@@ -10,7 +10,9 @@ two steps, and every pair found is verified by intersecting the two sorted array
    meet, and only within a size band: a tile is a key and a band, cut into blocks that meet two by two where it is
    large. Within a tile, bitmaps decide: each has the parity of the shingles hashed to each bit, so the differing bits
    of two bitmaps are no more than the shingles in one of the sets only, which bounds the overlap from above. No pair
-   that is similar fails the bound, so nothing is lost.
+   that is similar fails the bound, so nothing is lost. Keys with the same nodes are one tile. In all rounds but the last
+   a tile gives the pairs of a spanning forest only, the closest first, so that loose groups become one component without
+   all their pairs; the last round gives every pair that is left.
 
 Which shingles count as frequent only decides the order of keys; at most ``FREQUENT`` of them are taken, the most
 frequent ones. Shingles and nodes are told apart by 64-bit hashes. Null texts and texts without words have the empty set
@@ -30,10 +32,13 @@ from pyspark.sql import functions as F
 from trajspark.llm.bits import bit_table, on
 from trajspark.llm.components import connected_components
 from trajspark.llm.shingles import _class, shingle_sets
+from trajspark.llm.simhash_dedup import spanning
 from trajspark.llm.textbuf import mix
 from trajspark.session import discard, materialize
 
 SIZE, PERCENT, LEADERS = 5, 80, 3
+#: Rounds of tiles that give forests, before the one that gives all pairs.
+FORESTS = 1
 #: Shingles that come last in the order of keys, at most: 8 MB.
 FREQUENT = 1_000_000
 #: Documents from which on a shingle is frequent.
@@ -173,7 +178,7 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, percent: int, docs, ofte
 
 
 def _shared(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """(key, node) of keys of several nodes, and of all frequent ones. A range at a time."""
+    """(key, node, often) of keys of several nodes, and of all frequent ones, which may repeat. A range at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     last = -1
 
@@ -188,7 +193,10 @@ def _shared(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
         keep = same[1:] | same[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (keys, nodes)], ["key", "node"])
+        return rows(keys[keep], nodes[keep], False)
+
+    def rows(keys: np.ndarray, nodes: np.ndarray, often: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(np.full(len(keys), often))], ["key", "node", "often"])
 
     for b in batches:
         for part, keys, nodes in zip(*(c.to_pylist() for c in b.columns)):
@@ -197,20 +205,38 @@ def _shared(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
                 yield several()
             last = part
             if part >= ranges:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, nodes)], ["key", "node"])
+                yield rows(keys, nodes, True)
             else:
                 held.append((keys, nodes))
     yield several()
 
 
-def close(sizes: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs (a, b) of members may be linked, by their sizes and bitmaps."""
+def slack(sizes: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How far the bitmaps of the pairs (a, b) of members stay below the most bits in which those of linked sets can
+    differ; negative if the pair can't be linked."""
     total = sizes[a] + sizes[b]
     apart = total - 2 * needed(sizes[a], sizes[b], percent)
     fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
     at = np.flatnonzero(fits)
-    fits[at] = np.bitwise_count(bits[a[at]] ^ bits[b[at]]).sum(1, dtype=np.int64) <= apart[at]
-    return fits
+    out = np.full(len(a), -1, np.int64)
+    out[at] = apart[at] - np.bitwise_count(bits[a[at]] ^ bits[b[at]]).sum(1, dtype=np.int64)
+    return out
+
+
+def forest(comp: np.ndarray, a: np.ndarray, b: np.ndarray, slacks: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) join what all of them join: each component takes its pair of most slack, again and again."""
+    root, keep = np.unique(comp, return_inverse=True)[1], np.zeros(len(a), bool)
+    order = np.argsort(-slacks, kind="stable")
+    a, b = a[order], b[order]
+    while True:
+        one, two = root[a], root[b]
+        apart = np.flatnonzero(one != two)
+        if not len(apart):
+            return keep
+        ends = np.stack([one[apart], two[apart]], 1).ravel()
+        best = apart[np.unique(ends, return_index=True)[1] >> 1]
+        keep[order[best]] = True
+        root = spanning(int(root.max()) + 1, one[best], two[best])[root]
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -218,13 +244,13 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     for batch in batches:
         sizes = np.column_stack([batch.column(k).to_numpy() for k in (2, 3)]).astype(np.int64)
         raw = [batch.column(k).to_pylist() for k in (4, 5)]
-        keep = [bool(close(s, folded([x, y]), np.array([0]), np.array([1]), percent)[0]) for s, x, y in zip(sizes, *raw)]
+        keep = [slack(s, folded([x, y]), np.array([0]), np.array([1]), percent)[0] >= 0 for s, x, y in zip(sizes, *raw)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
     """Pairs that may be linked, of the runs of (tile, side, own, node, comp, size, bits): members of side 0 meet those of
-    side 1, or one another where all have side 0."""
+    side 1, or one another where all have side 0. Without ``every``, those of a spanning forest."""
     held: list[tuple] = []
     found: list[np.ndarray] = []
 
@@ -234,6 +260,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         if not len(right) and side.any() | (len(left) < 2):
             return
         bits = folded([r[6] for r in held])
+        near: list[tuple] = []
         step = max(1, (2 << 20) // (bits.shape[1] * max(len(left), len(right))))
         for at in range(0, len(left), step):
             rows = left[at : at + step]
@@ -242,8 +269,14 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             keep = (comp[one] != comp[two]) & (own[one] + own[two] > 0)
             keep &= (one < two) | bool(len(right))
             one, two = one[keep], two[keep]
-            keep = close(size, bits, one, two, percent)
-            found.append(np.column_stack([node[one[keep]], node[two[keep]]]))
+            over = slack(size, bits, one, two, percent)
+            near.append(tuple(x[over >= 0] for x in (one, two, over)))
+        one, two, over = (np.concatenate(x) for x in zip(*near))
+        if not every and len(one) > 1:
+            keep = forest(comp, one, two, over)
+            one, two = one[keep], two[keep]
+        if len(one):
+            found.append(np.column_stack([node[one], node[two]]))
 
     def batch() -> pa.RecordBatch:
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
@@ -320,17 +353,22 @@ class Search:
         return materialize(both.mapInArrow(lambda x: _bounded(x, percent), "a long, b long"), "jaccard-pairs")
 
     def shared_keys(self) -> DataFrame:
-        """(key, node) of the keys that several nodes have."""
+        """(key, node) of the keys that several nodes have, one of the keys that have the same nodes."""
         ranges = 1 << (4 * self.partitions - 1).bit_length()
         docs, often = self.places(self.nodes), self.context.broadcast(frequent(self.signed))
         size, percent = self.size, self.percent
         blobs = self.docs.mapInArrow(lambda b: _keys(b, size, percent, docs, often, ranges), "part int, keys binary, nodes binary")
         blobs = blobs.repartition(self.partitions, "part").sortWithinPartitions("part")
-        out = materialize(blobs.mapInArrow(lambda b: _shared(b, ranges), "key long, node long"), "jaccard-keys")
+        found = materialize(blobs.mapInArrow(lambda b: _shared(b, ranges), "key long, node long, often boolean"), "jaccard-keys")
         docs.destroy(), often.destroy()
+        keys = found.where("not often").select("key", "node").union(found.where("often").select("key", "node").distinct())
+        own = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"own{k}") for k in (1, 2)]
+        kinds = keys.groupBy("key").agg(*own, F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("own1", "own2", "n").agg(F.min("key").alias("key"))
+        out = materialize(keys.join(kinds.select("key"), "key", "left_semi"), "jaccard-keys")
+        discard(found)
         return out
 
-    def tile_pairs(self, keys: DataFrame, comps: DataFrame) -> DataFrame:
+    def tile_pairs(self, keys: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
         """(a, b): nodes of different components (node, root) that meet in a tile, as far as bitmaps allow."""
         percent = self.percent
         info = self.nodes.select("node", "size").join(comps, "node", "left").select("node", "size", F.coalesce("root", "node").alias("comp"))
@@ -355,29 +393,36 @@ class Search:
         spread = spread.select(F.struct("key", "band", "m.kind", "m.one", "m.two").alias("tile"), "m.side", "own", "node", "comp", "size")
         spread = spread.withColumn("tile", F.xxhash64("tile")).join(self.nodes.select("node", "bits"), "node")
         rows = spread.select("tile", "side", "own", "node", "comp", "size", "bits").repartition(self.partitions, "tile").sortWithinPartitions("tile")
-        pairs = materialize(rows.mapInArrow(lambda b: _tiles(b, percent), "a long, b long").distinct(), "jaccard-pairs")
+        pairs = materialize(rows.mapInArrow(lambda b: _tiles(b, percent, every), "a long, b long").distinct(), "jaccard-pairs")
         discard(member)
         return pairs
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, the own included) of every row."""
-    search = Search(docs, size, percent)
-    first = search.leader_pairs()
-    comps = materialize(connected_components(search.verified(first)), "jaccard-comps")
-    keys = search.shared_keys()
-    second = search.tile_pairs(keys, comps)
-    discard(first, keys)
-    links = search.verified(second)
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) with those joined that the links (a, b) join. Nodes without links don't appear."""
     for k in "ab":
         links = links.join(comps.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(k, F.coalesce(f"root_{k}", k)).select("a", "b")
     joined = connected_components(links)
     roots = comps.join(joined.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
-    roots = roots.union(joined.join(comps.select("node"), "node", "left_anti"))
-    rooted = materialize(search.nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "jaccard-roots")
+    return materialize(roots.union(joined.join(comps.select("node"), "node", "left_anti")), "jaccard-comps")
+
+
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, the own included) of every row."""
+    search = Search(docs, size, percent)
+    pairs = search.leader_pairs()
+    comps = materialize(connected_components(search.verified(pairs)), "jaccard-comps")
+    keys = search.shared_keys()
+    for k in range(FORESTS + 1):
+        discard(pairs)
+        pairs = search.tile_pairs(keys, comps, every=k == FORESTS)
+        if pairs.isEmpty():
+            break
+        comps = merged(comps, search.verified(pairs))
+    rooted = materialize(search.nodes.select("node", "least").join(comps, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "jaccard-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     component = materialize(rooted.join(smallest, "root").select("node", "component"), "jaccard-components")
-    discard(second, comps, rooted, search.nodes)
+    discard(pairs, keys, comps, rooted, search.nodes)
     signed = search.signed.where("size >= 0").select("doc", "node", "size")
     return signed.join(component, "node", "left").select(
         F.col("doc").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id")
