@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.operators.names import joint_group, match_names, normalized
+
 #: Message types, words of topic names and categories. Fixed values.
 IMAGE_TYPES = ("sensor_msgs/msg/Image", "sensor_msgs/msg/CompressedImage")
 JOINT_TYPES = ("sensor_msgs/msg/JointState",)
@@ -144,6 +146,27 @@ def propagate_layout(topics: DataFrame, assigned: DataFrame) -> DataFrame:
     return met.groupBy("bag", "topic", "role").agg(F.min("from_topic").alias("from_topic"))
 
 
+def assign_layout(topics: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets of every joint of every topic: (bag, topic, source_index, source_name, target_name, from_topic), null where
+    there is none. Each topic's names are matched with its bag's targets (see ``names``, the topic gives side and part);
+    topics of the same ordered names and groups whose roles don't overlap share what the last of them got. ``topics``: bag,
+    topic, topic_order, role, names; ``targets``: bag, target_index, name. C14, J10."""
+    joints = topics.select("bag", "topic", "topic_order", "role", F.posexplode("names").alias("source_index", "source_name"))
+    own = F.to_json(F.struct("bag", "topic"))
+    sources = joints.select(own.alias("dataset_id"), F.col("source_index").alias("name_index"), F.col("source_name").alias("name"), F.col("topic").alias("context"))
+    wanted = topics.select("bag", "topic").join(targets, "bag").select(own.alias("dataset_id"), F.col("target_index").alias("name_index"), "name")
+    found = match_names(sources, wanted, grouped=True).select(F.col("dataset_id").alias("own"), "source_index", "target_name")
+    mapped = joints.withColumn("own", own).join(found, ["own", "source_index"], "left").drop("own")
+    sign = F.array_join(F.transform("names", lambda n: F.concat(normalized(n), F.lit("@"), joint_group(n, F.col("topic")))), "|")
+    t = topics.select("bag", "topic", "role", sign.alias("signature"))
+    other = t.select("bag", F.col("topic").alias("from_topic"), F.col("role").alias("from_role"), "signature")
+    apart = (F.col("role") != "") & (F.col("from_role") != "") & ~F.arrays_overlap(F.split("role", r"\+"), F.split("from_role", r"\+"))
+    linked = t.join(other, ["bag", "signature"]).where((F.col("topic") == F.col("from_topic")) | apart).select("bag", "topic", "from_topic")
+    given = mapped.select("bag", F.col("topic").alias("from_topic"), "topic_order", "source_index", "source_name", "target_name")
+    last = linked.join(given, ["bag", "from_topic"]).groupBy("bag", "topic", "source_index", "source_name")
+    return last.agg(F.max(F.struct("topic_order", "from_topic", "target_name")).alias("m")).select("bag", "topic", "source_index", "source_name", "m.target_name", "m.from_topic")
+
+
 def messages_to_frames(messages: DataFrame, base: str, layout: DataFrame, fps: float, rebuild: bool = False, tolerance_ns: int = 10_000_000) -> DataFrame:
     """Frames of all bags in one plan: anchors, nearest messages, vectors by role; times are pos / fps, the task is 0.
     Frame numbers run from 0 in each bag. M1."""

@@ -83,16 +83,24 @@ def name_tokens(name: Column) -> Column:
     return F.split(F.lower(F.translate(name, "-", "_")), "_")
 
 
+def _first_of(name: Column, words: dict[str, tuple[str, ...]]) -> Column:
+    tokens, out = name_tokens(name), F.lit(None).cast("string")
+    for key, those in reversed(words.items()):
+        out = F.when(F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in those])), key).otherwise(out)
+    return out
+
+
+def axis_side(name: Column) -> Column:
+    return _first_of(name, {s: (s,) for s in SIDES})
+
+
+def axis_part(name: Column) -> Column:
+    return _first_of(name, PARTS)
+
+
 def axis_group(name: Column) -> Column:
     """Group of a joint name: side and part, either, or other. P9."""
-    tokens = name_tokens(name)
-    has = lambda words: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
-    side, part = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for s in reversed(SIDES):
-        side = F.when(has([s]), s).otherwise(side)
-    for p, words in reversed(PARTS.items()):
-        part = F.when(has(words), p).otherwise(part)
-    key = F.concat_ws("_", side, part)
+    key = F.concat_ws("_", axis_side(name), axis_part(name))
     return F.when(key == "", "other").otherwise(key)
 
 
