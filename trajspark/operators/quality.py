@@ -125,7 +125,7 @@ def affected_episodes(integrity: DataFrame) -> DataFrame:
 # --- checks: (dataset_id, level, id, detail, fixable) -----------------------------------------------------------------
 
 
-def _check(df: DataFrame, name: str, bad: Column, detail: Column, level: str = "error", fixable: bool = False) -> DataFrame:
+def check(df: DataFrame, name: str, bad: Column, detail: Column, level: str = "error", fixable: bool = False) -> DataFrame:
     return df.select("dataset_id", F.when(bad, level).otherwise("pass").alias("level"), F.lit(name).alias("id"), F.when(bad, detail).otherwise("").alias("detail"), (bad & F.lit(fixable)).alias("fixable"))
 
 
@@ -144,21 +144,21 @@ def file_checks(files: DataFrame, datasets: DataFrame) -> DataFrame:
     j = wanted.join(have, ["dataset_id", "rel_path"], "left")
     missing = F.col("have").isNull()
     present = j.select("dataset_id", F.when(missing, "error").otherwise("pass").alias("level"), F.concat(F.lit("structure."), "rel_path").alias("id"), F.when(missing, "missing").otherwise("").alias("detail"), F.lit(False).alias("fixable"))
-    return present.union(_check(datasets, "structure.version", ~F.col("version").eqNullSafe("v2.1"), F.concat(F.lit("version "), F.coalesce("version", F.lit("unknown"))), "warn"))
+    return present.union(check(datasets, "structure.version", ~F.col("version").eqNullSafe("v2.1"), F.concat(F.lit("version "), F.coalesce("version", F.lit("unknown"))), "warn"))
 
 
 def frame_checks(frames: DataFrame, datasets: DataFrame, dims: dict[str, int], fps: float = FPS, examples: int = 5) -> DataFrame:
     """Totals, episode numbers, frame numbers, times, the global index, and width and finiteness of the vectors.
-    K5 to K12, W17."""
+    K5, K6, K8 to K12, W17."""
     order = Window.partitionBy(*EPISODE).orderBy("pos")
     episodes = frames.groupBy(*EPISODE).agg(F.count(F.lit(1)).alias("length"))
     totals = episodes.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("e"), F.sum("length").alias("f"), F.min("episode_index").alias("low"), F.max("episode_index").alias("high")
     ).join(datasets.select("dataset_id", "total_episodes", "total_frames"), "dataset_id", "right")
     out = [
-        _check(totals, "structure.total_episodes", ~F.col("e").eqNullSafe(F.col("total_episodes")), F.format_string("%d declared, %d found", "total_episodes", "e"), fixable=True),
-        _check(totals, "structure.total_frames", ~F.col("f").eqNullSafe(F.col("total_frames")), F.format_string("%d declared, %d found", "total_frames", "f"), fixable=True),
-        _check(totals, "structure.episode_index_contiguous", ~((F.col("low") == 0) & (F.col("high") == F.col("e") - 1)), F.lit("not 0 to n - 1"), fixable=True),
+        check(totals, "structure.total_episodes", ~F.col("e").eqNullSafe(F.col("total_episodes")), F.format_string("%d declared, %d found", "total_episodes", "e"), fixable=True),
+        check(totals, "structure.total_frames", ~F.col("f").eqNullSafe(F.col("total_frames")), F.format_string("%d declared, %d found", "total_frames", "f"), fixable=True),
+        check(totals, "structure.episode_index_contiguous", ~((F.col("low") == 0) & (F.col("high") == F.col("e") - 1)), F.lit("not 0 to n - 1"), fixable=True),
     ]
     first = Window.partitionBy("dataset_id").orderBy("episode_index")
     start = episodes.select(*EPISODE, (F.sum("length").over(first) - F.col("length")).alias("start"))
@@ -175,7 +175,7 @@ def frame_checks(frames: DataFrame, datasets: DataFrame, dims: dict[str, int], f
     for name, bad, level in (("temporal.frame_index", F.col("bad_number") > 0, "error"), ("temporal.timestamp", F.col("bad_time"), "error"), ("temporal.global_index", F.col("bad_index") > 0, "warn"),
                              *[(f"dtype.{n}", F.col(f"bad_{n}") > 0, "error") for n in dims], *[(f"dtype.{n}.finite", F.col(f"odd_{n}") > 0, "error") for n in dims]):
         found = datasets.select("dataset_id").join(_examples(e.where(bad), F.format_string("episode %d", "episode_index"), examples), "dataset_id", "left")
-        out.append(_check(found, name, F.col("n_bad").isNotNull(), F.col("examples"), level, not name.startswith("dtype")))
+        out.append(check(found, name, F.col("n_bad").isNotNull(), F.col("examples"), level, not name.startswith("dtype")))
     result = out[0]
     for o in out[1:]:
         result = result.union(o)
@@ -188,15 +188,15 @@ def task_checks(tasks: DataFrame, refs: DataFrame, datasets: DataFrame) -> DataF
     rows = datasets.select("dataset_id").join(blank, "dataset_id", "left")
     unknown = unknown_task_refs(refs, tasks).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     seen = datasets.select("dataset_id").join(unknown, "dataset_id", "left")
-    return _check(rows, "task.tasks_jsonl", F.coalesce(F.col("n") > 0, F.lit(True)), F.lit("missing or blank tasks"), fixable=True).union(
-        _check(seen, "task.task_index_refs", F.coalesce(F.col("n") > 0, F.lit(False)), F.format_string("%d unknown tasks", "n"))
+    return check(rows, "task.tasks_jsonl", F.coalesce(F.col("n") > 0, F.lit(True)), F.lit("missing or blank tasks"), fixable=True).union(
+        check(seen, "task.task_index_refs", F.coalesce(F.col("n") > 0, F.lit(False)), F.format_string("%d unknown tasks", "n"))
     )
 
 
-def task_type_check(datasets: DataFrame, task_dtype: str | None, profile: str) -> DataFrame:
+def task_typecheck(datasets: DataFrame, task_dtype: str | None, profile: str) -> DataFrame:
     """A frame column ``task`` must be text; an error where the model reads language. K15."""
     level = "error" if profile in ("pi05", "pi0", "pi0.5", "openvla", "vla") else "warn"
-    return _check(datasets, "task.parquet_task_type", F.lit(task_dtype not in (None, "string")), F.lit(f"type {task_dtype}"), level, True)
+    return check(datasets, "task.parquet_task_type", F.lit(task_dtype not in (None, "string")), F.lit(f"type {task_dtype}"), level, True)
 
 
 def stats_checks(stored: DataFrame, datasets: DataFrame, features: DataFrame, n_episode_stats: DataFrame, required: tuple = ("state", "action")) -> DataFrame:
@@ -211,15 +211,15 @@ def stats_checks(stored: DataFrame, datasets: DataFrame, features: DataFrame, n_
     level = F.when(~bad, "pass").when(F.col("feature").isin(*required), "error").otherwise("warn")
     each = g.select("dataset_id", level.alias("level"), F.concat(F.lit("stats."), "feature").alias("id"), F.when(bad, F.array_join(F.array_sort(missing), ",")).otherwise("").alias("detail"), bad.alias("fixable"))
     n = datasets.select("dataset_id", "total_episodes").join(n_episode_stats, "dataset_id", "left")
-    return each.union(_check(n, "stats.episodes_stats_count", ~F.col("n").eqNullSafe(F.col("total_episodes")), F.format_string("%d of %d", F.coalesce("n", F.lit(0)), "total_episodes"), "warn", True))
+    return each.union(check(n, "stats.episodes_stats_count", ~F.col("n").eqNullSafe(F.col("total_episodes")), F.format_string("%d of %d", F.coalesce("n", F.lit(0)), "total_episodes"), "warn", True))
 
 
 def semantic_checks(frames: DataFrame, datasets: DataFrame, jump: float = 10.0) -> DataFrame:
     """Action axes that never move, and steps above the limit. K19."""
     still = motion.static_axes(explode_axes(frames, "action")).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     d = datasets.select("dataset_id").join(still, "dataset_id", "left").join(motion.max_action_jump(frames), "dataset_id", "left")
-    return _check(d, "semantic.action_static", F.coalesce(F.col("n") > 0, F.lit(False)), F.format_string("%d axes", "n"), "warn").union(
-        _check(d, "semantic.action_jump", F.coalesce(F.col("max_jump") > jump, F.lit(False)), F.format_string("%.3f", "max_jump"), "warn")
+    return check(d, "semantic.action_static", F.coalesce(F.col("n") > 0, F.lit(False)), F.format_string("%d axes", "n"), "warn").union(
+        check(d, "semantic.action_jump", F.coalesce(F.col("max_jump") > jump, F.lit(False)), F.format_string("%.3f", "max_jump"), "warn")
     )
 
 
