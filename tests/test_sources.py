@@ -67,7 +67,7 @@ def test_written_datasets_are_read_back(spark, tmp_path):
     assert [json.loads(x)["task"] for x in (tmp_path / "v21/d/meta/tasks.jsonl").read_text().splitlines()] == ["pick", "plätze"]
     line = json.loads((tmp_path / "v21/d/meta/episodes_stats.jsonl").read_text().splitlines()[1])
     assert line["episode_index"] == 1 and line["stats"]["observation.state"]["max"] == [1.0, 3.0] and line["stats"]["action"]["count"] == [4]
-    assert {r.feature for r in readers.stats_keys(spark, [root]).collect()} == {"action", "observation.state"}
+    assert {r.feature for r in readers.stats_keys(spark, [root]).collect()} == {"action", "observation.state", "timestamp", "frame_index", "episode_index", "task_index"}
     assert [r.task_index for r in readers.list_episodes(readers.read_jsonl(spark, [root], "episodes.jsonl", readers.EPISODES)).collect()] == [0] * 5
     assert [r.pos for r in readers.episode_frames(readers.scan_frames(spark, [root]), 2).collect()] == list(range(5))
     (tmp_path / "v21/d/joint_config.json").write_text('{"names": ["outer"]}')
@@ -85,3 +85,37 @@ def test_written_datasets_are_read_back(spark, tmp_path):
     import pandas as pd
 
     assert list(pd.read_parquet(f"{shared}/d/meta/tasks.parquet").index) == ["pick", "plätze"]
+
+
+def test_written_datasets_pass_their_own_checks_and_lose_stale_files(spark, tmp_path):
+    from trajspark.operators import quality
+
+    rows = [("d", e, p, p / 30, [float(e), float(p)], [float(p)], 0) for e in range(3) for p in range(4)]
+    f = spark.createDataFrame(rows, "dataset_id string, episode_index long, pos long, timestamp double, state array<double>, action array<double>, task_index long")
+    tasks = spark.createDataFrame([("d", 0, "pick")], "dataset_id string, task_index long, task string")
+    episodes = f.select("dataset_id", "episode_index").distinct().withColumn("tasks", F.array(F.lit("pick")))
+    root = str(tmp_path / "out")
+    writers.write_dataset(f, episodes, tasks, root)
+    written = writers.write_dataset(f.where("episode_index < 2"), episodes.where("episode_index < 2"), tasks, root)
+    assert sorted(p.name for p in (tmp_path / "out").rglob("episode_*.parquet")) == ["episode_000000.parquet", "episode_000001.parquet"]
+    assert written.count() == 7 and (tmp_path / "out/d/meta/episodes_stats.jsonl").read_text().count("\n") == 2
+    info = readers.read_info(spark, [root])
+    d, features = readers.datasets(info), readers.features(info).select("dataset_id", "feature", F.get("shape", F.lit(0)).alias("dim"))
+    n = spark.createDataFrame([("d", 2)], "dataset_id string, n long")
+    checks = quality.stats_checks(readers.read_stats(spark, [root]), d, features, n).collect()
+    assert len(checks) == 7 and {r.level for r in checks} == {"pass"}
+
+
+def test_a_table_larger_than_a_row_group_is_written_in_parts(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(writers, "ROW_GROUP", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    rows = spark.range(1000).selectExpr("id % 2 AS k", "id", "concat('x', id) AS t")
+    told = writers.write_tables(rows, str(tmp_path), F.concat(F.lit("f"), F.col("k"), F.lit(".parquet")), ["id"]).collect()
+    assert sorted((r.path, r.n_rows) for r in told) == [("f0.parquet", 500), ("f1.parquet", 500)]
+    own = pq.ParquetFile(tmp_path / "f1.parquet")
+    assert own.read().column("id").to_pylist() == list(range(1, 1000, 2)) and own.num_row_groups > 3
+    lines = rows.select(F.concat(F.lit("l"), F.col("k")).alias("path"), (-F.col("id")).alias("at"), "t").withColumnRenamed("t", "line")
+    writers.write_lines(lines, str(tmp_path)).collect()
+    assert (tmp_path / "l0").read_text().split() == [f"x{i}" for i in range(998, -1, -2)]

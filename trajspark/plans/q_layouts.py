@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.operators import axes, layouts
-from trajspark.operators.stats import episode_lengths
+from trajspark.operators.stats import QUANTILES, episode_lengths
 from trajspark.plans import views
 from trajspark.plans.rounding import rounded
 from trajspark.plans.views import with_views
 from trajspark.session import shared_dir
-from trajspark.sources import readers, writers
+from trajspark.sources import footers, readers, writers
 
 
 def pack_files_part(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _written(spark: SparkSession, d: str, write) -> tuple[str, DataFrame]:
     tasks = spark.createDataFrame([("embeddings", 0, "hold")], "dataset_id string, task_index long, task string")
     episodes = f.select("dataset_id", "episode_index").distinct().withColumn("tasks", F.array(F.lit("hold")))
     root = f"{shared_dir(spark).rstrip('/')}/trajspark/dataset-{uuid.uuid4().hex}"
-    write(f, episodes, tasks, root).write.format("noop").mode("overwrite").save()
+    write(f, episodes, tasks, root)
     return root, f
 
 
@@ -57,12 +57,17 @@ def shared_round_trip_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return _firsts(writers.read_shared_dataset(spark, [f"{root}/embeddings"]))
 
 
+def tolerant_scan_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    root, _ = _written(spark, d, writers.write_dataset)
+    frames, quarantine = footers.scan_frames_tolerant(spark, [root])
+    return _firsts(frames.join(quarantine, "dataset_id", "left_anti"))
+
+
 def written_statistics_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Greatest value of each state axis, from the statistics file of the written dataset."""
+    """Every number of the statistics file of the written dataset."""
     root, _ = _written(spark, d, writers.write_dataset)
-    text = spark.read.text(f"{root}/embeddings/meta/stats.json", wholetext=True)
-    most = F.from_json(F.get_json_object("value", "$['observation.state'].max"), "array<double>")
-    return rounded(text.select(F.posexplode(most).alias("axis_index", "max")).select(F.col("axis_index").cast("long"), "max"))
+    s = readers.read_stats(spark, [root]).select("feature", "metric", F.col("axis_index").cast("long").alias("axis_index"), "value")
+    return rounded(s)
 
 
 def episode_paths_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +80,7 @@ def group_axes_part(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.select(F.col("p_partkey").alias("part"), axes.axis_group(F.col("name")).alias("grp"), axes.group_label(axes.axis_group(F.col("name"))).alias("label"), axes.normalize_joint_name(F.concat("name", F.lit("_joint"))).alias("norm")))
 
 
-QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, dataset_round_trip_embeddings, shared_round_trip_embeddings, written_statistics_embeddings, episode_paths_orders, group_axes_part)}
+QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, dataset_round_trip_embeddings, shared_round_trip_embeddings, tolerant_scan_embeddings, written_statistics_embeddings, episode_paths_orders, group_axes_part)}
 
 _PACK = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey::BIGINT AS episode_index, p_retailprice::DOUBLE AS bytes FROM part),
  r AS (SELECT i, episode_index, bytes, 0::BIGINT AS f, bytes AS used, 0::BIGINT AS lo FROM s WHERE i = 1
@@ -91,7 +96,20 @@ ORACLE = {
     "layout_round_trip_lineitem": with_views(["frames_lineitem"], " SELECT 'part' || (episode_index % 50) AS dataset_id, episode_index, pos, round(v1, 6) AS price FROM frames_lineitem"),
     "dataset_round_trip_embeddings": _FIRSTS,
     "shared_round_trip_embeddings": _FIRSTS,
-    "written_statistics_embeddings": with_views(["frames_embeddings"], " SELECT axis_index, round(max(s), 6) AS max FROM axis_embeddings GROUP BY 1"),
+    "tolerant_scan_embeddings": _FIRSTS,
+    "written_statistics_embeddings": with_views(["frames_embeddings"], f""", axes AS (
+  SELECT 'observation.state' AS feature, episode_index, axis_index, s AS v FROM axis_embeddings UNION ALL SELECT 'action', episode_index, axis_index, a FROM axis_embeddings
+  UNION ALL SELECT 'timestamp', episode_index, 0, pos / 30.0 FROM frames_embeddings UNION ALL SELECT 'frame_index', episode_index, 0, pos FROM frames_embeddings
+  UNION ALL SELECT 'episode_index', episode_index, 0, episode_index FROM frames_embeddings
+), each AS (
+  SELECT feature, episode_index, axis_index, count(*) AS n, {', '.join(f"quantile_cont(v, {q}) AS {k}" for k, q in QUANTILES.items())} FROM axes GROUP BY ALL
+), whole AS (
+  SELECT feature, axis_index, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_pop(v) AS std, count(*)::DOUBLE AS count FROM axes GROUP BY ALL
+), merged AS (
+  SELECT feature, axis_index, {', '.join(f"sum(n * {k}) / sum(n) AS {k}" for k in QUANTILES)} FROM each GROUP BY ALL
+), told AS (
+  SELECT feature, axis_index, unnest(['min', 'max', 'mean', 'std', 'count', {', '.join(repr(k) for k in QUANTILES)}]) AS metric, unnest([min, max, mean, std, count, {', '.join(QUANTILES)}]) AS value FROM whole JOIN merged USING (feature, axis_index)
+) SELECT feature, metric, axis_index, round(value, 6) AS value FROM told WHERE metric <> 'count' OR axis_index = 0"""),
     "episode_paths_orders": "SELECT o_orderkey::BIGINT AS episode_index, format('data/chunk-{:03d}/episode_{:06d}.parquet', o_orderkey // 1000, o_orderkey) AS path FROM orders",
     "group_axes_part": """WITH n AS (SELECT p_partkey::BIGINT AS part, CASE p_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, CASE WHEN p_partkey % 2 = 0 THEN 'elbow' ELSE 'neck' END AS joint FROM part),
  g AS (SELECT *, concat_ws('_', side, CASE joint WHEN 'elbow' THEN 'arm' ELSE 'head' END) AS grp FROM n)

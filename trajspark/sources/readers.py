@@ -80,6 +80,15 @@ def stats_keys(spark: SparkSession, roots: list[str]) -> DataFrame:
     return text.select(dataset_of(F.col("_metadata.file_path"), "meta").alias("dataset_id"), F.explode(F.json_object_keys("value")).alias("feature"))
 
 
+def read_stats(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(dataset_id, feature, metric, axis_index, value) of each root's stats.json; single numbers are axis 0."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "stats.json").text(roots, wholetext=True)
+    s = text.select(dataset_of(F.col("_metadata.file_path"), "meta").alias("dataset_id"), F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("feature", "metrics"))
+    s = s.select("dataset_id", "feature", F.explode("metrics").alias("metric", "text"))
+    values = F.coalesce(F.from_json("text", "array<double>"), F.array(F.col("text").try_cast("double")))
+    return s.select("dataset_id", "feature", "metric", F.posexplode(values).alias("axis_index", "value"))
+
+
 def read_joint_config(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(dataset_id, axis_index, axis_name) from joint_config.json, that of meta/ before that of the root. S8."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "joint_config.json").text(roots, wholetext=True)

@@ -1,7 +1,10 @@
-"""Dataset folders written from DataFrames: tasks write the files, one group each; the driver sees paths and counts only.
+"""Dataset folders written from DataFrames: tasks write the files, row batch by row batch; the driver sees paths and counts
+only.
 
 Files go through Arrow's filesystems (local, hdfs, s3 and so on by the root's scheme) under a name of their own first, then
-take their place, so a task that runs again leaves the same file."""
+take their place, so a task that runs again leaves the same file. A file is one task's, but no task holds a whole file.
+``write_dataset`` and ``write_shared_dataset`` write at once; what they return is the list of files, itself a table in the
+shared folder."""
 
 from __future__ import annotations
 
@@ -14,47 +17,126 @@ from pyspark.sql import functions as F
 
 from trajspark.operators.axes import EPISODE, explode_axes
 from trajspark.operators.layouts import CHUNK_SIZE, DATA_LIMIT, episode_path, from_shared_layout, pack_files, to_shared_layout
-from trajspark.operators.stats import episode_lengths, episode_stats, merge_stats
+from trajspark.operators.stats import QUANTILES, episode_lengths, episode_stats, merge_stats, scalar_axes
+from trajspark.session import materialize
+from trajspark.sources.readers import file_listing
 
 #: Versions and path patterns of the layouts. Fixed values.
 V20, V21, V30 = "v2.0", "v2.1", "v3.0"
 DATA_PATH = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
 SHARED_PATH = "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"
 STORED = {"state": "observation.state"}
-STATISTICS = ("min", "max", "mean", "std")
+STATISTICS = ("min", "max", "mean", "std", *QUANTILES)
+#: Columns of one number that have statistics too. Fixed values.
+SCALARS = ("timestamp", "frame_index", "episode_index", "index", "task_index")
+#: Rows that a task gathers before it writes them.
+ROW_GROUP = 50_000
 
 
-def _place(root: str, path: str, write) -> int:
-    """``write`` to a file that takes its place when whole; its size."""
+def _files(root: str):
+    """(filesystem, folder) of a root."""
     from pyarrow import fs
 
-    files, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-    target = f"{base.rstrip('/')}/{path}"
-    files.create_dir(target.rpartition("/")[0], recursive=True)
-    part = f"{target}.{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
-        write(out)
-    files.move(part, target)
-    return files.get_file_info(target).size
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+
+
+class _Part:
+    """A file that takes its place when it is whole."""
+
+    def __init__(self, root: str, path: str):
+        self.files, base = _files(root)
+        self.path, self.target, self.n = path, f"{base.rstrip('/')}/{path}", 0
+        self.files.create_dir(self.target.rpartition("/")[0], recursive=True)
+        self.part = f"{self.target}.{uuid.uuid4().hex}"
+        self.out = self.files.open_output_stream(self.part)
+
+    def done(self) -> tuple[str, int, int]:
+        self.out.close()
+        self.files.move(self.part, self.target)
+        return self.path, self.n, self.files.get_file_info(self.target).size
+
+
+def _place(root: str, path: str, write) -> int:
+    """``write`` to a file that takes its place when whole; its size."""
+    part = _Part(root, path)
+    write(part.out)
+    return part.done()[2]
 
 
 _WRITTEN = "path string, n_rows long, bytes long"
 
 
+def _told(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "n_rows", "bytes"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Runs of rows of one path, the first column, without that column."""
+    for b in batches:
+        paths = b.column(0).to_pylist()
+        cuts = [i for i in range(len(paths)) if not i or paths[i] != paths[i - 1]]
+        for at, to in zip(cuts, [*cuts[1:], len(paths)]):
+            yield paths[at], b.slice(at, to - at).select(b.schema.names[1:])
+
+
+def _dealt(rows: DataFrame, path: Column, order: list[str]) -> DataFrame:
+    return rows.select(path.alias("__path"), *[F.col(f"`{c}`") for c in rows.columns]).repartition("__path").sortWithinPartitions("__path", *[f"`{c}`" for c in order])
+
+
 def write_tables(rows: DataFrame, root: str, path: Column, order: list[str]) -> DataFrame:
-    """A Parquet file for each value of ``path``, its rows in ``order``: (path, n_rows, bytes) of all. What shares a file must
-    fit in a task. A column ``__p`` is not stored."""
+    """A Parquet file for each value of ``path``, its rows in ``order``: (path, n_rows, bytes) of all. A column ``__p`` is
+    not stored."""
 
-    def save(table: pa.Table) -> pa.Table:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        name = table.column("__path")[0].as_py()
-        own = table.sort_by([(c, "ascending") for c in order]).drop_columns([c for c in ("__path", "__p") if c in table.column_names])
-        own = own.rename_columns([STORED.get(c, c) for c in own.column_names])
-        size = _place(root, name, lambda out: pq.write_table(own, out))
-        return pa.table({"path": [name], "n_rows": pa.array([own.num_rows], pa.int64()), "bytes": pa.array([size], pa.int64())})
+        part = writer = None
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+                held.clear()
 
-    return rows.withColumn("__path", path).groupBy("__path").applyInArrow(save, _WRITTEN)
+        def close() -> pa.RecordBatch:
+            flush()
+            writer.close()
+            return _told([part.done()])
+
+        for name, b in _runs(batches):
+            b = b.select([c for c in b.schema.names if c != "__p"])
+            b = b.rename_columns([STORED.get(c, c) for c in b.schema.names])
+            if part is None or part.path != name:
+                if part is not None:
+                    yield close()
+                part = _Part(root, name)
+                writer = pq.ParquetWriter(part.out, b.schema)
+            held.append(b)
+            part.n += b.num_rows
+            if sum(x.num_rows for x in held) >= ROW_GROUP:
+                flush()
+        if part is not None:
+            yield close()
+
+    return _dealt(rows, path, order).mapInArrow(save, _WRITTEN)
+
+
+def write_lines(lines: DataFrame, root: str) -> DataFrame:
+    """Files of ``lines`` (path, at, line) in the order of ``at``, UTF-8, a line each."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for name, b in _runs(batches):
+            if part is None or part.path != name:
+                if part is not None:
+                    yield _told([part.done()])
+                part = _Part(root, name)
+            part.out.write("".join(f"{x}\n" for x in b.column(1).to_pylist()).encode())
+            part.n += b.num_rows
+        if part is not None:
+            yield _told([part.done()])
+
+    return _dealt(lines.select("at", "line", "path"), F.col("path"), ["at"]).drop("path").mapInArrow(save, _WRITTEN)
 
 
 def write_texts(texts: DataFrame, root: str) -> DataFrame:
@@ -71,11 +153,9 @@ def write_texts(texts: DataFrame, root: str) -> DataFrame:
 
 
 def jsonl(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """(path, text): the lines of each dataset's file ``name``, a line for each row without dataset_id. S19."""
+    """(path, at, line): the lines of each dataset's file ``name``, a line for each row without dataset_id. S19."""
     line = F.to_json(F.struct(*[c for c in rows.columns if c != "dataset_id"]))
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
-    text = F.concat(F.array_join(F.transform(lines, lambda s: s["line"]), "\n"), F.lit("\n"))
-    return rows.groupBy("dataset_id").agg(text.alias("text")).select(F.concat("dataset_id", F.lit(f"/{name}")).alias("path"), "text")
+    return rows.select(F.concat("dataset_id", F.lit(f"/{name}")).alias("path"), F.col(order).cast("long").alias("at"), line.alias("line"))
 
 
 def write_tasks_table(tasks: DataFrame, root: str) -> DataFrame:
@@ -134,29 +214,52 @@ def infos(frames: DataFrame, tasks: DataFrame, version: str, fps: float, robot:
 
 
 def statistics(frames: DataFrame) -> DataFrame:
-    """Statistics of each episode's vectors."""
-    both = [explode_axes(frames, c) for c in ("state", "action") if c in frames.columns]
-    return episode_stats(both[0] if len(both) == 1 else both[0].union(both[1]))
+    """Statistics of each episode's vectors and numbers."""
+    parts = [explode_axes(frames, c).select(*EPISODE, "source", "pos", "axis_index", "value") for c in ("state", "action") if c in frames.columns]
+    scalars = [c for c in SCALARS if c in frames.columns]
+    parts += [scalar_axes(frames, scalars)] if scalars else []
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return episode_stats(out)
+
+
+def remove_stale(written: DataFrame, root: str) -> DataFrame:
+    """Delete the data files of the written datasets that are not among the written files: (path) of them."""
+    spark = written.sparkSession
+    names = written.select(F.split("path", "/")[0].alias("dataset_id")).distinct()
+    have = file_listing(spark, [root]).where("subdir = 'data'").join(names, "dataset_id", "left_semi").select(F.concat("dataset_id", F.lit("/"), "rel_path").alias("path"))
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _files(root)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                target = f"{base.rstrip('/')}/{path}"
+                if files.get_file_info(target).is_file:
+                    files.delete_file(target)
+            yield b
+
+    return materialize(have.join(written, "path", "left_anti").mapInArrow(delete, "path string"), "stale")
 
 
 def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, version: str = V21, fps: float = 30.0, robot: str | None = None, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """All datasets of ``frames`` as folders below ``root``: a file for each episode, info, episodes, tasks and statistics (of
     episodes and of the whole; v2.0 has the latter only). ``episodes``: dataset_id, episode_index, tasks; ``tasks``:
-    dataset_id, task_index, task. Returns (path, n_rows, bytes). S17, S18, L1."""
+    dataset_id, task_index, task. Data files of an earlier version go. Returns (path, n_rows, bytes). S17, S18, L1."""
+    frames = frames if "frame_index" in frames.columns else frames.withColumn("frame_index", F.col("pos"))
     path = F.concat("dataset_id", F.lit("/"), episode_path(F.col("episode_index"), chunk_size))
     written = write_tables(stored(frames.withColumn("__p", path)), root, F.col("__p"), ["frame_index"])
-    by_episode = statistics(frames)
-    listed = episode_lengths(frames).join(episodes.select(*EPISODE, "tasks"), EPISODE, "left").select(*EPISODE, "tasks", "length")
-    texts = infos(frames, tasks, version, fps, robot, chunk_size).union(jsonl(listed, "meta/episodes.jsonl", "episode_index"))
-    texts = texts.union(jsonl(tasks.select("dataset_id", "task_index", "task"), "meta/tasks.jsonl", "task_index"))
-    whole = _vectors(merge_stats(by_episode), ["dataset_id"])
-    texts = texts.union(whole.select(F.concat("dataset_id", F.lit("/meta/stats.json")), "stats"))
+    by_episode = materialize(statistics(frames), "episode-statistics")
+    listed = episode_lengths(frames).join(episodes.select(*EPISODE, "tasks"), EPISODE, "left").select("dataset_id", "episode_index", "tasks", "length")
+    lines = jsonl(listed, "meta/episodes.jsonl", "episode_index").union(jsonl(tasks.select("dataset_id", "task_index", "task"), "meta/tasks.jsonl", "task_index"))
     if version != V20:
         line = F.concat(F.lit('{"episode_index":'), F.col("episode_index").cast("string"), F.lit(',"stats":'), "stats", F.lit("}"))
-        lines = F.transform(F.array_sort(F.collect_list(F.struct("episode_index", line.alias("line")))), lambda s: s["line"])
-        each = _vectors(by_episode, EPISODE).groupBy("dataset_id").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
-        texts = texts.union(each.select(F.concat("dataset_id", F.lit("/meta/episodes_stats.jsonl")), "text"))
-    return written.union(write_texts(texts, root))
+        lines = lines.union(_vectors(by_episode, EPISODE).select(F.concat("dataset_id", F.lit("/meta/episodes_stats.jsonl")), "episode_index", line))
+    whole = _vectors(merge_stats(by_episode), ["dataset_id"])
+    texts = infos(frames, tasks, version, fps, robot, chunk_size).union(whole.select(F.concat("dataset_id", F.lit("/meta/stats.json")), "stats"))
+    out = materialize(written.union(write_lines(lines, root)).union(write_texts(texts, root)), "written")
+    remove_stale(out, root)
+    return out
 
 
 def write_shared_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, fps: float = 30.0, robot: str | None = None, limit: float = DATA_LIMIT, chunk_size: int = CHUNK_SIZE) -> DataFrame:
@@ -176,7 +279,9 @@ def write_shared_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFram
     listed = write_tables(table.withColumn("__p", F.concat("dataset_id", F.lit("/meta/episodes/chunk-000/file-000.parquet"))).drop("dataset_id"), root, F.col("__p"), ["episode_index"])
     texts = infos(frames, tasks, V30, fps, robot, chunk_size)
     texts = texts.union(_vectors(merge_stats(statistics(frames)), ["dataset_id"]).select(F.concat("dataset_id", F.lit("/meta/stats.json")), "stats"))
-    return written.union(listed).union(write_tasks_table(tasks, root)).union(write_texts(texts, root))
+    out = materialize(written.union(listed).union(write_tasks_table(tasks, root)).union(write_texts(texts, root)), "written")
+    remove_stale(out, root)
+    return out
 
 
 def read_shared_dataset(spark, roots: list[str]) -> DataFrame:
