@@ -16,6 +16,8 @@ HEALTH_LEVELS = ((75, "good"), (50, "warn"))
 REQUIRED_METRICS = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
 REQUIRED_FILES = ("meta/info.json", "meta/episodes.jsonl", "meta/tasks.jsonl", "meta/stats.json", "meta/episodes_stats.jsonl")
 LEVELS = ("pass", "warn", "error")
+#: Profiles of models that read language. Fixed values.
+LANGUAGE = ("pi05", "pi0", "pi0.5", "openvla", "vla")
 
 
 def ladder(score: Column, steps: tuple, rest: str) -> Column:
@@ -195,7 +197,7 @@ def task_checks(tasks: DataFrame, refs: DataFrame, datasets: DataFrame) -> DataF
 
 def task_typecheck(datasets: DataFrame, task_dtype: str | None, profile: str) -> DataFrame:
     """A frame column ``task`` must be text; an error where the model reads language. K15."""
-    level = "error" if profile in ("pi05", "pi0", "pi0.5", "openvla", "vla") else "warn"
+    level = "error" if profile in LANGUAGE else "warn"
     return check(datasets, "task.parquet_task_type", F.lit(task_dtype not in (None, "string")), F.lit(f"type {task_dtype}"), level, True)
 
 
