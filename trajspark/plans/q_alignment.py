@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from trajspark.operators import alignment
 from trajspark.plans import views
 from trajspark.plans.rounding import rounded
 from trajspark.plans.views import with_views
+from trajspark.session import shared_dir
+from trajspark.sources import messages
 
 BASE, TOLERANCE_NS = "view", 60_000_000_000
 
@@ -47,8 +51,28 @@ def assemble_vectors_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(v.select("bag", "anchor", "role", F.size("vector").alias("width"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("total")))
 
 
+def _recorded(spark: SparkSession, d: str, topics: list[str] | None = None) -> DataFrame:
+    """The messages, or those of some topics, written as bags into the shared folder and read back from them."""
+    m = views.messages_events(spark, d).withColumn("payload", F.lit(None).cast("binary"))
+    root = f"{shared_dir(spark).rstrip('/')}/trajspark/bags-{uuid.uuid4().hex}"
+    m.repartition("bag").sortWithinPartitions("bag", "topic", "ts_ns").write.partitionBy("bag").parquet(root)
+    return messages.read_messages(spark, root, topics)
+
+
+def messages_source_events(spark: SparkSession, d: str) -> DataFrame:
+    m = _recorded(spark, d, ["click", "error"])
+    return rounded(m.groupBy("bag", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), F.max("seq").alias("last_seq"), F.sum(F.get("positions", F.lit(0))).alias("total")), 4)
+
+
+def source_to_frames_events(spark: SparkSession, d: str) -> DataFrame:
+    return _frames(spark, _recorded(spark, d))
+
+
 def messages_to_frames_events(spark: SparkSession, d: str) -> DataFrame:
-    m = views.messages_events(spark, d)
+    return _frames(spark, views.messages_events(spark, d))
+
+
+def _frames(spark: SparkSession, m: DataFrame) -> DataFrame:
     config = spark.createDataFrame(
         [("state", "click", 0, ["a"], None), ("state", "purchase", 1, ["b"], None), ("action", "error", 0, ["c"], None)],
         "role string, topic string, topic_order int, names array<string>, mapping array<struct<source_index: int, target_index: int, name: string>>",
@@ -57,7 +81,7 @@ def messages_to_frames_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(f.select("bag", "pos", "timestamp", F.get("state", F.lit(0)).alias("s0"), F.get("action", F.lit(0)).alias("a0")))
 
 
-QUERIES = {f.__name__: f for f in (align_nearest_events, alignment_report_events, anchors_grid_events, topic_catalog_events, assemble_vectors_events, messages_to_frames_events)}
+QUERIES = {f.__name__: f for f in (align_nearest_events, alignment_report_events, anchors_grid_events, topic_catalog_events, assemble_vectors_events, messages_to_frames_events, messages_source_events, source_to_frames_events)}
 
 _NEAR = """, an AS (SELECT bag, row_number() OVER (PARTITION BY bag ORDER BY ts_ns, seq) - 1 AS anchor, ts_ns AS anchor_ns FROM messages_events WHERE topic = 'view'),
  al AS (SELECT an.bag, anchor, anchor_ns, m.topic, m.seq, m.ts_ns, m.value, abs(m.ts_ns - anchor_ns) AS delta_ns FROM an JOIN messages_events m USING (bag)
@@ -79,3 +103,8 @@ ORACLE = {
  WHERE topic IN ('click', 'purchase', 'error') GROUP BY 1, 2)
  SELECT bag, row_number() OVER (PARTITION BY bag ORDER BY anchor) - 1 AS pos, round((row_number() OVER (PARTITION BY bag ORDER BY anchor) - 1) / 10.0::DOUBLE, 6) AS "timestamp", round(coalesce(c, p), 6) AS s0, round(e, 6) AS a0 FROM w"""),
 }
+ORACLE |= {
+    "messages_source_events": with_views(["messages_events"], """ SELECT bag, topic, count(*) AS n, min(ts_ns) AS first_ns, max(seq) AS last_seq, round(sum(value), 4) AS total
+ FROM messages_events WHERE topic IN ('click', 'error') GROUP BY bag, topic"""),
+    "source_to_frames_events": ORACLE["messages_to_frames_events"],
+}

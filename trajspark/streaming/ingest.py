@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def incremental_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, to_frames: Callable[[DataFrame], DataFrame]) -> None:
+def incremental_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, to_frames: Callable[[DataFrame], DataFrame], kind: str = "parquet") -> None:
     """Message files that ``source`` has gained since the last call become frames in ``target``; a stopped run goes on
-    where it was. Episode numbers follow the largest one there; a batch that is written again replaces its own. M2."""
-    stream = spark.readStream.schema(schema).parquet(source)
+    where it was. Episode numbers follow the largest one there; a batch that is written again replaces its own. ``kind``:
+    the source's format; one other than files has its own schema. M2."""
+    stream = spark.readStream.format(kind)
+    stream = (stream.schema(schema) if kind == "parquet" else stream).load(source)
 
     numbers = f"{target.rstrip('/')}.numbers"  # a row for each bag that has been numbered, a folder for each batch
     known = spark.read.schema("bag string, episode_index long, batch long").option("recursiveFileLookup", False)
