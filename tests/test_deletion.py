@@ -27,3 +27,49 @@ def test_joint_report(spark):
     f = spark.createDataFrame([("d", e, i, i / 30, [float(i * e), 1.0]) for e in range(3) for i in range(12)], "dataset_id string, episode_index long, pos long, timestamp double, state array<double>")
     r = report.joint_report(axes.explode_axes(f, "state"))
     assert r.count() == 2 and report.top_axes(r, "jerk", 1).count() == 1
+
+
+def _kept(path, left, right, tolerance):
+    """Positions that the recursive rule keeps strictly between left and right."""
+    if right - left < 2:
+        return []
+    off = [max(abs(x - (a + (b - a) * (i - left) / (right - left))) for x, a, b in zip(path[i], path[left], path[right])) for i in range(left + 1, right)]
+    if max(off) <= tolerance:
+        return []
+    k = left + 1 + off.index(max(off))
+    return _kept(path, left, k, tolerance) + [k] + _kept(path, k, right, tolerance)
+
+
+def test_bridges_against_the_rules_in_plain_python(spark):
+    rng = np.random.default_rng(9)
+    rows, junctions, dp, curve = [], [], {}, {}
+    for e, (left, right) in enumerate([(3, 9), (5, 20), (2, 5), (0, 7), (10, 29), (4, 6), (6, 12)]):
+        path = np.cumsum(rng.normal(0, 1 + e % 3, (30, 2)), axis=0).tolist() if e != 6 else [[float(i), 0.0] for i in range(30)]
+        rows += [("d", e, i, i / 30, x) for i, x in enumerate(path)]
+        n = right - left - 1
+        junctions.append(("d", e, left, right, n, False))
+        steps = np.abs(np.diff(np.array(path), axis=0)).mean(0).max() / 2
+        least, own = max(2, n // 3), path[left : right + 1]
+        kept = _kept(own, 0, len(own) - 1, steps)
+        if len(kept) < least:
+            off = sorted((max(abs(x - (a * (1 - i / (n + 1)) + b * i / (n + 1))) for x, a, b in zip(own[i], own[0], own[-1])) for i in range(1, n + 1)), reverse=True)
+            kept = _kept(own, 0, len(own) - 1, 0.99 * off[min(least, n) - 1])
+        dp[e] = [left + i for i in kept]
+        p, width = np.array(path), right - left
+        m0 = (p[left] - p[left - 1]) * width if left else np.zeros(2)
+        m1 = (p[right + 1] - p[right]) * width if right < 29 else np.zeros(2)
+        far = []
+        for i in range(left + 1, right):
+            t = (i - left) / width
+            ideal = (2 * t**3 - 3 * t**2 + 1) * p[left] + (t**3 - 2 * t**2 + t) * m0 + (3 * t**2 - 2 * t**3) * p[right] + (t**3 - t**2) * m1
+            far.append(float(np.linalg.norm(p[i] - ideal)))
+        k = min(n, max(2, 1 + n // 3))
+        cuts = [int(i * (n / k)) for i in range(k)] + [n]
+        curve[e] = sorted(left + 1 + a + int(np.argmin(far[a:b])) for a, b in zip(cuts, cuts[1:]) if a < b)
+    f = spark.createDataFrame(rows, "dataset_id string, episode_index long, pos long, timestamp double, state array<double>")
+    j = spark.createDataFrame(junctions, "dataset_id string, episode_index long, left long, right long, n_between long, smooth boolean")
+    for df, want in ((deletion.bridge_frames(f, j), dp), (deletion.bridge_frames_curve(axes.explode_axes(f, "state"), j), curve)):
+        got = {e: [] for e in want}
+        for r in df.collect():
+            got[r.episode_index].append(r.pos)
+        assert {e: sorted(v) for e, v in got.items()} == want

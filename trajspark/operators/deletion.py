@@ -40,6 +40,10 @@ def junction_report(axis: DataFrame, gone: DataFrame, k_sigma: float = 3.0) -> D
     return j.withColumn("smooth", (F.col("n") < 4) | (F.size("bad_axes") == 0)).drop("n")
 
 
+#: Share of a frame's deviation at which it still counts. Fixed value.
+LOWER = 0.99
+
+
 def farthest_points(path: np.ndarray, tolerance: float) -> list[int]:
     """Inner points of a path that Douglas and Peucker's rule keeps; distance is the largest over axes at equal step."""
     out, waiting = [], [(0, len(path) - 1)]
@@ -61,19 +65,20 @@ def _bridge(group: pd.DataFrame) -> pd.DataFrame:
     path, tolerance = np.stack(group["state"].to_numpy()), float(group["tolerance"].iloc[0])
     least = max(2, (len(path) - 2) // 3)
     found = farthest_points(path, tolerance)
-    for _ in range(3):
-        if len(found) >= least:
-            break
-        tolerance /= 2
-        found = farthest_points(path, tolerance)
+    if len(found) < least and len(path) > 2:
+        # where too few come out, the tolerance is just below the deviation that as many frames as needed reach
+        share = np.linspace(0, 1, len(path))[1:-1, None]
+        off = np.sort(np.abs(path[1:-1] - (path[0] * (1 - share) + path[-1] * share)).max(axis=1))[::-1]
+        found = farthest_points(path, LOWER * off[min(least, len(off)) - 1])
     out = group.iloc[found][[*EPISODE, "left", "pos"]]
     return out.astype({"left": "int64", "pos": "int64"})
 
 
 def bridge_frames(frames: DataFrame, junctions: DataFrame) -> DataFrame:
     """(episode, left, pos): deleted frames to keep at junctions that are not smooth, so that the path bends as before.
-    The tolerance is half the largest mean step of an axis, lowered up to three times where too few frames come out; one
-    junction is one group. D2."""
+    The tolerance is half the largest mean step of an axis. Where that gives fewer than a third of the frames between, or
+    than two, it becomes 0.99 of the deviation from the straight line that this many frames reach. One junction is one
+    group. D2."""
     w = Window.partitionBy(*EPISODE).orderBy("pos")
     steps = F.zip_with("state", F.lag("state").over(w), lambda x, y: F.abs(x - y))
     mean = frames.select(*EPISODE, steps.alias("s")).select(*EPISODE, F.posexplode("s").alias("k", "step")).groupBy(*EPISODE, "k").agg(F.avg("step").alias("step"))
@@ -90,8 +95,8 @@ def hermite(share: Column, a: Column, b: Column, slope_a: Column, slope_b: Colum
 
 
 def bridge_frames_curve(axis: DataFrame, junctions: DataFrame) -> DataFrame:
-    """(episode, left, pos): of each stretch of a junction, the deleted frame closest to the cubic between its ends;
-    1 + n div 3 stretches, two at least. D3."""
+    """(episode, left, pos): of each stretch of a junction, the deleted frame closest to the cubic between its ends, by
+    Euclidean distance; 1 + n div 3 stretches, two at least, cut at the whole part of equal shares. D3."""
     w = Window.partitionBy(*EPISODE, "axis_index").orderBy("pos")
     a = axis.withColumn("step", F.col("value") - F.lag("value").over(w)).withColumn("next", F.lead("value").over(w) - F.col("value"))
     bad = junctions.where("not smooth").select(*EPISODE, "left", "right", "n_between")
@@ -100,7 +105,9 @@ def bridge_frames_curve(axis: DataFrame, junctions: DataFrame) -> DataFrame:
     inside = a.select(*EPISODE, "axis_index", "pos", "value").join(ends, [*EPISODE, "axis_index"]).where("pos > left and pos < right")
     width = F.col("right") - F.col("left")
     ideal = hermite((F.col("pos") - F.col("left")) / width, F.col("a"), F.col("b"), F.col("slope_a"), F.col("slope_b"), width)
-    off = inside.withColumn("off", F.abs(F.col("value") - ideal)).groupBy(*EPISODE, "left", "right", "n_between", "pos").agg(F.max("off").alias("off"))
-    k = F.greatest(F.lit(2), 1 + F.floor(F.col("n_between") / 3))
-    stretch = F.floor((F.col("pos") - F.col("left") - 1) * k / F.col("n_between"))
+    off = inside.withColumn("off", (F.col("value") - ideal) ** 2).groupBy(*EPISODE, "left", "right", "n_between", "pos").agg(F.sqrt(F.sum("off")).alias("off"))
+    n = F.col("n_between")
+    off = off.withColumn("k", F.least(n, F.greatest(F.lit(2), 1 + F.floor(n / 3))).cast("int"))
+    # the number of a frame's stretch: how many stretches have ended before it
+    stretch = F.size(F.filter(F.sequence(F.lit(1), F.col("k")), lambda i: F.floor(i * (n / F.col("k"))) <= F.col("pos") - F.col("left") - 1))
     return off.groupBy(*EPISODE, "left", stretch.alias("stretch")).agg(F.min_by("pos", F.struct("off", "pos")).alias("pos")).drop("stretch")
