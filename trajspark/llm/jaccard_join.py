@@ -257,7 +257,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iter
     def meet() -> None:
         side, own, node, comp, size = (np.array([r[k] for r in held], np.int64) for k in range(1, 6))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right) and side.any() | (len(left) < 2):
+        if not len(left) or not len(right) and len(left) < 2:
             return
         bits = folded([r[6] for r in held])
         near: list[tuple] = []
