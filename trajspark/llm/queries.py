@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, for the entry module."""
+"""Queries of the operators over the given tables, for the entry module."""
 
 from __future__ import annotations
 
