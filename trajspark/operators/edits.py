@@ -90,12 +90,17 @@ def task_signature(columns: list[str]) -> Column:
 
 def remap_tasks(tasks: DataFrame, order: DataFrame) -> DataFrame:
     """(dataset_id, task_index, new_index): distinct tasks over all datasets in the order they are first seen;
-    ``order``: dataset_id, dataset_order. J15, G7."""
+    ``order``: dataset_id, dataset_order, no two datasets of one order. J15, G7."""
     fields = [c for c in tasks.columns if c not in ("dataset_id", "task_index")]
     t = tasks.join(order, "dataset_id").withColumn("signature", task_signature(fields))
-    # the table of distinct tasks is small by nature and is numbered as one
+    # tasks are numbered within the dataset that has them first; datasets, a row each, are summed in order
     first = t.groupBy("signature").agg(F.min(F.struct("dataset_order", "task_index")).alias("seen"))
-    first = first.withColumn("new_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seen")) - 1)
+    through = Window.orderBy("dataset_order").rowsBetween(Window.unboundedPreceding, -1)
+    before = first.groupBy(F.col("seen.dataset_order").alias("dataset_order")).agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("dataset_order", F.coalesce(F.sum("n").over(through), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("seen.dataset_order").orderBy("seen.task_index")) - 1
+    first = first.select("signature", own.alias("own"), F.col("seen.dataset_order").alias("dataset_order")).join(before, "dataset_order")
+    first = first.select("signature", (F.col("before") + F.col("own")).alias("new_index"))
     return t.join(first, "signature").select("dataset_id", "task_index", F.col("new_index").cast("long").alias("new_index"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trajspark.operators import edits
 from trajspark.operators.stats import episode_lengths, length_outliers
 from trajspark.plans import views
+from trajspark.plans.q_motion import TRIM
 from trajspark.plans.rounding import rounded
 from trajspark.plans.views import with_views
 
@@ -92,12 +93,19 @@ QUERIES = {f.__name__: f for f in (
 
 _TASKS = """WITH ta AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'open' END AS dataset_id, o_orderkey::BIGINT AS episode_index, o_orderpriority AS task FROM orders),
  tk AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY task DESC) - 1 AS task_index FROM (SELECT DISTINCT dataset_id, task FROM ta))"""
-_RENUMBER = """, e AS (SELECT episode_index, count(*) AS length FROM kept GROUP BY 1),
- n AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS new_index, sum(length) OVER (ORDER BY episode_index) - length AS first_frame FROM e),
+_RENUMBER = """, el AS (SELECT episode_index, count(*) AS length FROM kept GROUP BY 1),
+ n AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS new_index, sum(length) OVER (ORDER BY episode_index) - length AS first_frame FROM el),
  k AS (SELECT *, row_number() OVER (PARTITION BY episode_index ORDER BY pos) - 1 AS p FROM kept)"""
 _SIZES = ", q AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS length FROM frames_lineitem), b AS (SELECT quantile_cont(length, 0.25) AS q1, quantile_cont(length, 0.75) AS q3 FROM (SELECT DISTINCT episode_index, length FROM q))"
+_PLAN = TRIM + """, qu AS (SELECT quantile_cont(length, 0.25) AS q1, quantile_cont(length, 0.75) AS q3 FROM e),
+ g AS (SELECT episode_index, length FROM e, qu WHERE length < q1 - 1.5 * (q3 - q1) OR length > q3 + 1.5 * (q3 - q1)), kt AS (SELECT * FROM tr WHERE episode_index NOT IN (SELECT episode_index FROM g))"""
 
 ORACLE = {
+    "batch_plan_embeddings": with_views(["frames_embeddings"], _PLAN + """, t AS (SELECT (SELECT count(*) FROM e) AS episodes, (SELECT sum(length) FROM e)::BIGINT AS frames, (SELECT count(*) FROM g) AS deleted_episodes,
+ (SELECT coalesce(sum(length), 0) FROM g)::BIGINT AS deleted_frames, (SELECT coalesce(sum(trim_start + trim_end), 0) FROM kt)::BIGINT AS trimmed_frames, (SELECT count(*) FROM kt WHERE trim_start + trim_end > 0) AS trimmed_episodes)
+ SELECT 'embeddings' AS dataset_id, *, episodes - deleted_episodes AS kept_episodes, frames - deleted_frames - trimmed_frames AS kept_frames FROM t"""),
+    "apply_batch_plan_embeddings": with_views(["frames_embeddings"], _PLAN + ", kept AS (SELECT f.* FROM frames_embeddings f JOIN kt USING (episode_index) WHERE f.pos >= trim_start AND f.pos < kt.length - trim_end)" + _RENUMBER
+     + ' SELECT new_index AS episode_index, p AS pos, (first_frame + p)::BIGINT AS "index", round(state[1], 6) AS s0 FROM k JOIN n USING (episode_index)'),
     "renumber_after_delete_lineitem": with_views(["frames_lineitem"], _SIZES + """, kept AS (SELECT q.* FROM q, b WHERE length BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""" + _RENUMBER
      + ' SELECT new_index AS episode_index, episode_index AS orig_episode_index, p AS pos, (first_frame + p)::BIGINT AS "index" FROM k JOIN n USING (episode_index)'),
     "delete_frames_lineitem": with_views(["frames_lineitem"], ", kept AS (SELECT * FROM frames_lineitem WHERE v0 <= 25)" + _RENUMBER

@@ -85,6 +85,10 @@ _S = _M + """, s AS (SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode
  avg((reasons <> '')::INT) AS problem_ratio FROM q GROUP BY episode_index)"""
 
 ORACLE = {
+    "speed_blur_correlation_embeddings": with_views(["gray_embeddings", "frames_embeddings"], _M + """, sl AS (SELECT episode_index, pos, state, lag(state) OVER (PARTITION BY episode_index ORDER BY pos) AS p FROM frames_embeddings),
+ sp AS (SELECT episode_index, pos, CASE WHEN p IS NULL THEN 0 ELSE list_max([abs(z[1] - z[2]) for z in list_zip(state, p)]) * 30 END AS speed FROM sl),
+ c AS (SELECT CASE WHEN count(*) > 10 THEN corr(speed, blur) END AS r FROM mm JOIN sp USING (episode_index, pos))
+ SELECT 'embeddings' AS dataset_id, 'cam' AS camera, round(r, 6) AS correlation, CASE WHEN r < -0.3 THEN 'bad' WHEN r < -0.1 THEN 'poor' WHEN r < 0.1 THEN 'good' WHEN r IS NOT NULL THEN 'acceptable' END AS class FROM c"""),
     "gray_metrics_embeddings": with_views(["gray_embeddings"], _M + f" SELECT episode_index, pos, {_R(['brightness', 'brightness_content', 'dark_ratio', 'overexposed', 'underexposed', 'entropy', 'contrast'])} FROM mm"),
     "frame_difference_embeddings": with_views(["gray_embeddings"], _M + " SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode_index, pos, round(frame_diff, 6) AS frame_diff FROM df"),
     "frame_quality_embeddings": with_views(["gray_embeddings"], _M + " SELECT episode_index, pos, round(quality, 4) AS quality FROM q"),

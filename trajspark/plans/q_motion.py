@@ -82,7 +82,8 @@ def temporal_preview_events(spark: SparkSession, d: str) -> DataFrame:
 
 def curve_preview_embeddings(spark: SparkSession, d: str) -> DataFrame:
     f = views.frames_embeddings(spark, d)
-    return motion.curve_preview(f, motion.static_edge_trim(f, threshold=1.1))
+    out = motion.curve_preview(f, motion.static_edge_trim(f, threshold=1.1))
+    return rounded(out.select("dataset_id", "episode_index", "pos", "trimmed", *[F.get("curve", F.lit(i)).alias(f"c{i}") for i in range(8)]))
 
 
 def sample_frames_lineitem(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +138,7 @@ _SMOOTH = """, n AS (SELECT *, max(anomaly::INT) OVER (PARTITION BY episode_inde
  FROM k LEFT JOIN frames_events l ON l.episode_index = k.episode_index AND l.pos = k.lp LEFT JOIN frames_events r ON r.episode_index = k.episode_index AND r.pos = k.rp)"""
 _MOVE = """, w AS (SELECT episode_index, pos, action, lead(action, 4) OVER (PARTITION BY episode_index ORDER BY pos) AS later, count(*) OVER (PARTITION BY episode_index) AS length FROM frames_embeddings),
  mo AS (SELECT episode_index, pos, length, CASE WHEN later IS NOT NULL THEN sqrt(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(action, later)])) END AS motion FROM w)"""
-_TRIM = _MOVE + """, e AS (SELECT episode_index, any_value(length) AS length, min(CASE WHEN motion > 1.1 THEN pos END) AS a, max(CASE WHEN motion > 1.1 THEN pos END) AS b,
+TRIM = _MOVE + """, e AS (SELECT episode_index, any_value(length) AS length, min(CASE WHEN motion > 1.1 THEN pos END) AS a, max(CASE WHEN motion > 1.1 THEN pos END) AS b,
  max(motion) AS max_motion, avg(motion) AS mean_motion FROM mo GROUP BY 1),
  tr AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE a END AS trim_start, CASE WHEN a IS NULL THEN 0 ELSE length - 1 - least(length - 1, b + 4) END AS trim_end,
  CASE WHEN a IS NULL THEN 0 ELSE a END AS keep_start, CASE WHEN a IS NULL THEN length - 1 ELSE least(length - 1, b + 4) END AS keep_end,
@@ -151,7 +152,20 @@ _PAIRS = """, p AS (SELECT episode_index, axis_index::BIGINT AS axis_index, pos,
 _BEST = _PAIRS + """, c AS (SELECT axis_index, lag, sum(abs(correlation) * weight) / sum(weight) AS size, sum(correlation * weight) / sum(weight) AS correlation, sum(weight)::BIGINT AS weight
  FROM j WHERE correlation IS NOT NULL GROUP BY 1, 2), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY axis_index ORDER BY round(size, 9) DESC, abs(lag), lag) = 1)"""
 
+#: Numbers of an even sample of k out of n.
+_EVEN = "[round_even(t * (({n} - 1) / greatest({k} - 1, 1)::DOUBLE), 0)::BIGINT FOR t IN range({k})]"
+
 ORACLE = {
+    "temporal_preview_events": with_views(["frames_events"], _D + _FLAG + """, lo AS (SELECT episode_index FROM frames_events GROUP BY 1 ORDER BY count(*) DESC, episode_index LIMIT 1),
+ x AS (SELECT fl.*, row_number() OVER (ORDER BY pos) - 1 AS i, row_number() OVER (PARTITION BY anomaly ORDER BY pos) - 1 AS j, count(*) OVER () AS n, (sum(anomaly::INT) OVER ())::BIGINT AS m FROM fl JOIN lo USING (episode_index)),
+ y AS (SELECT *, n <= greatest(96 - m, 2) OR list_contains(""" + _EVEN.format(n="n", k="greatest(96 - m, 2)") + """, i) AS sampled, list_contains(""" + _EVEN.format(n="m", k="96") + """, j) AS crowded FROM x)
+ SELECT 'events' AS dataset_id, episode_index, pos, round(value, 4) AS value, round(velocity, 4) AS velocity, anomaly, CASE WHEN m > 96 THEN anomaly AND crowded ELSE anomaly OR sampled END AS shown FROM y"""),
+    "curve_preview_embeddings": with_views(["frames_embeddings"], TRIM + """, so AS (SELECT episode_index, keep_start, keep_end, length FROM tr WHERE trim_start + trim_end > 0 ORDER BY episode_index LIMIT 80)
+ SELECT 'embeddings' AS dataset_id, episode_index, pos, pos NOT BETWEEN keep_start AND keep_end AS trimmed, """ + ", ".join(f"round(action[{i + 1}], 6) AS c{i}" for i in range(8)) + """
+ FROM frames_embeddings f JOIN so USING (episode_index) WHERE so.length <= 260 OR list_contains(""" + _EVEN.format(n="so.length", k="260") + """, pos)"""),
+    "sample_frames_lineitem": """WITH n AS (SELECT l_orderkey // 1000 AS episode_index, count(*) AS n FROM lineitem GROUP BY 1),
+ k AS (SELECT *, least(greatest(least(100, n), floor(n ** 0.75)::BIGINT), 10000) AS k FROM n)
+ SELECT DISTINCT 'lineitem' AS dataset_id, episode_index, unnest(CASE WHEN n <= k THEN range(n) ELSE """ + _EVEN.format(n="n", k="k") + """ END) AS pos FROM k""",
     "derivatives_events": with_views(["frames_events"], _D + " SELECT episode_index, pos, round(velocity, 4) AS velocity, round(acceleration, 4) AS acceleration, round(jerk, 4) AS jerk, round(d2, 4) AS d2 FROM d"),
     "temporal_metrics_events": with_views(["frames_events"], _D + """ SELECT 'events' AS dataset_id, 'state' AS source, 0::BIGINT AS axis_index, round(avg(abs(d1)), 4) AS smoothness, round(max(abs(d1)), 4) AS max_delta,
  round(avg(abs(d2)), 4) AS jerk, round(max(abs(d2)), 4) AS max_jerk, round(avg(abs(velocity)), 4) AS mean_velocity, round(max(abs(velocity)), 4) AS max_velocity,
@@ -169,9 +183,9 @@ ORACLE = {
     "smoothing_report_events": with_views(["frames_events"], _D + _FLAG + _SMOOTH + """ SELECT 'events' AS dataset_id, 'state' AS source, episode_index, 0::BIGINT AS axis_index, count(*) FILTER (touched) AS n_changed,
  count(*) FILTER (anomaly) AS n_anomalies, round(max(abs(smoothed - value)), 6) AS max_change FROM sm GROUP BY episode_index HAVING count(*) FILTER (touched) > 0"""),
     "window_motion_embeddings": with_views(["frames_embeddings"], _MOVE + " SELECT 'embeddings' AS dataset_id, episode_index, pos, round(motion, 6) AS motion FROM mo WHERE motion IS NOT NULL"),
-    "static_edge_trim_embeddings": with_views(["frames_embeddings"], _TRIM + """ SELECT 'embeddings' AS dataset_id, episode_index, length, CASE WHEN why IS NULL THEN 'ok' ELSE 'skipped' END AS status,
+    "static_edge_trim_embeddings": with_views(["frames_embeddings"], TRIM + """ SELECT 'embeddings' AS dataset_id, episode_index, length, CASE WHEN why IS NULL THEN 'ok' ELSE 'skipped' END AS status,
  coalesce(why, 'static edges') AS reason, trim_start, trim_end, keep_start, keep_end, round(max_motion, 6) AS max_motion, round(mean_motion, 6) AS mean_motion FROM tr"""),
-    "trimmed_frames_embeddings": with_views(["frames_embeddings"], _TRIM + """ SELECT 'embeddings' AS dataset_id, f.episode_index, f.pos FROM frames_embeddings f JOIN tr USING (episode_index)
+    "trimmed_frames_embeddings": with_views(["frames_embeddings"], TRIM + """ SELECT 'embeddings' AS dataset_id, f.episode_index, f.pos FROM frames_embeddings f JOIN tr USING (episode_index)
  WHERE f.pos < trim_start OR f.pos >= tr.length - trim_end"""),
     "max_joint_speed_embeddings": with_views(["frames_embeddings"], """, s AS (SELECT episode_index, pos, state, lag(state) OVER (PARTITION BY episode_index ORDER BY pos) AS p FROM frames_embeddings)
  SELECT 'embeddings' AS dataset_id, episode_index, pos, round(CASE WHEN p IS NULL THEN 0 ELSE list_max([abs(z[1] - z[2]) for z in list_zip(state, p)]) * 30 END, 6) AS speed FROM s"""),

@@ -25,6 +25,16 @@ def verify_stats_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.overall_match(quality.verify_stats(f, stored, episodes, ["state"], []).where("n_b > 0")))
 
 
+def verify_stale_stats_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics stored before every tenth order changed: both comparisons, metric by metric."""
+    f = views.frames_lineitem(spark, d)
+    before = axes.explode_axes(f.where("episode_index % 10 <> 3"), "state")
+    stored = quality.long_stats(stats.merge_stats(stats.episode_stats(before)), ["mean", "std", "min", "max", "count"])
+    stored = stored.where("not (metric = 'max' and axis_index = 1)")
+    episodes = stats.episode_stats(axes.explode_axes(f, "state")).withColumn("max", F.when(F.col("axis_index") == 2, F.col("max") + 1).otherwise(F.col("max")))
+    return rounded(quality.verify_stats(f, stored, episodes, ["state"], []).select("against", "feature", "metric", "n_a", "n_b", "max_abs", "match"), 3)
+
+
 def unknown_task_refs_lineitem(spark: SparkSession, d: str) -> DataFrame:
     refs = views.table(spark, d, "lineitem").select(F.lit("lineitem").alias("dataset_id"), F.col("l_linenumber").cast("long").alias("task_index"))
     tasks = views.table(spark, d, "lineitem").where("l_linenumber <= 4").select(F.lit("lineitem").alias("dataset_id"), F.col("l_linenumber").cast("long").alias("task_index")).distinct()
@@ -89,10 +99,27 @@ def health_report_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    diff_stats_lineitem, verify_stats_lineitem, unknown_task_refs_lineitem, dt_checks_events, frame_checks_embeddings, training_status_embeddings, video_integrity_orders,
+    diff_stats_lineitem, verify_stats_lineitem, verify_stale_stats_lineitem, unknown_task_refs_lineitem, dt_checks_events, frame_checks_embeddings, training_status_embeddings, video_integrity_orders,
     repair_frames_events, health_dimensions, health_report_embeddings,
 )}
 
+_LONG = """, a AS (SELECT episode_index, unnest(range(3)) AS axis_index, unnest([v0, v1, v2]) AS value FROM frames_lineitem),
+ fr AS (SELECT axis_index, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(*)::DOUBLE AS count FROM a GROUP BY 1),
+ es AS (SELECT episode_index, axis_index, avg(value) AS mean, var_pop(value) AS var, min(value) AS lo, max(value) AS hi, count(*) AS n FROM a GROUP BY 1, 2)"""
+#: Frames of episode 2 are numbered from 1, and one frame more is declared than there is.
+_CHECKS = """, f AS (SELECT *, pos + (episode_index = 2)::INT AS frame_index, pos / 30.0::DOUBLE - lag(pos / 30.0::DOUBLE) OVER (PARTITION BY episode_index ORDER BY pos) AS dt FROM frames_embeddings),
+ ep AS (SELECT episode_index, count(*) AS length, count(*) FILTER (frame_index <> pos) AS number, coalesce(min(dt) <= 0 OR abs(avg(dt) - 1 / 30.0::DOUBLE) > 0.05 / 30, false)::INT AS late,
+  count(*) FILTER (state IS NULL OR len(state) <> 32) AS width_s, count(*) FILTER (action IS NULL OR len(action) <> 32) AS width_a,
+  count(*) FILTER (len([x FOR x IN state IF isnan(x) OR isinf(x)]) > 0) AS odd_s, count(*) FILTER (len([x FOR x IN action IF isnan(x) OR isinf(x)]) > 0) AS odd_a FROM f GROUP BY 1),
+ per AS (SELECT id, rank, fix, count(*) FILTER (bad > 0) AS n, list_sort(list(episode_index ORDER BY episode_index) FILTER (bad > 0))[1:5] AS few
+  FROM ep, LATERAL (VALUES ('temporal.frame_index', 'error', true, number), ('temporal.timestamp', 'error', true, late), ('temporal.global_index', 'warn', true, 0), ('dtype.state', 'error', false, width_s),
+   ('dtype.action', 'error', false, width_a), ('dtype.state.finite', 'error', false, odd_s), ('dtype.action.finite', 'error', false, odd_a)) v(id, rank, fix, bad) GROUP BY 1, 2, 3),
+ tot AS (SELECT count(*) AS e, sum(length)::BIGINT AS f, min(episode_index) AS low, max(episode_index) AS high FROM ep),
+ checks AS (SELECT 'embeddings' AS dataset_id, CASE WHEN n > 0 THEN rank ELSE 'pass' END AS level, id, CASE WHEN n > 0 THEN array_to_string(list_sort(['episode ' || x FOR x IN few]), '; ') ELSE '' END AS detail, n > 0 AND fix AS fixable FROM per
+  UNION ALL SELECT 'embeddings', 'pass', 'structure.total_episodes', '', false
+  UNION ALL SELECT 'embeddings', 'error', 'structure.total_frames', (f + 1) || ' declared, ' || f || ' found', true FROM tot
+  UNION ALL SELECT 'embeddings', CASE WHEN low = 0 AND high = e - 1 THEN 'pass' ELSE 'error' END, 'structure.episode_index_contiguous', CASE WHEN low = 0 AND high = e - 1 THEN '' ELSE 'not 0 to n - 1' END, NOT (low = 0 AND high = e - 1) FROM tot)"""
+
 ORACLE = {
     "diff_stats_lineitem": with_views(["frames_lineitem"], """, a AS (SELECT episode_index, unnest(range(3)) AS axis_index, unnest([v0, v1, v2]) AS value FROM frames_lineitem),
  s AS (SELECT axis_index, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(value)::DOUBLE AS count, false AS part FROM a GROUP BY 1
@@ -101,7 +128,25 @@ ORACLE = {
  p AS (SELECT x.metric, x.axis_index, x.value AS a, y.value AS b FROM u x JOIN u y ON x.metric = y.metric AND x.axis_index = y.axis_index AND NOT x.part AND y.part)
  SELECT 'lineitem' AS dataset_id, 'state' AS feature, metric, count(a) AS n_a, count(b) AS n_b, round(max(abs(a - b)), 3) AS max_abs, round(max(abs(a - b) / greatest(abs(a), 1e-12)), 3) AS max_rel,
  max(abs(a - b)) <= 1e-4 AS match FROM p GROUP BY metric"""),
-    "verify_stats_lineitem": "SELECT 'lineitem' AS dataset_id, true AS match, 0::BIGINT AS n_mismatches FROM lineitem LIMIT 1",
+    # stored and fresh statistics, each worked out by itself: in one pass over the frames, and merged from episodes
+    "verify_stats_lineitem": with_views(["frames_lineitem"], _LONG + """, m AS (SELECT axis_index, sum(mean * n) / sum(n) AS mean, sqrt(greatest(0, sum(n * (var + mean * mean)) / sum(n) - (sum(mean * n) / sum(n)) ** 2)) AS std,
+ min(lo) AS min, max(hi) AS max, sum(n)::DOUBLE AS count FROM es GROUP BY 1), u AS (SELECT metric, max(abs(x.value - y.value)) AS gap
+ FROM (UNPIVOT fr ON mean, std, min, max, count INTO NAME metric VALUE value) x JOIN (UNPIVOT m ON mean, std, min, max, count INTO NAME metric VALUE value) y USING (metric, axis_index) GROUP BY metric)
+ SELECT 'lineitem' AS dataset_id, bool_and(gap <= 1e-4) AS match, 2 * count(*) FILTER (gap > 1e-4) AS n_mismatches FROM u"""),
+    "verify_stale_stats_lineitem": with_views(["frames_lineitem"], _LONG + """,
+ st AS (SELECT axis_index, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, CASE WHEN axis_index <> 1 THEN max(value) END AS max, count(*)::DOUBLE AS count FROM a WHERE episode_index % 10 <> 3 GROUP BY axis_index),
+ ep AS (SELECT axis_index, mean, std, min, CASE WHEN axis_index = 2 THEN max + 1 ELSE max END AS max, count FROM fr),
+ p AS (SELECT 'stats' AS against, metric, axis_index, x.value AS a, y.value AS b FROM (UNPIVOT fr ON mean, std, min, max, count INTO NAME metric VALUE value) x
+  LEFT JOIN (UNPIVOT st ON mean, std, min, max, count INTO NAME metric VALUE value) y USING (metric, axis_index)
+  UNION ALL SELECT 'episodes_stats', metric, axis_index, x.value, y.value FROM (UNPIVOT fr ON mean, std, min, max, count INTO NAME metric VALUE value) x
+  JOIN (UNPIVOT ep ON mean, std, min, max, count INTO NAME metric VALUE value) y USING (metric, axis_index))
+ SELECT against, 'state' AS feature, metric, count(a) AS n_a, count(b) AS n_b, round(max(abs(a - b)), 3) AS max_abs, count(a) = count(b) AND max(abs(a - b)) <= 1e-4 AS match FROM p GROUP BY against, metric"""),
+    "frame_checks_embeddings": with_views(["frames_embeddings"], _CHECKS + " SELECT * FROM checks"),
+    "training_status_embeddings": with_views(["frames_embeddings"], _CHECKS + """, st AS (SELECT count(*) AS n FROM (SELECT axis_index FROM axis_embeddings GROUP BY 1 HAVING stddev_pop(a) < 1e-9)),
+ ju AS (SELECT sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(action, p)])) AS jump FROM (SELECT action, lag(action) OVER (PARTITION BY episode_index ORDER BY pos) AS p FROM frames_embeddings) WHERE p IS NOT NULL),
+ al AS (SELECT level, fixable FROM checks UNION ALL SELECT CASE WHEN n > 0 THEN 'warn' ELSE 'pass' END, false FROM st UNION ALL SELECT CASE WHEN max(jump) > 1 THEN 'warn' ELSE 'pass' END, false FROM ju),
+ c AS (SELECT count(*) FILTER (level = 'pass') AS n_pass, count(*) FILTER (level = 'warn') AS n_warn, count(*) FILTER (level = 'error') AS n_error, count(*) FILTER (fixable) AS n_fixable FROM al)
+ SELECT 'embeddings' AS dataset_id, *, CASE WHEN n_error > 0 THEN 'error' WHEN n_warn > 0 THEN 'warn' ELSE 'pass' END AS status FROM c"""),
     "unknown_task_refs_lineitem": "SELECT DISTINCT 'lineitem' AS dataset_id, l_linenumber::BIGINT AS task_index FROM lineitem WHERE l_linenumber > 4",
     "dt_checks_events": with_views(["frames_events"], """, t AS (SELECT dataset_id, episode_index, ts - lag(ts) OVER (PARTITION BY episode_index ORDER BY pos) AS dt FROM frames_events)
  SELECT dataset_id, episode_index, coalesce(min(dt) > 0, true) AS rising, coalesce(abs(avg(dt) - 43000) <= 0.05 * 43000, true) AS steady FROM t GROUP BY 1, 2"""),
