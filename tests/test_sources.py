@@ -70,9 +70,6 @@ def test_written_datasets_are_read_back(spark, tmp_path):
     assert {r.feature for r in readers.stats_keys(spark, [root]).collect()} == {"action", "observation.state", "timestamp", "frame_index", "episode_index", "task_index"}
     assert [r.task_index for r in readers.list_episodes(readers.read_jsonl(spark, [root], "episodes.jsonl", readers.EPISODES)).collect()] == [0] * 5
     assert [r.pos for r in readers.episode_frames(readers.scan_frames(spark, [root]), 2).collect()] == list(range(5))
-    (tmp_path / "v21/d/joint_config.json").write_text('{"names": ["outer"]}')
-    (tmp_path / "v21/d/meta/joint_config.json").write_text('{"groups": {"left_arm": ["a", "b"], "neck": ["c"]}}')
-    assert [(r.dataset_id, r.axis_index, r.axis_name) for r in readers.read_joint_config(spark, [root]).collect()] == [("d", 0, "a"), ("d", 1, "b"), ("d", 2, "c")]
     columns, n, some = readers.table_preview(f, 3)
     assert len(columns) == 7 and n == 25 and some.count() == 3
     old = {r.path for r in writers.write_dataset(f, episodes, tasks, str(tmp_path / "v20"), "v2.0").collect()}

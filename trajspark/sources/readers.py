@@ -42,10 +42,8 @@ def datasets(info: DataFrame) -> DataFrame:
 
 def features(info: DataFrame) -> DataFrame:
     """(dataset_id, feature, dtype, shape, raw), a row per declared feature. S4, P4."""
-    info.createOrReplaceTempView("__trajspark_info")
-    e = info.sparkSession.sql(
-        "SELECT dataset_id, f.key AS feature, f.value AS raw FROM __trajspark_info, LATERAL variant_explode(try_variant_get(info, '$.features', 'variant')) AS f"
-    )
+    entries = info.sparkSession.tvf.variant_explode(F.try_variant_get("info", "$.features", "variant").outer())
+    e = info.lateralJoin(entries).select("dataset_id", F.col("key").alias("feature"), F.col("value").alias("raw"))
     return e.select("dataset_id", "feature", F.try_variant_get("raw", "$.dtype", "string").alias("dtype"), F.try_variant_get("raw", "$.shape", "array<int>").alias("shape"), "raw")
 
 
@@ -89,17 +87,6 @@ def read_stats(spark: SparkSession, roots: list[str]) -> DataFrame:
     return s.select("dataset_id", "feature", "metric", F.posexplode(values).alias("axis_index", "value"))
 
 
-def read_joint_config(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(dataset_id, axis_index, axis_name) from joint_config.json, that of meta/ before that of the root. S8."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "joint_config.json").text(roots, wholetext=True)
-    path = F.col("_metadata.file_path")
-    c = text.select(F.regexp_extract(path, r"([^/]+)/(?:meta/)?joint_config\.json$", 1).alias("dataset_id"), F.contains(path, F.lit("/meta/")).alias("inner"), F.from_json("value", "names array<string>, groups map<string, array<string>>").alias("c"))
-    c = c.groupBy("dataset_id").agg(F.max_by("c", "inner").alias("c"))
-    # groups give names where there are none
-    names = F.coalesce("c.names", F.flatten(F.map_values("c.groups")))
-    return c.select("dataset_id", F.posexplode(names).alias("axis_index", "axis_name"))
-
-
 def table_preview(df: DataFrame, rows: int = 20) -> tuple[list[tuple[str, str]], int, DataFrame]:
     """(columns and types, row count, first rows). S15."""
     return df.dtypes, df.count(), df.limit(rows)
