@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.operators import alignment
-from trajspark.sources import readers, writers
+from trajspark.sources import limits, readers, writers
 from trajspark.streaming.ingest import incremental_ingest
 
 
@@ -81,6 +81,14 @@ def test_written_datasets_are_read_back(spark, tmp_path):
     assert read(writers.read_shared_dataset(spark, [f"{shared}/d"])) == want
     import pandas as pd
 
+    table = pd.read_parquet(f"{shared}/d/meta/episodes/chunk-000/file-000.parquet").set_index("episode_index")
+    for name, metric in (("observation.state", "max"), ("action", "q10"), ("timestamp", "mean"), ("frame_index", "count")):
+        assert list(table.loc[1, f"stats/{name}/{metric}"]) == line["stats"][name][metric]
+    named = spark.createDataFrame([("d", i, f"joint {i}") for i in (1, 0)], "dataset_id string, axis_index int, axis_name string")
+    assert "d/meta/joint_config.json" in {r.path for r in writers.write_dataset(f, episodes, tasks, str(tmp_path / "named"), joints=named).collect()}
+    config = limits.config_axes(limits.joint_configs(spark, [str(tmp_path / "named")]))
+    assert sorted((r.axis_index, r.axis_name) for r in config.collect()) == [(0, "joint 0"), (1, "joint 1")]
+
     assert list(pd.read_parquet(f"{shared}/d/meta/tasks.parquet").index) == ["pick", "plätze"]
 
 

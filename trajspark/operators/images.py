@@ -44,6 +44,41 @@ def frame_metrics(gray: np.ndarray) -> list[float]:
     ]
 
 
+def _grey(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for n, data in zip(b.column(keys + 2).to_pylist(), b.column(keys + 3).to_pylist()):
+            pixels = np.frombuffer(data, np.uint8).reshape(-1, n)
+            out.append(pixels[:, 0] if n == 1 else gray_of(pixels[:, 2::-1]))
+        yield pa.RecordBatch.from_arrays([*b.columns[: keys + 2], pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], [*b.schema.names[: keys + 2], "gray"])
+
+
+def gray_frames(pictures: DataFrame) -> DataFrame:
+    """(keys, height, width, gray) of pictures (keys, height, width, channels, data) whose bytes are grey, or blue, green and
+    red (and opacity, which is ignored); the input of F7. S16."""
+    keys = [*CAMERA_EPISODE, "pos"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pictures.select(*keys, "height", "width").schema) + ", gray array<int>"
+    return pictures.select(*keys, "height", "width", "channels", "data").mapInArrow(lambda b: _grey(b, len(keys)), schema)
+
+
+def _channels(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        channels, out = [], []
+        for n, data in zip(b.column(keys).to_pylist(), b.column(keys + 1).to_pylist()):
+            pixels = np.frombuffer(data, np.uint8).reshape(-1, n)
+            pixels = pixels if n == 1 else pixels[:, 2::-1]
+            channels.append(pixels.shape[1])
+            out.append(pixels.reshape(-1).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*b.columns[:keys], pa.array(channels, pa.int32()), pa.array(out, pa.list_(pa.int32()))], [*b.schema.names[:keys], "channels", "data"])
+
+
+def channel_frames(pictures: DataFrame) -> DataFrame:
+    """(keys, channels, data) of pictures, as numbers: grey, or red, green and blue; the input of A25. S16."""
+    keys = [*CAMERA_EPISODE, "pos"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pictures.select(*keys).schema) + ", channels int, data array<int>"
+    return pictures.select(*keys, "channels", "data").mapInArrow(lambda b: _channels(b, len(keys)), schema)
+
+
 def _measured(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [

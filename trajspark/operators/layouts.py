@@ -119,9 +119,14 @@ def transcode_candidates(videos: DataFrame, target: str) -> DataFrame:
 
 
 def codec_summary(videos: DataFrame) -> DataFrame:
-    """A20."""
-    v = videos.withColumn("codec", normalize_codec(F.col("codec")))
-    return v.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_videos"), F.round(F.sum("bytes") / 1e6, 1).alias("total_mb"), (F.count_distinct("codec") > 1).alias("mixed"))
+    """Videos, megabytes, files of each codec (unknown where not probed), whether several are in use, and the video keys.
+    A20."""
+    v = videos.withColumn("codec", F.coalesce(normalize_codec(F.col("codec")), F.lit("unknown")))
+    one = v.groupBy("dataset_id", "codec").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.collect_set("video_key").alias("keys"))
+    return one.groupBy("dataset_id").agg(
+        F.sum("n").alias("n_videos"), F.round(F.sum("bytes") / 1e6, 1).alias("total_mb"), (F.count(F.lit(1)) > 1).alias("mixed"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("codec", "n")))).alias("codecs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("video_keys"),
+    )
 
 
 def video_feature_key(videos: DataFrame, features: DataFrame) -> DataFrame:

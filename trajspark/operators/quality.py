@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.operators import lag, motion, stats
-from trajspark.operators.axes import EPISODE, FPS, explode_axes, sanitize_timestamps
+from trajspark.operators.axes import EPISODE, FPS, explode_axes, finite, sanitize_timestamps
 from trajspark.operators.edits import renumber_frames
 
 #: Weights of the health score, its grades and levels, and what statistics must hold. Fixed values.
@@ -42,6 +42,16 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
+def safe_mean(x: Column) -> Column:
+    """Mean of the finite values, 0 where there are none. F15."""
+    return F.coalesce(F.avg(finite(x)), F.lit(0.0))
+
+
+def safe_max(x: Column) -> Column:
+    """Largest finite value, 0 where there are none. F15."""
+    return F.coalesce(F.max(finite(x)), F.lit(0.0))
+
+
 # --- comparison of statistics -----------------------------------------------------------------------------------------
 
 
@@ -118,6 +128,18 @@ def check_video_integrity(videos: DataFrame, lengths: DataFrame, fps: float = FP
     return v.select(*EPISODE, "camera", "issues", level.alias("level"))
 
 
+def video_checks(episodes: DataFrame, video_features: DataFrame, videos: DataFrame, datasets: DataFrame, examples: int = 5) -> DataFrame:
+    """Check row of each dataset on the files of its video features. K20."""
+    bad = missing_videos(episodes, video_features, videos)
+    found = datasets.select("dataset_id").join(_examples(bad, F.format_string("episode %d %s", "episode_index", "feature"), examples), "dataset_id", "left")
+    return check(found, "video.files", F.col("n_bad").isNotNull(), F.format_string("%d missing: %s", "n_bad", "examples"))
+
+
+def info_checks(info: DataFrame) -> DataFrame:
+    """Check row of each dataset on whether its info.json can be parsed; ``info``: dataset_id, info VARIANT. K1."""
+    return check(info, "structure.info_parse", F.coalesce(F.schema_of_variant("info").startswith("OBJECT"), F.lit(False)) == F.lit(False), F.lit("not a JSON object"))
+
+
 def affected_episodes(integrity: DataFrame) -> DataFrame:
     rank = F.when(F.col("level") == "error", 2).when(F.col("level") == "warning", 1).otherwise(0)
     worst = integrity.groupBy(*EPISODE).agg(F.max(rank).alias("rank")).where("rank > 0")

@@ -57,6 +57,15 @@ def shared_round_trip_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return _firsts(writers.read_shared_dataset(spark, [f"{root}/embeddings"]))
 
 
+def shared_statistics_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics in the table of episodes of the written dataset, a row per feature, axis and metric."""
+    root, _ = _written(spark, d, lambda *a: writers.write_shared_dataset(*a, limit=300_000))
+    t = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/embeddings/meta/episodes")
+    cells = [F.struct(F.lit(c.split("/")[1]).alias("feature"), F.lit(c.split("/")[2]).alias("metric"), F.col(f"`{c}`").alias("v")) for c in t.columns if c.startswith("stats/")]
+    t = t.select("episode_index", F.inline(F.array(*cells)))
+    return rounded(t.select("episode_index", "feature", "metric", F.posexplode("v").alias("axis_index", "value")))
+
+
 def tolerant_scan_embeddings(spark: SparkSession, d: str) -> DataFrame:
     root, _ = _written(spark, d, writers.write_dataset)
     frames, quarantine = footers.scan_frames_tolerant(spark, [root])
@@ -80,7 +89,7 @@ def group_axes_part(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.select(F.col("p_partkey").alias("part"), axes.axis_group(F.col("name")).alias("grp"), axes.group_label(axes.axis_group(F.col("name"))).alias("label"), axes.normalize_joint_name(F.concat("name", F.lit("_joint"))).alias("norm")))
 
 
-QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, dataset_round_trip_embeddings, shared_round_trip_embeddings, tolerant_scan_embeddings, written_statistics_embeddings, episode_paths_orders, group_axes_part)}
+QUERIES = {f.__name__: f for f in (pack_files_part, video_offsets_part, layout_round_trip_lineitem, dataset_round_trip_embeddings, shared_round_trip_embeddings, shared_statistics_embeddings, tolerant_scan_embeddings, written_statistics_embeddings, episode_paths_orders, group_axes_part)}
 
 _PACK = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey::BIGINT AS episode_index, p_retailprice::DOUBLE AS bytes FROM part),
  r AS (SELECT i, episode_index, bytes, 0::BIGINT AS f, bytes AS used, 0::BIGINT AS lo FROM s WHERE i = 1
@@ -89,7 +98,15 @@ _PACK = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS
 
 _FIRSTS = with_views(["frames_embeddings"], " SELECT dataset_id, episode_index, pos, round(state[1], 6) AS s0, round(action[32], 6) AS a31 FROM frames_embeddings")
 
+_SERIES = """, axes AS (
+  SELECT 'observation.state' AS feature, episode_index, axis_index, s AS v FROM axis_embeddings UNION ALL SELECT 'action', episode_index, axis_index, a FROM axis_embeddings
+  UNION ALL SELECT 'timestamp', episode_index, 0, pos / 30.0 FROM frames_embeddings UNION ALL SELECT 'frame_index', episode_index, 0, pos FROM frames_embeddings
+  UNION ALL SELECT 'episode_index', episode_index, 0, episode_index FROM frames_embeddings)"""
+
 ORACLE = {
+    "shared_statistics_embeddings": with_views(["frames_embeddings"], _SERIES + f""", each AS (SELECT episode_index, feature, axis_index::BIGINT AS axis_index, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, avg(v)::DOUBLE AS mean, stddev_pop(v)::DOUBLE AS std,
+  {', '.join(f"quantile_cont(v, {q})::DOUBLE AS {k}" for k, q in QUANTILES.items())}, count(*)::DOUBLE AS count FROM axes GROUP BY ALL),
+ u AS (UNPIVOT each ON COLUMNS(* EXCLUDE (episode_index, feature, axis_index)) INTO NAME metric VALUE value) SELECT episode_index, feature, metric, axis_index, round(value, 6) AS value FROM u"""),
     "pack_files_part": _PACK.replace("{limit}", "10000") + """ SELECT 'part' AS dataset_id, episode_index, f // 50 AS chunk, f % 50 AS file, round(bytes, 2) AS bytes, lo AS from_index, lo + 1 AS to_index FROM r""",
     "video_offsets_part": _PACK.replace("{limit}", "20000") + """ SELECT 'part' AS dataset_id, 'cam' AS camera, episode_index, f // 50 AS chunk, f % 50 AS file,
  round(sum(bytes) OVER (PARTITION BY f ORDER BY episode_index) - bytes, 2) AS from_timestamp, round(sum(bytes) OVER (PARTITION BY f ORDER BY episode_index), 2) AS to_timestamp FROM r""",

@@ -139,3 +139,16 @@ def read_urdf_joints(spark: SparkSession, paths: list[str]) -> DataFrame:
     schema = "_name string, _type string, axis struct<_xyz: string>, limit struct<_lower: double, _upper: double>"
     j = spark.read.format("xml").option("rowTag", "joint").schema(schema).load(",".join(paths))
     return j.select(F.col("_name").alias("joint"), F.col("_type").alias("kind"), F.transform(F.split("axis._xyz", " "), lambda x: x.cast("double")).alias("axis"), F.col("limit._lower").alias("lower"), F.col("limit._upper").alias("upper"), (F.col("_type") != "fixed").alias("movable"))
+
+
+def read_images(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Frames of images/<camera>/episode_<n>/frame_<n>.<suffix> (dataset_id, camera, episode_index, pos, height, width,
+    channels, data) by Spark's image source; ``data`` holds the bytes of the rows as the source gives them, blue before
+    green before red. A file that is no image is left out. S16."""
+    i = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(roots).select("image.*")
+    at = lambda name: F.regexp_extract("origin", rf"{name}[_-](\d+)", 1).try_cast("long")
+    camera = F.regexp_extract("origin", r"/images/(?:chunk-\d+/)?([^/]+)/", 1)
+    return i.select(
+        dataset_of(F.col("origin"), "images").alias("dataset_id"), F.element_at(F.split(camera, r"\."), -1).alias("camera"), at("episode").alias("episode_index"), at("frame").alias("pos"),
+        "height", "width", F.col("nChannels").alias("channels"), "data",
+    ).where("episode_index is not null and pos is not null")

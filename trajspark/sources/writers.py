@@ -79,6 +79,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBat
             yield paths[at], b.slice(at, to - at).select(b.schema.names[1:])
 
 
+def stored_name(column: str) -> str:
+    """Name in files of a column, or of the feature in a column stats/<feature>/<metric>. Names with dots only exist in
+    files, as Spark's Python steps can't take such columns."""
+    parts = column.split("/")
+    return "/".join([parts[0], STORED.get(parts[1], parts[1]), *parts[2:]]) if parts[0] == "stats" and len(parts) > 2 else STORED.get(column, column)
+
+
 def _dealt(rows: DataFrame, path: Column, order: list[str]) -> DataFrame:
     return rows.select(path.alias("__path"), *[F.col(f"`{c}`") for c in rows.columns]).repartition("__path").sortWithinPartitions("__path", *[f"`{c}`" for c in order])
 
@@ -105,7 +112,7 @@ def write_tables(rows: DataFrame, root: str, path: Column, order: list[str]) ->
 
         for name, b in _runs(batches):
             b = b.select([c for c in b.schema.names if c != "__p"])
-            b = b.rename_columns([STORED.get(c, c) for c in b.schema.names])
+            b = b.rename_columns([stored_name(c) for c in b.schema.names])
             if part is None or part.path != name:
                 if part is not None:
                     yield close()
@@ -183,6 +190,24 @@ def _vectors(stats: DataFrame, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("stats"))
 
 
+def episode_statistics_columns(by_episode: DataFrame, sources: list[str]) -> DataFrame:
+    """Row of each episode with a vector column stats/<feature>/<metric> for every metric of every source. L2."""
+    field = lambda c: lambda s: s[c]
+    s = by_episode.withColumn("count", F.col("n").cast("double"))
+    metrics = (*STATISTICS, "count")
+    s = s.groupBy(*EPISODE, "source").agg(F.array_sort(F.collect_list(F.struct("axis_index", *metrics))).alias("rows"))
+    s = s.select(*EPISODE, "source", F.struct(*[F.transform("rows", field(c)).alias(c) for c in metrics]).alias("m"))
+    wide = s.groupBy(*EPISODE).agg(*[F.first(F.when(F.col("source") == x, F.col("m")), ignorenulls=True).alias(f"__{x}") for x in sources])
+    return wide.select(*EPISODE, *[F.col(f"__{x}.{c}").alias(f"stats/{x}/{c}") for x in sources for c in metrics])
+
+
+def joint_configs(joints: DataFrame) -> DataFrame:
+    """(path, text) of each dataset's joint_config.json; ``joints``: dataset_id, axis_index, axis_name. S18."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("axis_index", "axis_name"))), lambda s: s["axis_name"])
+    j = joints.groupBy("dataset_id").agg(names.alias("joint_names"))
+    return j.select(F.concat("dataset_id", F.lit("/meta/joint_config.json")).alias("path"), F.to_json(F.struct("joint_names")).alias("text"))
+
+
 def stored(frames: DataFrame) -> DataFrame:
     """Frames with the columns of data files."""
     extra = [F.col("pos").alias("frame_index")] if "frame_index" not in frames.columns else []
@@ -213,10 +238,15 @@ def infos(frames: DataFrame, tasks: DataFrame, version: str, fps: float, robot:
     return f.select(F.concat("dataset_id", F.lit("/meta/info.json")).alias("path"), F.to_json(F.struct(*fields)).alias("text"))
 
 
+def _sources(frames: DataFrame) -> tuple[list[str], list[str]]:
+    """Vectors and numbers that have statistics."""
+    return [c for c in ("state", "action") if c in frames.columns], [c for c in SCALARS if c in frames.columns]
+
+
 def statistics(frames: DataFrame) -> DataFrame:
     """Statistics of each episode's vectors and numbers."""
-    parts = [explode_axes(frames, c).select(*EPISODE, "source", "pos", "axis_index", "value") for c in ("state", "action") if c in frames.columns]
-    scalars = [c for c in SCALARS if c in frames.columns]
+    vectors, scalars = _sources(frames)
+    parts = [explode_axes(frames, c).select(*EPISODE, "source", "pos", "axis_index", "value") for c in vectors]
     parts += [scalar_axes(frames, scalars)] if scalars else []
     out = parts[0]
     for p in parts[1:]:
@@ -242,10 +272,11 @@ def remove_stale(written: DataFrame, root: str) -> DataFrame:
     return materialize(have.join(written, "path", "left_anti").mapInArrow(delete, "path string"), "stale")
 
 
-def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, version: str = V21, fps: float = 30.0, robot: str | None = None, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, version: str = V21, fps: float = 30.0, robot: str | None = None, chunk_size: int = CHUNK_SIZE, joints: DataFrame | None = None) -> DataFrame:
     """All datasets of ``frames`` as folders below ``root``: a file for each episode, info, episodes, tasks and statistics (of
     episodes and of the whole; v2.0 has the latter only). ``episodes``: dataset_id, episode_index, tasks; ``tasks``:
-    dataset_id, task_index, task. Data files of an earlier version go. Returns (path, n_rows, bytes). S17, S18, L1."""
+    dataset_id, task_index, task; ``joints`` (dataset_id, axis_index, axis_name), where given, go to joint_config.json. Data
+    files of an earlier version go. Returns (path, n_rows, bytes). S17, S18, L1."""
     frames = frames if "frame_index" in frames.columns else frames.withColumn("frame_index", F.col("pos"))
     path = F.concat("dataset_id", F.lit("/"), episode_path(F.col("episode_index"), chunk_size))
     written = write_tables(stored(frames.withColumn("__p", path)), root, F.col("__p"), ["frame_index"])
@@ -257,6 +288,8 @@ def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root
         lines = lines.union(_vectors(by_episode, EPISODE).select(F.concat("dataset_id", F.lit("/meta/episodes_stats.jsonl")), "episode_index", line))
     whole = _vectors(merge_stats(by_episode), ["dataset_id"])
     texts = infos(frames, tasks, version, fps, robot, chunk_size).union(whole.select(F.concat("dataset_id", F.lit("/meta/stats.json")), "stats"))
+    if joints is not None:
+        texts = texts.union(joint_configs(joints))
     out = materialize(written.union(write_lines(lines, root)).union(write_texts(texts, root)), "written")
     remove_stale(out, root)
     return out
@@ -264,7 +297,7 @@ def write_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root
 
 def write_shared_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, fps: float = 30.0, robot: str | None = None, limit: float = DATA_LIMIT, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """All datasets of ``frames`` in the layout of shared files: files of many episodes, the table of episodes with the place
-    of each, tasks with their text as index, statistics and info. Sizes are taken at eight bytes a number. L2."""
+    and the statistics of each, tasks with their text as index, statistics and info. Sizes are taken at eight bytes a number. L2."""
     width = sum((F.size(c) if kind.startswith("array") else F.lit(1)) for c, kind in frames.dtypes if kind not in ("string",))
     sizes = frames.groupBy(*EPISODE).agg(F.count(F.lit(1)).alias("length"), (8 * F.sum(width)).alias("bytes"))
     placed = to_shared_layout(frames, sizes, limit, chunk_size)
@@ -276,9 +309,12 @@ def write_shared_dataset(frames: DataFrame, episodes: DataFrame, tasks: DataFram
         "dataset_id", "episode_index", "tasks", (F.col("to_index") - F.col("from_index")).alias("length"), F.col("chunk").alias("data/chunk_index"), F.col("file").alias("data/file_index"),
         F.col("from_index").alias("dataset_from_index"), F.col("to_index").alias("dataset_to_index"),
     )
+    frames = frames if "frame_index" in frames.columns else frames.withColumn("frame_index", F.col("pos"))
+    by_episode = materialize(statistics(frames), "episode-statistics")
+    table = table.join(episode_statistics_columns(by_episode, sum(_sources(frames), [])), EPISODE, "left")
     listed = write_tables(table.withColumn("__p", F.concat("dataset_id", F.lit("/meta/episodes/chunk-000/file-000.parquet"))).drop("dataset_id"), root, F.col("__p"), ["episode_index"])
     texts = infos(frames, tasks, V30, fps, robot, chunk_size)
-    texts = texts.union(_vectors(merge_stats(statistics(frames)), ["dataset_id"]).select(F.concat("dataset_id", F.lit("/meta/stats.json")), "stats"))
+    texts = texts.union(_vectors(merge_stats(by_episode), ["dataset_id"]).select(F.concat("dataset_id", F.lit("/meta/stats.json")), "stats"))
     out = materialize(written.union(listed).union(write_tasks_table(tasks, root)).union(write_texts(texts, root)), "written")
     remove_stale(out, root)
     return out
