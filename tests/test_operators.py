@@ -104,6 +104,14 @@ def test_expression_division(spark):
     assert df.select(edits.assign_expression(df, "a", "x * 2").alias("r")).first().r == 2.0
 
 
+def test_tasks_are_numbered_in_the_order_they_are_first_seen(spark):
+    rows = [("b", 0, "x"), ("b", 1, "y"), ("a", 5, "z"), ("a", 2, "y"), ("c", 0, "w"), ("c", 1, "z")]
+    t = spark.createDataFrame(rows, "dataset_id string, task_index long, task string")
+    order = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "dataset_id string, dataset_order int")
+    got = {(r.dataset_id, r.task_index): r.new_index for r in edits.remap_tasks(t, order).collect()}
+    assert got == {("b", 0): 0, ("b", 1): 1, ("a", 2): 1, ("a", 5): 2, ("c", 0): 3, ("c", 1): 2}
+
+
 def test_pack_and_slice(spark):
     sizes = spark.createDataFrame([("d", e, float(b), 3) for e, b in enumerate([5, 5, 5, 12, 1, 1])], "dataset_id string, episode_index long, bytes double, length long")
     got = [(r.chunk, r.file, r.from_index) for r in layouts.pack_files(sizes, 10, 2).orderBy("episode_index").collect()]
@@ -126,7 +134,8 @@ def test_topic_names(spark):
     assert [r[0] for r in df.select(alignment.topic_names(F.col("t"))).collect()] == ["cam_left", "cam_robot_arm_state"]
 
 
-QUERIES = ["merge_stats_events", "derivatives_events", "align_nearest_events", "renumber_after_delete_lineitem", "pack_files_part", "state_action_lag_embeddings"]
+QUERIES = ["merge_stats_events", "derivatives_events", "align_nearest_events", "renumber_after_delete_lineitem", "pack_files_part", "state_action_lag_embeddings",
+           "verify_stale_stats_lineitem", "junction_report_embeddings", "training_status_embeddings", "constraint_leaders_embeddings", "temporal_preview_events", "apply_batch_plan_embeddings"]
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -80,7 +80,7 @@ _M = _PIX + """, hs AS (SELECT episode_index, pos, v, count(*) / 64.0::DOUBLE AS
    CASE WHEN overexposed > 0.1 THEN 'overexposed' END, CASE WHEN underexposed > 0.1 THEN 'underexposed' END, CASE WHEN pos > 0 AND frame_diff < 0.002 THEN 'static' END,
    CASE WHEN pos > 0 AND frame_diff > 0.3 THEN 'scene_change' END) AS reasons FROM mm)"""
 _R = lambda names, n=6: ", ".join(f"round({x}, {n}) AS {x}" for x in names)
-_S = _M + """, s AS (SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode_index, count(*) AS n_frames, """ + ", ".join(f"avg({x}) AS {x}" for x in images.MEANS) + """,
+SUMMARY = _M + """, s AS (SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode_index, count(*) AS n_frames, """ + ", ".join(f"avg({x}) AS {x}" for x in images.MEANS) + """,
  min(q.blur) AS min_blur, max(q.blur) AS max_blur, count(*) FILTER (pos > 0 AND q.frame_diff < 0.002) / (count(*) - 1)::DOUBLE AS static_ratio, count(*) FILTER (reasons <> '') AS n_problems,
  avg((reasons <> '')::INT) AS problem_ratio FROM q GROUP BY episode_index)"""
 
@@ -93,8 +93,8 @@ ORACLE = {
     "frame_difference_embeddings": with_views(["gray_embeddings"], _M + " SELECT 'embeddings' AS dataset_id, 'cam' AS camera, episode_index, pos, round(frame_diff, 6) AS frame_diff FROM df"),
     "frame_quality_embeddings": with_views(["gray_embeddings"], _M + " SELECT episode_index, pos, round(quality, 4) AS quality FROM q"),
     "problem_reasons_embeddings": with_views(["gray_embeddings"], _M + " SELECT episode_index, pos, reasons FROM q"),
-    "episode_image_summary_embeddings": with_views(["gray_embeddings"], _S + f" SELECT dataset_id, camera, episode_index, n_frames, n_problems, {_R([*images.MEANS, 'min_blur', 'max_blur', 'static_ratio', 'problem_ratio'], 4)} FROM s"),
-    "image_report_embeddings": with_views(["gray_embeddings"], _S + """ SELECT dataset_id, camera, count(*) AS n_episodes, round(avg(s.quality), 4) AS quality, round(sum(n_problems) / sum(n_frames), 4) AS problem_ratio,
+    "episode_image_summary_embeddings": with_views(["gray_embeddings"], SUMMARY + f" SELECT dataset_id, camera, episode_index, n_frames, n_problems, {_R([*images.MEANS, 'min_blur', 'max_blur', 'static_ratio', 'problem_ratio'], 4)} FROM s"),
+    "image_report_embeddings": with_views(["gray_embeddings"], SUMMARY + """ SELECT dataset_id, camera, count(*) AS n_episodes, round(avg(s.quality), 4) AS quality, round(sum(n_problems) / sum(n_frames), 4) AS problem_ratio,
  arg_max(episode_index, s.quality) AS best_episode, arg_min(episode_index, s.quality) AS worst_episode,
  CASE WHEN avg(s.quality) >= 90 THEN 'excellent' WHEN avg(s.quality) >= 75 THEN 'good' WHEN avg(s.quality) >= 60 THEN 'acceptable' WHEN avg(s.quality) >= 40 THEN 'poor' ELSE 'bad' END AS grade FROM s GROUP BY 1, 2"""),
     "problem_reason_counts_embeddings": with_views(["gray_embeddings"], _M + """, b AS (SELECT * FROM q WHERE reasons <> ''), r AS (SELECT unnest(string_split(reasons, ',')) AS reason FROM b)

@@ -149,7 +149,7 @@ _PAIRS = """, p AS (SELECT episode_index, axis_index::BIGINT AS axis_index, pos,
  j AS (SELECT p.episode_index, p.axis_index, lag, count(*) AS weight, CASE WHEN count(*) >= 4 AND stddev_pop(p.x) >= 1e-9 AND stddev_pop(q.y) >= 1e-9
  THEN covar_pop(p.x, q.y) / (stddev_pop(p.x) * stddev_pop(q.y)) END AS correlation
  FROM p, l, p AS q WHERE q.episode_index = p.episode_index AND q.axis_index = p.axis_index AND q.pos = p.pos + lag GROUP BY ALL)"""
-_BEST = _PAIRS + """, c AS (SELECT axis_index, lag, sum(abs(correlation) * weight) / sum(weight) AS size, sum(correlation * weight) / sum(weight) AS correlation, sum(weight)::BIGINT AS weight
+BEST = _PAIRS + """, c AS (SELECT axis_index, lag, sum(abs(correlation) * weight) / sum(weight) AS size, sum(correlation * weight) / sum(weight) AS correlation, sum(weight)::BIGINT AS weight
  FROM j WHERE correlation IS NOT NULL GROUP BY 1, 2), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY axis_index ORDER BY round(size, 9) DESC, abs(lag), lag) = 1)"""
 
 #: Numbers of an even sample of k out of n.
@@ -194,9 +194,9 @@ ORACLE = {
     "static_axes_embeddings": with_views(["frames_embeddings"], """ SELECT 'embeddings' AS dataset_id, 'action' AS source, axis_index::BIGINT AS axis_index, round(stddev_pop(a), 6) AS std
  FROM axis_embeddings GROUP BY axis_index HAVING stddev_pop(a) < 0.122"""),
     "lagged_correlation_embeddings": with_views(["frames_embeddings"], _PAIRS + " SELECT 'embeddings' AS dataset_id, episode_index, axis_index, lag, round(correlation, 6) AS correlation, weight FROM j WHERE correlation IS NOT NULL"),
-    "state_action_lag_embeddings": with_views(["frames_embeddings"], _BEST + """ SELECT 'embeddings' AS dataset_id, axis_index, lag AS lag_frames, round(lag / 30.0::DOUBLE, 6) AS lag_seconds, round(size, 6) AS abs_correlation,
+    "state_action_lag_embeddings": with_views(["frames_embeddings"], BEST + """ SELECT 'embeddings' AS dataset_id, axis_index, lag AS lag_frames, round(lag / 30.0::DOUBLE, 6) AS lag_seconds, round(size, 6) AS abs_correlation,
  round(correlation, 6) AS correlation, weight AS sample_weight FROM b"""),
-    "lag_summary_embeddings": with_views(["frames_embeddings"], _BEST + """ SELECT 'embeddings' AS dataset_id, count(*) AS n_axes, median(lag)::DOUBLE AS median_lag, round(avg(abs(lag)), 6) AS mean_abs_lag, max(abs(lag)) AS max_abs_lag,
+    "lag_summary_embeddings": with_views(["frames_embeddings"], BEST + """ SELECT 'embeddings' AS dataset_id, count(*) AS n_axes, median(lag)::DOUBLE AS median_lag, round(avg(abs(lag)), 6) AS mean_abs_lag, max(abs(lag)) AS max_abs_lag,
  round(avg(size), 6) AS mean_abs_correlation FROM b"""),
     "compress_ranges_events": """WITH e AS (SELECT DISTINCT event_type, event_id FROM events WHERE event_type IN ('click', 'view')),
  i AS (SELECT *, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM e) SELECT event_type, min(event_id) AS first, max(event_id) AS last FROM i GROUP BY event_type, g""",

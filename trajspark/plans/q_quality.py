@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trajspark.operators import axes, images, motion, quality, stats
 from trajspark.plans import views
+from trajspark.plans.q_images import SUMMARY
+from trajspark.plans.q_motion import BEST
 from trajspark.plans.rounding import rounded
 from trajspark.plans.views import with_views
 
@@ -119,8 +121,28 @@ _CHECKS = """, f AS (SELECT *, pos + (episode_index = 2)::INT AS frame_index, po
   UNION ALL SELECT 'embeddings', 'pass', 'structure.total_episodes', '', false
   UNION ALL SELECT 'embeddings', 'error', 'structure.total_frames', (f + 1) || ' declared, ' || f || ' found', true FROM tot
   UNION ALL SELECT 'embeddings', CASE WHEN low = 0 AND high = e - 1 THEN 'pass' ELSE 'error' END, 'structure.episode_index_contiguous', CASE WHEN low = 0 AND high = e - 1 THEN '' ELSE 'not 0 to n - 1' END, NOT (low = 0 AND high = e - 1) FROM tot)"""
+_HEALTH = BEST + SUMMARY + """, ha AS (SELECT 'state' AS source, episode_index, axis_index, pos, axis_embeddings.s AS v FROM axis_embeddings UNION ALL SELECT 'action', episode_index, axis_index, pos, a FROM axis_embeddings),
+ h1 AS (SELECT *, v - lag(v) OVER w AS d, pos / 30.0::DOUBLE - lag(pos / 30.0::DOUBLE) OVER w AS dt FROM ha WINDOW w AS (PARTITION BY source, episode_index, axis_index ORDER BY pos)),
+ h2 AS (SELECT *, abs(d - lag(d) OVER w) AS dd, abs(d / dt) AS speed FROM h1 WINDOW w AS (PARTITION BY source, episode_index, axis_index ORDER BY pos)),
+ hb AS (SELECT source, axis_index, avg(dd) AS jerk, avg(dd) + 3 * stddev_pop(dd) AS most, avg(v) AS mean, stddev_pop(v) AS sd FROM h2 GROUP BY 1, 2),
+ hs2 AS (SELECT source, axis_index, any_value(jerk) AS jerk, avg((most > 0 AND dd > most)::INT) FILTER (dd IS NOT NULL) AS spike, avg((abs(v - mean) <= sd)::INT) AS inside,
+  avg((abs(v) > 0.3 + 1e-9)::INT) AS beyond, avg((speed > 15 + 1e-9)::INT) FILTER (speed IS NOT NULL) AS fast FROM h2 JOIN hb USING (source, axis_index) GROUP BY 1, 2),
+ ht AS (SELECT * FROM hs2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY jerk DESC, axis_index) <= 5),
+ hd AS (SELECT avg(abs(dt - 1 / 30.0::DOUBLE)) * 30 AS jitter, max(abs(dt - 1 / 30.0::DOUBLE)) * 30 AS most FROM h1 WHERE source = 'state' AND axis_index = 0 AND dt IS NOT NULL),
+ hl AS (SELECT abs(median(lag)) AS lagged, avg(size) AS size FROM b),
+ sco AS (SELECT 'smoothness' AS dimension, 100 - avg(spike) / 0.15 * 100 AS score FROM ht UNION ALL SELECT 'coverage', 100 - 200 * abs(avg(inside) - 0.68) FROM hs2
+  UNION ALL SELECT 'constraint', 100 - 500 * max(beyond) - 300 * max(fast) FROM hs2
+  UNION ALL SELECT 'alignment', 100 - CASE WHEN jitter > 0.1 THEN 30 WHEN jitter > 0.05 THEN 15 ELSE 0 END - CASE WHEN most > 0.5 THEN 10 ELSE 0 END
+   - CASE WHEN lagged >= 2 THEN 25 WHEN lagged >= 1 THEN 10 ELSE 0 END - CASE WHEN hl.size < 0.7 THEN 15 ELSE 0 END FROM hd, hl
+  UNION ALL SELECT 'image_quality', avg(s.quality) FROM s),
+ hx AS (SELECT 'embeddings' AS dataset_id, dimension, round(least(100, greatest(0, score)), 1) AS score, true AS available FROM sco)"""
 
 ORACLE = {
+    "health_dimensions": with_views(["frames_embeddings", "gray_embeddings"], _HEALTH + " SELECT * FROM hx"),
+    "health_report_embeddings": with_views(["frames_embeddings", "gray_embeddings"], _HEALTH + """, hw AS (SELECT *, CASE dimension WHEN 'smoothness' THEN 0.2 WHEN 'coverage' THEN 0.15 ELSE 0.1 END::DOUBLE AS w FROM hx),
+ hr AS (SELECT round(sum(hw.score * w) / sum(w), 1) AS score, count(*) AS n_dimensions FROM hw)
+ SELECT 'embeddings' AS dataset_id, score, n_dimensions, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade,
+ CASE WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'warn' ELSE 'bad' END AS level FROM hr"""),
     "diff_stats_lineitem": with_views(["frames_lineitem"], """, a AS (SELECT episode_index, unnest(range(3)) AS axis_index, unnest([v0, v1, v2]) AS value FROM frames_lineitem),
  s AS (SELECT axis_index, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(value)::DOUBLE AS count, false AS part FROM a GROUP BY 1
  UNION ALL SELECT axis_index, avg(value), stddev_pop(value), min(value), max(value), count(value)::DOUBLE, true FROM a WHERE episode_index % 10 <> 0 GROUP BY 1),
