@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from trajspark.operators import layouts, quality
+from trajspark.operators import layouts, quality, stats
 
 
 def test_codecs(spark):
@@ -26,3 +26,10 @@ def test_safe_aggregates(spark):
     x = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 4.0), ("b", float("inf")), ("b", None)], "k string, v double")
     got = {r.k: (r.m, r.x) for r in x.groupBy("k").agg(quality.safe_mean(F.col("v")).alias("m"), quality.safe_max(F.col("v")).alias("x")).collect()}
     assert got == {"a": (2.5, 4.0), "b": (0.0, 0.0)}
+
+
+def test_sketched_thresholds_are_close(spark):
+    x = spark.range(0, 40_000, 1, 4).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7919 % 40_009) / 40_009.0).alias("value"))
+    exact, sketched = ({r.k: r.threshold for r in stats.anomaly_threshold(x, ["k"], exact=e).collect()} for e in (True, False))
+    # values are spread evenly over 0 to 1, so the median and the MAD, six times of it, err by some ten-thousandths each
+    assert set(exact) == {0, 1} and all(abs(exact[k] - sketched[k]) <= 7 * 2e-4 for k in exact)
