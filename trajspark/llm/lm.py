@@ -12,12 +12,12 @@ become tables. A direct path from the last class to the next starts from counts.
 
 A word's probability ends with that of the mark not following, and its first id is taken given that no mark comes, so the
 probabilities of all words after a context sum to one at most. A memory of all training words, as sequences of ids with
-their shares of all tokens, is mixed in word by word; its weight is fitted on documents kept out of the warm start, each
-without its own counts. The end is a word of both.
+their shares of all tokens, is mixed in word by word; its weight is that of ``WEIGHTS`` under which all training texts, each
+without its own counts, are likeliest. The end is a word of both.
 
 All counts come from all training texts. The attention starts warm in numpy on the driver over a bounded sample of blocks
-(``WARM`` documents), then learns in tasks from one block in ``SHARE`` of every training document, so that what it learns from
-grows with the input; a model per task from the same start, averaged by the ids each has seen.
+(``WARM`` documents), then learns in tasks from every block of every training document; a model per task from the same start,
+averaged by the ids each has seen.
 
 The counts of a bounded set of words, frequent in a sample of training documents, are broadcast; all other words go to
 their counts by one shuffle, pre-summed by document, and come back to their documents with them, for baseline and memory.
@@ -38,14 +38,18 @@ from pyspark.sql import functions as F
 
 from trajspark.llm.textbuf import Words, chunks
 from trajspark.llm.tokens import WordIds
-from trajspark.session import materialize
+from trajspark.session import discard, materialize
 
 CLASSES, SHARED, CORE, BLOCK, WIDTH = 256, 48, 1024, 16, 24
 #: The softmax has two levels: GROUPS groups of as many classes, and the classes of a group. The first group is the mark alone.
 GROUPS = 16
 ALONE = CLASSES - SHARED - GROUPS
-#: One block in so many of each training document is learned from.
-SHARE = 24
+#: One block in so many of each training document is learned from: all of them.
+SHARE = 1
+#: Blocks of a step of the warm start and of the tasks.
+STEP, WIDE_STEP = 128, 512
+#: Weights of the memory that are tried on all training texts.
+WEIGHTS = (np.arange(16) + 0.5) / 16
 #: Documents of the warm start, and frequent words counted ahead and broadcast.
 WARM, HOT, HOT_SAMPLE = 400, 1 << 18, 20_000
 LOG10 = float(np.log(10))
@@ -309,61 +313,71 @@ class Attention:
 
     def gradients(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         w = self.params
-        own = keys[:, BLOCK:]
-        ek, eq = w["e"][keys], w["e"][own]
-        q, k, v = eq @ w["q"], ek @ w["k"], ek @ w["v"]
+        own, kinds = keys[:, BLOCK:], CLASSES + 2
+        # what depends on two classes only is computed once for each pair of classes
+        qe, ke, ve = w["e"] @ w["q"], w["e"] @ w["k"], w["e"] @ w["v"]
         scale = np.float32(WIDTH**-0.5)
-        a = np.clip(q @ k.transpose(0, 2, 1) * scale, -15, 15) + w["p"][_OFFSET]
-        a = np.where(_CAUSAL & (keys != CLASSES + 1)[:, None, :], a, np.float32(-1e9))
-        a -= a.max(2, keepdims=True)
-        a = np.exp(a)
+        s = np.exp(np.clip(qe @ ke.T * scale, -15, 15))
+        s[:, CLASSES + 1] = 0
+        pair = own[:, :, None].astype(np.int32) * kinds + keys[:, None, :]
+        a = s.take(pair) * np.where(_CAUSAL, np.exp(w["p"] - w["p"].max())[_OFFSET], np.float32(0))
         a /= a.sum(2, keepdims=True) + np.float32(1e-30)
-        h = eq + a @ v
+        v = ve[keys]
+        h = w["e"][own] + a @ v
         n = max(1, int(valid.sum()))
         target = np.where(valid, targets, 0).reshape(-1).astype(np.int64)
         last, flat_h, each = own.reshape(-1), h.reshape(-1, WIDTH), np.arange(target.size)
         share = (valid.reshape(-1, 1) / np.float32(n)).astype(np.float32)
+        group, member = target // GROUPS, np.arange(GROUPS)
         first = _softmax(flat_h @ w["g"] + w["c"][last])
-        whole = (flat_h @ w["u"] + w["b"][last]).reshape(len(each), GROUPS, -1)
-        second = _softmax(whole[each, target // GROUPS])
-        second[target < GROUPS, 0] = 1  # the mark is its group's only class
-        second[target < GROUPS, 1:] = 0
-        marks = target < GROUPS
-        loss = -(np.log(first[each, target // GROUPS] * second[each, target % GROUPS] + 1e-30) * share[:, 0]).sum()
-        first[each, target // GROUPS] -= 1
-        second[each, target % GROUPS] -= 1
-        second[marks] = 0
+        found = first[each, group]
+        # the classes of each target's own group, group by group; the mark is its group's only class
+        dz, dh, g = np.zeros((len(each), GROUPS), flat_h.dtype), np.zeros_like(flat_h), {"u": np.zeros_like(w["u"])}
+        order = np.argsort(group.astype(np.int8), kind="stable")
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for j in range(1, GROUPS):
+            rows, own_classes = order[cut[j] : cut[j + 1]], slice(j * GROUPS, (j + 1) * GROUPS)
+            if not len(rows):
+                continue
+            x, at = flat_h[rows], (np.arange(len(rows)), target[rows] % GROUPS)
+            z = _softmax(x @ w["u"][:, own_classes] + w["b"][:, own_classes][last[rows]])
+            found[rows] *= z[at]
+            z[at] -= 1
+            z *= share[rows]
+            g["u"][:, own_classes] = x.T @ z
+            dh[rows], dz[rows] = z @ w["u"][:, own_classes].T, z
+        loss = -(np.log(found + 1e-30) * share[:, 0]).sum()
+        first[each, group] -= 1
         first *= share
-        dz = np.zeros((len(each), GROUPS, CLASSES // GROUPS), np.float32)
-        dz[each, target // GROUPS] = second * share
-        dz = dz.reshape(len(each), CLASSES)
-        g = {"u": flat_h.T @ dz, "g": flat_h.T @ first, "b": np.zeros_like(w["b"]), "c": np.zeros_like(w["c"])}
-        order = np.argsort(last, kind="stable")
-        lead = np.flatnonzero(np.diff(last[order], prepend=-1))
-        g["b"][last[order][lead]] = np.add.reduceat(dz[order], lead, axis=0)
-        g["c"][last[order][lead]] = np.add.reduceat(first[order], lead, axis=0)
-        dh = (dz @ w["u"].T + first @ w["g"].T).reshape(h.shape)
+        g["g"] = flat_h.T @ first
+        line = last.astype(np.int64)
+        for name, row, values in (("b", line * CLASSES + group * GROUPS, dz), ("c", line * GROUPS, first)):
+            g[name] = np.bincount((row[:, None] + member).ravel(), values.ravel(), w[name].size).reshape(w[name].shape).astype(np.float32)
+        dh = (dh + first @ w["g"].T).reshape(h.shape)
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
         da = a * (da - (a * da).sum(2, keepdims=True))
         g["p"] = np.bincount(_OFFSET.reshape(-1), da.sum(0).reshape(-1), 2 * BLOCK).astype(np.float32)
-        dq, dk = da @ k * scale, da.transpose(0, 2, 1) @ q * scale
-        for name, x, d in (("q", eq, dq), ("k", ek, dk), ("v", ek, dv)):
-            g[name] = x.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH)
-        deq = dh + dq @ w["q"].T
-        dek = dk @ w["k"].T + dv @ w["v"].T
-        dek[:, BLOCK:] += deq
-        ge = np.zeros_like(w["e"])
-        np.add.at(ge, keys.reshape(-1), dek.reshape(-1, WIDTH))
-        g["e"] = ge
+        ds = np.bincount(pair.ravel(), da.ravel(), kinds * kinds).reshape(kinds, kinds).astype(np.float32) * scale
+        sums = []
+        for spots, values in ((own, dh), (keys, dv)):
+            order = np.argsort(spots.reshape(-1), kind="stable")
+            lead = np.flatnonzero(np.diff(spots.reshape(-1)[order], prepend=-1))
+            total = np.zeros_like(w["e"])
+            total[spots.reshape(-1)[order][lead]] = np.add.reduceat(values.reshape(-1, WIDTH)[order], lead, axis=0)
+            sums.append(total)
+        g["e"] = sums[0]
+        for name, d in (("q", ds @ ke), ("k", ds.T @ qe), ("v", sums[1])):
+            g["e"] = g["e"] + d @ w[name].T
+            g[name] = w["e"].T @ d
         return float(loss), g
 
-    def train(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray, rate: float, epochs: float, seed: int = 1) -> list[float]:
+    def train(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray, rate: float, epochs: float, batch: int = STEP) -> list[float]:
         """Adam over shuffled batches of blocks; losses by batch."""
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng(1)
         first = {k: np.zeros_like(v) for k, v in self.params.items()}
         second = {k: np.zeros_like(v) for k, v in self.params.items()}
-        batch, losses = 128, []
+        losses = []
         total = int(np.ceil(epochs * len(keys) / batch))
         order = rng.permutation(len(keys))
         for t in range(total):
@@ -440,7 +454,6 @@ class Model:
     memory: np.ndarray  # hashes of frequent words' ids, sorted
     memory_log: np.ndarray
     tokens: int = 1  # of all training texts
-    weight: float = 0.0  # of the memory
     trained: int = 0  # ids that the tasks have learned from
 
     def word_stops(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -484,20 +497,31 @@ class Model:
         order = np.argsort(keys)
         return keys[order], np.log(n[order] / max(self.tokens, 1))
 
-    def scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...], rare: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence of ids, ends included."""
-        out = np.zeros(len(ids))
+    def scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...], rare: tuple[np.ndarray, np.ndarray], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each sequence of ids, ends included, with each of WEIGHTS; the same of those that were
+        ``learned`` from, without their own counts in the memory, and zeros of others."""
+        out, alone = np.zeros((len(ids), len(WEIGHTS))), np.zeros((len(ids), len(WEIGHTS)))
         total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
         first = 0
-        with np.errstate(divide="ignore"):
-            theirs, ours = np.log(self.weight), np.log1p(-self.weight)
         while first < len(ids):
             last = max(first + 1, int(np.searchsorted(total, total[first] + 200_000, "right")) - 1)
             bounds = total[first : last + 1] - total[first]
-            own, known, text, _ = self.word_logs(np.concatenate(ids[first:last]), bounds, tables, rare, first)
-            out[first:last] = np.bincount(text, np.logaddexp(own + ours, known + theirs), last - first)
+            own, known, text, h = self.word_logs(np.concatenate(ids[first:last]), bounds, tables, rare, first)
+            out[first:last] = mixed(own, known, text, last - first)
+            some = learned[first:last][text]
+            own, known, text, h = (x[some] for x in (own, known, text, h))
+            _, word, times = np.unique(tagged(h, text), return_inverse=True, return_counts=True)
+            with np.errstate(divide="ignore"):
+                known = np.log(np.maximum(np.rint(np.exp(known) * self.tokens) - times[word], 0) / max(self.tokens, 1))
+            alone[first:last] = mixed(own, known, text, last - first)
             first = last
-        return out / LOG10
+        return out / LOG10, alone / LOG10
+
+
+def mixed(own: np.ndarray, known: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Sums over each of n texts of its words' log probabilities, with each of WEIGHTS for the memory's."""
+    ratio = np.exp(np.minimum(known - own, 700.0))
+    return np.stack([np.bincount(text, own + np.log((1 - w) + w * ratio), n) for w in WEIGHTS], 1)
 
 
 def tagged(h: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -582,7 +606,7 @@ def _train(batches: Iterator[pa.RecordBatch], model, end: int, share: int) -> It
         held.clear()
 
     def learn() -> None:
-        own.train(*(np.concatenate([r[k] for r in ready]) for k in range(3)), 0.0007, 1.0)
+        own.train(*(np.concatenate([r[k] for r in ready]) for k in range(3)), 0.0007, 1.0, WIDE_STEP)
         ready.clear()
 
     for b in batches:
@@ -604,14 +628,14 @@ def _train(batches: Iterator[pa.RecordBatch], model, end: int, share: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), seen))], ["at", "value", "seen"])
 
 
-def fit(rows: DataFrame, tail: DataFrame, store: MarkedIds, words: list[str], word_counts: np.ndarray, texts: int, tokens: int) -> Model:
-    """Model from the training rows of the table that ``_read`` makes, their ``tail_words``, and the counts of frequent words
-    among its ``tokens`` training tokens in ``texts`` texts."""
+def fit(rows: DataFrame, store: MarkedIds, words: list[str], word_counts: np.ndarray, texts: int, tokens: int) -> Model:
+    """Model from the training rows of the table that ``_read`` makes and the counts of frequent words among its ``tokens``
+    training tokens in ``texts`` texts."""
     context = rows.sparkSession.sparkContext
     size, end = store.size + 2, store.end
     learn = rows.where("not held_out").select("row", "ids")
-    warm = learn.orderBy(F.xxhash64("row")).limit(WARM).select("row", "ids").toArrow()
-    held = [x for b in warm.to_batches() for x in _with_end(b, 1, end)]
+    warm = learn.orderBy(F.xxhash64("row")).limit(WARM).select("ids").toArrow()
+    held = [x for b in warm.to_batches() for x in _with_end(b, 0, end)]
     occurred = learn.select("ids").mapInArrow(lambda b: _id_counts(b, size, end), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, np.int64)
     total[occurred.column(0).to_numpy()] = occurred.column(1).to_numpy()
@@ -641,8 +665,6 @@ def fit(rows: DataFrame, tail: DataFrame, store: MarkedIds, words: list[str], wo
     _remember(model, store, words, word_counts, texts, tokens)
     if not held:
         return model
-    cut = max(1, len(held) // 10)
-    kept, held = held[:cut], held[cut:] or held
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in held])])
     keys, targets, valid, _ = blocks(symbol[np.concatenate(held)], bounds)
     most = 40_000  # blocks, by chance, should the documents be long
@@ -660,18 +682,6 @@ def fit(rows: DataFrame, tail: DataFrame, store: MarkedIds, words: list[str], wo
             shape = attention.params[name].shape
             n = int(np.prod(shape))
             attention.params[name], flat = flat[:n].reshape(shape).astype(np.float32), flat[n:]
-    tables, flat = attention.tables(), np.concatenate(kept)
-    theirs = {r["row"]: r["rare"] for r in tail.where(F.col("row").isin(warm.column(0).to_pylist()[:cut])).collect()}
-    lists = pa.array([[(w["spelled"], w["n"]) for w in theirs.get(k, [])] for k in warm.column(0).to_pylist()[:cut]], _WORDS)
-    own, known, text, h = model.word_logs(flat, np.concatenate([[0], np.cumsum([len(x) for x in kept])]), tables, model.looked_up(lists))
-    # each text without its own counts
-    _, word, times = np.unique(tagged(h, text), return_inverse=True, return_counts=True)
-    with np.errstate(divide="ignore"):
-        known = np.log(np.maximum(np.rint(np.exp(known) * tokens) - times[word], 0) / max(tokens, 1))
-    model.weight = 0.5
-    for _ in range(30):
-        theirs = np.log(model.weight) + known
-        model.weight = float(np.clip(np.exp(theirs - np.logaddexp(theirs, np.log1p(-model.weight) + own)).mean(), 0.01, 0.99))
     return model
 
 
@@ -692,9 +702,10 @@ def _score(batches: Iterator[pa.RecordBatch], model, end: int) -> Iterator[pa.Re
     tables = model.value.attention.tables()
     for b in batches:
         rare = model.value.looked_up(b.column(b.num_columns - 1))
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:-2], pa.array(model.value.scores(_with_end(b, b.num_columns - 2, end), tables, rare))], [*b.schema.names[:-2], "score"]
-        )
+        learned = ~b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        found = model.value.scores(_with_end(b, b.num_columns - 2, end), tables, rare, learned)
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(WEIGHTS)).cast(pa.list_(pa.float64())) for x in found]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], *columns], [*b.schema.names[:-2], "scores", "alone"])
 
 
 def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -714,11 +725,15 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     kinds = (tail.agg(F.sum("kinds")).first()[0] or 0) + int((counts > 0).sum()) + (1 if ends else 0)
     n_train = n_train or 0
     store = marked_ids(tokenizer)
-    model, end = context.broadcast(fit(read, tail, store, words, counts, ends, n_train)), store.end
+    model, end = context.broadcast(fit(read, store, words, counts, ends, n_train)), store.end
     scored = read.join(tail, "row", "left").select("doc_id", "held_out", "n_tokens", "hot_base", "hot_known", "base", "known", "ids", "rare").mapInArrow(
         lambda b: _score(b, model, end),
-        "doc_id long, held_out boolean, n_tokens long, hot_base double, hot_known long, base double, known long, score double",
+        "doc_id long, held_out boolean, n_tokens long, hot_base double, hot_known long, base double, known long, scores array<double>, alone array<double>",
     )
+    scored = materialize(scored, "lm-scores")
+    discard(read, tail)
+    sums = scored.agg(*[F.sum(F.get("alone", F.lit(k))) for k in range(len(WEIGHTS))]).first()
+    best = int(np.argmax([x or 0.0 for x in sums]))
     whole = float(np.log10(n_train + kinds + 1))
     return scored.select(
         "doc_id",
@@ -727,5 +742,5 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         (F.col("hot_known") + F.coalesce("known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("base", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * whole).alias("base_score"),
-        "score",
+        F.get("scores", F.lit(best)).alias("score"),
     )
