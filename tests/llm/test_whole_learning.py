@@ -9,7 +9,7 @@ pytest.importorskip("trajspark.llm.queries")
 
 from test_llm import TOKENIZER, docs_of  # noqa: E402
 
-from trajspark.llm import langid, lm  # noqa: E402
+from trajspark.llm import langid, lm, toxicity  # noqa: E402
 
 
 # --- 1 -----------------------------------------------------------------------------------------------------------------
@@ -48,3 +48,33 @@ def test_weight_leaves_out_own_counts():
         mix = lambda n: np.log10((1 - w) * np.exp(own) + w * np.array(n) / 3).sum()  # noqa: B023, E731
         assert np.isclose(scores[0, k], mix([1, 2])) and np.isclose(scores[1, k], mix([1, 2]))
         assert np.isclose(alone[0, k], mix([0, 1])) and alone[1, k] == 0
+
+
+# --- 7 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """Words that mark toxic texts only outside the warm start are learned, and every labelled text is learned from."""
+    rng = random.Random(17)
+    common = [f"{a}{b}" for a in "bcdfg" for b in ("an", "er", "ing")]
+    marks = [f"vile{x * 3}" for x in "abcdefghijklmnopqrst"]
+    texts, toxic = [], []
+    for i in range(1500):
+        toxic.append(int(i % 3 == 0))
+        texts.append(" ".join([*rng.choices(common, k=20), *([rng.choice(marks)] if toxic[-1] else [])]))
+    labels = spark.createDataFrame([(i, x) for i, x in enumerate(toxic) if i % 4], "doc_id long, toxic int")
+    seen, learn_from_all = [], toxicity.learn_from_all
+
+    def watched(own, rows, *a):
+        seen.append(rows.count())
+        learn_from_all(own, rows, *a)
+
+    monkeypatch.setattr(toxicity, "learn_from_all", watched)
+    docs = docs_of(spark, texts)
+    net = toxicity.fit(docs, labels, per_class=12)
+    held = labels.where(toxicity.F.pmod(toxicity.F.xxhash64(toxicity.F.lit("held"), "doc_id"), toxicity.F.lit(5)) == 0).count()
+    assert seen == [labels.count() - held]
+    rows = {r.doc_id: r.predicted for r in toxicity.score(docs, net).collect()}
+    apart = [i for i in range(len(texts)) if not i % 4]
+    assert np.mean([rows[i] == toxic[i] for i in apart]) > 0.95
+    assert toxicity.fit(docs, labels.limit(0)).constant == 0.0
