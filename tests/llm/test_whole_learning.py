@@ -9,7 +9,7 @@ pytest.importorskip("trajspark.llm.queries")
 
 from test_llm import TOKENIZER, docs_of  # noqa: E402
 
-from trajspark.llm import langid, lm, toxicity  # noqa: E402
+from trajspark.llm import jaccard_join, langid, lm, toxicity  # noqa: E402
 
 
 # --- 1 -----------------------------------------------------------------------------------------------------------------
@@ -78,3 +78,36 @@ def test_every_label_counts(spark, monkeypatch):
     apart = [i for i in range(len(texts)) if not i % 4]
     assert np.mean([rows[i] == toxic[i] for i in apart]) > 0.95
     assert toxicity.fit(docs, labels.limit(0)).constant == 0.0
+
+
+# --- 11 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_last_round_looks_at_tiles_that_kept_pairs_back(spark, monkeypatch):
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        w = rng.choices(vocabulary, k=120)
+        for _ in range(14):
+            w = list(w)
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    monkeypatch.setattr(jaccard_join.Search, "leader_pairs", lambda self: jaccard_join.materialize(spark.createDataFrame([], "a long, b long"), "none"))
+    rounds, tile_pairs = [], jaccard_join.Search.tile_pairs
+
+    def watched(self, keys, *a):
+        found = tile_pairs(self, keys, *a)
+        rounds.append((keys.count(), found.where("key is not null").count(), a[-1] and a[-1].count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join.Search, "tile_pairs", watched)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs_of(spark, texts)).collect()} == dict(enumerate(root))
+    assert len(rounds) == 2 and rounds[0][2] is None and 0 < rounds[1][2] == rounds[0][1] < rounds[0][0]

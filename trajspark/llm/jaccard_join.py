@@ -12,7 +12,8 @@ two steps, and every pair found is verified by intersecting the two sorted array
    of two bitmaps are no more than the shingles in one of the sets only, which bounds the overlap from above. No pair
    that is similar fails the bound, so nothing is lost. Keys with the same nodes are one tile. In all rounds but the last
    a tile gives the pairs of a spanning forest only, the closest first, so that loose groups become one component without
-   all their pairs; the last round gives every pair that is left.
+   all their pairs; the last round gives every pair that is left. Later rounds look only at tiles that kept pairs back: the
+   pairs of all others have been given, or can't be linked, and components only grow.
 
 Which shingles count as frequent only decides the order of keys; at most ``FREQUENT`` of them are taken, the most
 frequent ones. Shingles and nodes are told apart by 64-bit hashes. Null texts and texts without words have the empty set
@@ -51,6 +52,7 @@ _TURN = np.random.default_rng(11).integers(0, 1 << 63, LEADERS, dtype=np.uint64)
 _ODD = np.random.default_rng(12).integers(0, 1 << 62, LEADERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc long, node long, size int, mins binary, bits binary, often binary, counts binary"
 _NO_DOC = -(1 << 63)
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("band", pa.int32())])
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -249,10 +251,12 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be linked, of the runs of (tile, side, own, node, comp, size, bits): members of side 0 meet those of
-    side 1, or one another where all have side 0. Without ``every``, those of a spanning forest."""
+    """Pairs (a, b) that may be linked, of the runs of (tile, side, own, node, comp, size, bits, key, band): members of side
+    0 meet those of side 1, or one another where all have side 0. Without ``every``, those of a spanning forest, and
+    (key, band) of the tiles that keep pairs back."""
     held: list[tuple] = []
     found: list[np.ndarray] = []
+    back: set[tuple[int, int]] = set()
 
     def meet() -> None:
         side, own, node, comp, size = (np.array([r[k] for r in held], np.int64) for k in range(1, 6))
@@ -274,6 +278,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iter
         one, two, over = (np.concatenate(x) for x in zip(*near))
         if not every and len(one) > 1:
             keep = forest(comp, one, two, over)
+            if not keep.all():
+                back.update((r[7], r[8]) for r in held)
             one, two = one[keep], two[keep]
         if len(one):
             found.append(np.column_stack([node[one], node[two]]))
@@ -282,7 +288,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iter
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
         found.clear()
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["a", "b"])
+        rows = [*((a, b, None, None) for a, b in pairs.tolist()), *((None, None, *x) for x in back)]
+        back.clear()
+        return pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, r)) for r in rows], _FOUND)
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -290,7 +298,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iter
                 meet()
                 held = []
             held.append(row)
-        if sum(map(len, found)) > 100_000:
+        if sum(map(len, found)) + len(back) > 100_000:
             yield batch()
     if held:
         meet()
@@ -368,15 +376,18 @@ class Search:
         discard(found)
         return out
 
-    def tile_pairs(self, keys: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
-        """(a, b): nodes of different components (node, root) that meet in a tile, as far as bitmaps allow."""
+    def tile_pairs(self, keys: DataFrame, comps: DataFrame, every: bool, back: DataFrame | None = None) -> DataFrame:
+        """(a, b, key, band): nodes (a, b) of different components (node, root) that meet in a tile, as far as bitmaps allow,
+        and tiles (key, band) that keep pairs back. ``back``: the only tiles to look at."""
         percent = self.percent
         info = self.nodes.select("node", "size").join(comps, "node", "left").select("node", "size", F.coalesce("root", "node").alias("comp"))
-        member = keys.join(info, "node")
+        member = (keys if back is None else keys.join(back.select("key"), "key", "left_semi")).join(info, "node")
         # a little over the widest ratio of linked sizes, so that rounding can't put linked sizes two bands apart
         band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(101 / percent))).cast("int")
         mixed = member.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one < two").select("key")
         member = member.join(mixed, "key", "left_semi").withColumn("own", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("band", band + F.col("own") - 1)
+        if back is not None:
+            member = member.join(back, ["key", "band"], "left_semi")
         member = materialize(member, "jaccard-members")
         by_comp = member.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
         tiles = by_comp.groupBy("key", "band").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.max("own").alias("own"))
@@ -390,10 +401,10 @@ class Search:
         to_mains = F.transform(upto("mains"), lambda k: spot(0, k, block, F.lit(1)))
         between = F.transform(upto("others"), lambda k: spot(1, F.least(k, block), F.greatest(k, block), F.when(k < block, 1).otherwise(0)))
         spread = dealt.withColumn("m", F.explode(F.when(F.expr("comp = main"), to_others).otherwise(F.concat(to_mains, between))))
-        spread = spread.select(F.struct("key", "band", "m.kind", "m.one", "m.two").alias("tile"), "m.side", "own", "node", "comp", "size")
+        spread = spread.select(F.struct("key", "band", "m.kind", "m.one", "m.two").alias("tile"), "m.side", "own", "node", "comp", "size", "key", "band")
         spread = spread.withColumn("tile", F.xxhash64("tile")).join(self.nodes.select("node", "bits"), "node")
-        rows = spread.select("tile", "side", "own", "node", "comp", "size", "bits").repartition(self.partitions, "tile").sortWithinPartitions("tile")
-        pairs = materialize(rows.mapInArrow(lambda b: _tiles(b, percent, every), "a long, b long").distinct(), "jaccard-pairs")
+        rows = spread.select("tile", "side", "own", "node", "comp", "size", "bits", "key", "band").repartition(self.partitions, "tile").sortWithinPartitions("tile")
+        pairs = materialize(rows.mapInArrow(lambda b: _tiles(b, percent, every), "a long, b long, key long, band int").distinct(), "jaccard-pairs")
         discard(member)
         return pairs
 
@@ -413,16 +424,20 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     pairs = search.leader_pairs()
     comps = materialize(connected_components(search.verified(pairs)), "jaccard-comps")
     keys = search.shared_keys()
+    discard(pairs)
+    found, back = [], None
     for k in range(FORESTS + 1):
-        discard(pairs)
-        pairs = search.tile_pairs(keys, comps, every=k == FORESTS)
+        found.append(search.tile_pairs(keys, comps, k == FORESTS, back))
+        pairs, back = found[-1].where("key is null").select("a", "b"), found[-1].where("key is not null").select("key", "band")
         if pairs.isEmpty():
             break
         comps = merged(comps, search.verified(pairs))
+        if back.isEmpty():
+            break
     rooted = materialize(search.nodes.select("node", "least").join(comps, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "jaccard-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     component = materialize(rooted.join(smallest, "root").select("node", "component"), "jaccard-components")
-    discard(pairs, keys, comps, rooted, search.nodes)
+    discard(*found, keys, comps, rooted, search.nodes)
     signed = search.signed.where("size >= 0").select("doc", "node", "size")
     return signed.join(component, "node", "left").select(
         F.col("doc").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id")
