@@ -14,8 +14,11 @@ from trajspark.llm.textbuf import mix
 #: Bits of a table at most: 128 MB.
 MOST = 1 << 30
 PARTS = 256
-#: Tasks that set the bits of a table, at most: a job for each brings them to the driver.
+#: Tasks that set the bits of a table, at most.
 TASKS = 32
+#: Bits of a table, 16 MB, up to which its parts come to the driver in one job; those of a larger one come partition by
+#: partition, a job each.
+ONCE = 1 << 27
 
 
 def size_for(n: int, each: int) -> int:
@@ -82,8 +85,8 @@ def bit_table(values: DataFrame, each: int = 6) -> np.ndarray:
 
 
 def gathered(parts: DataFrame, bits: int) -> np.ndarray:
-    """The whole table of (part, bits), which arrive partition by partition."""
-    table = np.zeros(bits >> 3, np.uint8)
-    for row in parts.select("part", "bits").toLocalIterator():
-        table[row.part * len(row.bits) : (row.part + 1) * len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    """The whole table of (part, bits)."""
+    table, rows = np.zeros(bits >> 3, np.uint8), parts.select("part", "bits")
+    for part, raw in rows.collect() if bits <= ONCE else rows.toLocalIterator():
+        table[part * len(raw) : (part + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
     return table
