@@ -1,11 +1,11 @@
-"""Tables of bits and components do no work for nothing."""
+"""Tables of bits, components and line removal do no work for nothing."""
 
 import numpy as np
 import pytest
 
 pytest.importorskip("trajspark.llm.queries")
 
-from trajspark.llm import bits, components  # noqa: E402
+from trajspark.llm import bits, components, linededup  # noqa: E402
 
 
 @pytest.mark.parametrize("once", [bits.ONCE, 0])
@@ -34,3 +34,30 @@ def test_components_stop_at_stars(spark, monkeypatch, edges, rounds):
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[a] == found[b] for a, b in edges) and all(root <= node for node, root in found.items())
     assert len(made) == 1 + rounds
+
+
+def test_texts_are_split_once(spark):
+    """Not within the lambda, which would split the text again for each line that stays."""
+    lines = [" ".join(f"w{k}_{j}" for j in range(6)) for k in range(5)]
+    docs = spark.createDataFrame([(1, "\n".join(lines[:3])), (2, "\n".join([lines[3], lines[0], "", lines[4], lines[2]])), (3, None)], "doc_id long, text string")
+    out = linededup.deduplicate(docs, removed="gone")
+    assert {r.doc_id: (r.text, r.gone) for r in out.collect()} == {1: ("\n".join(lines[:3]), 0), 2: (f"{lines[3]}\n\n{lines[4]}", 2), 3: (None, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(split(" not in plan and plan.count("split(") == 1
+
+
+def test_words_of_lines_without_a_mark_are_not_looked_at():
+    """Lines on a table: the words and places they have among all lines."""
+    texts = [b"a b c\nd e\n\nf", b"", b"g h\n", b"i", b"j k\nl"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    docs, ties, none = np.arange(5) * 3, np.arange(5) + 50, np.zeros(linededup.CELLS, np.uint8)
+    x = linededup.Lines(data, offsets, none)
+    place = linededup.addresses(docs[x.doc], ties[x.doc], x.number)
+    for wanted in ([0, 2, 5], range(x.count), [], [1, 4, 6]):
+        table = np.zeros(1 << 13, np.uint8)
+        spots = bits.spot(place[list(wanted)], 1 << 16)
+        np.bitwise_or.at(table, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
+        y = linededup._lines_on(data, offsets, docs, ties, table, none)
+        own = np.flatnonzero(bits.on(table, place))
+        assert (y.doc == x.doc[own]).all() and (y.number == x.number[own]).all() and (y.cls == x.cls[own]).all()
+        assert y.token.tolist() == [t for i in own for t in x.token[x.begin[i] : x.begin[i] + x.size[i]]]

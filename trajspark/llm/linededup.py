@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from trajspark.llm.bits import at as bit_at
 from trajspark.llm.bits import bit_table, gathered, on, size_for
-from trajspark.llm.matches import BLOBS, LIMIT, Dealer, later_matches, part_bits, spread, whole_members, word_finder
+from trajspark.llm.matches import BLOBS, LIMIT, Dealer, later_matches, part_bits, whole_members, word_finder
 from trajspark.llm.textbuf import Words, chunks, mix
 from trajspark.session import discard, materialize
 
@@ -216,11 +216,9 @@ def spots_of(raw: bytes) -> np.ndarray:
     return np.cumsum(np.where(full, most, step + 1))[~full] - 1
 
 
-def _keys(x: Lines, docs: np.ndarray, ties: np.ndarray, firsts: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, position) of the neighbour triples of a run's lines that are the first of their class; the table
-    ``firsts`` may let some others through."""
+def _keys(x: Lines, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, position) of the neighbour triples of a run's lines."""
     own = np.flatnonzero(x.size >= max(least, 1))
-    own = own[on(firsts, addresses(docs[x.doc[own]], ties[x.doc[own]], x.number[own]))]
     kinds, inverse = np.unique(x.size[own], return_inverse=True)
     alone = [all(u == v == 0 for u, v, _ in partners(int(s), similarity)) for s in kinds]
     reach = np.array([(0, 0) if a else prefix(int(s), similarity) for s, a in zip(kinds, alone)], np.int64).reshape(-1, 2)[inverse]
@@ -248,6 +246,20 @@ def _runs(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield docs[first:last], ties[first:last], data, offsets
 
 
+def _lines_on(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.ndarray, wanted: np.ndarray, rarity: np.ndarray, also: np.ndarray | None = None) -> Lines:
+    """The lines of a run whose addresses the tables ``wanted`` and ``also`` may have, with their places in the run; the
+    words of others are not looked at."""
+    starts, doc, number = line_starts(data, offsets)
+    place = addresses(docs[doc], ties[doc], number)
+    some = on(wanted, place) if also is None else on(wanted, place) & on(also, place)
+    own, size = np.flatnonzero(some), np.diff(np.append(starts, len(data)))
+    if len(own) < len(starts):
+        data, offsets = data[np.repeat(some, size)], np.concatenate([[0], np.cumsum(size[own])])
+    x = Lines(data, offsets, rarity)
+    x.doc, x.number = doc[own], number[own]
+    return x
+
+
 def _reports(batches: Iterator[pa.RecordBatch], rare, firsts, least: int, similarity: float, range_bits: int) -> Iterator[pa.RecordBatch]:
     """What keys there are."""
     seen = Seen()
@@ -258,7 +270,7 @@ def _reports(batches: Iterator[pa.RecordBatch], rare, firsts, least: int, simila
 
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            seen.add(_keys(Lines(data, offsets, rare.value), docs, ties, firsts.value, least, similarity)[0])
+            seen.add(_keys(_lines_on(data, offsets, docs, ties, firsts.value, rare.value), least, similarity)[0])
             if seen.count > GATHERED:
                 yield keys()
     yield keys()
@@ -333,9 +345,9 @@ def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int
     return Keys(table, spots[keep], -(-n[keep] // limit))
 
 
-def _members(x: Lines, docs: np.ndarray, ties: np.ndarray, firsts: np.ndarray, known: Keys, least: int, similarity: float) -> tuple[dict, np.ndarray]:
+def _members(x: Lines, docs: np.ndarray, known: Keys, least: int, similarity: float) -> tuple[dict, np.ndarray]:
     """Members of a run's lines under keys that may be shared, and their lines."""
-    key, line, pos = _keys(x, docs, ties, firsts, least, similarity)
+    key, line, pos = _keys(x, least, similarity)
     shared = known.shared(key)
     key, line, pos = key[shared], line[shared], pos[shared]
     dealt, cls, (one, two) = known.dealt(key), x.cls[line], x.parity()
@@ -347,32 +359,18 @@ def _postings(batches: Iterator[pa.RecordBatch], rare, firsts, known, least: int
     dealer = Dealer(bits)
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            yield from dealer.add(_members(Lines(data, offsets, rare.value), docs, ties, firsts.value, known.value, least, similarity)[0])
+            yield from dealer.add(_members(_lines_on(data, offsets, docs, ties, firsts.value, rare.value), docs, known.value, least, similarity)[0])
     yield from dealer.rows()
 
 
-def _lines_at(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.ndarray, wanted: np.ndarray) -> tuple:
-    """(own, doc, number, bytes, offsets): the lines ``own`` of a run whose addresses a table may have, doc and number of
-    each line of the run, and the lines ``own`` as a run of texts."""
-    starts, doc, number = line_starts(data, offsets)
-    own = np.flatnonzero(on(wanted, addresses(docs[doc], ties[doc], number)))
-    size = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])[own] - starts[own]
-    return own, doc, number, data[spread(starts[own], size)], np.concatenate([[0], np.cumsum(size)])
-
-
 def _whole(batches: Iterator[pa.RecordBatch], rare, firsts, known, keys, asks, wanted, least: int, similarity: float, bits: int) -> Iterator[pa.RecordBatch]:
     """Members under the keys of a table: with their words, of the lines whose addresses ``wanted`` may have, or, if it is
     None, of all lines, without words."""
     dealer = Dealer(bits)
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            if wanted is None:
-                x = Lines(data, offsets, rare.value)
-            else:
-                own, doc, number, data, offsets = _lines_at(data, offsets, docs, ties, wanted.value)
-                x = Lines(data, offsets, rare.value)
-                x.doc, x.number = doc[own], number[own]
-            m, line = _members(x, docs, ties, firsts.value, known.value, least, similarity)
+            x = _lines_on(data, offsets, docs, ties, firsts.value, rare.value, None if wanted is None else wanted.value)
+            m, line = _members(x, docs, known.value, least, similarity)
             some = on(keys.value, m["key"])
             m = {n: v[some] for n, v in m.items()}
             yield from whole_members(dealer, m, x.begin[line[some]], None if wanted is None else x.token, on(asks.value, m["cls"]))
@@ -384,7 +382,7 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]
     none = np.zeros(CELLS, np.uint8)
     for b in batches:
         for docs, ties, data, offsets in _runs(b, 2):
-            x = Lines(*_lines_at(data, offsets, docs, ties, wanted.value)[3:], none)
+            x = _lines_on(data, offsets, docs, ties, wanted.value, none)
             bounds = pa.array(np.append(x.begin, len(x.token)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(x.cls.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(x.token.view(np.int64)))], ["cls", "tokens"])
 
@@ -440,14 +438,15 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: int
     """``docs`` with the lines that go taken out of ``text``. ``removed`` names a column to add: how many went."""
     out = removed_lines(docs, similarity, min_tokens)
     taken = {c.lower() for c in docs.columns}
-    doc, tie, lines = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("doc", "tie", "lines"))
+    doc, tie, lines, parts = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("doc", "tie", "lines", "parts"))
     text = F.col("text").cast("string")
     joined = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(tie, F.xxhash64(text))
     # a hash table of line numbers instead of a sort of whole texts
     joined = joined.join(out.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("lines").alias(lines)).hint("shuffle_hash"), [doc, tie], "left")
-    parts = F.split(text, "\n", -1)
+    # a column of its own, else the lambda would split the text again for each line
+    joined = joined.withColumn(parts, F.when(F.col(lines).isNotNull(), F.split(text, "\n", -1)))
     left_over = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines))
-    left = F.array_join(F.transform(left_over, lambda i: F.get(parts, i)), "\n")
+    left = F.array_join(F.transform(left_over, lambda i: F.get(F.col(parts), i)), "\n")
     joined = joined.withColumn("text", F.when(F.col(lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
     extra: list[Column] = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed)] if removed else []
     return joined.select(*docs.columns, *extra)
