@@ -1,6 +1,7 @@
 """Tables of bits, components and line removal do no work for nothing."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("trajspark.llm.queries")
@@ -61,3 +62,15 @@ def test_words_of_lines_without_a_mark_are_not_looked_at():
         own = np.flatnonzero(bits.on(table, place))
         assert (y.doc == x.doc[own]).all() and (y.number == x.number[own]).all() and (y.cls == x.cls[own]).all()
         assert y.token.tolist() == [t for i in own for t in x.token[x.begin[i] : x.begin[i] + x.size[i]]]
+
+
+def test_runs_are_short():
+    """A task holds the words of RUN bytes at once, or of one longer text; no row is left out."""
+    texts = ["a b " * (20_000 * (1 + k % 7)) for k in range(20)] + ["x " * linededup.RUN, "", "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["doc", "tie", "text"])
+    docs, found = [], []
+    for own, ties, data, offsets in linededup._runs(batch, 2):
+        assert len(data) <= linededup.RUN == 1 << 20 or len(own) == 1
+        docs += own.tolist()
+        found += [data[a:z].tobytes().decode() for a, z in zip(offsets, offsets[1:])]
+    assert docs == list(range(len(texts))) and found == texts

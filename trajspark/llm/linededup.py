@@ -41,6 +41,8 @@ SIMILARITY, MIN_TOKENS = 0.8, 1
 CELLS = 1 << 16
 #: Keys that a task gathers before it reports them, and leading bits of a key by which they are put together.
 GATHERED, RANGE_BITS = 2_000_000, 8
+#: Bytes of text whose words a task holds at once; a longer single text is taken whole.
+RUN = 1 << 20
 #: Crowded keys at most that are dealt into chunks.
 CROWDED = 1 << 18
 _LAST = (1 << 63) - 1
@@ -242,7 +244,7 @@ def _runs(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     order = np.lexsort((b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)))
     b = b.take(pa.array(order))
     docs, ties = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    for first, last, data, offsets in chunks(b.column(at)):
+    for first, last, data, offsets in chunks(b.column(at), RUN):
         yield docs[first:last], ties[first:last], data, offsets
 
 
