@@ -178,7 +178,10 @@ def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARI
     known = context.broadcast(shared_keys(signed.mapInArrow(lambda b: _reports(b, firsts, range_bits), "part int, gaps binary, counts binary"), partitions, range_bits, limit))
 
     def whole(keys, asks) -> DataFrame:
-        places = context.broadcast(bit_table(signed.mapInArrow(lambda b: _under(b, firsts, keys), "place long")))
+        # written, as two Python steps in one task would take two workers, which stay
+        under = materialize(signed.mapInArrow(lambda b: _under(b, firsts, keys), "place long"), "under")
+        places = context.broadcast(bit_table(under))
+        discard(under)
         return docs.mapInArrow(lambda b: _whole(b, size, places, known, keys, asks, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
