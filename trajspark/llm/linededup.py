@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,12 @@ def prefix(s: int, similarity: float) -> tuple[int, int]:
     return triples, pairs
 
 
+@lru_cache(1 << 16)
+def reach(s: int, similarity: float) -> tuple[int, int]:
+    """``prefix``, but no keys if only equal sets are similar."""
+    return (0, 0) if all(u == v == 0 for u, v, _ in partners(s, similarity)) else prefix(s, similarity)
+
+
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, text and number of each line of a run of texts. A break at the very end of a text opens a line of no
     words, which needs no number."""
@@ -115,8 +121,19 @@ class Lines:
         self.token = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
         self.size = np.bincount(self.line, minlength=self.count)
         self.begin = np.cumsum(self.size) - self.size
+
+    @cached_property
+    def cls(self) -> np.ndarray:
+        return self._hash(self.token)
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        return self._hash(self.token ^ _ODD)
+
+    def _hash(self, token: np.ndarray) -> np.ndarray:
+        """Hash of each line's set of words."""
         with np.errstate(over="ignore"):
-            self.cls, self.check = (mix(self._sums(x) + self.size.astype(np.uint64)) for x in (mix(self.token), mix(self.token ^ _ODD)))
+            return mix(self._sums(mix(token)) + self.size.astype(np.uint64))
 
     def _sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of ``values`` over each line."""
@@ -222,10 +239,9 @@ def _keys(x: Lines, least: int, similarity: float) -> tuple[np.ndarray, np.ndarr
     """(key, line, position) of the neighbour triples of a run's lines."""
     own = np.flatnonzero(x.size >= max(least, 1))
     kinds, inverse = np.unique(x.size[own], return_inverse=True)
-    alone = [all(u == v == 0 for u, v, _ in partners(int(s), similarity)) for s in kinds]
-    reach = np.array([(0, 0) if a else prefix(int(s), similarity) for s, a in zip(kinds, alone)], np.int64).reshape(-1, 2)[inverse]
+    most = np.array([reach(s, similarity) for s in kinds.tolist()], np.int64).reshape(-1, 2)[inverse]
     keys, places, lines = [], [], []
-    for width, n in ((3, reach[:, 0]), (2, reach[:, 1])):
+    for width, n in ((3, most[:, 0]), (2, most[:, 1])):
         n = np.maximum(np.minimum(n, x.size[own] - width + 1), 0)
         pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(x.begin[own], n) + pos
@@ -314,12 +330,20 @@ def _met(batches: Iterator[pa.RecordBatch], bits: int, range_bits: int, limit: i
 
 @dataclass
 class Keys:
-    """What is known of the keys: a bit for each that several classes may have, and the crowded ones' numbers of chunks."""
+    """What is known of the keys: a bit for each that several classes may have, and the crowded ones' numbers of chunks. Few
+    bits are set, so the table travels compressed: each executor keeps a copy on its disk."""
 
     table: np.ndarray
     crowded: np.ndarray
     chunks: np.ndarray
 
+    def __getstate__(self) -> tuple:
+        return pa.compress(self.table, "zstd", asbytes=True), len(self.table), self.crowded, self.chunks
+
+    def __setstate__(self, state: tuple) -> None:
+        raw, size, self.crowded, self.chunks = state
+        self.table = np.frombuffer(pa.decompress(raw, size, "zstd"), np.uint8)
+
     def shared(self, key: np.ndarray) -> np.ndarray:
         shift = np.uint64(64 - (len(self.table) * 8 - 1).bit_length())
         return np.flatnonzero(bit_at(self.table, (key >> shift).astype(np.int64)))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trajspark.llm.bits import bit_table, on
 from trajspark.llm.textbuf import mix
-from trajspark.session import discard, materialize
+from trajspark.session import collect_garbage, discard, materialize
 
 #: Sets of one chunk of a key, about.
 LIMIT = 1024
@@ -95,6 +95,18 @@ def part_bits(partitions: int) -> int:
     return max(6, (2 * partitions).bit_length())
 
 
+def planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then the second ones, and so on: those of small numbers are nearly all zero, which
+    compresses."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    """n numbers from what ``planes`` wrote at a place."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
 class Dealer:
     """Gathers members, with sides and tokens if they have any, and gives them out as a blob for each part."""
 
@@ -129,7 +141,7 @@ class Dealer:
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             own = order[a:b]
             columns[0].append(int(part[own[0]]))
-            columns[1].append(b"".join(m[n][own].astype(t).tobytes() for n, t in FIELDS.items()))
+            columns[1].append(b"".join(planes(m[n][own].astype(t)) for n, t in FIELDS.items()))
             columns[2].append(None if side is None else side[own].astype(np.int64).tobytes())
             columns[3].append(None if tokens is None else tokens[spread(begin[own], m["size"][own])].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], [x.split()[0] for x in BLOBS.split(", ")])
@@ -149,7 +161,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, np.nd
         for raw, _, _ in held:
             n, at = len(raw) // _WIDTH, 0
             for name, kind in FIELDS.items():
-                out[name].append(np.frombuffer(raw, kind, n, at))
+                out[name].append(unplaned(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
         side, tokens = (None if held[0][k] is None else np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in ((1, np.int64), (2, np.uint64)))
         return last, {n: np.concatenate(x) for n, x in out.items()}, side, tokens
@@ -186,9 +198,17 @@ def _best(batches: Iterator[pa.RecordBatch], find: Finder) -> Iterator[pa.Record
     which sets have any."""
     for _, m, _, _ in _parts(batches):
         gid = _groups(m)
-        order = np.lexsort((m["line"], m["doc"], m["cls"], gid))
-        g, c = gid[order], m["cls"][order]
-        order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])]  # each set once, at its first place
+        some = np.flatnonzero((np.bincount(gid)[gid] > 1) | (m["chunks"] > 1))  # others meet nobody
+        if not len(some):
+            continue
+        m, gid = {n: x[some] for n, x in m.items()}, gid[some]
+        order = np.arange(len(gid))
+        with np.errstate(over="ignore"):
+            own = np.sort(mix(gid.astype(np.uint64) * _ODD + m["cls"]))
+        if (own[1:] == own[:-1]).any():
+            order = np.lexsort((m["line"], m["doc"], m["cls"], gid))
+            g, c = gid[order], m["cls"][order]
+            order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])]  # each set once, at its first place
         order = order[np.lexsort((m["cls"][order], m["line"][order], m["doc"][order], gid[order]))]
         m, g = {n: x[order] for n, x in m.items()}, gid[order]
         bounds = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g))
@@ -243,22 +263,20 @@ def whole_members(dealer: Dealer, m: dict, begin: np.ndarray, tokens: np.ndarray
 
 
 def common(tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Number of common words of each pair of sets."""
+    """Number of common words of each pair of sets; ``tokens`` are numbers below 2**32."""
     out = np.zeros(len(i), np.int64)
     for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(size[i].astype(np.int64) + size[j]) // PAIRS)) + 1):
-        pair, word = [], []
+        both = []
         for side in (i[part], j[part]):
-            pair.append(np.repeat(part, size[side]))
-            word.append(tokens[spread(begin[side], size[side])])
-        p, w = np.concatenate(pair), np.concatenate(word)
-        order = np.lexsort((w, p))
-        p, w = p[order], w[order]
-        out += np.bincount(p[1:][(p[1:] == p[:-1]) & (w[1:] == w[:-1])], minlength=len(i))
+            both.append(np.repeat(part, size[side]) << 32 | tokens[spread(begin[side], size[side])])
+        both = np.sort(np.concatenate(both))
+        out += np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(i))
     return out
 
 
 def _meeting(batches: Iterator[pa.RecordBatch], find: Finder, asks) -> Iterator[tuple[dict, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
-    """(members, begin, tokens, i, j) of the groups of each part, j being an earlier candidate of i, which asks."""
+    """(members, begin, words, i, j) of the groups of each part, j being an earlier candidate of i, which asks; words are
+    numbered within the part."""
     for _, m, side, tokens in _parts(batches):
         gid = _groups(m, side >> 2)
         begin = np.cumsum(m["size"], dtype=np.int64) - m["size"]
@@ -271,12 +289,15 @@ def _meeting(batches: Iterator[pa.RecordBatch], find: Finder, asks) -> Iterator[
         asking = np.flatnonzero((kind != 0) & on(asks.value, m["cls"]))
         if not len(refs) or not len(asking):
             continue
+        words = None
         count = np.bincount(g[refs], minlength=g[-1] + 1)
         first = np.cumsum(count) - count
         for i, j, _ in find(m, refs, first[g[refs]], asking, first[g[asking]], count[g[asking]]):
             fit = _earlier(m, j, i) & (m["cls"][i] != m["cls"][j])
             if fit.any():
-                yield m, begin, tokens, i[fit], j[fit]
+                if words is None and tokens is not None:
+                    words = np.unique(tokens, return_inverse=True)[1]
+                yield m, begin, words, i[fit], j[fit]
 
 
 def _classes(found: np.ndarray) -> pa.RecordBatch:
@@ -319,6 +340,7 @@ def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame
         return blobs.repartition(partitions, "part").sortWithinPartitions("part")
 
     best = materialize(dealt(members).mapInArrow(lambda b: _best(b, find), _BEST), "best")
+    collect_garbage(spark)  # the members' shuffle files
     found = best.where("keys is null")
     fit = F.when(F.col("margin") >= 0, F.col("x"))
     first = found.groupBy("y").agg(F.max(F.struct("margin", "x")).alias("top"), (F.max("several") | F.coalesce(F.min(fit) != F.max(fit), F.lit(False))).alias("more"))

@@ -15,15 +15,11 @@ import pyarrow as pa
 CHUNK = 2 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORD = np.ones(256, bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Bytes of a word that are hashed in steps of eight.
 LONG = 256
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -94,12 +90,11 @@ class Words:
         padded = np.zeros((n + 23) // 8 * 8, np.uint8)
         self.lanes = padded.view("<u8")
         self.data = padded[:n]
+        self.data[:] = data
         if lower:
-            np.take(_LOWER, data, out=self.data)
-        else:
-            self.data[:] = data
+            self.data += ((data - np.uint8(65)) < np.uint8(26)).view(np.uint8) << np.uint8(5)
         inside = np.empty(n + 1, bool)
-        np.take(_WORD, data, out=inside[1:])
+        np.logical_and(data != 0x20, (data - np.uint8(9)) > np.uint8(4), out=inside[1:])
         inside[0] = False
         turns = np.flatnonzero(inside[1:] != inside[:-1])
         if n and inside[-1]:

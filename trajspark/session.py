@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,5 +59,13 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    context._jvm.System.gc()
+    collect_garbage(tables[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files of plans that nobody holds any more go with it. Twice, as the first
+    time only lets go of the tables that Python has dropped, and the second of what these held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
