@@ -61,8 +61,8 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_bits(own: np.ndarray) -> bytes:
-    """Two to four bits a shingle, 64 at least."""
-    n = max(64, 1 << (2 * len(own) - 1).bit_length())
+    """One to two bits a shingle, 64 at least. They travel with every member of a tile, and are most of what does."""
+    n = max(64, 1 << (len(own) - 1).bit_length())
     return np.packbits(np.bincount((own * _ODD[0] >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n) & 1, bitorder="little").tobytes()
 
 
