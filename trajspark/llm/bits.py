@@ -81,12 +81,14 @@ def bit_table(values: DataFrame, each: int = 6) -> np.ndarray:
     bits = size_for(values.count(), each)
     partitions = min(TASKS, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = values.mapInArrow(lambda b: _marked(b, bits), "part int, spots binary").repartition(partitions, "part").sortWithinPartitions("part")
-    return gathered(marked.mapInArrow(lambda b: _set(b, bits // PARTS), "part int, bits binary"), bits)
+    return gathered(marked.mapInArrow(lambda b: _set(b, bits // PARTS), "part int, bits binary"), bits)[0]
 
 
-def gathered(parts: DataFrame, bits: int) -> np.ndarray:
-    """The whole table of (part, bits)."""
-    table, rows = np.zeros(bits >> 3, np.uint8), parts.select("part", "bits")
-    for part, raw in rows.collect() if bits <= ONCE else rows.toLocalIterator():
+def gathered(parts: DataFrame, bits: int) -> tuple[np.ndarray, ...]:
+    """The whole table of (part, bits), and a list of each further column's values, which may be few only."""
+    table, more = np.zeros(bits >> 3, np.uint8), [[] for _ in parts.columns[2:]]
+    for part, raw, *rest in parts.collect() if bits <= ONCE else parts.toLocalIterator():
         table[part * len(raw) : (part + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
-    return table
+        for held, x in zip(more, rest):
+            held.append(x)
+    return table, *more

@@ -362,10 +362,9 @@ def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int
     tables."""
     bits = max(1 << 20, size_for((reports.agg(F.sum(F.length("gaps"))).first()[0] or 0) // 3, 6))
     dealt = reports.repartition(partitions, "part").sortWithinPartitions("part")
-    met = materialize(dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary"), "met-keys")
-    table, rows = gathered(met, bits), met.where(F.length("crowded") > 0).select("crowded", "counts").toArrow()
-    discard(met)
-    spots, n = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in rows.column(k).to_pylist()]]) for k in (0, 1))
+    met = dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary")
+    table, crowded, counts = gathered(met, bits)
+    spots, n = (np.frombuffer(b"".join(x), "<i8") for x in (crowded, counts))
     keep = np.argsort(-n, kind="stable")[:CROWDED]  # the least crowded beyond that stay whole
     keep = keep[np.argsort(spots[keep])]
     return Keys(table, spots[keep], -(-n[keep] // limit))
@@ -430,7 +429,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     rare = context.broadcast(rarity(survey.where("cell is not null").select("cell", "n")))
     # the first line of each class
     first = F.min(F.struct("doc", "line", "tie", "check", "place")).alias("first")
-    classes = materialize(survey.where("cell is null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("n")), "classes")
+    classes = materialize(survey.where("cell is null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("n")), "classes", few=True)
     firsts = context.broadcast(bit_table(classes.select("first.place")))
     reports = materialize(docs.mapInArrow(lambda b: _reports(b, rare, firsts, min_tokens, similarity, range_bits), "part int, gaps binary, counts binary"), "reports")
     known = context.broadcast(shared_keys(reports, partitions, range_bits, limit))
@@ -442,10 +441,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
         return docs.mapInArrow(lambda b: _whole(b, rare, firsts, known, keys, asks, marked, min_tokens, similarity, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
-        wanted = materialize(wanted, "wanted")
+        wanted = materialize(wanted, "wanted", few=True)
         marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place")))
         found = docs.mapInArrow(lambda b: _sets(b, marked), "cls long, tokens array<long>")
-        out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+        out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets", few=True)
         discard(wanted)
         return out
 
@@ -455,7 +454,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     affected = repeated.join(gone.withColumn("gone", F.lit(True)), "cls", "full")
     # a line whose second hash is not that of its class's first line is no copy of it
     later = "gone or check = first.check and (doc <> first.doc or line <> first.line or tie <> first.tie)"
-    out = materialize(lines.join(affected, "cls").where(later).groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
+    out = materialize(lines.join(affected, "cls").where(later).groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed", few=True)
     discard(survey, classes, gone)
     return out
 

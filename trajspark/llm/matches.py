@@ -323,7 +323,7 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
     one, two = (tokens.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")) for c in ("y", "x"))
     both = F.size(F.array_intersect("t_y", "t_x"))
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.size("t_y") + F.size("t_x")) - 1e-9)
-    out = materialize(pairs.join(one, "y").join(two, "x").where(both >= need).select("y").distinct(), "verified")
+    out = materialize(pairs.join(one, "y").join(two, "x").where(both >= need).select("y").distinct(), "verified", few=True)
     discard(tokens)
     return out
 
@@ -339,14 +339,14 @@ def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame
     def dealt(blobs: DataFrame) -> DataFrame:
         return blobs.repartition(partitions, "part").sortWithinPartitions("part")
 
-    best = materialize(dealt(members).mapInArrow(lambda b: _best(b, find), _BEST), "best")
+    best = materialize(dealt(members).mapInArrow(lambda b: _best(b, find), _BEST), "best", few=True)
     collect_garbage(spark)  # the members' shuffle files
     found = best.where("keys is null")
     fit = F.when(F.col("margin") >= 0, F.col("x"))
     first = found.groupBy("y").agg(F.max(F.struct("margin", "x")).alias("top"), (F.max("several") | F.coalesce(F.min(fit) != F.max(fit), F.lit(False))).alias("more"))
-    first = materialize(first, "first-pairs")
+    first = materialize(first, "first-pairs", few=True)
     gone = verified(first.where("top.margin >= 0").select("y", F.col("top.x").alias("x")), sets, similarity)
-    asking = materialize(first.where("more").select("y").join(gone, "y", "left_anti"), "asking")
+    asking = materialize(first.where("more").select("y").join(gone, "y", "left_anti"), "asking", few=True)
     if asking.isEmpty():
         discard(best, first, asking)
         out = gone.withColumnRenamed("y", "cls")
@@ -355,13 +355,13 @@ def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame
     context = spark.sparkContext
     asks = context.broadcast(bit_table(asking))
     # written, as two Python steps in one task would take two workers, which stay
-    open_keys = materialize(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long"), "open-keys")
+    open_keys = materialize(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long"), "open-keys", few=True)
     keys = context.broadcast(bit_table(open_keys))
     discard(best, first, open_keys)
     wanted = ()
     if screen:
-        wanted = (materialize(dealt(whole(keys, asks, None)).mapInArrow(lambda b: _screened(b, find, asks), "y long").distinct(), "screened"),)
+        wanted = (materialize(dealt(whole(keys, asks, None)).mapInArrow(lambda b: _screened(b, find, asks), "y long").distinct(), "screened", few=True),)
     more = dealt(whole(keys, asks, *wanted)).mapInArrow(lambda b: _rest(b, find, asks, similarity), "y long")
-    out = materialize(gone.union(more).distinct().select(F.col("y").alias("cls")), "gone")
+    out = materialize(gone.union(more).distinct().select(F.col("y").alias("cls")), "gone", few=True)
     discard(gone, asking, *wanted)
     return out

@@ -173,22 +173,22 @@ def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARI
     context, partitions = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
     range_bits, bits = max(RANGE_BITS, (4 * partitions).bit_length()), part_bits(partitions)
     signed = materialize(docs.mapInArrow(lambda b: _signed(b, size), _SIGNED), "shingles")
-    classes = materialize(signed.groupBy("cls").agg(F.min(F.struct("doc", "tie", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "shingle-classes")
+    classes = materialize(signed.groupBy("cls").agg(F.min(F.struct("doc", "tie", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "shingle-classes", few=True)
     firsts = context.broadcast(bit_table(classes.select("first.place")))
     known = context.broadcast(shared_keys(signed.mapInArrow(lambda b: _reports(b, firsts, range_bits), "part int, gaps binary, counts binary"), partitions, range_bits, limit))
 
     def whole(keys, asks) -> DataFrame:
         # written, as two Python steps in one task would take two workers, which stay
-        under = materialize(signed.mapInArrow(lambda b: _under(b, firsts, keys), "place long"), "under")
+        under = materialize(signed.mapInArrow(lambda b: _under(b, firsts, keys), "place long"), "under", few=True)
         places = context.broadcast(bit_table(under))
         discard(under)
         return docs.mapInArrow(lambda b: _whole(b, size, places, known, keys, asks, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
-        wanted = materialize(wanted, "wanted")
+        wanted = materialize(wanted, "wanted", few=True)
         marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place")))
         found = docs.mapInArrow(lambda b: _tokens(b, size, marked), "cls long, tokens array<long>")
-        out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "shingle-sets")
+        out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "shingle-sets", few=True)
         discard(wanted)
         return out
 
@@ -196,7 +196,7 @@ def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARI
     gone = later_matches(members, whole, sets, similarity, tree_finder(RADIUS))
     affected = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("gone or n > 1")
     joined = signed.select("doc", "tie", "cls").join(affected, "cls")
-    out = materialize(joined.where("gone or doc <> first.doc or tie <> first.tie").select("doc", "tie").distinct(), "near-copies")
+    out = materialize(joined.where("gone or doc <> first.doc or tie <> first.tie").select("doc", "tie").distinct(), "near-copies", few=True)
     out.repeats = not signed.groupBy("doc", "tie").count().where("count > 1").isEmpty()
     discard(signed, classes, gone)
     return out

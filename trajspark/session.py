@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Files of a table that is written in few, at least; more where there are many cores.
+FEW = 16
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the session that is already there."""
     return (
@@ -41,10 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] | list[str] = (), few: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no recomputation of what lies before. ``partition_by``: columns whose values get folders of their own."""
+    executor costs no recomputation of what lies before. ``partition_by``: columns whose values get folders of their own.
+    ``few``: partitions of little data are written one after the other, in four tasks a core or FEW; without Hadoop's native
+    library each file on a local disk costs an executor two processes for its permissions."""
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(FEW, 4 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark).rstrip('/')}/trajspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     out = spark.read.schema(df.schema).parquet(path)
