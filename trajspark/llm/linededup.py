@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm.bits import at as bit_at
-from trajspark.llm.bits import bit_table, gathered, on, size_for
+from trajspark.llm.bits import SEVERAL, bit_table, gathered, on, size_for
 from trajspark.llm.matches import BLOBS, LIMIT, Dealer, later_matches, part_bits, whole_members, word_finder
 from trajspark.llm.textbuf import Words, chunks, mix
 from trajspark.session import discard, materialize
@@ -264,7 +264,7 @@ def _runs(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield docs[first:last], ties[first:last], data, offsets
 
 
-def _lines_on(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.ndarray, wanted: np.ndarray, rarity: np.ndarray, also: np.ndarray | None = None) -> Lines:
+def _lines_on(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.ndarray, wanted: np.ndarray | tuple, rarity: np.ndarray, also: np.ndarray | tuple | None = None) -> Lines:
     """The lines of a run whose addresses the tables ``wanted`` and ``also`` may have, with their places in the run; the
     words of others are not looked at."""
     starts, doc, number = line_starts(data, offsets)
@@ -362,8 +362,9 @@ def shared_keys(reports: DataFrame, partitions: int, range_bits: int, limit: int
     tables."""
     bits = max(1 << 20, size_for((reports.agg(F.sum(F.length("gaps"))).first()[0] or 0) // 3, 6))
     dealt = reports.repartition(partitions, "part").sortWithinPartitions("part")
-    met = dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary")
+    met = materialize(dealt.mapInArrow(lambda b: _met(b, bits, range_bits, limit), "part int, bits binary, crowded binary, counts binary"), "met-keys", few=True)
     table, crowded, counts = gathered(met, bits)
+    discard(met)
     spots, n = (np.frombuffer(b"".join(x), "<i8") for x in (crowded, counts))
     keep = np.argsort(-n, kind="stable")[:CROWDED]  # the least crowded beyond that stay whole
     keep = keep[np.argsort(spots[keep])]
@@ -430,19 +431,19 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, min_tokens: i
     # the first line of each class
     first = F.min(F.struct("doc", "line", "tie", "check", "place")).alias("first")
     classes = materialize(survey.where("cell is null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("n")), "classes", few=True)
-    firsts = context.broadcast(bit_table(classes.select("first.place")))
+    firsts = context.broadcast(bit_table(classes.select("first.place"), 6, SEVERAL))
     reports = materialize(docs.mapInArrow(lambda b: _reports(b, rare, firsts, min_tokens, similarity, range_bits), "part int, gaps binary, counts binary"), "reports")
     known = context.broadcast(shared_keys(reports, partitions, range_bits, limit))
     discard(reports)
     bits = part_bits(partitions)
 
     def whole(keys, asks, wanted: DataFrame | None) -> DataFrame:
-        marked = None if wanted is None else context.broadcast(bit_table(classes.join(wanted.withColumnRenamed("y", "cls"), "cls", "left_semi").select("first.place")))
+        marked = None if wanted is None else context.broadcast(bit_table(classes.join(wanted.withColumnRenamed("y", "cls"), "cls", "left_semi").select("first.place"), 6, SEVERAL))
         return docs.mapInArrow(lambda b: _whole(b, rare, firsts, known, keys, asks, marked, min_tokens, similarity, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted", few=True)
-        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place")))
+        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place"), 6, SEVERAL))
         found = docs.mapInArrow(lambda b: _sets(b, marked), "cls long, tokens array<long>")
         out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets", few=True)
         discard(wanted)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.bits import bit_table, on
+from trajspark.llm.bits import SEVERAL, bit_table, on
 from trajspark.llm.textbuf import mix
 from trajspark.session import collect_garbage, discard, materialize
 
@@ -353,10 +353,10 @@ def later_matches(members: DataFrame, whole: Callable, sets: Callable[[DataFrame
         out.scratch_path = gone.scratch_path
         return out
     context = spark.sparkContext
-    asks = context.broadcast(bit_table(asking))
+    asks = context.broadcast(bit_table(asking, 6, SEVERAL))
     # written, as two Python steps in one task would take two workers, which stay
     open_keys = materialize(best.where("keys is not null").select("keys").mapInArrow(lambda b: _open_keys(b, asks), "key long"), "open-keys", few=True)
-    keys = context.broadcast(bit_table(open_keys))
+    keys = context.broadcast(bit_table(open_keys, 6, SEVERAL))
     discard(best, first, open_keys)
     wanted = ()
     if screen:

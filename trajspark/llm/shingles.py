@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.bits import bit_table, on
+from trajspark.llm.bits import SEVERAL, bit_table, on
 from trajspark.llm.linededup import _LAST, RANGE_BITS, Keys, Seen, _addressed, addresses, shared_keys
 from trajspark.llm.matches import BLOBS, LIMIT, Dealer, later_matches, part_bits, tree_finder, whole_members
 from trajspark.llm.textbuf import Words, chunks, mix
@@ -99,7 +99,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SIGNED.split(", ")])
 
 
-def _of_firsts(b: pa.RecordBatch, firsts: np.ndarray) -> dict:
+def _of_firsts(b: pa.RecordBatch, firsts: np.ndarray | tuple) -> dict:
     """Members under all keys, of the first document of each class (and some others, maybe)."""
     b = b.filter(pa.array(on(firsts, b.column(2).to_numpy())))
     raw = b.column(6).to_pylist()
@@ -174,19 +174,19 @@ def later_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARI
     range_bits, bits = max(RANGE_BITS, (4 * partitions).bit_length()), part_bits(partitions)
     signed = materialize(docs.mapInArrow(lambda b: _signed(b, size), _SIGNED), "shingles")
     classes = materialize(signed.groupBy("cls").agg(F.min(F.struct("doc", "tie", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "shingle-classes", few=True)
-    firsts = context.broadcast(bit_table(classes.select("first.place")))
+    firsts = context.broadcast(bit_table(classes.select("first.place"), 6, SEVERAL))
     known = context.broadcast(shared_keys(signed.mapInArrow(lambda b: _reports(b, firsts, range_bits), "part int, gaps binary, counts binary"), partitions, range_bits, limit))
 
     def whole(keys, asks) -> DataFrame:
         # written, as two Python steps in one task would take two workers, which stay
         under = materialize(signed.mapInArrow(lambda b: _under(b, firsts, keys), "place long"), "under", few=True)
-        places = context.broadcast(bit_table(under))
+        places = context.broadcast(bit_table(under, 6, SEVERAL))
         discard(under)
         return docs.mapInArrow(lambda b: _whole(b, size, places, known, keys, asks, bits), BLOBS)
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = materialize(wanted, "wanted", few=True)
-        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place")))
+        marked = context.broadcast(bit_table(classes.join(wanted, "cls", "left_semi").select("first.place"), 6, SEVERAL))
         found = docs.mapInArrow(lambda b: _tokens(b, size, marked), "cls long, tokens array<long>")
         out = materialize(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")), "shingle-sets", few=True)
         discard(wanted)
