@@ -40,4 +40,4 @@ def test_many_partitions_make_few_files(spark, monkeypatch, run):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert len(files) > 7 and few <= session.FEW and max(files.values()) <= session.FEW
+    assert len(files) > 7 and few <= 16 and max(files.values()) <= 16
