@@ -110,3 +110,16 @@ def test_topics_share_what_the_last_of_them_got(spark):
     assert got["/left/state", "elbow"] == got["/left/cmd", "elbow"] == ("left_elbow", "/left/cmd") or got["/left/cmd", "elbow"] == ("left_elbow", "/left/copy")
     assert got["/right/state", "wrist"] == ("right_wrist", "/right/state") and got["/left/copy", "wrist"] == ("left_wrist", "/left/copy")
     assert got["/odd", "elbow"][1] == "/odd" and len(got) == 13
+
+
+@pytest.mark.parametrize("grouped", [False])
+@pytest.mark.parametrize("make", [N.name_scores])
+def test_names_of_small_files_are_not_broadcast(spark, tmp_path, make, grouped):
+    """Some thousand names are a few KB of files; what is joined are their terms and spellings, which a million of them bring to GB."""
+    rows = [(d, i, f"{WORDS[(d + i) % len(WORDS)]}_{WORDS[i]}") for d in range(5) for i in range(9)]
+    for name in ("s", "t"):
+        spark.createDataFrame(rows, "dataset_id long, name_index int, name string").coalesce(1).write.parquet(str(tmp_path / name))
+    found = make(*(spark.read.parquet(str(tmp_path / name)) for name in ("s", "t")), grouped)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 3
+    assert found.count()

@@ -46,20 +46,29 @@ def variants(norm: Column, words: Column) -> Column:
 
 def described(names: DataFrame) -> DataFrame:
     """``names``: dataset_id, name_index, name, and optionally context (a topic, whose words count for side and part). Adds
-    norm, words, spellings, side, part."""
+    norm, words, spellings, side, part. Names are dealt out first: a million of them are a few MB of files, which one or
+    two tasks would read and describe."""
+    names = names.repartition("dataset_id", "name_index")
     context = F.coalesce(F.col("context"), F.lit("")) if "context" in names.columns else F.lit("")
     d = names.select("dataset_id", "name_index", "name", normalized(F.col("name")).alias("norm"), spaced(normalized(F.concat_ws("_", "name", context))).alias("full"))
     d = d.withColumn("words", tokens(F.col("norm"))).withColumn("spellings", variants(F.col("norm"), F.col("words")))
     return d.select("dataset_id", "name_index", "name", "norm", "words", "spellings", axis_side(F.col("full")).alias("side"), axis_part(F.col("full")).alias("part"))
 
 
+def _sorted(d: DataFrame) -> DataFrame:
+    """``d`` to be joined by sorting. Spark sizes a broadcast by the files, and names are many times as large with their terms
+    and spellings: half a million parts are 2 MB of files, and their terms don't fit into the driver."""
+    return d.hint("merge")
+
+
 def _features(d: DataFrame, source: bool) -> DataFrame:
-    """Terms under which a name is found: spellings, words, and its whole form where the other's ends with it."""
+    """Hashes of the terms under which a name is found: spellings, words, and its whole form where the other's ends with it.
+    Two terms of one hash make a pair too many, which scores nothing."""
     tag = lambda k: lambda x: F.concat(F.lit(k), x)
     ends = F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.substring(F.col("norm"), i, F.length("norm")))
     whole, ending = ("w:", "e:") if source else ("e:", "w:")
     terms = F.concat(F.transform("spellings", tag("v:")), F.transform("words", tag("t:")), F.transform(F.array("norm"), tag(whole)), F.transform(ends, tag(ending)))
-    return d.where("norm <> ''").select("dataset_id", "name_index", F.explode(F.array_distinct(terms)).alias("term"))
+    return d.where("norm <> ''").select("dataset_id", "name_index", F.explode(F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))).alias("term"))
 
 
 def score(grouped: bool) -> Column:
@@ -89,9 +98,9 @@ def name_scores(sources: DataFrame, targets: DataFrame, grouped: bool = False) -
     s, t = described(sources), described(targets)
     one = _features(s, True).withColumnRenamed("name_index", "source_index")
     two = _features(t, False).withColumnRenamed("name_index", "target_index")
-    pairs = one.join(two, ["dataset_id", "term"]).select("dataset_id", "source_index", "target_index").distinct()
+    pairs = one.join(_sorted(two), ["dataset_id", "term"]).select("dataset_id", "source_index", "target_index").distinct()
     pack = lambda d, key, as_: d.select("dataset_id", F.col("name_index").alias(key), F.struct("name", "norm", "words", "spellings", "side", "part").alias(as_))
-    met = pairs.join(pack(s, "source_index", "s"), ["dataset_id", "source_index"]).join(pack(t, "target_index", "t"), ["dataset_id", "target_index"])
+    met = pairs.join(_sorted(pack(s, "source_index", "s")), ["dataset_id", "source_index"]).join(_sorted(pack(t, "target_index", "t")), ["dataset_id", "target_index"])
     return met.select("dataset_id", "source_index", F.col("s.name").alias("source_name"), "target_index", F.col("t.name").alias("target_name"), score(grouped).alias("score")).where("score > 0")
 
 
