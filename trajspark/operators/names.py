@@ -118,7 +118,7 @@ def match_names(sources: DataFrame, targets: DataFrame, grouped: bool = False) -
     scored = name_scores(sources, targets, grouped).where(F.col("score") >= LEAST)
     best = scored.groupBy("dataset_id", "source_index").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "target_index", F.col("target_name").alias("name")))).alias("best"))
     lists = best.groupBy("dataset_id").agg(F.map_from_entries(F.collect_list(F.struct("source_index", "best"))).alias("best"))
-    d = pack(sources).withColumnRenamed("all", "source").join(pack(targets).withColumnRenamed("all", "target"), "dataset_id").join(lists, "dataset_id", "left")
+    d = pack(sources).withColumnRenamed("all", "source").join(_sorted(pack(targets).withColumnRenamed("all", "target")), "dataset_id").join(_sorted(lists), "dataset_id", "left")
     out = "array<struct<source_index: int, source_name: string, target_name: string, score: int>>"
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(out).alias("out"))
 
