@@ -113,7 +113,7 @@ def test_topics_share_what_the_last_of_them_got(spark):
 
 
 @pytest.mark.parametrize("grouped", [False, True])
-@pytest.mark.parametrize("make", [N.name_scores, N.match_names])
+@pytest.mark.parametrize("make", [N.name_scores, N.match_names, lambda *a: N.match_summary(N.match_names(*a))])
 def test_names_of_small_files_are_not_broadcast(spark, tmp_path, make, grouped):
     """Some thousand names are a few KB of files; what is joined are their terms and spellings, which a million of them bring to GB."""
     rows = [(d, i, f"{WORDS[(d + i) % len(WORDS)]}_{WORDS[i]}") for d in range(5) for i in range(9)]
