@@ -44,3 +44,37 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     incremental_ingest(spark, *args)
     got = sorted((r.bag, r.n, r.last, r.episode_index) for r in spark.read.parquet(args[1]).collect())
     assert got == [("b0", 3, 7, 1), ("b1", 1, 9, 0), ("b1", 2, 1, 0)]
+
+
+def test_shared_files_tell_the_bag(spark, tmp_path):
+    """Files in the root hold many bags; both limits hold for them, and a file there without the column is none of ours."""
+    (tmp_path / "one").mkdir()
+    rows = [("arm", 1, 0, "two"), ("cam", 2, 1, "two"), ("arm", 1, 2, "two"), ("cam", 2, 3, "two"), ("arm", 3, 4, "three"), ("cam", 4, 5, "three"), (None, 5, 6, "one")]
+    t = pa.table({k: list(v) for k, v in zip(("topic", "ts_ns", "seq", "bag"), zip(*rows))})
+    pq.write_table(t[:2], tmp_path / "one" / "a.parquet")
+    pq.write_table(t[2:], tmp_path / "shared.parquet", row_group_size=2)
+    pq.write_table(t.drop_columns("bag"), tmp_path / "other.parquet")
+    read = lambda *a: sorted((r.bag, r.seq) for r in messages.read_messages(spark, str(tmp_path), *a).collect())
+    assert read() == [("one", 0), ("one", 1), ("one", 6), ("three", 4), ("three", 5), ("two", 2), ("two", 3)]
+    assert read(["cam"]) == [("one", 1), ("three", 5), ("two", 3)]
+    assert read(["cam"], ["one", "two"]) == [("one", 1), ("two", 3)]
+    assert read(None, ["three"]) == [("three", 4), ("three", 5)] and read(None, ["x"]) == []
+    assert [(p.bag, p.group) for p in messages.Reader(str(tmp_path), None, {"three"}).partitions()] == [(None, 1)]
+
+
+def test_recorded_messages_are_in_few_files(spark):
+    """The query's own copy: a folder for each bag took longer than all of its messages."""
+    import __spark_entry__ as entry
+
+    for name in ("source_to_frames_events",):
+        before = _bag_files(spark)
+        assert entry.queries()[name](spark, "/root/testdata/sf0.01").count()
+        assert 0 < len(_bag_files(spark) - before) <= 64
+
+
+def _bag_files(spark):
+    from pathlib import Path
+
+    from trajspark.session import shared_dir
+
+    return {str(p) for p in Path(shared_dir(spark).removeprefix("file:")).glob("trajspark/bags-*/**/*.parquet")}

@@ -52,10 +52,11 @@ def assemble_vectors_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recorded(spark: SparkSession, d: str, topics: list[str] | None = None) -> DataFrame:
-    """The messages, or those of some topics, written as bags into the shared folder and read back from them."""
+    """The messages, or those of some topics, written into the shared folder, in files that bags share, and read back from
+    them: a folder for each of ten thousands of short bags would cost more than its messages."""
     m = views.messages_events(spark, d).withColumn("payload", F.lit(None).cast("binary"))
     root = f"{shared_dir(spark).rstrip('/')}/trajspark/bags-{uuid.uuid4().hex}"
-    m.repartition("bag").sortWithinPartitions("bag", "topic", "ts_ns").write.partitionBy("bag").parquet(root)
+    m.repartition("bag").sortWithinPartitions("bag", "topic", "ts_ns").write.parquet(root)
     return messages.read_messages(spark, root, topics)
 
 

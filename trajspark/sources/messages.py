@@ -2,9 +2,11 @@
 
 ``register(spark)``, then ``spark.read.format("bag_messages").option("path", root)`` or ``spark.readStream`` likewise. A bag is a
 folder below the root (its name, or bag=name as Spark writes it), with its decoded messages in Parquet files of the columns ``SCHEMA`` (those that a file lacks are
-null; decoding of recordings stays outside). Partitions are row groups, by bag and file. The options ``topics`` and
-``bags``, JSON lists, limit what is read: files of other bags are not opened, row groups that by their statistics hold none
-of the topics are not read, other messages don't leave the reader. They are options and not filters that Spark pushes, as
+null; decoding of recordings stays outside). Files in the root itself are shared by many bags, and their column ``bag`` tells
+them; catalogues of very many short bags are written so, as a folder each costs more than its messages. Partitions are row
+groups, by bag and file; small ones share a partition where they are many. The options ``topics`` and
+``bags``, JSON lists, limit what is read: folders of other bags are not opened, row groups that by their statistics hold none
+of the topics or, in shared files, of the bags are not read, other messages don't leave the reader. They are options and not filters that Spark pushes, as
 Spark 4.1 keeps one reader for all scans of a DataFrame: a filter pushed into one scan of a plan would limit the others.
 A stream's offset is the last file by time of change and name, so every file
 is read once, whichever bag it belongs to; files must not change once they are there."""
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +28,9 @@ ARROW = pa.schema([
     ("names", pa.list_(pa.string())), ("positions", pa.list_(pa.float64())), ("payload", pa.binary()),
 ])
 NAME = "bag_messages"
+#: Up to FEW row groups are a partition each; more are put together to PACK bytes, or less where that would give fewer than
+#: FEW partitions. Opening a file counts as so many bytes.
+FEW, PACK, OPEN = 64, 16 << 20, 64 << 10
 
 
 def register(spark: SparkSession) -> None:
@@ -43,10 +49,18 @@ def read_messages(spark: SparkSession, root: str, topics: list[str] | None = Non
 
 @dataclass
 class Part(InputPartition):
-    bag: str
+    """A row group; ``bag`` is None in a shared file, of which ``bags`` limits the rows."""
+
+    bag: str | None
     path: str
     group: int
     topics: tuple[str, ...] | None
+    bags: tuple[str, ...] | None = None
+
+
+@dataclass
+class Pack(InputPartition):
+    parts: tuple[Part, ...]
 
 
 def _filesystem(root: str):
@@ -55,37 +69,67 @@ def _filesystem(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
 
 
-def _listed(root: str) -> list[tuple[int, str, str]]:
-    """(time of change, path, bag) of all message files, in order."""
+def _listed(root: str) -> list[tuple[int, str, str | None]]:
+    """(time of change, path, bag) of all message files, in order; no bag for shared ones."""
     from pyarrow import fs
 
     files, base = _filesystem(root)
     found = []
     for f in files.get_file_info(fs.FileSelector(base, recursive=True)):
         inner = f.path[len(base.rstrip("/")) + 1 :]
-        if f.is_file and f.base_name.endswith(".parquet") and "/" in inner and not f.base_name.startswith(("_", ".")):
-            found.append((int(f.mtime_ns or 0), f.path, inner.rpartition("/")[0].removeprefix("bag=")))
-    return sorted(found)
+        if f.is_file and f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", ".")):
+            found.append((int(f.mtime_ns or 0), f.path, inner.rpartition("/")[0].removeprefix("bag=") if "/" in inner else None))
+    return sorted(found, key=lambda x: x[:2])
 
 
-def _parts(root: str, listed: list[tuple[int, str, str]], topics: tuple[str, ...] | None) -> list[Part]:
-    """A partition for each row group that may hold one of the topics, by its statistics."""
+def _parts(root: str, listed: list[tuple[int, str, str | None]], topics: tuple[str, ...] | None, bags: set[str] | None = None) -> list[Part | Pack]:
+    """A partition for each row group that may hold one of the topics and bags, by its statistics, or for some of them."""
     import pyarrow.parquet as pq
 
     files, _ = _filesystem(root)
-    out = []
-    for _, path, bag in listed:
+    some = None if bags is None else tuple(sorted(bags))
+
+    def may_hold(meta, names: list[str], g: int, name: str, values: tuple[str, ...] | None) -> bool:
+        known = meta.row_group(g).column(names.index(name)).statistics if values is not None and name in names else None
+        return values is None or known is None or not known.has_min_max or any(known.min <= v <= known.max for v in values)
+
+    def groups(file: tuple[int, str, str | None]) -> list[tuple[int, Part]]:
+        _, path, bag = file
+        if bag is not None and bags is not None and bag not in bags:
+            return []
         with files.open_input_file(path) as source:
             meta = pq.ParquetFile(source).metadata
-        column = meta.schema.names.index("topic") if "topic" in meta.schema.names else None
-        for g in range(meta.num_row_groups):
-            known = meta.row_group(g).column(column).statistics if column is not None else None
-            if topics is None or known is None or not known.has_min_max or any(known.min <= t <= known.max for t in topics):
-                out.append(Part(bag, path, g, topics))
-    return out
+        names = meta.schema.names
+        if bag is None and "bag" not in names:
+            return []
+        mine = some if bag is None else None
+        kept = [g for g in range(meta.num_row_groups) if may_hold(meta, names, g, "topic", topics) and may_hold(meta, names, g, "bag", mine)]
+        return [(meta.row_group(g).total_byte_size + OPEN, Part(bag, path, g, topics, mine)) for g in kept]
+
+    with ThreadPoolExecutor(16) as pool:
+        found = [x for of_file in pool.map(groups, listed) for x in of_file]
+    return [part for _, part in found] if len(found) <= FEW else _packed(found)
+
+
+def _packed(found: list[tuple[int, Part]]) -> list[Pack]:
+    """Parts with their bytes, put together in order."""
+    limit, out, held = min(PACK, sum(n for n, _ in found) // FEW), [[]], 0
+    for n, part in found:
+        if out[-1] and held + n > limit:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += n
+    return [Pack(tuple(parts)) for parts in out]
+
+
+def _read(root: str, partition: Part | Pack | None) -> Iterator[pa.RecordBatch]:
+    # Spark asks without a partition where there are none
+    for part in () if partition is None else partition.parts if isinstance(partition, Pack) else (partition,):
+        yield from _read_group(root, part)
 
 
-def _read(root: str, part: Part) -> Iterator[pa.RecordBatch]:
+def _read_group(root: str, part: Part) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
@@ -96,7 +140,9 @@ def _read(root: str, part: Part) -> Iterator[pa.RecordBatch]:
         for b in f.iter_batches(row_groups=[part.group], columns=have):
             if part.topics is not None and "topic" in have:
                 b = b.filter(pc.is_in(b.column("topic"), pa.array(part.topics, pa.string())))
-            columns = [pa.array([part.bag] * b.num_rows, pa.string()) if x.name == "bag" else b.column(x.name).cast(x.type) if x.name in have else pa.nulls(b.num_rows, x.type) for x in ARROW]
+            if part.bags is not None:
+                b = b.filter(pc.is_in(b.column("bag"), pa.array(part.bags, pa.string())))
+            columns = [pa.array([part.bag] * b.num_rows, pa.string()) if x.name == "bag" and part.bag is not None else b.column(x.name).cast(x.type) if x.name in have else pa.nulls(b.num_rows, x.type) for x in ARROW]
             yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
@@ -104,12 +150,11 @@ class Reader(DataSourceReader):
     def __init__(self, root: str, topics: tuple[str, ...] | None, bags: set[str] | None):
         self.root, self.topics, self.bags = root, topics, bags
 
-    def partitions(self) -> list[Part]:
-        return _parts(self.root, [x for x in _listed(self.root) if self.bags is None or x[2] in self.bags], self.topics)
+    def partitions(self) -> list[Part | Pack]:
+        return _parts(self.root, _listed(self.root), self.topics, self.bags)
 
-    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
-        # Spark asks without a partition where there are none
-        return _read(self.root, partition) if partition is not None else iter(())
+    def read(self, partition: Part | Pack | None) -> Iterator[pa.RecordBatch]:
+        return _read(self.root, partition)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -123,12 +168,12 @@ class StreamReader(DataSourceStreamReader):
         listed = _listed(self.root)
         return {"time": listed[-1][0], "path": listed[-1][1]} if listed else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Part]:
+    def partitions(self, start: dict, end: dict) -> list[Part | Pack]:
         low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        return _parts(self.root, [x for x in _listed(self.root) if low < x[:2] <= high and (self.bags is None or x[2] in self.bags)], self.topics)
+        return _parts(self.root, [x for x in _listed(self.root) if low < x[:2] <= high], self.topics, self.bags)
 
-    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
-        return _read(self.root, partition) if partition is not None else iter(())
+    def read(self, partition: Part | Pack | None) -> Iterator[pa.RecordBatch]:
+        return _read(self.root, partition)
 
     def commit(self, end: dict) -> None:
         pass
