@@ -62,11 +62,20 @@ def test_shared_files_tell_the_bag(spark, tmp_path):
     assert [(p.bag, p.group) for p in messages.Reader(str(tmp_path), None, {"three"}).partitions()] == [(None, 1)]
 
 
+def test_many_small_files_share_partitions(spark, tmp_path):
+    """A task for each of ten thousands of short bags costs more than its messages."""
+    for k in range(500):
+        put(tmp_path, f"b{k}", "a.parquet", [("arm", 1, k)])
+    df = messages.read_messages(spark, str(tmp_path))
+    assert messages.FEW <= df.rdd.getNumPartitions() <= 2 * messages.FEW
+    assert sorted((r.bag, r.seq) for r in df.collect()) == sorted((f"b{k}", k) for k in range(500))
+
+
 def test_recorded_messages_are_in_few_files(spark):
     """The query's own copy: a folder for each bag took longer than all of its messages."""
     import __spark_entry__ as entry
 
-    for name in ("source_to_frames_events",):
+    for name in ("messages_source_events", "source_to_frames_events"):
         before = _bag_files(spark)
         assert entry.queries()[name](spark, "/root/testdata/sf0.01").count()
         assert 0 < len(_bag_files(spark) - before) <= 64
