@@ -29,7 +29,7 @@ def episode_stats_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recompute_stats_lineitem(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.recompute_stats(views.frames_lineitem(spark, d), ["state"], ["pos", "timestamp"]), 4)
+    return rounded(stats.recompute_stats(views.frames_lineitem(spark, d), ["state"], ["pos", "timestamp"], views.LINEITEM_WIDTHS), 4)
 
 
 def axis_metrics_embeddings(spark: SparkSession, d: str) -> DataFrame:
