@@ -41,7 +41,7 @@ def test_groups_keep_small_deviations(spark):
     assert (m.n, m.min, m.max) == (20_000, 1e9, 1e9 + 3) and abs(m["mean"] - 1e9 - 1.5) < 1e-6 and abs(m["std"] - math.sqrt(1.25)) < 1e-6
 
 
-@pytest.mark.parametrize("name", ["recompute_stats_lineitem", "verify_stats_lineitem", "verify_stale_stats_lineitem"])
+@pytest.mark.parametrize("name", ["recompute_stats_lineitem", "diff_stats_lineitem", "verify_stats_lineitem", "verify_stale_stats_lineitem"])
 def test_queries_merge_in_groups_without_a_pass_for_the_length(spark, name):
     """Windows over a whole axis are one task each, and the length of the first row took a sort of all frames by episode."""
     import __spark_entry__ as entry
